@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, exact_dedup, mixing, pii, quality, token_store, topk
+from . import bpe, brown_lm, exact_dedup, mixing, near_dedup, pii, quality, token_store, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_read(spark, sf_dir, "documents")).drop("__node")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_read(spark, sf_dir, "documents"))
 
@@ -96,6 +100,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
     "op5_exact_dedup": op5_exact_dedup,

@@ -27,8 +27,9 @@ from .common import staged, staged_path, whole_text
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 32_768, 65_536
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4_000_000
 #: Chunks whose ids each Python worker remembers, in two generations of this size.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 END_ID = 1
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 BLOCK_SCHEMA = (
     "shard int, block int, first_id long, last_id long, n_docs int, n_ids long, ids_before long, width int, dict_sha256 string, "
@@ -40,7 +41,10 @@ class WordEncoder:
     """Ids of whole texts, by remembering those of the chunks between ASCII white space.
 
     The tokenizer drops white space and no token of it spans any, so a text's ids are its chunks' ids in
-    order.  Every chunk is encoded by the library itself.
+    order.  It lowers case, so chunks are kept with A-Z lowered.  The library encodes every new chunk, many
+    in one call: letters alone, or letters and then ASCII signs, are one and two pieces of the tokenizer's
+    own splitting, each of which ends in a token that ends a word.  Any other chunk is encoded by itself,
+    and a text in which a special token may begin is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -48,31 +52,68 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, chunks: list[bytes]) -> None:
-        for at in range(0, len(chunks), 4096):
-            some = chunks[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in some], add_special_tokens=False)
-            for chunk, encoded in zip(some, found, strict=True):
-                self.young[chunk] = np.array(encoded.ids, "<u4").tobytes()
+        young, stems, odd = self.young, {}, []
+        signed: list[tuple[bytes, bytes, bytes]] = []
+        for chunk in chunks:
+            stem = chunk.rstrip(_SIGNS)
+            if not stem.decode("utf-8").isalpha():
+                odd.append(chunk)
+                continue
+            if stem is not chunk and len(stem) < len(chunk):
+                signed.append((chunk, stem, chunk[len(stem) :]))
+            if stem not in young:
+                stems[stem] = None
+        names = list(stems)
+        for at in range(0, len(names), 2048):
+            some = names[at : at + 2048]
+            (found,) = self._plain([b" ".join(some).decode("utf-8")])
+            ids = np.array(found, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                raw, start = ids.tobytes(), 0
+                for stem, stop in zip(some, stops, strict=True):
+                    young[stem] = raw[4 * start : 4 * stop]
+                    start = stop
+            else:  # a letter that normalizing takes apart
+                for stem, own in zip(some, self._plain([s.decode("utf-8") for s in some]), strict=True):
+                    young[stem] = np.array(own, "<u4").tobytes()
+        odd += {signs for _, _, signs in signed if signs not in young}
+        for at in range(0, len(odd), 4096):
+            some = odd[at : at + 4096]
+            for chunk, own in zip(some, self._plain([c.decode("utf-8") for c in some]), strict=True):
+                young[chunk] = np.array(own, "<u4").tobytes()
+        for chunk, stem, signs in signed:
+            young[chunk] = young[stem] + young[signs]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of UTF-8 texts, without an end id."""
-        split = [t.split() for t in texts]
+        special = [k for k, t in enumerate(texts) if b"<|" in t]
+        split = [[] if b"<|" in t else t.lower().split() for t in texts]
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-        missing = set().union(*split) if split else set()
-        missing = {c for c in missing if c not in young}
-        for chunk in [c for c in missing if c in old]:
-            young[chunk] = old[chunk]
-            missing.discard(chunk)
+        missing = set().union(*split).difference(young)
+        if old:
+            again = missing.intersection(old)
+            young.update((c, old[c]) for c in again)
+            missing -= again
         self._learn(list(missing))
         get = young.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        encoded = [b"".join(map(get, chunks)) for chunks in split]
+        for k in special:
+            encoded[k] = np.array(self._plain([texts[k].decode("utf-8")])[0], "<u4").tobytes()
+        return encoded
 
 
 @functools.lru_cache(maxsize=2)
