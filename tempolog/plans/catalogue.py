@@ -1,4 +1,6 @@
 """Queries by the names of the survey, each with SQL for comparison."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import matches, reads  # noqa: F401
+from .tables import ORACLE_SQL, QUERIES  # noqa: F401
