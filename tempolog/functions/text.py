@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .timestamps import blank_to_null
 
@@ -108,7 +109,7 @@ def minutes_seconds(seconds: Column) -> Column:
     return F.when(seconds >= 0, F.concat(F.floor(whole / 60).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded_text(values: pd.Series) -> pd.Series:
     """Compatibility-normalized, case-folded, single-spaced: the key by which music texts are equal."""
     return values.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()))
