@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,24 +97,40 @@ class WordEncoder:
         for chunk, stem, signs in signed:
             young[chunk] = young[stem] + young[signs]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of UTF-8 texts, without an end id."""
-        special = [k for k, t in enumerate(texts) if b"<|" in t]
-        split = [[] if b"<|" in t else t.lower().split() for t in texts]
+    def _known(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk, learning those that are new."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = set().union(*split).difference(young)
+        missing = [c for c in chunks if c not in young]
         if old:
-            again = missing.intersection(old)
-            young.update((c, old[c]) for c in again)
-            missing -= again
-        self._learn(list(missing))
-        get = young.__getitem__
-        encoded = [b"".join(map(get, chunks)) for chunks in split]
-        for k in special:
-            encoded[k] = np.array(self._plain([texts[k].decode("utf-8")])[0], "<u4").tobytes()
-        return encoded
+            again = [c for c in missing if c in old]
+            young.update(zip(again, map(old.__getitem__, again), strict=True))
+            missing = [c for c in missing if c not in young]
+        self._learn(missing)
+        return list(map(young.__getitem__, chunks))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids (32-bit) of the texts of a string array, without an end id.
+
+        Arrow splits the texts and numbers their distinct chunks; only those pass through Python.
+        """
+        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        known = self._known(coded.dictionary.cast(pa.binary()).to_pylist())
+        table = np.frombuffer(b"".join(known), "<u4")
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(lengths) - lengths
+        counts = lengths[at]
+        ends = np.cumsum(counts)
+        ids = table[np.repeat(starts[at] - ends + counts, counts) + np.arange(len(counts) and ends[-1])]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        found = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for k in special.tolist():
+            found[k] = np.array(self._plain([texts[k].as_py()])[0], "<u4")
+        return found
 
 
 @functools.lru_cache(maxsize=2)
@@ -121,26 +138,20 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _batches(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[list, list[bytes]]]:
-    """Rows of (id, bytes) in lists of about ``most`` bytes."""
-    ids, texts, load = [], [], 0
-    for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        ids.append(i)
-        texts.append(value.as_py() or b"")
-        load += len(texts[-1])
-        if load >= most:
-            yield ids, texts
-            ids, texts, load = [], [], 0
-    if ids:
-        yield ids, texts
+def _slices(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The two columns of a batch in slices of about ``most`` bytes of text."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(batch):
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + most)))
+        yield batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start)
+        start = stop
 
 
-def _narrow(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-
-
-def _with_end(ids: bytes, end_id: int) -> bytes:
-    return ids + end_id.to_bytes(4, "little")
+def serialized(ids: np.ndarray, width: int, end_id: int) -> bytes:
+    """The ids and the end id as little-endian numbers of ``width`` bytes."""
+    return np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()
 
 
 def train_dictionary(docs: DataFrame, path: str, width: int, end_id: int = END_ID) -> bytes:
@@ -156,8 +167,8 @@ def train_dictionary(docs: DataFrame, path: str, width: int, end_id: int = END_I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = word_encoder(path).encode([t.encode() for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_pydict({"ids": pa.array([_narrow(_with_end(i, end_id), width) for i in ids], pa.binary())})
+            ids = word_encoder(path).encode(batch.column(0))
+            yield pa.RecordBatch.from_pydict({"ids": pa.array([serialized(i, width, end_id) for i in ids], pa.binary())})
 
     samples = sorted(bytes(r[0]) for r in sample.mapInArrow(run, "ids binary").limit(SAMPLE_DOCS).collect())
     try:
@@ -190,15 +201,15 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -
 
         packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary), write_dict_id=False)
         for batch in batches:
-            for doc_ids, texts in _batches(batch):
-                ids = [_with_end(i, end_id) for i in word_encoder(path).encode(texts)]
+            for doc_ids, texts in _slices(batch):
+                ids = word_encoder(path).encode(texts)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(doc_ids, pa.int64()),
-                    "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int32()),
-                    "frame": pa.array([packer.compress(_narrow(i, width)) for i in ids], pa.binary()),
+                    "doc_id": doc_ids,
+                    "n_tokens": pa.array([len(i) + 1 for i in ids], pa.int32()),
+                    "frame": pa.array([packer.compress(serialized(i, width, end_id)) for i in ids], pa.binary()),
                 })
 
-    frames = staged(docs.select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(compress, "doc_id long, n_tokens int, frame binary"), "frames")
+    frames = staged(docs.select("doc_id", whole_text().alias("text")).mapInArrow(compress, "doc_id long, n_tokens int, frame binary"), "frames")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, before = TaskContext.get().partitionId(), 0, 0
