@@ -18,7 +18,7 @@ WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST_COPIES = 2
 #: Documents of one source and size are numbered in one task up to this many, or 1/1024 of all rows.
-RUN_ROWS = 4096
+RUN_ROWS = 512
 OFFSET_STEPS = 1 << 20
 
 
