@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, exact_dedup, mixing, near_dedup, pii, quality, token_store, topk
+from . import bpe, brown_lm, exact_dedup, mixing, near_dedup, pii, quality, token_rollup, token_store, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,24 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.maintained_totals(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+OP4_SQL = r"""
+WITH marks AS (
+  SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+), counted AS (
+  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, octet_length(encode(coalesce(text, ''))) AS bytes,
+         coalesce(toxic, 0) AS toxic, coalesce(quality, 1) AS quality
+  FROM documents d LEFT JOIN marks m ON d.doc_id = m.doc_id
+)
+SELECT source, lang, CASE WHEN quality = 0 THEN 'utf8_bytes-1' ELSE 'whitespace-1' END AS tokenizer, count(*) AS n_docs,
+       sum(CASE WHEN quality = 0 THEN bytes ELSE words END)::BIGINT AS n_tokens
+FROM counted WHERE toxic <> 1 GROUP BY 1, 2, 3
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_equal_texts(_read(spark, sf_dir, "documents"))
 
@@ -103,6 +121,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
+    "op4_token_rollup": op4_token_rollup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
     "op7_topk": op7_topk,
@@ -111,4 +130,4 @@ QUERIES = {
     "op10_token_store": op10_token_store,
 }
 
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op7_topk": OP7_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op4_token_rollup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op7_topk": OP7_SQL, "op9_mixing": OP9_SQL}
