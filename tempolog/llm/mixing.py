@@ -39,7 +39,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     # If all sources up to this one sit at their limits, the rest would share at this level.
     level = (shared - F.coalesce(F.sum("__limit").over(before), F.lit(0))) / F.sum("__weight").over(by_need.rowsBetween(0, Window.unboundedFollowing))
     levels = weighted.withColumn("__level", level)
-    final = F.min(F.when(F.col("__level") <= F.col("__limit") / F.col("__weight"), F.col("__level"))).over(everything)
+    # Levels rise until the first that fits, and fall after it.
+    final = F.max(F.when(F.col("__level") <= F.col("__limit") / F.col("__weight"), F.col("__level"))).over(everything)
     target = F.least(F.col("__limit").cast("double"), F.col("__weight") * F.coalesce(final, F.lit(float("inf"))))
     return levels.select("source", "source_size", target.alias("target"))
 

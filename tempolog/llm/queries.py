@@ -101,7 +101,7 @@ WITH sized AS (
             / sum(w) OVER (ORDER BY most::DOUBLE / w, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighted
 ), targets AS (
-  SELECT source, source_size, least(most::DOUBLE, w * coalesce((SELECT min(level) FROM levels WHERE level <= most::DOUBLE / w), 'infinity'::DOUBLE)) AS target,
+  SELECT source, source_size, least(most::DOUBLE, w * coalesce((SELECT max(level) FROM levels WHERE level <= most::DOUBLE / w), 'infinity'::DOUBLE)) AS target,
          ('0x' || substr(sha256('7:' || coalesce(source, '')), 1, 5))::BIGINT::DOUBLE / 1048576 AS u
   FROM levels
 ), placed AS (
