@@ -2,11 +2,12 @@
 
 Texts become weighted sets of five-word shingles (term frequency times inverse document frequency).
 Consistent weighted samples, whose agreement has the weighted Jaccard similarity as its probability, are
-cut into bands; texts that share a band are candidates.  No pairs are made within a bucket: its members
-are sent to a few leaders and compared there with the exact weighted Jaccard similarity.  After one leader
-per bucket, connected components are formed; then, in rounds, every member outside of a bucket's largest
-component becomes a leader in its turn and meets all members of other components.  So each pair of a bucket
-ends in one component or has been compared.
+cut into bands; texts that share a band are candidates.  Links are made in two steps, without all pairs of
+a bucket.  First every member of a bucket is compared, by exact weighted Jaccard similarity, with the
+bucket's hub, the member that meets most others over all its buckets, and connected components are formed.
+Then, in blocks of bounded size, members of a bucket that are still in different components are compared
+likewise, the best agreeing first, if their samples agree often enough.  So each pair of a bucket ends in
+one component, or its texts have been compared, or its samples rule it out.
 """
 
 from __future__ import annotations
@@ -23,21 +24,43 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, attach, staged, whole_text
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, BAND_ROWS = 16, 4
+#: At a similarity of 0.8 a pair shares a band with a probability of 0.988, at 0.85 of 0.9995; at 0.5 of 0.09.
+BANDS, BAND_ROWS = 24, 8
+#: Pairs of different components are compared if this share of their samples agrees: 2.8 standard deviations
+#: below the similarity that counts.
+LEAST_AGREEMENT = 0.72
 #: Shingles in fewer than this share of all documents weigh the same.
 RARE_SHARE = 0.002
 CELLS, BLOCKS = 1 << 20, 16
-#: Members of one leader that one task compares; leaders of a bucket in one later round.
-SALT_MEMBERS, ROUND_LEADERS = 256, 32
+#: Members of one leader that one task compares; members of a bucket in one block of the second step.
+SALT_MEMBERS, BLOCK_MEMBERS = 256, 512
 FAN_IN = 64
 
-_TABLE = 1 << 16
+_TABLE = 1 << 20
+#: The weight of a rare shingle that occurs once, which most shingles have.
+COMMON = float(np.float32(np.log(1 / RARE_SHARE)))
 _random = np.random.default_rng(20_240_229)
-_SCALE = np.log(_random.random(_TABLE)) + np.log(_random.random(_TABLE))
-#: Draws of the sampling, by 16 bits of a hash of shingle and sample: r and c are Gamma(2, 1), beta uniform.
-_R = -_SCALE
-_LOG_C = np.log(-(np.log(_random.random(_TABLE)) + np.log(_random.random(_TABLE))))
-_BETA = _random.random(_TABLE)
+
+
+def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, log c and beta of the sampling (Gamma(2, 1), Gamma(2, 1), uniform), by 20 bits of a hash.
+
+    They are put in the order of the values that they give the common weight, so that among shingles of
+    that weight the least hash is the sample.
+    """
+    r, c = (-np.log(_random.random(_TABLE)) - np.log(_random.random(_TABLE)) for _ in range(2))
+    beta = _random.random(_TABLE)
+    order = np.argsort(_log_a(np.log(COMMON), r, np.log(c), beta)[0], kind="stable")
+    return r[order], np.log(c)[order], beta[order]
+
+
+def _log_a(log_weight, r: np.ndarray, log_c: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    t = np.floor(log_weight / r + beta)
+    return log_c - r * (t - beta) - r, t
+
+
+_R, _LOG_C, _BETA = _draws()
+_COMMON_VALUE, _COMMON_LEVEL = _log_a(np.log(COMMON), _R, _LOG_C, _BETA)
 _ODD = _random.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -70,45 +93,25 @@ def _cells(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(44)).astype(np.int64)
 
 
-def _log_a(log_weight: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    r, beta = _R[at], _BETA[at]
-    t = np.floor(log_weight / r + beta)
-    return _LOG_C[at] - r * (t - beta) - r, t
-
-
-_COMMON: dict[float, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _common_table(log_weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """The sampling's values for one weight, by hash: most shingles occur once and are rare."""
-    if log_weight not in _COMMON:
-        _COMMON.clear()
-        _COMMON[log_weight] = _log_a(np.float64(log_weight), np.arange(_TABLE))
-    return _COMMON[log_weight]
-
-
-def samples(found: np.ndarray, weights: np.ndarray, common: float) -> np.ndarray:
-    """One consistent weighted sample per hash function: a hash of the shingle and its level.
-
-    ``common`` is the weight of a rare shingle that occurs once.  Of equal values the least hash is taken.
-    """
+def samples(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """One consistent weighted sample per hash function: a hash of the shingle and its level."""
     size = len(_ODD)
+    row = np.arange(size)
     best, chosen = np.full(size, np.inf), np.zeros(size, np.uint64)
-    table, levels = _common_table(float(np.log(common)))
-    ordinary = weights == common
+    ordinary = weights == COMMON
     for part, log_weights in ((found[ordinary], None), (found[~ordinary], np.log(weights[~ordinary]))):
-        for at in range(0, len(part), 4096):
-            some = part[at : at + 4096]
-            bits = (_ODD[:, None] * some[None, :] + _ADD[:, None]).view(np.uint16)[:, 3::4]
+        for at in range(0, len(part), 2048):
+            some = part[at : at + 2048]
+            hashes = _ODD[:, None] * some[None, :] + _ADD[:, None]
             if log_weights is None:
-                values = table[bits]
-                low = values.argmin(axis=1)
-                level = levels[bits[np.arange(size), low]]
+                low = hashes.argmin(axis=1)
+                index = (hashes[row, low] >> np.uint64(44)).astype(np.int64)
+                value, level = _COMMON_VALUE[index], _COMMON_LEVEL[index]
             else:
-                values, all_levels = _log_a(log_weights[None, at : at + 4096], bits.astype(np.intp))
+                index = (hashes >> np.uint64(44)).astype(np.int64)
+                values, levels = _log_a(log_weights[None, at : at + 2048], _R[index], _LOG_C[index], _BETA[index])
                 low = values.argmin(axis=1)
-                level = all_levels[np.arange(size), low]
-            value = values[np.arange(size), low]
+                value, level = values[row, low], levels[row, low]
             sample = _mixed(some[low] + level.astype(np.int64).view(np.uint64) * _STEP)
             better = (value < best) | ((value == best) & (sample < chosen))
             best, chosen = np.where(better, value, best), np.where(better, sample, chosen)
@@ -212,8 +215,7 @@ class Weights:
     """Inverse document frequencies by cell: log(1 / share), the share being at least RARE_SHARE."""
 
     def __init__(self, n: int, cells: np.ndarray, counts: np.ndarray):
-        self.rare = float(np.float32(np.log(1 / RARE_SHARE)))
-        self.idf = np.full(CELLS, self.rare, np.float32)
+        self.idf = np.full(CELLS, COMMON, np.float32)
         if n:
             self.idf[cells] = np.maximum(np.log(n / np.minimum(counts, n * 0.99)), 0.01)
 
@@ -293,15 +295,22 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, weights) -> Da
     members = salted.select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"))
     leaders = sizes.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
     routes = staged(members.unionByName(leaders).join(nodes.select("node", "one_id"), "node"), "routes")
-    wanted = routes
-    if routes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(routes)
-    texts = docs.select(F.col("doc_id").alias("__id"), _node().alias("__node"), whole_text().cast("binary").alias("text"))
-    sent = texts.join(wanted, F.col("__id").eqNullSafe(F.col("one_id")) & (F.col("__node") == F.col("node"))).select("b", "node", "member", "text", "salt")
+    sent = _texts_of(docs, routes)
     dealt = sent.repartition("b", "salt").sortWithinPartitions("b", "salt", "member", "node")
     return staged(dealt.select("b", "node", "member", "text").mapInArrow(_compare(weights), "a binary, b binary, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "verified")
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (node, one_id and others) with the text of each node, from the one document that stands for it.
+
+    Few wanted rows are broadcast, after they have been counted; more are joined by shuffling.
+    """
+    side = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+    texts = docs.select(F.col("doc_id").alias("__id"), _node().alias("__node"), whole_text().cast("binary").alias("text"))
+    joined = texts.join(side, F.col("__id").eqNullSafe(F.col("one_id")) & (F.col("__node") == F.col("node")))
+    return joined.select(*[c for c in wanted.columns if c != "one_id"], "text")
+
+
 def _node():
     """A text's node: half of its SHA-256; equal texts are one node."""
     return F.substring(F.unhex(F.sha2(whole_text(), 256)), 1, 16)
@@ -316,45 +325,101 @@ def link_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for batch in batches:
-            rows = {"node": [], "bands": []}
+            rows = {"node": [], "bands": [], "bytes": []}
             for node, text in zip(batch.column(0), batch.column(1), strict=True):
                 found, weight = w.of(text.as_py())
                 if len(found):
+                    sample = samples(found, weight)
                     rows["node"].append(node.as_py())
-                    rows["bands"].append(bands(samples(found, weight, w.rare)))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(rows["node"], pa.binary()), "bands": pa.array(rows["bands"], pa.list_(pa.int64()))})
-
-    signed = docs.select(_node().alias("node"), whole_text().cast("binary").alias("text")).mapInArrow(sign, "node binary, bands array<bigint>")
-    members = signed.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
-    members = staged(members, "bands")
-    buckets = members.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "leader")
-    shared = staged(members.join(buckets, "band"), "buckets")
-    pairs = staged(shared.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+                    rows["bands"].append(bands(sample))
+                    rows["bytes"].append(sample.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_pydict({"node": pa.array(rows["node"], pa.binary()), "bands": pa.array(rows["bands"], pa.list_(pa.int64())), "bytes": pa.array(rows["bytes"], pa.binary())})
+
+    signed = docs.select(_node().alias("node"), whole_text().cast("binary").alias("text")).mapInArrow(sign, "node binary, bands array<bigint>, bytes binary")
+    signed = staged(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "samples")
+    members = signed.select("node", F.explode("bands").alias("band"))
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = staged(members.join(sizes, "band"), "buckets")
+    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = shared.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
+    pairs = staged(shared.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     links = verified(docs, nodes, pairs, weights).select("a", "b")
-    seen = pairs
-
-    def labelled(linked: DataFrame) -> DataFrame:
-        return shared.join(linked, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
 
     linked = components(links)
-    sizes = labelled(linked).groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    outside = labelled(linked).join(largest, "band").filter("component <> largest")
-    turn = Window.partitionBy("band").orderBy("node")
-    outside = staged(outside.select("band", "node", F.floor((F.row_number().over(turn) - 1) / F.lit(ROUND_LEADERS)).alias("round")), "outside")
-    rounds = outside.agg(F.max("round")).first()[0]
-    for k in range(0 if rounds is None else rounds + 1):
-        now = staged(labelled(linked), "labels")
-        leaders = now.join(outside.filter(F.col("round") == k).select("band", "node"), ["band", "node"]).select("band", F.col("node").alias("b"), F.col("component").alias("of"))
-        met = now.join(leaders, "band").filter("component <> of").select(F.col("node").alias("a"), "b").distinct()
-        known = seen.select("a", "b").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        fresh = staged(met.join(known, ["a", "b"], "left_anti").filter("a > b").unionByName(met.join(known, ["a", "b"], "left_anti").filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
-        if fresh.isEmpty():
-            continue
-        more = verified(docs, nodes, fresh, weights).select("a", "b")
-        links, seen = links.unionByName(more), seen.unionByName(fresh)
-        linked = components(links)
-    return linked
+    labelled = shared.join(linked, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
+    rest = staged(labelled.join(mixed, "band"), "mixed")
+    if rest.isEmpty():
+        return linked
+    more = staged(_linked_in_blocks(docs, nodes, rest, signed, weights), "links")
+    return linked if more.isEmpty() else components(links.unionByName(more))
+
+
+def _linked_in_blocks(docs: DataFrame, nodes: DataFrame, rest: DataFrame, signed: DataFrame, weights) -> DataFrame:
+    """Links a, b between different components of a bucket, enough to join all that belong together.
+
+    A bucket's members are cut into blocks of bounded size, and each two blocks meet in a group of their own,
+    so a group holds at most two blocks whatever the bucket's size.  A pair is looked at in the first band
+    that its texts share.  Pairs whose components have been joined in the group need no comparison, so no
+    more links come out of a group than it has members.
+    """
+    wanted = rest.select("node").distinct().join(nodes.select("node", "one_id"), "node")
+    texts = staged(_texts_of(docs, staged(wanted, "wanted")), "texts")
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = rest.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    placed = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component")
+    full = placed.join(signed, "node").join(texts, "node")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def link(table: pa.Table) -> pa.Table:
+        w = weights.value
+        table = table.sort_by("node")
+        names, own, count = table["node"].to_pylist(), table["own"].to_numpy(), len(table)
+        parent = np.unique(np.array(table["component"].to_pylist(), object), return_inverse=True)[1]
+        if count < 2 or parent.max() == 0:
+            return schema.empty_table()
+        bits = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(count, -1)
+        keys = np.array(table["bands"].to_pylist(), np.int64)
+        here = keys == table["band"][0].as_py()
+        across = table["low"][0].as_py() != table["high"][0].as_py()
+        pairs: list[np.ndarray] = []
+        for k in range(1, count):
+            others = np.flatnonzero((parent[:k] != parent[k]) & ((own[:k] != own[k]) if across else True))
+            agree = (bits[others] == bits[k]).sum(axis=1)
+            fine = agree >= LEAST_AGREEMENT * bits.shape[1]
+            others, agree = others[fine], agree[fine]
+            if len(others):
+                first = (keys[others] == keys[k]).argmax(axis=1) == here[k].argmax()
+                pairs.append(np.stack([-agree[first], np.full(first.sum(), k), others[first]]))
+        if not pairs:
+            return schema.empty_table()
+        order = np.concatenate(pairs, axis=1)
+        order = order[:, np.lexsort(order[::-1])]
+        root = list(range(parent.max() + 1))
+        sets: dict[int, tuple] = {}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def weighted(k: int) -> tuple:
+            if k not in sets:
+                sets[k] = w.of(table["text"][k].as_py())
+            return sets[k]
+
+        found: dict[str, list] = {"a": [], "b": []}
+        for k, j in zip(order[1].tolist(), order[2].tolist(), strict=True):
+            x, y = find(int(parent[k])), find(int(parent[j]))
+            if x != y and weighted_jaccard(weighted(k), weighted(j)) >= SIMILARITY:
+                root[x] = y
+                found["a"].append(names[k])
+                found["b"].append(names[j])
+        return pa.table(found, schema=schema)
+
+    return full.groupBy("band", "low", "high").applyInArrow(link, "a binary, b binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
