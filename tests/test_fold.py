@@ -179,3 +179,32 @@ def test_a_settled_occurrence_stays_settled():
     state.feed({"event_type": "clock", "at": at + dt.timedelta(seconds=9), "source_file": "a", "line_number": 2})
     state.feed({"event_type": "room-left", "at": at + dt.timedelta(seconds=9), "source_file": "a", "line_number": 2})
     assert [o["completion_status"] for o in state.rows()] == ["completed"]
+
+
+def test_windows_settle_as_the_fold_does(spark):
+    """Sessions of starts with a song of their own, stamps in order: the two ways agree."""
+    import random
+
+    from tempolog.streaming.settle import settle
+
+    draw = random.Random(4)
+    rows, expected = [], {}
+    for session in range(12):
+        state, second = Session(), 0
+        for line_number in range(80):
+            second += draw.choice([0, 1, 5, 20])
+            at, kind = BASE + dt.timedelta(seconds=second), draw.choice(["start", "clock", "clock", "end"])
+            length = draw.choice([0.0, 10.0, 25.0, 60.0])
+            number = session * 1000 + line_number
+            rows.append((session, int(at.replace(tzinfo=dt.UTC).timestamp() * 1e6), number, kind, number, length))
+            place = {"source_file": "a", "line_number": line_number, "at": at}
+            state.feed({"event_type": "clock", **place})
+            if kind == "start":
+                state.feed({"event_type": "on-video-start", "parser_name": "p", "canonical_key": f"k:{number}", "system_key": "k", "external_id": str(number), "video_url": "u", "duration_seconds": length, **place})
+            elif kind == "end":
+                state.feed({"event_type": "room-left", **place})
+        for o in state.rows():
+            settled = o.get("settled_at")
+            expected[int(o["external_id"])] = (o["completion_status"], settled and int(settled.replace(tzinfo=dt.UTC).timestamp() * 1e6))
+    df = spark.createDataFrame(rows, "session long, at_us long, row_id long, kind string, item long, seconds double")
+    assert {r["item"]: (r["status"], r["settled_us"]) for r in settle(df).collect()} == expected
