@@ -29,21 +29,22 @@ def k4(spark: SparkSession, d: str) -> DataFrame:
     return merges.merge_evidence(*evidence(spark, d))
 
 
-@query("k5_origin_merge", """WITH b AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, l_returnflag AS f, l_linenumber AS n FROM lineitem)
+@query("k5_origin_merge", """WITH b AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, min(l_returnflag) AS f, min(l_linenumber) AS n FROM lineitem GROUP BY 1)
 SELECT k AS origin_key, CASE WHEN n % 2 = 0 THEN f || '!' ELSE f END AS payload, CASE WHEN n % 3 <> 0 THEN 1 ELSE 2 END::INTEGER AS created_at,
   CASE WHEN n % 3 = 0 THEN 'inserted' WHEN n % 2 = 0 THEN 'updated' ELSE 'kept' END AS action FROM b WHERE n % 3 <> 0 OR n % 2 = 0""")
 def k5(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("origin_key"), "l_returnflag", "l_linenumber")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("origin_key")
+    lines = table(spark, d, "lineitem").groupBy(key).agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linenumber").alias("l_linenumber"))
     old = lines.filter("l_linenumber % 3 <> 0").select("origin_key", F.col("l_returnflag").alias("payload"), F.lit(1).alias("created_at"))
     new = lines.filter("l_linenumber % 2 = 0").select("origin_key", F.concat("l_returnflag", F.lit("!")).alias("payload"), F.lit(2).alias("created_at"))
     return merges.merge_origins(old, new)
 
 
-@query("k6_kept_requester", f"""WITH {ORIGINS}, e AS (SELECT *, CASE WHEN requester_user_id % 3 = 0 THEN '' ELSE 'usr_' || requester_user_id END AS u, CASE WHEN requester_user_id % 2 = 0 THEN origin_table ELSE '' END AS s FROM origins),
+@query("k6_kept_requester", f"""WITH {ORIGINS}, e AS (SELECT *, CASE WHEN requester_user_id % 3 = 0 THEN '' ELSE 'usr_' || requester_user_id END AS u, CASE WHEN requester_user_id % 2 = 0 THEN origin_table ELSE '' END AS s FROM (SELECT record_id, origin_key, min(origin_table) AS origin_table, min(requester_user_id) AS requester_user_id FROM origins GROUP BY 1, 2)),
 ids AS (SELECT record_id, max(nullif(u, '')) AS known_id, arg_min(s, origin_key) FILTER (s <> '') AS first_source FROM e GROUP BY 1)
 SELECT e.origin_key, CASE WHEN known_id IS NOT NULL THEN known_id ELSE 'usr_new' END AS requester_user_id, CASE WHEN known_id IS NOT NULL THEN coalesce(nullif(e.s, ''), first_source) ELSE 'new' END AS requester_source FROM e JOIN ids USING (record_id)""")
 def k6(spark: SparkSession, d: str) -> DataFrame:
-    o = origins(spark, d)
+    o = origins(spark, d).groupBy("record_id", "origin_key").agg(F.min("origin_table").alias("origin_table"), F.min("requester_user_id").alias("requester_user_id"))
     user, source = F.when(F.col("requester_user_id") % 3 != 0, F.concat(F.lit("usr_"), F.col("requester_user_id").cast("string"))).otherwise(""), F.when(F.col("requester_user_id") % 2 == 0, F.col("origin_table")).otherwise("")
     existing = o.select("record_id", "origin_key", F.col("origin_key").alias("origin_id"), user.alias("requester_user_id"), source.alias("requester_source"))
     new = o.select("record_id", "origin_key", F.lit("usr_new").alias("requester_user_id"), F.lit("new").alias("requester_source"))
