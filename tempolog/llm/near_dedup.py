@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, attach, staged, whole_text
 
 WORDS, SIMILARITY = 5, 0.8
-#: At a similarity of 0.8 a pair shares a band with a probability of 0.988, at 0.85 of 0.9995; at 0.5 of 0.09.
-BANDS, BAND_ROWS = 24, 8
-#: Pairs of different components are compared if this share of their samples agrees: 2.8 standard deviations
+#: At a similarity of 0.8 a pair shares a band with a probability of 0.9987, at 0.85 of 0.99999; at 0.5 of 0.13.
+BANDS, BAND_ROWS = 36, 8
+#: Pairs of different components are compared if this share of their samples agrees: 3.4 standard deviations
 #: below the similarity that counts.
 LEAST_AGREEMENT = 0.72
 #: Shingles in fewer than this share of all documents weigh the same.
