@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,11 @@ BLOCK_SCHEMA = (
 )
 
 
+def _letters(text: str) -> bool:
+    """Whether a text is letters only, and stays so when the tokenizer composes and lowers it."""
+    return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
+
+
 class WordEncoder:
     """Ids of whole texts, by remembering those of the chunks between ASCII white space.
 
@@ -68,7 +74,7 @@ class WordEncoder:
         signed: list[tuple[bytes, bytes, bytes]] = []
         for chunk in chunks:
             stem = chunk.rstrip(_SIGNS)
-            if not stem.decode("utf-8").isalpha():
+            if not _letters(stem.decode("utf-8")):
                 odd.append(chunk)
                 continue
             if stem is not chunk and len(stem) < len(chunk):
@@ -220,7 +226,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -
             ids, counts, data = zip(*held, strict=True)
             ends = np.cumsum([len(d) for d in data])
             row = {
-                "shard": shard, "block": block, "first_id": ids[0], "last_id": ids[-1], "n_docs": len(ids), "n_ids": sum(counts), "ids_before": before,
+                "shard": shard, "block": block, "first_id": next((i for i in ids if i is not None), None), "last_id": ids[-1], "n_docs": len(ids), "n_ids": sum(counts), "ids_before": before,
                 "width": width, "dict_sha256": name, "doc_ids": list(ids), "offsets": [0, *ends.tolist()], "n_tokens": list(counts), "data": b"".join(data),
             }
             block, before, held = block + 1, before + row["n_ids"], []
