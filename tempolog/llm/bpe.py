@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import whole_text
+from .common import bound_batches, whole_text
 
 #: Texts longer than this are cut, at safe places, into parts of about this many characters.
 PART_CHARS = 50_000
@@ -85,6 +85,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     A null text counts as empty and gives no ids.  Repeated rows give repeated results; a null doc_id
     is carried.  Special tokens' strings are ordinary text.  Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +97,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, bytes (binary) of rows doc_id, ids; null ids count as none."""
+    bound_batches(tokens.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +113,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ids_sha256 is over the decimal ids joined by one space; decoded_sha256 over the decoded bytes.  Nulls
     and repeated rows as in :func:`encode_documents`.
     """
+    bound_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def one(doc_id: int, text: str) -> tuple:

@@ -14,6 +14,9 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 #: Largest table, in rows, that :func:`attach` sends to every executor.
 BROADCAST_ROWS = 50_000
 
+#: Rows that go to a Python worker at a time, at most: texts may be long, and two workers share an executor.
+BATCH_ROWS = 1024
+
 _OWN_FOLDERS: dict[str, str] = {}
 _STAGED: list[str] = []
 
@@ -33,6 +36,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to what suits whole texts; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _STAGED.append(path)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, staged, whole_text
+from .common import BROADCAST_ROWS, attach, bound_batches, staged, whole_text
 
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares a band with a probability of 0.9987, at 0.85 of 0.99999; at 0.5 of 0.13.
@@ -36,14 +36,14 @@ CELLS, BLOCKS = 1 << 20, 16
 SALT_MEMBERS, BLOCK_MEMBERS = 256, 512
 FAN_IN = 64
 
-_TABLE = 1 << 20
+_TABLE = 1 << 18
 #: The weight of a rare shingle that occurs once, which most shingles have.
 COMMON = float(np.float32(np.log(1 / RARE_SHARE)))
 _random = np.random.default_rng(20_240_229)
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, log c and beta of the sampling (Gamma(2, 1), Gamma(2, 1), uniform), by 20 bits of a hash.
+    """r, log c and beta of the sampling (Gamma(2, 1), Gamma(2, 1), uniform), by 18 bits of a hash.
 
     They are put in the order of the values that they give the common weight, so that among shingles of
     that weight the least hash is the sample.
@@ -105,10 +105,10 @@ def samples(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
             hashes = _ODD[:, None] * some[None, :] + _ADD[:, None]
             if log_weights is None:
                 low = hashes.argmin(axis=1)
-                index = (hashes[row, low] >> np.uint64(44)).astype(np.int64)
+                index = (hashes[row, low] >> np.uint64(46)).astype(np.int64)
                 value, level = _COMMON_VALUE[index], _COMMON_LEVEL[index]
             else:
-                index = (hashes >> np.uint64(44)).astype(np.int64)
+                index = (hashes >> np.uint64(46)).astype(np.int64)
                 values, levels = _log_a(log_weights[None, at : at + 2048], _R[index], _LOG_C[index], _BETA[index])
                 low = values.argmin(axis=1)
                 value, level = values[row, low], levels[row, low]
@@ -430,6 +430,7 @@ def classes(docs: DataFrame) -> DataFrame:
     empty texts form one class, which nothing else joins.  Repeated rows of one doc_id and text are judged
     alike; an empty table gives an empty result; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     rows = staged(docs.select("doc_id", _node().alias("node")), "nodes")
     nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("one_id"), F.count(F.lit(1)).alias("n")), "distinct")
     linked = link_nodes(docs, nodes)

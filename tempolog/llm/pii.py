@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import whole_text
+from .common import bound_batches, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
@@ -349,6 +349,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     A null text counts as empty and has none.  Repeated rows give repeated results, a null doc_id is
     carried, an empty table gives an empty result; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     trained = field or default_field()
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, staged, whole_text
+from .common import attach, bound_batches, staged, whole_text
 
 #: The classifier is fitted on at most this many labelled documents, those with the least hashes of doc_id.
 LABELLED = 20_000
@@ -160,6 +160,7 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     A null text counts as empty; null hosts or paths form a site of their own.  Repeated rows count and are
     judged alike.  A document stays when its posterior is at least one half.  Other columns pass through.
     """
+    bound_batches(docs.sparkSession)
     weights, base = train(docs, labels, most_labelled)
     site = {"__host": F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")), "__path": F.coalesce(F.concat(F.lit("="), F.col(path).cast("string")), F.lit(""))}
     keyed = docs.withColumns(site)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, staged_path, whole_text
+from .common import bound_batches, staged, staged_path, whole_text
 
 #: The dictionary is trained on this many whole documents at most, each of at most SAMPLE_CHARS.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 32_768, 65_536
@@ -196,6 +196,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -
     nulls first; repeated ids are neighbours.  Other columns are not read.  Returns the dictionary.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 65_536 else 4
