@@ -48,4 +48,4 @@ def number_prefix(value: Column) -> Column:
     digits = F.regexp_extract(value, r"^\s*([+-]?\d+)", 1)
     wide = F.nullif(digits, F.lit("")).try_cast("decimal(38,0)")
     bounded = F.least(F.greatest(wide, F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)"))
-    return F.coalesce(bounded.cast("bigint"), F.lit(0).cast("bigint"))
+    return F.when(wide.isNotNull(), bounded.cast("bigint")).otherwise(F.lit(0).cast("bigint"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.projection import latest_per, with_catalog, with_effective_status
+from ..operators.projection import with_catalog, with_effective_status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,6 +110,3 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_catalog(projected(spark, sf_dir), tracks(spark, sf_dir), systems(spark, sf_dir))
 
-
-def newest(rows: DataFrame, keys: list[str], *order) -> DataFrame:
-    return latest_per(rows, keys, list(order))
