@@ -121,43 +121,39 @@ def _by_pattern(line: Column, form: Form) -> Column:
     return F.when(line.rlike(pattern), F.array(_signal(event_type=F.lit(form.event), parser_name=F.lit(form.parser), **fields)))
 
 
-def _some(values: list[Column]) -> Column:
-    """The first value that is neither missing, empty nor zero."""
-    return F.coalesce(*[F.when(~v.isin("", "0", "false", "[]", "{}"), v) for v in values])
+def _of_form(make) -> Column:
+    """A column that each JSON form makes in its own way."""
+    chain = None
+    for form in JSON_FORMS:
+        chain = (F if chain is None else chain).when(F.col("__parser") == form.parser, make(form))
+    return chain
 
 
-def _by_json(line: Column, form: JsonForm) -> Column:
-    pattern = "(?i)" + form.pattern
-    names = sorted({*form.ids, *form.links, *form.titles, *form.names, *form.random, "duration", "artist"})
-    row = "struct<" + ", ".join(f"{n}: string" for n in names) + ">"
-    payload = F.when(line.rlike(pattern), F.regexp_extract(line, pattern, 1))
-    entries = F.from_json(payload, f"array<{row}>") if form.many else F.array(F.from_json(payload, row))
-
-    def one(e: Column) -> Column:
-        number = F.coalesce(*[e[k] for k in form.ids]) if form.system == urls.DUDU else _some([e[k] for k in form.ids])
-        number = F.coalesce(text.strip(number), F.lit(""))
-        link = _some([e[k] for k in form.links])
-        title = _some([e[k] for k in form.titles])
-        if form.parser == "dudu_song_data":
-            named, artist = F.coalesce(text.strip(_some([e["title"], e["name"]])), F.lit("")), F.coalesce(text.strip(e["artist"]), F.lit(""))
-            both = F.when((named != "") & (artist != "") & ~F.lower(named).contains(F.lower(artist)), F.concat(named, F.lit(" - "), artist)).otherwise(F.coalesce(blank_to_null(named), artist))
-            title = F.coalesce(blank_to_null(text.strip(e["info"])), both)
-        parts = text.title_parts(F.coalesce(title, F.lit("")))
-        is_random = text.truthy(_some([e[k] for k in form.random]))
-        said = _some([e[k] for k in form.names])
-        several = F.array_join(F.filter(F.transform(F.from_json(F.when(said.startswith("["), said), "array<string>"), text.clean_name), lambda n: n.isNotNull()), " / ")
-        name = F.when(said.startswith("["), blank_to_null(several)).otherwise(text.clean_name(said))
-        if form.system == urls.WANNA:
-            name = F.when(~is_random, name)
-        seconds = (F.regexp_extract(line, pattern, form.duration_group) if form.duration_group else e["duration"]).try_cast("double")
-        stub = F.concat(F.lit(urls.WANNA_URL if form.system == urls.WANNA else urls.DUDU_URL), number)
-        return F.when((number != "") | link.isNotNull(), _signal(
-            event_type=F.lit("metadata"), parser_name=F.lit(form.parser), video_url=F.when(link.isNotNull(), text.clean_url(link)).otherwise(stub), display_name=name, video_name=parts["name"],
-            video_id=F.coalesce(blank_to_null(number), parts["id"]), requester_marker=parts["marker"], source_hint=F.when(is_random, "random"), duration_seconds=seconds,
-            duration_source=F.when(seconds.isNotNull(), form.duration_source),
-        ))
-
-    return F.filter(F.transform(F.filter(entries, lambda e: e.isNotNull()), one), lambda s: s.isNotNull())
+def _names(said: Column) -> Column:
+    """A display name, or several of a JSON list with strokes between them."""
+    several = F.filter(F.transform(F.from_json(F.when(said.startswith("["), said), "array<string>"), text.clean_name), lambda n: n.isNotNull())
+    return F.when(said.startswith("["), blank_to_null(F.array_join(several, " / "))).otherwise(text.clean_name(said))
+
+
+def _first(e: Column, keys: Column, zero_counts: Column | None = None) -> Column:
+    """The first value of a map under these keys that is neither missing, empty nor zero (zero may count)."""
+    def fine(v: Column) -> Column:
+        real = ~v.isin("", "0", "false", "[]", "{}")
+        return v.isNotNull() & (real if zero_counts is None else zero_counts | real)
+
+    return F.try_element_at(F.filter(F.transform(keys, lambda k: F.try_element_at(e, k)), fine), F.lit(1))
+
+
+def _keys(name: str) -> Column:
+    return _of_form(lambda f: F.array(*[F.lit(k) for k in getattr(f, name)]))
+
+
+def _entry(e: Column) -> dict[str, Column]:
+    """Number, link, name and randomness of one JSON object (a map of texts)."""
+    is_dudu = _of_form(lambda f: F.lit(f.system == urls.DUDU))
+    is_random = text.truthy(_first(e, _keys("random")))
+    name = _names(_first(e, _keys("names")))
+    return {"number": F.coalesce(text.strip(_first(e, _keys("ids"), is_dudu)), F.lit("")), "link": _first(e, _keys("links")), "name": F.when(is_dudu | ~is_random, name), "random": is_random}
 
 
 # --- payloads with free structure ----------------------------------------------------------------------
@@ -220,53 +216,93 @@ def payload_fields(payloads: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_payload(p or "") for p in payloads], columns=PAYLOAD_SCHEMA.names)
 
 
-def _by_payload(parser: str, world: Column, p: Column) -> Column:
-    """Signals of a payload's URLs: a request, or progress if it says how far a video has run."""
-    parts = text.title_parts(F.coalesce(p["title"], F.lit("")))
-    marker = parts["marker"]
-    is_random = F.lower(marker) == "random"
-    running = p["video_offset"] > 0
-    seconds = text.real_duration(p["duration"])
-    links = F.array_distinct(F.filter(F.transform(p["urls"], text.clean_url), lambda u: u != ""))
-    return F.transform(links, lambda u: _signal(
-        event_type=F.when(running, "playback-progress").otherwise("request"), parser_name=F.lit(parser), world_parser=blank_to_null(F.trim(world)), video_url=u,
-        display_name=F.when(marker.isNotNull() & ~is_random, marker).otherwise(text.clean_name(p["display_name"])), video_name=F.coalesce(parts["name"], text.clean_name(p["structured_name"])),
-        video_id=F.coalesce(parts["id"], p["structured_id"]), requester_marker=marker, requester_user_id=p["user_id"], requester_user_id_source=F.when(p["user_id"].isNotNull(), "payload"),
-        source_hint=F.when(is_random, "random").when(marker.isNotNull(), "requester_marker"), actual_play_method=F.when(running, "vrcx_progress_offset"),
-        video_offset_seconds=p["video_offset"], duration_seconds=seconds, duration_source=F.when(seconds.isNotNull(), "vrcx_payload"),
-    ))
+_RAW = "struct<rank: int, direct: struct<" + ", ".join([f"{n}: string" for n in TEXTS] + [f"{n}: double" for n in NUMBERS]) + ">, parser: string, payload: string, world: string, seconds: double>"
+
+
+def _raw(rank: int, condition: Column, **fields: Column) -> Column:
+    null = F.lit(None)
+    return F.when(condition, F.struct(F.lit(rank).alias("rank"), *[fields.get(n, null).alias(n) for n in ("direct", "parser", "payload", "world", "seconds")]).cast(_RAW))
+
+
+def _found_in(line: Column) -> Column:
+    """What the forms find in a line: whole signals, or payloads to be read."""
+    found = []
+    for k, form in enumerate(FORMS):
+        found.append(_raw(k if k == 0 else 10 + k, line.rlike("(?i)" + form.pattern), direct=_by_pattern(line, form)[0]))
+    for k, form in enumerate(JSON_FORMS, 1):
+        pattern = "(?i)" + form.pattern
+        seconds = F.regexp_extract(line, pattern, form.duration_group).try_cast("double") if form.duration_group else F.lit(None)
+        found.append(_raw(k, line.rlike(pattern), parser=F.lit(form.parser), payload=F.regexp_extract(line, pattern, 1), seconds=seconds))
+    for k, (parser, pattern) in enumerate(PAYLOAD_FORMS, 30):
+        world = blank_to_null(F.trim(F.regexp_extract(line, "(?i)" + pattern, 1))) if k == 30 else F.lit("LSMedia")
+        found.append(_raw(k, line.rlike("(?i)" + pattern), parser=F.lit(parser), payload=F.regexp_extract(line, "(?i)" + pattern, 2), world=world))
+    return F.array_compact(F.array(*found))
 
 
 def parse_signals(lines: DataFrame) -> DataFrame:
     """Signals of lines (source_file, line_number, byte_offset, value), with at (wall clock) and ordinal in the line."""
-    plain = text.without_colour_tags(F.col("value"))
-    kept = lines.filter(holds_any(F.col("value"), VIDEO_TOKENS)).withColumns({"__line": plain, "at": timestamps.wall_clock(timestamps.line_stamp(F.col("value")))})
-    line = F.col("__line")
-    for k, (_, pattern) in enumerate(PAYLOAD_FORMS):
-        found = F.when(line.rlike("(?i)" + pattern), F.regexp_extract(line, "(?i)" + pattern, 2))
-        kept = kept.withColumns({f"__world{k}": F.regexp_extract(line, "(?i)" + pattern, 1), f"__payload{k}": found})
-    kept = kept.withColumns({f"__read{k}": payload_fields(F.coalesce(f"__payload{k}", F.lit(""))) for k in range(len(PAYLOAD_FORMS))})
-    order = [_by_pattern(line, FORMS[0]), *[_by_json(line, f) for f in JSON_FORMS], *[_by_pattern(line, f) for f in FORMS[1:]]]
-    for k, (parser, _) in enumerate(PAYLOAD_FORMS):
-        world = F.col(f"__world{k}") if k == 0 else F.lit("LSMedia")
-        order.append(F.when(F.col(f"__payload{k}").isNotNull(), _by_payload(parser, world, F.col(f"__read{k}"))))
-    nothing = F.array().cast("array<" + "struct<" + ", ".join([f"{n}: string" for n in TEXTS] + [f"{n}: double" for n in NUMBERS]) + ">>")
-    every = F.flatten(F.array(*[F.coalesce(o, nothing) for o in order]))
-    listed = kept.select("source_file", "line_number", "byte_offset", "at", F.col("value").alias("raw_line"), every.alias("__signals"))
-
-    def name_of(s: Column) -> Column:
-        return F.concat_ws("\u001f", F.coalesce(s["video_url"], F.lit("\u0000")), F.coalesce(s["display_name"], F.lit("\u0000")), s["parser_name"])
-
-    listed = listed.withColumn("__names", F.transform("__signals", name_of))
-    once = F.filter("__signals", lambda s, k: F.array_position(F.col("__names"), name_of(s)) == k + 1)
-    spread = listed.select("source_file", "line_number", "byte_offset", "at", "raw_line", F.posexplode(once).alias("ordinal", "s"))
-    found = spread.select("source_file", "line_number", "byte_offset", "at", "ordinal", "s.*", "raw_line")
-    known = urls.classify_url(F.coalesce("video_url", "routed_url"))
-    progress = F.col("event_type") == "playback-progress"
-    return found.withColumns({
+    at = timestamps.wall_clock(timestamps.line_stamp(F.col("value")))
+    kept = lines.filter(holds_any(F.col("value"), VIDEO_TOKENS)).withColumns({"at": at, "__line": text.without_colour_tags(F.col("value"))})
+    base = ("source_file", "line_number", "byte_offset", "at")
+    raw = kept.select(*base, F.col("value").alias("raw_line"), F.explode(_found_in(F.col("__line"))).alias("r")).select(*base, "raw_line", "r.rank", "r.direct", F.col("r.parser").alias("__parser"), "r.payload", "r.world", "r.seconds")
+
+    # Payloads of free structure are read first: an Arrow function also ends a stretch of generated code.
+    is_free = F.coalesce(F.col("__parser").isin(*[p for p, _ in PAYLOAD_FORMS]), F.lit(False))
+    raw = raw.withColumn("__p", payload_fields(F.when(is_free, F.col("payload")).otherwise("")))
+
+    # JSON objects, of equal link and name in a line the first; other rows pass through with none.
+    is_json = F.coalesce(F.col("__parser").isin(*[f.parser for f in JSON_FORMS]), F.lit(False))
+    listed = F.when(is_json, F.from_json(F.when(F.col("payload").startswith("["), F.col("payload")).otherwise(F.concat(F.lit("["), "payload", F.lit("]"))), "array<map<string, string>>"))
+    with_entries = raw.withColumn("__entries", listed)
+
+    def name_of(e: Column) -> Column:
+        one = _entry(e)
+        return F.concat_ws("\u001f", F.coalesce(one["link"], F.lit("")), one["number"], F.coalesce(one["name"], F.lit("\u0000")))
+
+    keyed = with_entries.withColumn("__keys", F.transform("__entries", name_of))
+    once = F.filter("__entries", lambda e, k: F.array_position(F.col("__keys"), F.element_at(F.col("__keys"), k + 1)) == k + 1)
+    spread = keyed.select(*base, "raw_line", "rank", "direct", "__parser", "payload", "world", "seconds", "__p", F.posexplode_outer(once).alias("__k", "__e"))
+    spread = spread.filter(~is_json | F.col("__e").isNotNull())
+    e = F.col("__e")
+    one = spread.withColumns({f"__{k}": v for k, v in _entry(e).items()})
+    title = _first(e, _keys("titles"))
+    song = F.coalesce(text.strip(_first(e, F.array(F.lit("title"), F.lit("name")))), F.lit(""))
+    artist = F.coalesce(text.strip(F.try_element_at(e, F.lit("artist"))), F.lit(""))
+    both = F.when((song != "") & (artist != "") & ~F.lower(song).contains(F.lower(artist)), F.concat(song, F.lit(" - "), artist)).otherwise(F.coalesce(blank_to_null(song), artist))
+    info = blank_to_null(text.strip(F.try_element_at(e, F.lit("info"))))
+    one = one.withColumn("__title", F.when(F.col("__parser") == "dudu_song_data", F.coalesce(info, both)).otherwise(title))
+
+    # Payloads of free structure, a row per URL.
+    links = F.when(is_free, F.array_distinct(F.filter(F.transform(F.col("__p")["urls"], text.clean_url), lambda u: u != "")))
+    one = one.withColumn("__links", links).select("*", F.posexplode_outer("__links").alias("__j", "__u")).filter(~is_free | F.col("__u").isNotNull())
+    one = one.withColumn("__parts", text.title_parts(F.coalesce(F.when(is_free, F.col("__p")["title"]).otherwise(F.col("__title")), F.lit(""))))
+    p, parts, number = F.col("__p"), F.col("__parts"), F.col("__number")
+
+    seconds = F.coalesce(F.col("seconds"), F.try_element_at(e, F.lit("duration")).try_cast("double"))
+    stub = F.concat(_of_form(lambda f: F.lit(urls.WANNA_URL if f.system == urls.WANNA else urls.DUDU_URL)), number)
+    read = F.when((number != "") | F.col("__link").isNotNull(), _signal(
+        event_type=F.lit("metadata"), parser_name=F.col("__parser"), video_url=F.coalesce(text.clean_url(F.col("__link")), stub), display_name=F.col("__name"), video_name=parts["name"],
+        video_id=F.coalesce(blank_to_null(number), parts["id"]), requester_marker=parts["marker"], source_hint=F.when(F.col("__random"), "random"), duration_seconds=seconds,
+        duration_source=F.when(seconds.isNotNull(), _of_form(lambda f: F.lit(f.duration_source))),
+    ))
+    marker, running, length = parts["marker"], p["video_offset"] > 0, text.real_duration(p["duration"])
+    is_random = F.lower(marker) == "random"
+    free = _signal(
+        event_type=F.when(running, "playback-progress").otherwise("request"), parser_name=F.col("__parser"), world_parser=F.col("world"), video_url=F.col("__u"),
+        display_name=F.when(marker.isNotNull() & ~is_random, marker).otherwise(text.clean_name(p["display_name"])), video_name=F.coalesce(parts["name"], text.clean_name(p["structured_name"])),
+        video_id=F.coalesce(parts["id"], p["structured_id"]), requester_marker=marker, requester_user_id=p["user_id"], requester_user_id_source=F.when(p["user_id"].isNotNull(), "payload"),
+        source_hint=F.when(is_random, "random").when(marker.isNotNull(), "requester_marker"), actual_play_method=F.when(running, "vrcx_progress_offset"),
+        video_offset_seconds=p["video_offset"], duration_seconds=length, duration_source=F.when(length.isNotNull(), "vrcx_payload"),
+    )
+    signal = F.when(is_json, read).when(is_free, free).otherwise(F.col("direct"))
+    place = (F.col("rank") * 1_000_000 + F.coalesce("__k", F.lit(0)) * 1_000 + F.coalesce("__j", F.lit(0))).cast("int")
+    found = one.select(*base, place.alias("ordinal"), signal.alias("s"), "raw_line").filter("s is not null").select(*base, "ordinal", "s.*", "raw_line")
+    named = found.withColumn("__known", urls.classify_url(F.coalesce("video_url", "routed_url")))
+    progress, known = F.col("event_type") == "playback-progress", F.col("__known")
+    return named.withColumns({
         "canonical_key": urls.canonical_key(F.coalesce(blank_to_null(F.col("video_url")), F.col("routed_url"))), "system_key": known["system"], "external_id": known["external_id"], "url_kind": known["url_kind"],
         "actual_play_at": F.when(progress, timestamps.back_dated(F.col("at"), F.col("video_offset_seconds"))),
-    })
+    }).drop("__known")
 
 
 def parse_lifecycle(lines: DataFrame) -> DataFrame:

@@ -163,7 +163,10 @@ def test_every_form_of_line(spark):
         (1, "video_playback_resolve"), (2, "video_playback_resolved"), (3, "usharp_play_internal"), (4, "usharp_video_load"), (5, "usharp_load_routed_url"), (6, "usharp_playing_synced"), (7, "wannadance_queue_info"),
         (7, "wannadance_queue_info"), (8, "dudu_queue_info"), (9, "dudu_song_data"), (10, "dudu_on_video_play"), (11, "vrcx_lsmedia"),
     ]
-    by = {(r["line_number"], r["ordinal"]): r for r in found}
+    by, places = {}, {}
+    for r in sorted(found, key=lambda r: (r["line_number"], r["ordinal"])):
+        by[r["line_number"], places.setdefault(r["line_number"], 0)] = r
+        places[r["line_number"]] += 1
     assert (by[7, 0]["display_name"], by[7, 1]["display_name"], by[7, 1]["source_hint"]) == ("Ann / Bob", None, "random")
     assert (by[8, 0]["video_id"], by[9, 0]["video_name"], by[9, 0]["duration_seconds"]) == ("0", "T - Q", 9.0)
     assert (by[11, 0]["video_url"], by[11, 0]["display_name"], by[11, 0]["requester_user_id"]) == ("https://a/b", "Zed", "usr_z")
