@@ -56,17 +56,18 @@ def a3(spark: SparkSession, d: str) -> DataFrame:
     return source_distribution(projected(spark, d))
 
 
-def top_tracks(rows: DataFrame, limit: int = 10) -> DataFrame:
+def top_tracks(rows: DataFrame, catalog: DataFrame, limit: int = 10) -> DataFrame:
     """Most played accepted tracks; title and artist of the latest play, rows without track by their own names.
 
-    Rows are counted per key before they are joined with anything.
+    Rows are counted and limited first; only those of the few keys that remain meet the catalog.
     """
     key = F.coalesce(F.col("track_id").cast("string"), F.concat("record_system", F.lit(":"), "external_id"))
+    keyed = accepted(rows).withColumn("track_key", key)
+    top = keyed.groupBy("track_key").agg(F.count(F.lit(1)).alias("n"), F.max("played_at").alias("last")).orderBy(F.desc("n"), F.desc("last"), "track_key").limit(limit)
     latest = F.struct("played_at", "record_id")
-    grouped = accepted(rows).groupBy(key.alias("track_key")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("played_at").alias("last"), F.max_by(F.coalesce("title", "video_name"), latest).alias("title"), F.max_by("artist", latest).alias("artist")
-    )
-    return grouped.orderBy(F.desc("n"), F.desc("last"), "track_key").limit(limit).select("track_key", "title", "artist", "n")
+    plays = keyed.join(F.broadcast(top.select("track_key")), "track_key", "left_semi").join(catalog, "track_id", "left")
+    named = plays.groupBy("track_key").agg(F.max_by(F.coalesce("title", "video_name"), latest).alias("title"), F.max_by("artist", latest).alias("artist"))
+    return top.join(named, "track_key").orderBy(F.desc("n"), F.desc("last"), "track_key").select("track_key", "title", "artist", "n")
 
 
 @query("a4_top_tracks", f"""WITH {PROJECTED}, {CATALOG}, j AS (
@@ -75,7 +76,7 @@ def top_tracks(rows: DataFrame, limit: int = 10) -> DataFrame:
 ) SELECT track_key, arg_max(coalesce(title, video_name), (played_at, record_id)) AS title, arg_max(artist, (played_at, record_id)) AS artist, count(*) AS n
 FROM j GROUP BY track_key ORDER BY n DESC, max(played_at) DESC, track_key LIMIT 10""")
 def a4(spark: SparkSession, d: str) -> DataFrame:
-    return top_tracks(projected(spark, d).join(tracks(spark, d), "track_id", "left"))
+    return top_tracks(projected(spark, d), tracks(spark, d))
 
 
 def track_stats(rows: DataFrame) -> DataFrame:
