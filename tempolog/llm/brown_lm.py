@@ -2,11 +2,11 @@
 
 P(w | v) = mix * P(class(w) | class(v)) * P(w | class(w)) + (1 - mix) * P(w), the last being the add-one
 unigram, so that every text has a probability.  Words are counted over all training texts.  The most
-frequent words are assigned to classes by the exchange algorithm; every other word, known or not, belongs
-to the class of its shape, which is read off its bytes.  A word of a shape class has an emission
+frequent words are assigned to classes by the exchange algorithm; then every other training word gets the
+class that its neighbours' classes, summed over all its occurrences, make most likely.  Only words that do not
+occur in training belong to the class of their shape, which is read off their bytes.  A word's emission is
 proportional to (its count + 1), as in the unigram, so that its probability is (count + 1) times a factor
-of the classes alone.  Scoring therefore needs no word's class from afar: class sequences are followed
-where the text is, and only counts of words outside of the broadcast table are joined by shuffling.
+of the classes alone.  Classes and counts of frequent words are broadcast, those of all others are joined.
 """
 
 from __future__ import annotations
@@ -17,18 +17,23 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, staged, whole_text
 
-#: Words that exchange clustering places, classes it places them in, sweeps it makes.
+#: Words that exchange clustering begins with, classes it places them in, sweeps it makes.
 CLUSTERED, CLASSES, SWEEPS = 1024, 48, 4
+#: Distinct words from which on the first two grow, with the eighth root of the vocabulary.
+VOCABULARY = 131_072
 #: Words whose counts are broadcast, at most; all others' are joined.
 BROADCAST_WORDS = 131_072
 #: Distinct words a task counts before it passes partial counts on.
 HELD_WORDS = 400_000
+#: Tokens whose neighbours or pairs a task counts before it passes partial counts on.
+HELD_TOKENS = 1_000_000
 MIX = 0.85
 SMOOTHING = 0.5
 #: Shape classes: last byte '.', ',', another sign or a letter or digit, times ASCII or not.
@@ -151,99 +156,286 @@ def exchange_classes(pairs: np.ndarray, words_placed: int, classes: int = CLASSE
     return assigned
 
 
-def count_pairs(texts: DataFrame, placed: list[bytes]) -> np.ndarray:
-    """Bigram counts of the placed words, the shape classes and the end: a matrix of bounded size."""
-    units = len(placed) + SHAPES + 1
-    index = {w: k for k, w in enumerate(placed)}
+def growth(vocabulary: int) -> float:
+    """What CLUSTERED and CLASSES are multiplied by."""
+    return max(1.0, (vocabulary / VOCABULARY) ** 0.125)
+
+
+def coded(docs: DataFrame, frequent: list[tuple[bytes, int]]) -> DataFrame:
+    """row, doc_id, held_out, codes, words: each text as numbers of frequent words, the others as -1 - shape and by name."""
+    index = docs.sparkSession.sparkContext.broadcast({w: k for k, (w, _) in enumerate(frequent)})
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(units * units, np.int64)
+        known = index.value
+        row = TaskContext.get().partitionId() << 33
+        held: list[tuple] = []
+        load = 0
 
-        def add(chunk: list[list[int]]) -> None:
-            ids = np.array([i for one in chunk for i in one], np.int64)
-            np.add(sums, np.bincount(ids[:-1] * units + ids[1:], minlength=units * units), out=sums)
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-        chunk, load = [[units - 1]], 0
         for batch in batches:
-            for value in batch.column(0):
-                one = [index[w] if w in index else len(placed) + shape(w) for w in words(value.as_py())]
-                one.append(units - 1)
-                chunk.append(one)
-                load += len(one)
-                if load > 500_000:
-                    add(chunk)
-                    chunk, load = [[units - 1]], 0
-        if load:
-            add(chunk)
-        codes = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(sums[codes])], names=["code", "n"])
-
-    table = texts.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+            for doc_id, out, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tokens = words(value.as_py())
+                codes = np.fromiter(map(known.get, tokens, repeat(-1)), np.int32, len(tokens))
+                missing = np.flatnonzero(codes < 0)
+                others = [tokens[k] for k in missing]
+                codes[missing] = [-1 - shape(w) for w in others]
+                held.append((row, doc_id, out, codes, others))
+                row += 1
+                load += len(tokens) + 1
+                if load > 200_000:
+                    yield flush()
+                    held, load = [], 0
+        if held:
+            yield flush()
+
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), whole_text().cast("binary").alias("text"))
+    return staged(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, codes array<int>, words array<binary>"), "coded")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, and how many each row has."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def _with_ends(values: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """Values of texts one after another, each followed by the end, the first also preceded by it."""
+    return np.concatenate([[end], np.insert(values, np.cumsum(lengths), end)])
+
+
+def _pair_counts(numbers: DataFrame, column: str, units: int, read) -> np.ndarray:
+    """Square matrix of bigram counts over ``read(column)``, the numbers of texts with ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = read(batch.column(0))
+            for at in range(0, len(ids) - 1, HELD_TOKENS):
+                part = ids[at : at + HELD_TOKENS + 1]
+                codes, n = np.unique(part[:-1] * units + part[1:], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
+
+    table = numbers.select(column).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros(units * units)
     matrix[table["code"].to_numpy()] = table["n"].to_numpy()
     return matrix.reshape(units, units)
 
 
+def count_pairs(texts: DataFrame, unit_of: np.ndarray, units: int) -> np.ndarray:
+    """Bigram counts of the seed words, the shape classes and the end; ``unit_of`` a code, those below zero at its end."""
+    return _pair_counts(texts, "codes", units, lambda column: _with_ends(unit_of[_flat(column)[0]], _flat(column)[1], units - 1))
+
+
+def placed_by_neighbours(texts: DataFrame, frequent: list[tuple[bytes, int]], seeds: int, class_of: np.ndarray, table: np.ndarray, classes: int) -> DataFrame:
+    """word, n, class of every training word but the seeds.
+
+    ``class_of`` gives the class of a code while only seeds are placed (the others have their shapes'), and
+    ``table`` these classes' bigrams.  A word goes to the class of seeds under which the classes before and
+    after all its occurrences are most likely; equal ones go to the first.
+    """
+    total = len(table)
+    with_seeds = np.isin(np.arange(classes), class_of[:seeds])
+    before = table[:, :classes] + SMOOTHING
+    after = table[:classes, :].T + SMOOTHING
+    gains = np.concatenate([np.log(before / before.sum(axis=0)), np.log(after / after.sum(axis=0))])
+    gains[:, ~with_seeds] = -np.inf
+    shared = texts.sparkSession.sparkContext.broadcast(([w for w, _ in frequent], class_of, gains))
+    span = 2 * total
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, classes_of, _ = shared.value
+        numbers: dict[bytes, int] = {}
+        held: list[np.ndarray] = []
+        load = 0
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            owners, starts = np.unique(keys // span, return_index=True)
+            others = list(numbers)
+            named = pa.array([names[k] if k < len(names) else others[k - len(names)] for k in owners.tolist()], pa.binary())
+            offsets = pa.array(np.append(starts, len(keys)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (keys % span, n)]
+            return pa.RecordBatch.from_arrays([named, *lists], names=["word", "codes", "counts"])
+
+        for batch in batches:
+            codes, lengths = _flat(batch.column(0))
+            near = _with_ends(classes_of[codes], lengths, total - 1).astype(np.int64)
+            # Where each token stands in ``near``: after the first end and the ends of the texts before its own.
+            at = np.arange(len(codes)) + 1 + np.repeat(np.arange(len(lengths)), lengths)
+            owner = codes.astype(np.int64)
+            rare = np.flatnonzero(codes < 0)
+            owner[rare] = [len(names) + numbers.setdefault(w, len(numbers)) for w in batch.column(1).flatten().to_pylist()]
+            use = np.flatnonzero((codes < 0) | (codes >= seeds))
+            owner, at = owner[use] * span, at[use]
+            if len(use):
+                held += [owner + near[at - 1], owner + total + near[at + 1]]
+                load += len(use)
+            if load > HELD_TOKENS or len(numbers) > HELD_WORDS:
+                yield flush()
+                numbers.clear()
+                held, load = [], 0
+        if held:
+            yield flush()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains_of = shared.value[2]
+        carried: pa.Table | None = None
+
+        def decide(rows: pa.Table) -> pa.RecordBatch:
+            names = rows["word"].combine_chunks()
+            codes, lengths = _flat(rows["codes"].combine_chunks())
+            counts = _flat(rows["counts"].combine_chunks())[0]
+            first = np.append(True, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)) if len(names) > 1 else np.array([True])
+            starts = (np.cumsum(lengths) - lengths)[first]
+            n = np.add.reduceat(np.where(codes < total, counts, 0), starts)
+            best = np.empty(len(starts), np.int32)
+            for k in range(0, len(starts), 4096):
+                low, high = starts[k], starts[k + 4096] if k + 4096 < len(starts) else len(codes)
+                worth = np.add.reduceat(gains_of[codes[low:high]] * counts[low:high, None], starts[k : k + 4096] - low, axis=0)
+                best[k : k + 4096] = worth.round(9).argmax(axis=1)
+            return pa.RecordBatch.from_arrays([names.filter(pa.array(first)), pa.array(n, pa.int64()), pa.array(best)], names=["word", "n", "class"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if carried is None else pa.concat_tables([carried, rows])
+            if not len(rows):
+                continue
+            names = rows["word"]
+            last = pc.index(names, names[len(names) - 1]).as_py()  # the last word may go on in the next batch
+            if last:
+                yield decide(rows.slice(0, last))
+            carried = rows.slice(last)
+        if carried is not None:
+            yield decide(carried)
+
+    near = texts.select("codes", "words").mapInArrow(gather, "word binary, codes array<int>, counts array<int>")
+    return staged(near.repartition("word").sortWithinPartitions("word").mapInArrow(place, "word binary, n long, class int"), "word-classes")
+
+
 class Model:
-    """What scoring needs: log tables of bounded size, and log10(count + 1) of frequent words."""
-
-    def __init__(self, frequent: list[tuple[bytes, int]], placed: list[bytes], pairs: np.ndarray, shape_tokens: np.ndarray, shape_words: np.ndarray, tokens: int, vocabulary: int, texts: int):
-        assigned = exchange_classes(pairs, len(placed)) if len(placed) else np.arange(SHAPES + 1) + CLASSES
-        total = CLASSES + SHAPES + 1
-        member = np.zeros((len(pairs), total))
-        member[np.arange(len(pairs)), assigned] = 1
-        table = member.T @ pairs @ member + SMOOTHING
+    """What scoring needs: log tables of bounded size, and class and log10(count + 1) of frequent words."""
+
+    def __init__(self, frequent: list[tuple[bytes, int]], frequent_classes: np.ndarray, pairs: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray, tokens: int, vocabulary: int, texts: int):
+        total = len(pairs)
+        table = pairs + SMOOTHING
         follow = table / table.sum(axis=1, keepdims=True)
-        counts = dict(frequent)
-        class_tokens = np.zeros(total)
-        for word, c in zip(placed, assigned, strict=False):
-            class_tokens[c] += counts[word]
         self.tokens, self.vocabulary, self.end_class = tokens, vocabulary, total - 1
         size = tokens + vocabulary + 1
         self.log_size = np.log10(size)
-        shapes = slice(CLASSES, CLASSES + SHAPES)
-        # For shape classes: log10 of the factor of (count + 1).
-        self.factor = np.full((total, total), -np.inf)
-        self.factor[:, shapes] = np.log10(MIX * follow[:, shapes] / (shape_tokens + shape_words + 1) + (1 - MIX) / size)
         self.follow = MIX * follow
-        self.words = {w: k for k, (w, _) in enumerate(frequent)}
+        # Of (count + 1); a class without words, as those of shapes, has one unknown word.
+        room = np.maximum(class_tokens + class_words, 1)
+        self.factor = np.log10(self.follow / room + (1 - MIX) / size)
+        self.factor[:, -1] = np.log10(self.follow[:, -1] + (1 - MIX) * (texts + 1) / size)  # the end, its count included
         n = np.array([c for _, c in frequent], np.float64)
         self.count_log = np.append(np.log10(n + 1), [np.log10(texts + 1), 0.0])
-        classes = np.array([assigned[k] if k < len(placed) else CLASSES + shape(w) for k, (w, _) in enumerate(frequent)] + [total - 1, 0], np.int64)
-        emission = np.zeros(len(frequent) + 2)
-        emission[: len(placed)] = n[: len(placed)] / np.maximum(class_tokens[classes[: len(placed)]], 1)
-        emission[len(frequent)] = 1.0
-        self.classes, self.emission = classes, emission
+        self.classes = np.append(frequent_classes, [total - 1, 0]).astype(np.int64)
+        self.emission = np.append((n + 1) / room[frequent_classes], [1.0, 0.0])
         self.unigram = (1 - MIX) * np.append(n + 1, [texts + 1, 1.0]) / size
         self.end_known = texts > 0
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the counts of the words that it does not carry."""
+def _learned(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the words that it does not carry (word, n, class), and all texts as classes."""
     bound_batches(docs.sparkSession)
     texts = docs.filter(~held_out(F.col("doc_id"))).select(whole_text().cast("binary").alias("text"))
     counts = staged(count_words(texts), "word-counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.length("word") == 0, F.col("n"))), F.lit(0)).alias("texts")).first()
     frequent = frequent_words(counts, BROADCAST_WORDS)
-    placed = [w for w, _ in frequent[:CLUSTERED]]
-    pairs = count_pairs(texts, placed)
-
-    last = F.substring(F.hex("word"), -2, 2)
-    plain = F.conv(last, 16, 10).cast("int")
-    sign = F.when(plain == 46, 0).when(plain == 44, 1).when((plain > 127) | plain.between(97, 122) | plain.between(48, 57), 3).otherwise(2)
-    ascii_only = ~F.hex("word").rlike("^(..)*[89A-F].(..)*$")
-    by_shape = counts.filter(F.length("word") > 0).groupBy((sign + F.when(ascii_only, 0).otherwise(4)).alias("shape")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    shape_tokens, shape_words = np.zeros(SHAPES), np.zeros(SHAPES)
-    for row in by_shape:
-        shape_tokens[row["shape"]], shape_words[row["shape"]] = row["n"], row["v"]
-    known = dict(frequent)
-    for word in placed:  # they have left their shapes' classes
-        shape_tokens[shape(word)] -= known[word]
-        shape_words[shape(word)] -= 1
-    model = Model(frequent, placed, pairs, shape_tokens, shape_words, totals["n"], totals["v"], totals["texts"])
-    least = min((n for _, n in frequent), default=None)
-    rest = counts.filter(F.length("word") > 0)
-    return model, rest if least is None else rest.filter(F.col("n") < least)
+    grown = growth(totals["v"])
+    classes, seeds = int(CLASSES * grown), min(len(frequent), int(CLUSTERED * grown))
+    total = classes + SHAPES + 1
+    numbered = coded(docs, frequent)
+    training = numbered.filter("not held_out")
+
+    # Seeds have units of their own, all others their shapes'; codes below zero count from the end of the table.
+    shapes = np.array([shape(w) for w, _ in frequent[seeds:]], np.int64)
+    backward = np.arange(SHAPES)[::-1]
+    unit_of = np.concatenate([np.arange(seeds), seeds + shapes, seeds + backward]).astype(np.int64)
+    pairs = count_pairs(training, unit_of, seeds + SHAPES + 1)
+    assigned = exchange_classes(pairs, seeds, classes) if seeds else classes + np.arange(SHAPES + 1)
+    member = np.zeros((len(pairs), total))
+    member[np.arange(len(pairs)), assigned] = 1
+    others = placed_by_neighbours(training, frequent, seeds, assigned[unit_of], member.T @ pairs @ member, classes)
+
+    least = min((n for _, n in frequent), default=0)
+    carried = others.filter(F.col("n") >= least).toArrow() if frequent else None
+    frequent_classes = np.zeros(len(frequent), np.int64)
+    frequent_classes[:seeds] = assigned[:seeds]
+    if carried is not None:
+        of = dict(zip(carried["word"].to_pylist(), carried["class"].to_pylist(), strict=True))
+        frequent_classes[seeds:] = [of[w] for w, _ in frequent[seeds:]]
+    class_tokens, class_words = np.zeros(total), np.zeros(total)
+    for row in others.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        class_tokens[row["class"]], class_words[row["class"]] = row["n"], row["v"]
+    np.add.at(class_tokens, assigned[:seeds], [n for _, n in frequent[:seeds]])
+    np.add.at(class_words, assigned[:seeds], 1)
+    rest = others.filter(F.col("n") < least)
+    sequences = in_classes(numbered, rest, frequent, frequent_classes, classes, totals["texts"])
+    kind = np.dtype(_kind(total))
+    seen = sequences.filter("not held_out")
+    bigrams = _pair_counts(seen, "classes", total, lambda column: np.append(total - 1, np.frombuffer(b"".join(column.to_pylist()), kind)).astype(np.int64))
+    return Model(frequent, frequent_classes, bigrams, class_tokens, class_words, totals["n"], totals["v"], totals["texts"]), rest, sequences
+
+
+def _kind(total: int) -> str:
+    return "u1" if total <= 256 else "<u4"
+
+
+def in_classes(numbered: DataFrame, rest: DataFrame, frequent: list[tuple[bytes, int]], frequent_classes: np.ndarray, classes: int, texts: int) -> DataFrame:
+    """row, doc_id, held_out, n_tokens, n_known, counted (sum of log10(count + 1)), classes of each text with its end."""
+    total = classes + SHAPES + 1
+    kind = _kind(total)
+    log_count = np.log10(np.array([n for _, n in frequent] + [0] * SHAPES, np.float64) + 1)
+    class_of = np.concatenate([frequent_classes, classes + np.arange(SHAPES)[::-1]]).astype(kind)
+    shared = numbered.sparkSession.sparkContext.broadcast((class_of, log_count))
+    end, end_log = np.array([total - 1], kind).tobytes(), float(np.log10(texts + 1))
+
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, logs = shared.value
+        for batch in batches:
+            codes, lengths = _flat(batch.column(3))
+            found = of[codes]
+            rare = np.append(0, np.cumsum(codes < 0))
+            ends = np.cumsum(lengths)
+            starts = ends - lengths
+            known = lengths - (rare[ends] - rare[starts]) + (1 if texts else 0)
+            rows = [found[a:b].tobytes() + end for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            sums = [float(logs[codes[a:b]].sum()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(lengths + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(np.array(sums) + end_log, pa.float64()), pa.array(rows, pa.binary())],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "counted", "classes"],
+            )
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words that have been found leave their shapes' classes."""
+        for batch in batches:
+            rows = []
+            for sequence, at, of in zip(batch.column(6).to_pylist(), batch.column(7), batch.column(8), strict=True):
+                if at.is_valid:
+                    own = np.frombuffer(sequence, kind).copy()
+                    unplaced = np.flatnonzero((own >= classes) & (own < total - 1))
+                    own[unplaced[at.values.to_numpy()]] = of.values.to_numpy()
+                    sequence = own.tobytes()
+                rows.append(sequence)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(rows, pa.binary())], names=batch.schema.names[:7])
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, counted double, classes binary"
+    done = numbered.select("row", "doc_id", "held_out", "codes").mapInArrow(direct, schema)
+    uses = numbered.select("row", F.posexplode("words").alias("at", "word"))
+    entry = F.collect_list(F.struct("at", "class"))
+    found = uses.join(rest, "word").groupBy("row").agg(entry.alias("found"), F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))
+    joined = done.join(found, "row", "left").select(
+        "row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        (F.col("counted") + F.coalesce("gain", F.lit(0.0))).alias("counted"), "classes", F.col("found.at").alias("at"), F.col("found.class").alias("of"),
+    )
+    return staged(joined.mapInArrow(settle, schema), "sequences")
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the counts and classes of the words that it does not carry."""
+    return _learned(docs)[:2]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -253,53 +445,21 @@ def score(docs: DataFrame) -> DataFrame:
     text counts as empty and has the end only.  Repeated rows are scored one by one, and count in training
     one by one.  Without training texts every token is unknown.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    model, rest = train(docs)
-    shared = spark.sparkContext.broadcast(model)
-    schema = pa.schema([
-        ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-        ("base_score", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())),
-    ])
+    model, _, sequences = _learned(docs)
+    factor, end, kind = docs.sparkSession.sparkContext.broadcast(model.factor), model.end_class, _kind(model.end_class + 1)
+    end_log = float(model.count_log[-2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        row = TaskContext.get().partitionId() << 33
-        absent, end = len(m.classes) - 1, len(m.classes) - 2
-        held: list[tuple] = []
-        load = 0
+        f = factor.value
         for batch in batches:
-            for doc_id, out, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                tokens = words(value.as_py())
-                at = np.fromiter(map(m.words.get, tokens, repeat(absent)), np.int64, len(tokens))
-                missing = np.flatnonzero(at == absent)
-                classes = np.append(m.classes[at], m.end_class)
-                others = [tokens[k] for k in missing]
-                classes[missing] = [CLASSES + shape(w) for w in others]
-                at = np.append(at, end)
-                before = np.concatenate([[m.end_class], classes[:-1]])
-                counted = m.count_log[at]
-                n = len(at)
-                shaped = (classes >= CLASSES) & (classes < m.end_class)
-                direct = ~shaped
-                total = counted[shaped].sum() + m.factor[before[shaped], classes[shaped]].sum()
-                total += np.log10(m.follow[before[direct], classes[direct]] * m.emission[at[direct]] + m.unigram[at[direct]]).sum()
-                rare = Counter(others)
-                known = n - len(missing) - (0 if m.end_known else 1)
-                held.append((row, doc_id, out, n, known, counted.sum() - n * m.log_size, total, list(rare), list(rare.values())))
-                row += 1
-                load += n
-                if load > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-                    held, load = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), whole_text().cast("binary").alias("text"))
-    done = staged(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, counts array<int>"), "scored")
-    uses = done.select("row", F.explode(F.arrays_zip("words", "counts")).alias("u")).select("row", F.col("u.words").alias("word"), F.col("u.counts").alias("k"))
-    found = uses.join(rest, "word").groupBy("row").agg(F.sum("k").cast("long").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("gain"))
-    gain, more = F.coalesce("gain", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return done.drop("words", "counts").join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + gain).alias("base_score"), (F.col("score") + gain).alias("score"),
+            totals = []
+            for value in batch.column(6).to_pylist():
+                own = np.frombuffer(value, kind)
+                totals.append(float(f[np.append(end, own[:-1]), own].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:6], pa.array(totals, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "counted", "factors"])
+
+    done = sequences.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, counted double, factors double")
+    return done.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("counted") - F.col("n_tokens") * float(model.log_size)).alias("base_score"), (F.col("counted") - end_log + F.col("factors")).alias("score"),
     )

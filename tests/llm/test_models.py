@@ -71,6 +71,31 @@ def test_the_model_is_a_distribution_and_beats_the_base(spark, small):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_rare_words_get_exchange_classes(spark, monkeypatch):
+    """Words that are not among the seeds take the class of the seeds they stand like, however rare; shapes do not decide."""
+    monkeypatch.setattr(brown_lm, "CLUSTERED", 6)
+    monkeypatch.setattr(brown_lm, "CLASSES", 6)
+    monkeypatch.setattr(brown_lm, "BROADCAST_WORDS", 8)
+    kinds = ["the", "cat", "sat"]
+    frequent = [(k, " ".join(kinds * 30)) for k in range(200)]
+    rare = [(1000 + k, f"the noun{k}. sat the cat verb{k}, the noun{k}. sat") for k in range(60)]
+    docs = spark.createDataFrame(frequent + rare, "doc_id long, text string")
+    model, rest, sequences = brown_lm._learned(docs)
+    placed = {bytes(r["word"]): (r["n"], r["class"]) for r in rest.collect()}
+    train = [k for i, k in [(1000 + k, k) for k in range(60)] if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(train) < 60 and set(placed) == {w for k in train for w in (b"noun%d." % k, b"verb%d," % k)}
+    assert {c for w, (n, c) in placed.items() if w.startswith(b"noun")} != {c for w, (n, c) in placed.items() if w.startswith(b"verb")}
+    assert len({c for w, (n, c) in placed.items() if w.startswith(b"noun")}) == 1 and all(c < 6 for _, c in placed.values())
+    assert all(placed[b"noun%d." % k][0] == 2 and placed[b"verb%d," % k][0] == 1 for k in train)
+    for r in sequences.filter("not held_out").collect():
+        found = np.frombuffer(r["classes"], "u1")
+        assert found[-1] == model.end_class and (found[:-1] < 6).all()  # shapes hold unknown words alone
+
+
+def test_classes_grow_with_the_vocabulary():
+    assert brown_lm.growth(10) == 1 and brown_lm.growth(brown_lm.VOCABULARY * 256) == pytest.approx(2)
+
+
 def test_exchange_finds_planted_classes():
     random = np.random.default_rng(1)
     kind = random.permutation(np.repeat([0, 1, 2], 6))
