@@ -74,14 +74,14 @@ def context_lines(lines: DataFrame, before: int, budget: int = CONTEXT_BYTES) ->
 
 
 class TailReader(SimpleDataSourceStreamReader):
-    """Offsets are a file, a byte position and a line count; only whole lines are handed out.
+    """Offsets are a file, a byte position and a line count; only whole lines are handed out, however long.
 
-    The newest file is followed; one that a newer replaces is read to its end first.  A file that has become
-    shorter is read anew.
+    The newest file is followed; one that a newer replaces is read to its end first, with ``unfinished`` (as
+    the source has it) including a last line without newline.  A file that has become shorter is read anew.
     """
 
-    def __init__(self, folder: str, from_start: bool, prefix: str, most_bytes: int):
-        self.folder, self.from_start, self.prefix, self.most = folder, from_start, prefix, most_bytes
+    def __init__(self, folder: str, from_start: bool, prefix: str, most_bytes: int, unfinished: bool = False):
+        self.folder, self.from_start, self.prefix, self.most, self.unfinished = folder, from_start, prefix, most_bytes, unfinished
 
     def _files(self) -> list[str]:
         found = [e for e in os.scandir(self.folder) if e.name.startswith(self.prefix) and e.name.endswith(".txt")]
@@ -103,19 +103,26 @@ class TailReader(SimpleDataSourceStreamReader):
         if not rows:
             files = self._files()
             later = files[files.index(start["file"]) + 1 :] if start["file"] in files else files[-1:]
-            if later:
-                rows, end = self._take({"file": later[0], "byte": 0, "line": 0})
+            if later:  # what came before the newer file was seen is still to be read
+                rows, end = self._take(start, to_end=self.unfinished)
+                if not rows:
+                    rows, end = self._take({"file": later[0], "byte": 0, "line": 0})
         return iter(rows), end
 
-    def _take(self, at: dict, most: int | None = None) -> tuple[list[tuple], dict]:
+    def _take(self, at: dict, most: int | None = None, to_end: bool = False) -> tuple[list[tuple], dict]:
+        """Lines from an offset on, some ``most`` bytes of them; with ``to_end`` the last may lack its newline if nothing follows."""
         if not at["file"] or not os.path.exists(at["file"]):
             return [], at
         if os.path.getsize(at["file"]) < at["byte"]:
             at = {"file": at["file"], "byte": 0, "line": 0}
         with open(at["file"], "rb") as f:
             f.seek(at["byte"])
-            content = f.read(most or self.most)
-        content = content[: content.rfind(b"\n") + 1]
+            parts = [f.read(most or self.most)]
+            while most is None and parts[-1] and b"\n" not in parts[-1]:
+                parts.append(f.read(self.most))
+        content = b"".join(parts)
+        whole = content[: content.rfind(b"\n") + 1]
+        content = whole or (content if to_end else b"")
         rows, byte, line = [], at["byte"], at["line"]
         for raw in _by_newline(content):
             line += 1
@@ -125,7 +132,7 @@ class TailReader(SimpleDataSourceStreamReader):
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         at = start if start["file"] == end["file"] and end["byte"] >= start["byte"] else {"file": end["file"], "byte": 0, "line": 0}
-        return iter(self._take(at, max(1, end["byte"] - at["byte"]))[0])
+        return iter(self._take(at, max(1, end["byte"] - at["byte"]), to_end=self.unfinished)[0])
 
     def commit(self, end: dict) -> None:
         pass
@@ -143,7 +150,7 @@ class LogTail(DataSource):
 
     def simpleStreamReader(self, schema) -> TailReader:
         o = self.options
-        return TailReader(o["path"], str(o.get("from_start", "false")).lower() == "true", o.get("prefix", "output_log_"), int(o.get("most_bytes", CONTEXT_BYTES)))
+        return TailReader(o["path"], str(o.get("from_start", "false")).lower() == "true", o.get("prefix", "output_log_"), int(o.get("most_bytes", CONTEXT_BYTES)), unfinished=True)
 
 
 def summary(progress: dict) -> str:

@@ -35,6 +35,30 @@ def test_tail_follows_growth_rotation_and_truncation(tmp_path):
     assert [r[3] for r in reader.read(at)[0]] == ["x"]
 
 
+def test_tail_reads_long_and_last_lines(tmp_path):
+    first, second = tmp_path / "output_log_1.txt", tmp_path / "output_log_2.txt"
+    first.write_text("a" * 50 + "\nb\n" + "c" * 30)
+    reader = logs.LogTail({"path": str(tmp_path), "from_start": "true", "most_bytes": "8"}).simpleStreamReader(None)
+    at, found = reader.initialOffset(), []
+
+    def drain():
+        nonlocal at
+        while True:
+            got, end = reader.read(at)
+            got = list(got)
+            assert list(reader.readBetweenOffsets(at, end)) == got if got else True
+            at = end
+            if not got:
+                return
+            found.extend((r[1], r[3]) for r in got)
+
+    drain()
+    assert found == [(1, "a" * 50), (2, "b")]
+    second.write_text("next\n")
+    drain()
+    assert found[2:] == [(3, "c" * 30), (1, "next")]
+
+
 def test_tail_as_a_stream(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "output_log_1.txt").write_text("a\nb\n")
