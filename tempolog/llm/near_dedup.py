@@ -31,6 +31,9 @@ BANDS, BAND_ROWS = 36, 8
 LEAST_AGREEMENT = 0.72
 #: Shingles in fewer than this share of all documents weigh the same.
 RARE_SHARE = 0.002
+#: A rare shingle weighs at most this many times what the most frequent weighs.  Shared shingles of a large group
+#: are frequent and edits are rare, so copies in it link from a plain similarity of 0.815 at the latest.
+MOST_RATIO = 1.1
 CELLS, BLOCKS = 1 << 20, 16
 #: Members of one leader that one task compares; members of a bucket in one block of the second step.
 SALT_MEMBERS, BLOCK_MEMBERS = 256, 512
@@ -138,7 +141,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of texts, and cells of the sketch with the document frequencies of frequent shingles.
 
-    Every text counts.  A sketch of :data:`CELLS` counters, summed in a tree, gives each shingle its cell's
+    Every row counts, so ``texts`` should be distinct.  A sketch of :data:`CELLS` counters, summed in a tree, gives each shingle its cell's
     count less the mean of its block; cells below RARE_SHARE are left out, so what comes back has at most as
     many entries as the sketch has cells.
     """
@@ -212,12 +215,14 @@ def _frequent(width: int):
 
 
 class Weights:
-    """Inverse document frequencies by cell: log(1 / share), the share being at least RARE_SHARE."""
+    """Smoothed inverse document frequencies by cell: COMMON up to a share of RARE_SHARE, and linear in
+    log(1 / share) down to COMMON / MOST_RATIO for a shingle of all texts."""
 
     def __init__(self, n: int, cells: np.ndarray, counts: np.ndarray):
         self.idf = np.full(CELLS, COMMON, np.float32)
         if n:
-            self.idf[cells] = np.maximum(np.log(n / np.minimum(counts, n * 0.99)), 0.01)
+            least = COMMON / MOST_RATIO
+            self.idf[cells] = least + (COMMON - least) * np.clip(np.log(n / np.minimum(counts, n)) / COMMON, 0, 1)
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         found, occurs = shingles(text)
@@ -319,7 +324,7 @@ def _node():
 def link_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, component of all nodes with a link."""
     spark: SparkSession = docs.sparkSession
-    texts = docs.select(whole_text().cast("binary").alias("text"))
+    texts = docs.select(whole_text().cast("binary").alias("text")).distinct()  # exact copies make no shingle frequent
     weights = spark.sparkContext.broadcast(Weights(*document_frequencies(texts)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

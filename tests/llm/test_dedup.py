@@ -97,6 +97,41 @@ def test_classes_are_those_of_all_pairs(spark, odd_docs):
         assert found == brute_classes(docs.collect(), weights)
 
 
+def test_large_groups_keep_their_links(spark):
+    """Edited copies that make up a third of all rows, some of them repeated: classes are those of plain Jaccard of 0.8."""
+    base = [f"w{k}" for k in range(300)]
+    group = [" ".join(f"e{copy}" if k in (5 * copy + 10, 5 * copy + 110, 5 * copy + 210) else w for k, w in enumerate(base)) for copy in range(16)]
+    alone = [" ".join(f"x{n}y{k}" for k in range(60)) for n in range(64)]
+    texts = [*group, *group[:8], *group[:8], *alone]
+
+    def plain(text):
+        words = text.split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    sets = [plain(t) for t in texts]
+    least = list(range(len(texts)))
+    for _ in texts:  # until the least number has come through every chain
+        for a in range(len(texts)):
+            for b in range(a):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+        if all(least[k] == least[least[k]] for k in least) and set(least[:32]) == {0}:
+            break
+    assert set(least[:32]) == {0} and least[32:] == list(range(32, 96))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()} == dict(enumerate(least))
+
+
+def test_exact_copies_make_no_shingle_frequent(spark, monkeypatch):
+    seen = []
+    count = near_dedup.document_frequencies
+    monkeypatch.setattr(near_dedup, "document_frequencies", lambda texts: seen.append(count(texts)) or seen[-1])
+    docs = spark.createDataFrame([(k, passage(1, 60) if k < 40 else passage(k, 60)) for k in range(60)], "doc_id long, text string")
+    near_dedup.classes(docs).count()
+    ((n, _, counts),) = seen
+    assert n == 21 and counts.max() <= 21
+
+
 def test_one_of_each_class_stays(spark):
     docs = near_copies(spark)
     classes = {r["class_id"] for r in near_dedup.classes(docs).collect()}
