@@ -4,6 +4,9 @@ A logistic regression on features of the text gives each document's own evidence
 on the host add prior evidence: grouped sums of the classifier's probabilities are shrunk, paths toward
 their host and hosts toward the corpus, the more the fewer documents a site has and the less sites differ.
 The posterior of a document combines its likelihood ratio with its path's shrunk prior.
+
+Documents have no URL column, so source stands for the host and lang for the path: what is called the path
+prior is that of a language within its source.
 """
 
 from __future__ import annotations
