@@ -31,6 +31,8 @@ BLOCK_DOCS, BLOCK_BYTES = 1024, 4_000_000
 #: Chunks whose ids each Python worker remembers, in two generations of this size.
 REMEMBERED = 400_000
 END_ID = 1
+#: A letter that composing may turn into another one, whose lower case is not that of its parts.
+_COMPOSING = r"[A-Z]\p{M}"
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 BLOCK_SCHEMA = (
@@ -48,7 +50,8 @@ class WordEncoder:
     """Ids of whole texts, by remembering those of the chunks between ASCII white space.
 
     The tokenizer drops white space and no token of it spans any, so a text's ids are its chunks' ids in
-    order.  It lowers case, so chunks are kept with A-Z lowered.  The library encodes every new chunk, many
+    order.  It lowers case, so chunks are kept with A-Z lowered, except in texts where a combining mark stands
+    behind one of A-Z: the tokenizer composes them before it lowers.  The library encodes every new chunk, many
     in one call: letters alone, or letters and then ASCII signs, are one and two pieces of the tokenizer's
     own splitting, each of which ends in a token that ends a word.  Any other chunk is encoded by itself,
     and a text in which a special token may begin is encoded whole.
@@ -122,7 +125,11 @@ class WordEncoder:
         Arrow splits the texts and numbers their distinct chunks; only those pass through Python.
         """
         special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        lowered = pc.ascii_lower(texts)
+        composing = pc.match_substring_regex(texts, _COMPOSING)
+        if pc.any(composing).as_py():
+            lowered = pc.if_else(composing, texts, lowered)
+        split = pc.ascii_split_whitespace(lowered)
         coded = split.flatten().dictionary_encode()
         at = coded.indices.to_numpy(zero_copy_only=False)
         known = self._known(coded.dictionary.cast(pa.binary()).to_pylist())
@@ -144,14 +151,14 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """The two columns of a batch in slices of about ``most`` bytes of text."""
-    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+def slices(batch: pa.RecordBatch, text: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes of text, which is its column number ``text``."""
+    sizes = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(batch):
         before = sizes[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(sizes, before + most)))
-        yield batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start)
+        yield batch.slice(start, stop - start)
         start = stop
 
 
@@ -208,10 +215,10 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -
 
         packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary), write_dict_id=False)
         for batch in batches:
-            for doc_ids, texts in _slices(batch):
-                ids = word_encoder(path).encode(texts)
+            for rows in slices(batch, 1):
+                ids = word_encoder(path).encode(rows.column(1))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": doc_ids,
+                    "doc_id": rows.column(0),
                     "n_tokens": pa.array([len(i) + 1 for i in ids], pa.int32()),
                     "frame": pa.array([packer.compress(serialized(i, width, end_id)) for i in ids], pa.binary()),
                 })
