@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,10 @@ PART_CHARS = 50_000
 #: stands before it, and none looks behind; so encoding may start anew at such a space.
 _SAFE = regex.compile(r"(?<=[A-Za-z\p{Ll}\p{Lu}0-9])\x20(?=[A-Za-z0-9\p{Ll}\p{Lu}])")
 
+#: Runs of white space as long as this are found before the library sees them: its stack does not hold a million.
+RUN_CHARS = 10_000
+_SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 @functools.lru_cache(maxsize=4)
 def encoding(path: str, pattern: str):
@@ -48,11 +53,40 @@ def parts(text: str, chars: int = PART_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+@functools.lru_cache(maxsize=4)
+def _long_run(chars: int) -> re.Pattern:
+    return re.compile(f"[{_SPACES}]{{{chars},}}")
+
+
+def without_runs(text: str, chars: int = RUN_CHARS) -> Iterator[tuple[str, bool]]:
+    """The text in parts, and whether each is a single match of the pattern.
+
+    A long run of white space at the end of the text is one match.  Elsewhere all of it but its last character is,
+    and matching starts anew at that one; nothing before the run reaches into it.
+    """
+    start = 0
+    for run in _long_run(chars).finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > start:
+            yield text[start : run.start()], False
+        yield text[run.start() : end], True
+        start = end
+    if start < len(text):
+        yield text[start:], False
+
+
 def encode(text: str, path: str, pattern: str) -> list[int]:
     bpe = encoding(path, pattern)
     if len(text) <= PART_CHARS:
         return bpe.encode_ordinary(text)
-    return [i for part in parts(text) for i in bpe.encode_ordinary(part)]
+    ids: list[int] = []
+    for stretch, single in without_runs(text):
+        if single:
+            ids += bpe._encode_single_piece(stretch)
+        else:
+            for part in parts(stretch):
+                ids += bpe.encode_ordinary(part)
+    return ids
 
 
 def decode(ids: list[int], path: str, pattern: str) -> bytes:
@@ -82,7 +116,8 @@ def _bounded(rows: Iterator[tuple], schema: pa.Schema, weight, most: int = 2_000
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int): the token ids of every whole text.
 
-    A null text counts as empty and gives no ids.  Repeated rows give repeated results; a null doc_id
+    A null text counts as empty and gives no ids.  Texts may be of any length: long ones are cut where matching starts
+    anew, and long runs of white space, which would overflow the library's stack, are encoded as the matches they are.  Repeated rows give repeated results; a null doc_id
     is carried.  Special tokens' strings are ordinary text.  Other columns are not read.
     """
     bound_batches(docs.sparkSession)
