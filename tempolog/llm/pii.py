@@ -11,7 +11,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,7 @@ def is_open(token: str) -> bool:
 
 def shape(token: str) -> str:
     """Word shape: runs of digits with their length (up to 6), letters as x or X, other signs as they are."""
-    out = re.sub(r"[0-9]+", lambda m: "9" * min(6, len(m.group())), token[:64])
+    out = re.sub(r"[0-9]+", lambda m: "9" * min(6, len(m.group())), token)
     out = re.sub(r"[a-zß-ÿ]+", "x", out)
     return re.sub(r"[A-ZÀ-Þ]+", "X", out)
 
@@ -97,7 +98,7 @@ def token_features(tokens: list[str], k: int) -> list[str]:
     after = tokens[k + 1].rstrip(_NOISY) if k + 1 < len(tokens) else ""
     return [
         f"s={own}", f"p={own[:3]}", f"q={own[-3:]}", f"n={min(digits, 20)}", f"at={'@' in token}", f"plus={token[:1] == '+'}",
-        f"dots={min(token.count('.'), 5)}", f"letters={any(c.isalpha() for c in token)}", f"b={before.lower().strip('.,:;')[:12]}" if not is_open(before) else f"bs={shape(before)}",
+        f"dots={min(token.count('.'), 5)}", f"letters={any(c.isalpha() for c in token)}", f"b={before.lower().strip('.,:;')}" if not is_open(before) else f"bs={shape(before)}",
         f"as={shape(after)}" if is_open(after) else "a", "bias",
     ]
 
@@ -320,6 +321,30 @@ def field_spans(text: str, runs: list[tuple[list[str], list[tuple[int, int]]]],
             yield current[0], *trimmed(text, current[1], current[2])
 
 
+class Taken:
+    """Stretches of a text that spans cover: those given, joined where they overlap, and what has been found since.
+
+    What is found comes from left to right, so only its end is remembered.
+    """
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts, self.ends, self.found = [], [], 0
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def free(self, start: int, end: int) -> bool:
+        """Whether start:end is free; if so, it is taken from now on."""
+        k = bisect_left(self.starts, end)
+        if start < self.found or k and self.ends[k - 1] > start:
+            return False
+        self.found = end
+        return True
+
+
 def find_all(texts: list[str], field: Field) -> list[tuple[dict, dict]]:
     """Of each text: base spans, and all spans with those that the field adds."""
     base, runs, scores, owners = [], [], [], []
@@ -333,12 +358,13 @@ def find_all(texts: list[str], field: Field) -> list[tuple[dict, dict]]:
             scores.append(field.emissions(run[0]))
             owners.append(k)
     every = [{kind: list(s[kind]) for kind in KINDS} for s in base]
+    taken: dict[int, Taken] = {}
     for k, run, path in zip(owners, runs, field.viterbi(scores), strict=True):
-        taken = [span for kind in KINDS for span in every[k][kind]]
+        if k not in taken:
+            taken[k] = Taken(span for kind in KINDS for span in base[k][kind])
         for kind, start, end in field_spans(texts[k], [run], [path]):
-            if start < end and all(end <= s or e <= start for s, e in taken):
+            if start < end and taken[k].free(start, end):
                 every[k][kind].append((start, end))
-                taken.append((start, end))
     return list(zip(base, every, strict=True))
 
 
@@ -346,7 +372,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every whole text.
 
     The counts and base_sha256 are of the base spans; spans lists all, as kind:start:end in code points.
-    A null text counts as empty and has none.  Repeated rows give repeated results, a null doc_id is
+    A null text counts as empty and has none; the time that a text takes grows with its length only.  Repeated rows give repeated results, a null doc_id is
     carried, an empty table gives an empty result; other columns are not read.
     """
     bound_batches(docs.sparkSession)
