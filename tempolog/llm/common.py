@@ -33,7 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _OWN_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
+    if context.applicationId not in _OWN_FOLDERS:
+        _OWN_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _OWN_FOLDERS[context.applicationId]
 
 
 def bound_batches(spark: SparkSession) -> None:

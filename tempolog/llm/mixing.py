@@ -53,7 +53,7 @@ def source_offset(source: Column, seed: int) -> Column:
 
 def _placed(rows: DataFrame, sizes: DataFrame, seed: int, weights: tuple[int, ...], share_percent: int, most_copies: int) -> DataFrame:
     """``rows`` (doc_id, __key, __size and any others) with __target, __source_size and __copies."""
-    groups = staged(sizes.groupBy("__key", "__size").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "size-groups")
+    groups = staged(sizes.groupBy("__key", "__size").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("__low"), F.max("doc_id").alias("__high")), "size-groups")
     sources = groups.groupBy("__key").agg(F.sum(F.col("__size") * F.col("n")).alias("source_size"))
     named = sources.select(F.expr("if(__key = '', null, substring(__key, 2))").alias("source"), "source_size")
     targets = source_targets(named, weights, share_percent, most_copies).withColumn("__key", _key(F.col("source"))).drop("source")
@@ -61,13 +61,13 @@ def _placed(rows: DataFrame, sizes: DataFrame, seed: int, weights: tuple[int, ..
     # At most 1024 groups are as large as this; they are cut into ranges of doc_id.
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     most = max(RUN_ROWS, total // 1024)
-    large = groups.filter(F.col("n") > most).select("__key", "__size", "low", "high", F.ceil(F.col("n") / F.lit(most)).alias("runs"))
-    place = F.col("doc_id").cast("double") - F.col("low")
-    width = F.col("high").cast("double") - F.col("low") + 1
-    run = F.when(F.col("runs").isNull(), F.lit(0)).when(F.col("doc_id").isNull(), F.col("runs")).otherwise(F.floor(place / width * F.col("runs")))
+    large = groups.filter(F.col("n") > most).select("__key", "__size", "__low", "__high", F.ceil(F.col("n") / F.lit(most)).alias("__runs"))
+    place = F.col("doc_id").cast("double") - F.col("__low")
+    width = F.col("__high").cast("double") - F.col("__low") + 1
+    run = F.when(F.col("__runs").isNull(), F.lit(0)).when(F.col("doc_id").isNull(), F.col("__runs")).otherwise(F.floor(place / width * F.col("__runs")))
 
     def numbered(frame: DataFrame) -> DataFrame:
-        return frame.join(F.broadcast(large), ["__key", "__size"], "left").withColumn("__run", run.cast("long")).drop("low", "high", "runs")
+        return frame.join(F.broadcast(large), ["__key", "__size"], "left").withColumn("__run", run.cast("long")).drop("__low", "__high", "__runs")
 
     runs = numbered(sizes).groupBy("__key", "__size", "__run").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("__key").orderBy("__size", "__run").rowsBetween(Window.unboundedPreceding, -1)
