@@ -11,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from .common import staged, whole_text
 
@@ -70,6 +71,10 @@ def frequent_digests(digests: DataFrame, share: float = FREQUENT_SHARE) -> DataF
     return counted.filter(F.col("group_size") >= share * total)
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha2(whole_text(), 256))
+
+
 def group_equal_texts(docs: DataFrame, share: float = FREQUENT_SHARE) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -78,7 +83,7 @@ def group_equal_texts(docs: DataFrame, share: float = FREQUENT_SHARE) -> DataFra
     doc_id and text share one decision (:func:`drop_equal_texts` leaves one of them).  An empty table
     gives an empty result.  Other columns are not read.
     """
-    digests = staged(docs.select("doc_id", F.unhex(F.sha2(whole_text(), 256)).alias("digest")), "digests")
+    digests = staged(docs.select("doc_id", _digest().alias("digest")), "digests")
     heavy = staged(frequent_digests(digests, share), "frequent")
     few = F.broadcast(heavy)
     frequent = digests.join(few, "digest")
@@ -94,19 +99,15 @@ def group_equal_texts(docs: DataFrame, share: float = FREQUENT_SHARE) -> DataFra
 def drop_equal_texts(docs: DataFrame, share: float = FREQUENT_SHARE) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged: one of each group of equal texts.
 
-    Rows that repeat a winner's doc_id and text are rare; they go through a window of which Spark
-    keeps one row per task before it shuffles.  Columns of any name pass through.
+    Rows of a frequent text that are not its winner go where they are read, by the broadcast winners; what is
+    left is shuffled once by digest, of which each task passes on one row per text.  Of rows that repeat a
+    winner's doc_id and text, one stays: that with the least hash of its other plain columns.  Columns of any
+    name pass through; other cases as in :func:`group_equal_texts`.
     """
-    winners = staged(group_equal_texts(docs, share).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies")), "winners")
-    marked = docs.withColumn("__digest", F.sha2(whole_text(), 256))
-
-    def matching(table: DataFrame) -> DataFrame:
-        ids = table.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-        return marked.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
-
-    single = matching(winners.filter("copies = 1")).drop("__digest")
-    if winners.filter("copies > 1").isEmpty():
-        return single
-    first = Window.partitionBy("doc_id", "__digest").orderBy("__digest")
-    repeated = matching(winners.filter("copies > 1")).withColumn("__row", F.row_number().over(first))
-    return single.unionByName(repeated.filter("__row = 1").drop("__row", "__digest"))
+    digests = staged(docs.select("doc_id", _digest().alias("digest")), "digests")
+    heavy = staged(frequent_digests(digests, share), "frequent")
+    winners = F.broadcast(heavy.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__frequent")))
+    left = docs.withColumn("__digest", _digest()).join(winners, "__digest", "left").filter(F.col("__frequent").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep")))
+    plain = [F.col(f.name) for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name not in ("doc_id", "text")]
+    first = Window.partitionBy("__digest").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64(*plain) if plain else F.lit(0))
+    return left.withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(*docs.columns)
