@@ -96,11 +96,12 @@ def fit_logistic(table: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, ste
 def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.ndarray, float]:
     """Weights and the share of good labels.  Rows without doc_id or quality are no examples; of a doc_id
     that repeats in labels the least quality counts.  Without examples of both kinds the classifier knows
-    nothing: its evidence is zero everywhere.
+    nothing: its evidence is zero everywhere.  Of a doc_id that repeats in documents the least text counts, so
+    the training set does not depend on the order of rows.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    examples = docs.select("doc_id", whole_text().cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    examples = docs.select("doc_id", whole_text().cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("__quality").alias("__quality"))
     fields = ", ".join(f"f{k} double" for k in range(12))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.
             table = pd.DataFrame(feature_table(batch["text"]), columns=[f"f{k}" for k in range(12)])
             yield pd.concat([batch[["doc_id", "__quality"]].reset_index(drop=True), table], axis=1)
 
-    got = examples.mapInPandas(run, f"doc_id long, __quality int, {fields}").limit(2 * most).toPandas().sort_values(["doc_id", "f1"])
+    got = examples.mapInPandas(run, f"doc_id long, __quality int, {fields}").toPandas().sort_values("doc_id")
     good = (got["__quality"].to_numpy() > 0).astype(float)
     if not len(got) or good.min() == good.max():
         return np.zeros(19), 0.5
@@ -157,27 +158,32 @@ def site_priors(scored: DataFrame) -> DataFrame:
     return joined.select("__host", "__path", "host_prior", ((F.col("s") + F.lit(pull_path) * F.col("host_prior")) / (F.col("n") + F.lit(pull_path))).alias("prior"))
 
 
-def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most_labelled: int = LABELLED) -> DataFrame:
-    """``docs`` with __evidence, __host_prior, __prior, __score (probability of good) and __keep.
-
-    A null text counts as empty; null hosts or paths form a site of their own.  Repeated rows count and are
-    judged alike.  A document stays when its posterior is at least one half.  Other columns pass through.
-    """
-    bound_batches(docs.sparkSession)
-    weights, base = train(docs, labels, most_labelled)
-    site = {"__host": F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")), "__path": F.coalesce(F.concat(F.lit("="), F.col(path).cast("string")), F.lit(""))}
-    keyed = docs.withColumns(site)
-    scored = staged(keyed.select("__host", "__path", evidence(weights, base).alias("evidence")), "evidence")
-    priors = staged(site_priors(scored), "priors")
+def _judged(scored: DataFrame) -> DataFrame:
+    """``scored`` (a staged table with __host, __path, __evidence) with what the sites add and what follows."""
+    priors = staged(site_priors(scored.select("__host", "__path", F.col("__evidence").alias("evidence"))), "priors")
     # Sites that hold over 1/1024 of all rows, at most 1024 of them, are salted if the table is too large to broadcast.
     counts = scored.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"))
     hot = counts.filter(F.col("n") * 1024 > scored.count()).select("__host", "__path")
-    renamed = priors.withColumnsRenamed({"host_prior": "__host_prior", "prior": "__prior"})
-    placed = attach(keyed.withColumn("__evidence", evidence(weights, base)), renamed, ["__host", "__path"], hot)
+    placed = attach(scored, priors.withColumnsRenamed({"host_prior": "__host_prior", "prior": "__prior"}), ["__host", "__path"], hot)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("__evidence") + _logit(F.col("__prior")))))
     return placed.withColumn("__score", score).withColumn("__keep", F.col("__score") >= 0.5).drop("__host", "__path")
 
 
+def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most_labelled: int = LABELLED, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or some of its ``columns``) with __evidence, __host_prior, __prior, __score (probability of good) and __keep.
+
+    A null text counts as empty; null hosts or paths form a site of their own.  Repeated rows count and are
+    judged alike; texts of any length are read whole, an empty table gives an empty result.  A document stays when
+    its posterior is at least one half, exactly one half included.  Other columns pass through.  Every text is
+    read once: the evidence is staged with the columns.
+    """
+    bound_batches(docs.sparkSession)
+    weights, base = train(docs, labels, most_labelled)
+    site = {f"__{name}": F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("")) for name, column in (("host", host), ("path", path))}
+    scored = docs.withColumns(site).withColumn("__evidence", evidence(weights, base))
+    return _judged(staged(scored.select(*(docs.columns if columns is None else columns), *site, "__evidence"), "evidence"))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, all columns unchanged."""
+    """The rows of ``docs`` that the classifier keeps, all columns unchanged; cases as in :func:`classified`."""
     return classified(docs, labels, host, path).filter("__keep").select(*docs.columns)
