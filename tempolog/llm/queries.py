@@ -26,10 +26,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_rollup.vocabulary_counts(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("word_bpe_49k.json"))
+    return token_rollup.maintained_totals(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), *token_rollup.VOCABULARIES, counts)
+
+
+def word_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches with counts of words and bytes, which SQL can count too."""
     return token_rollup.maintained_totals(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-OP4_SQL = r"""
+WORD_ROLLUP_SQL = r"""
 WITH marks AS (
   SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
 ), counted AS (
@@ -55,7 +61,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.classified(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    judged = quality.classified(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), columns=["doc_id"])
     names = {"__evidence": "evidence", "__host_prior": "host_prior", "__prior": "path_prior", "__score": "score", "__keep": "keep"}
     return judged.select("doc_id", *[F.col(k).alias(v) for k, v in names.items()])
 
@@ -128,6 +134,7 @@ QUERIES = {
     "op8_brown_lm": op8_brown_lm,
     "op9_mixing": op9_mixing,
     "op10_token_store": op10_token_store,
+    "word_rollup": word_rollup,
 }
 
-ORACLE_SQL = {"op4_token_rollup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op7_topk": OP7_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"word_rollup": WORD_ROLLUP_SQL, "op5_exact_dedup": OP5_SQL, "op7_topk": OP7_SQL, "op9_mixing": OP9_SQL}

@@ -10,23 +10,51 @@ into one base, which remembers their ids.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, staged_path, whole_text, word_count
+from . import bpe
+from .common import bound_batches, staged, staged_path, whole_text, word_count
+from .token_store import slices, word_encoder
 
 GROUP = ("source", "lang", "tokenizer")
 _DELTAS = "source string, lang string, tokenizer string, docs long, tokens long"
 WORDS, BYTES = "whitespace-1", "utf8_bytes-1"
+VOCABULARIES = ("byte_bpe_50k-1", "word_bpe_49k-1")
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang and the counts of both built-in tokenizers of every whole text; a null text has none."""
+    """doc_id, source, lang and the counts of both tokenizers that need no vocabulary of every whole text; a null text has none."""
     text = whole_text()
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), word_count(text).alias(WORDS), F.octet_length(text).cast("long").alias(BYTES))
 
 
+def vocabulary_counts(byte_ranks: str, pattern: str, word_file: str, names: tuple[str, str] = VOCABULARIES):
+    """Counts of a table of documents by two vocabularies: byte-level ranks with their pattern, and words with ends.
+
+    A null text has none.  The counts are those of the ids that :mod:`bpe` and :mod:`token_store` give, without
+    an end id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, 3):
+                texts = rows.column(3)
+                of_bytes = [len(bpe.encode(texts[k].as_py(), byte_ranks, pattern)) for k in range(len(texts))]
+                of_words = [len(ids) for ids in word_encoder(word_file).encode(texts)]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(of_bytes, pa.int64()), pa.array(of_words, pa.int64())], names=["doc_id", "source", "lang", *names])
+
+    def counts(docs: DataFrame) -> DataFrame:
+        bound_batches(docs.sparkSession)
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), whole_text().alias("text"))
+        return rows.mapInArrow(run, f"doc_id long, source string, lang string, `{names[0]}` long, `{names[1]}` long")
+
+    return counts
+
+
 def changes(rows: DataFrame, tokenizer: str, tokens: Column, sign: int) -> DataFrame:
     """Signed rows of documents that come (+1) or go (-1); null groups are groups of their own, null counts are zero."""
     return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(sign).cast("long").alias("docs"), (F.coalesce(tokens, F.lit(0)) * sign).cast("long").alias("tokens"))
@@ -60,10 +88,15 @@ class Rollup:
 
     def committed(self) -> set[str]:
         """Ids of all batches that count."""
-        ids = set(self._listed("batches"))
-        for base in self._listed("bases")[-1:]:
-            ids |= {r["id"] for r in self.spark.read.parquet(f"{self.folder}/bases/{base}/ids").collect()}
-        return ids
+        batches = self._listed("batches")  # before the bases: what a compaction takes from one is in the other
+        return self._ids(self._listed("bases"), batches)
+
+    def _ids(self, bases: list[str], batches: list[str]) -> set[str]:
+        return set(batches) | self._folded(bases)
+
+    def _folded(self, bases: list[str]) -> set[str]:
+        """Ids of the batches that the last base holds."""
+        return {r["id"] for base in bases[-1:] for r in self.spark.read.parquet(f"{self.folder}/bases/{base}/ids").collect()}
 
     def commit(self, batch_id: str, signed: DataFrame) -> bool:
         """Add a batch (columns as of :func:`changes`); False, and no change, if its id has been committed."""
@@ -76,42 +109,50 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens of all groups that have documents or tokens."""
-        parts, done = [], set()
-        for base in self._listed("bases")[-1:]:
-            parts.append(f"{self.folder}/bases/{base}/totals")
-            done = {r["id"] for r in self.spark.read.parquet(f"{self.folder}/bases/{base}/ids").collect()}
-        parts += [f"{self.folder}/batches/{b}" for b in self._listed("batches") if b not in done]
+        batches = self._listed("batches")
+        return self._totals(self._listed("bases"), batches)
+
+    def _totals(self, bases: list[str], batches: list[str]) -> DataFrame:
+        done = self._folded(bases)
+        parts = [f"{self.folder}/bases/{base}/totals" for base in bases[-1:]]
+        parts += [f"{self.folder}/batches/{b}" for b in batches if b not in done]
         rows = self.spark.read.schema(_DELTAS).parquet(*parts) if parts else self.spark.createDataFrame([], _DELTAS)
         summed = rows.groupBy(*GROUP).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return summed.filter("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
         """Fold all batches into one base, then drop them; a batch sent again is still known."""
-        ids = sorted(self.committed())
-        name = f"{len(self._listed('bases')):09d}-{uuid.uuid4().hex}"
+        bases, batches = self._listed("bases"), self._listed("batches")  # what is committed from here on stays out of the base
+        ids = sorted(self._ids(bases, batches))
+        name = f"{len(bases):09d}-{uuid.uuid4().hex}"
         aside = self._path("aside", uuid.uuid4().hex)
-        self.totals().select(*GROUP, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens")).write.parquet(f"{aside.toString()}/totals")
+        self._totals(bases, batches).select(*GROUP, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens")).write.parquet(f"{aside.toString()}/totals")
         self.spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.parquet(f"{aside.toString()}/ids")
         files = aside.getFileSystem(self._conf)
         files.mkdirs(self._path("bases"))
         files.rename(aside, self._path("bases", name))
-        for old in ids:
+        for old in batches:
             files.delete(self._path("batches", old), True)
 
 
-def maintained_totals(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Totals after three batches over whole tables: every document is loaded with its words; those labelled
-    toxic are deleted; the rest of those labelled as of low quality are counted anew, in bytes.  The second
-    batch is sent twice.  Labels that repeat count once.
+def maintained_totals(docs: DataFrame, labels: DataFrame, first: str = WORDS, second: str = BYTES, counts=token_counts) -> DataFrame:
+    """Totals after three batches over whole tables: every document is loaded with its count by the first
+    tokenizer; those labelled toxic are deleted; the rest of those labelled as of low quality are counted anew,
+    by the second.  The second batch is sent twice.
+
+    Labels that repeat count once, by their greatest toxic and least quality; those without doc_id, and documents
+    without one, meet nothing.  Null sources and languages are groups of their own, null texts have no tokens,
+    repeated documents count one by one; empty tables give empty totals or unchanged ones.  ``counts`` gives
+    doc_id, source, lang and one column per tokenizer of a table of documents.
     """
     spark = docs.sparkSession
-    counts = staged(token_counts(docs), "token-counts")
+    counted = staged(counts(docs), "token-counts")
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"), F.min("quality").alias("__quality"))
-    marked = staged(counts.join(marks, "doc_id").filter("__toxic = 1 or __quality = 0"), "marked")
+    marked = staged(counted.join(marks, "doc_id").filter("__toxic = 1 or __quality = 0"), "marked")
     gone, revised = marked.filter("__toxic = 1"), marked.filter("coalesce(__toxic, 0) <> 1 and __quality = 0")
     rollup = Rollup(spark, staged_path(spark, "rollup"))
-    rollup.commit("load", changes(counts, WORDS, F.col(WORDS), 1))
-    rollup.commit("delete", changes(gone, WORDS, F.col(WORDS), -1))
-    rollup.commit("revise", changes(revised, WORDS, F.col(WORDS), -1).unionByName(changes(revised, BYTES, F.col(BYTES), 1)))
-    rollup.commit("delete", changes(gone, WORDS, F.col(WORDS), -1))
+    rollup.commit("load", changes(counted, first, F.col(f"`{first}`"), 1))
+    rollup.commit("delete", changes(gone, first, F.col(f"`{first}`"), -1))
+    rollup.commit("revise", changes(revised, first, F.col(f"`{first}`"), -1).unionByName(changes(revised, second, F.col(f"`{second}`"), 1)))
+    rollup.commit("delete", changes(gone, first, F.col(f"`{first}`"), -1))
     return rollup.totals()
