@@ -47,7 +47,20 @@ def test_one_of_each_text_stays_with_all_its_columns(odd_docs):
 
 def test_repeated_winners_leave_one_row(spark, rows):
     docs = spark.createDataFrame([(1, "x"), (1, "x"), (0, "x")], "doc_id long, text string")
-    assert rows(exact_dedup.drop_equal_texts(docs)) == [(1, "x")]
+    for share in (exact_dedup.FREQUENT_SHARE, 0.9):
+        assert rows(exact_dedup.drop_equal_texts(docs, share)) == [(1, "x")]
+
+
+def test_frequent_losers_go_before_the_shuffle(spark, odd_docs, rows):
+    """Both ways leave the same rows; of a frequent text only rows with the winner's id reach the window."""
+    docs = spark.createDataFrame([(k, "hot" if k % 3 else f"t{k}", k, "k") for k in range(90)] + [(None, "hot", 0, None), (None, None, None, None)], "doc_id long, text string, n long, digest string")
+    expected = sorted([(89, "hot", 89, "k"), *[(k, f"t{k}", k, "k") for k in range(0, 90, 3)], (None, None, None, None)], key=repr)
+    for share in (0.5, 0.99):
+        assert rows(exact_dedup.drop_equal_texts(docs, share)) == expected
+    plan = exact_dedup.drop_equal_texts(docs, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")
+    again = [exact_dedup.drop_equal_texts(odd_docs.repartition(n), share) for n, share in ((2, 0.1), (5, 0.9))]
+    assert rows(again[0]) == rows(again[1])
 
 
 def test_empty_tables(no_docs):

@@ -5,6 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tempolog.llm import brown_lm, pii, quality
 
@@ -147,6 +150,39 @@ def test_base_spans_stay():
     assert base == every and pii.span_list(every) == "email:5:14,ip:15:23"
 
 
+def test_spans_of_long_lists_take_time_in_proportion():
+    """Ten times as many contacts take some ten times as long, and every one is found."""
+    import time
+
+    field = pii.default_field()
+    took = []
+    for n in (1000, 10_000):
+        text = "joe1@host.org 10.0.0.1 (375) 555-4393 and so on " * n
+        began = time.perf_counter()
+        ((base, every),) = pii.find_all([text], field)
+        took.append(time.perf_counter() - began)
+        assert len(base["email"]) == len(base["ip"]) == len(every["phone"]) == n
+    assert took[1] < 30 * took[0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 8)), max_size=8), st.lists(st.tuples(st.integers(0, 3), st.integers(1, 6)), max_size=12))
+def test_taken_stretches_are_those_of_all_spans(given_spans, steps):
+    spans = [(s, s + n) for s, n in given_spans]
+    taken, at = pii.Taken(spans), 0
+    for skip, n in steps:
+        start, end = at + skip, at + skip + n
+        at = start
+        fine = all(end <= s or e <= start for s, e in spans)
+        assert taken.free(start, end) == fine
+        if fine:
+            spans.append((start, end))
+
+
+def test_shapes_are_of_whole_tokens():
+    assert pii.shape("ab" * 100 + "9" * 12 + "Z") == "x999999X"
+
+
 def test_viterbi_is_the_best_path():
     random = np.random.default_rng(2)
     field = pii.Field({}, np.zeros((0, 9)), random.normal(size=(9, 9)))
@@ -185,6 +221,70 @@ def test_quality_of_odd_tables(spark, odd_docs, no_docs):
     assert {r["__evidence"] for r in nothing.collect()} == {0.0}
 
 
+def posteriors_by_hand(rows):
+    """prior of host, of path and posterior of rows (host, path, evidence), from the definitions."""
+    p = np.array([round(1e6 / (1 + math.exp(-e))) for _, _, e in rows])
+    hosts, paths = [h for h, _, _ in rows], [(h, q) for h, q, _ in rows]
+    mean = p.sum() / 1e6 / len(rows)
+
+    def strength(keys):
+        n, s = Counter(keys), Counter()
+        for k, x in zip(keys, p, strict=True):
+            s[k] += int(x)
+        if len(n) < 2:
+            return 200.0, n, s
+        between = sum(round(n[k] * (s[k] / 1e6 / n[k] - mean) ** 2 * 1e6) for k in n) / 1e6
+        spread = between / len(rows) - mean * (1 - mean) * len(n) / len(rows)
+        return min(max(mean * (1 - mean) / spread - 1 if spread > 0 else 200.0, 2.0), 200.0), n, s
+
+    pull_host, n_host, s_host = strength(hosts)
+    pull_path, n_path, s_path = strength(paths)
+    found = []
+    for h, q, e in rows:
+        host = (s_host[h] / 1e6 + pull_host * mean) / (n_host[h] + pull_host)
+        prior = (s_path[h, q] / 1e6 + pull_path * host) / (n_path[h, q] + pull_path)
+        bounded = min(max(prior, 1e-4), 1 - 1e-4)
+        found.append((host, prior, 1 / (1 + math.exp(-(e + math.log(bounded / (1 - bounded)))))))
+    return [pytest.approx(f, abs=1e-6) for f in found]
+
+
+def judged_rows(spark, rows):
+    scored = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, __host string, __path string, __evidence double")
+    return sorted(quality._judged(scored).collect(), key=lambda r: r["doc_id"])
+
+
+def test_posteriors_are_those_of_the_definitions(spark):
+    random = np.random.default_rng(4)
+    many = [(f"h{int(random.integers(40)) ** 2 // 40}", f"p{random.integers(3)}", float(np.clip(random.normal(2, 4), -12, 12))) for _ in range(800)]
+    for rows in (many, [("", "", 0.0)], [("a", "", 3.0), ("a", "x", -3.0), ("b", "", 0.0)]):
+        found = judged_rows(spark, rows)
+        assert [(r["__host_prior"], r["__prior"], r["__score"]) for r in found] == posteriors_by_hand(rows)
+        assert all(r["__keep"] == (r["__score"] >= 0.5) for r in found)
+
+
+def test_one_half_stays(spark):
+    """Sites that say nothing and evidence that says nothing give one half exactly."""
+    (a, b, c) = judged_rows(spark, [("a", "", 0.0)] * 3)
+    assert a["__score"] == b["__score"] == c["__score"] == 0.5 and a["__keep"]
+
+
+def test_hosts_and_paths_of_pages(spark, small):
+    """The same over web pages, where hosts are many and small, with the site and the first folder of the URL."""
+    pages = spark.read.parquet(f"{small}/pages.parquet").selectExpr("page_id as doc_id", "html as text", "try_parse_url(url, 'HOST') as site", "regexp_extract(url, '//[^/]+/([^/?#]*)', 1) as folder")
+    labels = pages.selectExpr("doc_id", "cast(length(text) % 2 as int) as quality")
+    found = quality.classified(pages, labels, "site", "folder").orderBy("doc_id").collect()
+    by_hand = posteriors_by_hand([("=" + r["site"] if r["site"] is not None else "", "=" + r["folder"], r["__evidence"]) for r in found])
+    assert len({r["site"] for r in found}) > 1
+    assert [(r["__host_prior"], r["__prior"], r["__score"]) for r in found] == by_hand
+
+
+def test_training_rows_do_not_depend_on_order(spark, odd_docs):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (5, 1, 0), (17, 1, 0), (13, 0, 0)], "doc_id long, quality int, toxic int")
+    doubled = odd_docs.unionByName(odd_docs.withColumn("text", F.concat(F.lit("a "), "text")))
+    one, other = (quality.train(d, labels) for d in (doubled, doubled.repartition(7)))
+    assert (one[0] == other[0]).all() and one[1] == other[1]
+
+
 def test_sparse_sites_shrink_toward_the_whole(spark):
     rows = [("big", "p", 4.0)] * 300 + [("bad", "p", -4.0)] * 300 + [("one", "p", -4.0)]
     priors = {r["__host"]: r["prior"] for r in quality.site_priors(spark.createDataFrame(rows, "__host string, __path string, evidence double")).collect()}

@@ -73,6 +73,12 @@ def test_documents_come_as_often_as_they_are_taken(spark, odd_docs):
     assert mixing.mixed_documents(odd_docs).count() == sum(r["copies"] for r in mixing.mix(odd_docs).collect())
 
 
+def test_columns_named_like_helpers_pass_through(spark):
+    docs = corpus(spark).selectExpr("*", "1 as low", "2 as high", "3 as runs", "4 as n", "5 as target", "6 as source_size")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() == mixing.mixed_documents(corpus(spark)).count()
+
+
 def test_the_mix_runs_no_python(spark, capsys):
     mixing.mix(corpus(spark)).explain()
     assert not any(w in capsys.readouterr().out for w in ("Python", "Pandas", "Arrow"))
@@ -107,6 +113,12 @@ def test_top_lists_are_those_of_all_products(spark, rows, monkeypatch):
     assert rows(topk.top_k(df, F.col("vec_id") % 10 == 0, 7)) == expected
 
 
+def test_other_columns_of_vectors_are_not_read(spark, rows):
+    df = vectors(spark)
+    wide = df.selectExpr("*", "1 as row_id", "'p' as part", "2 as score", "3 as rank", "null as query_id")
+    assert rows(topk.top_k(wide, F.col("vec_id") % 10 == 0, 7)) == rows(topk.top_k(df, F.col("vec_id") % 10 == 0, 7))
+
+
 def test_no_vectors_no_rows(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0).count() == 0
 

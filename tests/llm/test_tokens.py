@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from compare import both
 from tempolog.llm import bpe, queries, token_rollup, token_store
@@ -39,6 +40,31 @@ def test_parts_encode_to_the_same_ids(text, chars):
     assert [i for p in cut for i in plain.encode_ordinary(p)] == plain.encode_ordinary(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\n\n", "\t", "\xa0", "\u3000", "\x1c", "aB", "1", "!", "'s", "漢"]), max_size=14))
+def test_runs_of_white_space_are_matches_of_their_own(said):
+    plain, text = bpe.encoding(RANKS, PATTERN), "".join(said)
+    cut = list(bpe.without_runs(text, 2))
+    assert "".join(p for p, _ in cut) == text
+    assert [i for p, single in cut for i in (plain._encode_single_piece(p) if single else plain.encode_ordinary(p))] == plain.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", " \n", "a", "!", "x "])
+def test_millions_of_one_sign(unit):
+    """Ids are those of the parts that any match of the pattern keeps apart: the head, the run and the tail."""
+    plain, count = bpe.encoding(RANKS, PATTERN), 3_000_000 // len(unit)
+    text = "head." + unit * count + "?tail"
+    ids = bpe.encode(text, RANKS, PATTERN)
+    assert bpe.decode(ids, RANKS, PATTERN) == text.encode()
+    run = unit * count
+    if unit.isspace():
+        last = ["?"] if unit[-1] != " " else [" ?"]
+        pieces = ["head", ".", run[:-1], *([unit[-1]] if unit[-1] != " " else []), *last, "tail"]
+    else:
+        pieces = ["head", "." + run + "?", "tail"] if unit == "!" else ["head", ".", run, "?", "tail"] if unit == "a" else ["head", ".", "x", *[" x"] * (count - 1), " ?", "tail"]
+    assert ids == [i for p in pieces for i in plain._encode_single_piece(p)]
+
+
 def test_bytes_need_not_be_whole_characters():
     assert bpe.decode(bpe.encode("漢", RANKS, PATTERN)[:1], RANKS, PATTERN) in {"漢".encode()[:k] for k in (1, 2, 3)}
 
@@ -47,8 +73,12 @@ def library(text):
     return token_store.word_encoder(WORDS).tokenizer.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="aB1' .,!\n\t\x1c ́éΣİﬁ漢<|>", max_size=40), max_size=4))
+#: Letters whose composed form with a mark has no capital among them, and marks.
+MARKED = "YJHTWAK" + "".join(map(chr, range(0x300, 0x332)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet="aB1' .,!\n\t\x1c ́éΣİﬁ漢<|>", max_size=40), st.text(alphabet=MARKED + "a .", max_size=12)), max_size=4))
 def test_remembered_chunks_give_the_library_s_ids(texts):
     import pyarrow as pa
 
@@ -82,8 +112,6 @@ def test_another_dictionary_is_noticed(spark, odd_docs, tmp_path):
 def test_totals_follow_signed_batches(spark, odd_docs, no_docs):
     counts = token_rollup.token_counts(odd_docs).cache()
     words = token_rollup.WORDS
-    from pyspark.sql import functions as F
-
     rollup = token_rollup.Rollup(spark, staged_path(spark, "rollup"))
     assert rollup.totals().count() == 0
     load = token_rollup.changes(counts, words, F.col(words), 1)
@@ -104,6 +132,57 @@ def test_totals_follow_signed_batches(spark, odd_docs, no_docs):
     assert token_rollup.Rollup(spark, rollup.folder).committed() == {"load", "delete", "nothing"}
 
 
+def test_a_batch_committed_during_a_compaction_counts_once(spark, odd_docs):
+    counts = token_rollup.token_counts(odd_docs).cache()
+    folder = staged_path(spark, "rollup")
+    rollup, other = token_rollup.Rollup(spark, folder), token_rollup.Rollup(spark, folder)
+    change = token_rollup.changes(counts, token_rollup.WORDS, F.col(f"`{token_rollup.WORDS}`"), 1)
+    rollup.commit("one", change)
+    listed = rollup._totals
+
+    def late(bases, batches):
+        other.commit("two", change)
+        return listed(bases, batches)
+
+    rollup._totals = late
+    rollup.compact()
+    docs = other.totals().agg(F.sum("n_docs")).first()[0]
+    assert docs == 2 * odd_docs.count() and other.committed() == {"one", "two"}
+    assert not other.commit("two", change)
+
+
+def totals_by_hand(docs, labels, first, second):
+    """Documents and tokens by group after the three batches; ``first`` and ``second`` count a text."""
+    toxic, quality = {}, {}
+    for r in labels:
+        if r["doc_id"] is not None:
+            toxic[r["doc_id"]] = max(toxic.get(r["doc_id"], 0), r["toxic"] or 0)
+            quality.setdefault(r["doc_id"], []).append(r["quality"])
+    found: Counter = Counter()
+    tokens: Counter = Counter()
+    for r in docs:
+        if toxic.get(r["doc_id"]) == 1:
+            continue
+        low = min((q for q in quality.get(r["doc_id"], []) if q is not None), default=1) == 0
+        name, count = second if low else first
+        found[r["source"], r["lang"], name] += 1
+        tokens[r["source"], r["lang"], name] += count(r["text"] or "")
+    return {(*k, n, tokens[k]) for k, n in found.items()}
+
+
+def test_totals_of_real_vocabularies(spark, odd_docs, no_docs, small):
+    """Counts are those of the libraries; labels repeat, lack ids and values; tables may be empty."""
+    names = token_rollup.VOCABULARIES
+    counts = token_rollup.vocabulary_counts(RANKS, PATTERN, WORDS)
+    plain = bpe.encoding(RANKS, PATTERN)
+    by = (names[0], lambda t: len(plain.encode_ordinary(t))), (names[1], lambda t: len(library(t)))
+    odd = spark.createDataFrame([(1, 0, 0, "x"), (1, 1, None, "x"), (13, 0, 1, "x"), (13, 0, 1, "x"), (None, 0, 1, "x"), (4, None, None, "x"), (777, 0, 0, "x")], "doc_id long, quality int, toxic int, source string")
+    tables = [(odd_docs, odd), (odd_docs, odd.limit(0)), (no_docs, odd), tuple(spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))]
+    for docs, labels in tables:
+        expected = totals_by_hand(docs.collect(), labels.collect(), *by)
+        assert {tuple(r) for r in token_rollup.maintained_totals(docs, labels, *names, counts).collect()} == expected
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_agrees_with_sql(spark, small, name):
     mine, other = both(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], small)
