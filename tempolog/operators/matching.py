@@ -1,11 +1,13 @@
 """Matching rows of two sources by key and time: ranges, nearest, as-of, unique pairs.
 
-Every join has an equi-key, so Spark deals it by that key; time conditions are residual.  A hot key can be
-cut further with ``bucket_seconds``: rows meet only in their own and the next time bucket.
+Every join has an equi-key and a time bucket, so that a hot key's rows spread over many tasks: rows meet only in
+their own and the next bucket, and the exact time condition is residual.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +19,12 @@ def micros(column: str | Column) -> Column:
 def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, seconds: float, bucket_seconds: int | None = None, after_only: bool = False) -> DataFrame:
     """All pairs of equal keys with |left - right| at most ``seconds``; with ``after_only``, 0 <= left - right.
 
-    With ``bucket_seconds`` (at least ``seconds``) the time bucket joins the keys: right rows are copied to
-    the neighbouring buckets, so one key's rows spread over many tasks.
+    The time bucket, of ``bucket_seconds`` (at least ``seconds``; if not given, just that), joins the keys: right rows
+    are copied to the neighbouring buckets, so one key's rows spread over many tasks.
     """
     gap = micros(left_time) - micros(right_time)
     near = (gap >= 0) & (gap <= int(seconds * 1e6)) if after_only else F.abs(gap) <= int(seconds * 1e6)
-    if not bucket_seconds:
-        joined = left.join(right, keys)
-        return joined.filter(near).withColumn("gap_seconds", gap / 1e6)
+    bucket_seconds = bucket_seconds or max(1, math.ceil(seconds))
     if bucket_seconds < seconds:
         raise ValueError("a bucket must be as wide as the tolerance")
     width = bucket_seconds * 1_000_000
@@ -70,6 +70,17 @@ def last_before(rows: DataFrame, marks: DataFrame, partition: str, order: str, v
     return both.withColumn(value, F.last("__set", ignorenulls=True).over(past)["v"]).filter("__mark = 0").drop("__mark", "__value", "__set")
 
 
+def next_other(rows: DataFrame, partition: str, order: str, key: str, name: str) -> DataFrame:
+    """``rows`` with the order of the next row in the partition that has another key.
+
+    That is the next change of key.  Frames run backward from the end, so each row is met once.
+    """
+    ahead = Window.partitionBy(partition).orderBy(order)
+    change = F.when(F.lead(key).over(ahead) != F.col(key), F.lead(order).over(ahead))
+    running = Window.partitionBy(partition).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("__change", change).withColumn(name, F.last("__change", ignorenulls=True).over(running)).drop("__change")
+
+
 def unique_both_ways(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Distinct pairs whose left row has one right row and whose right row has one left row."""
     distinct = pairs.select(left, right).distinct()

@@ -208,10 +208,7 @@ FROM events a WHERE event_type = 'purchase'""")
 def w8(spark: SparkSession, d: str) -> DataFrame:
     """The next start by another key in the session: of the next start and the first start after this key's run."""
     e = events(spark, d).filter("event_type = 'purchase'").withColumn("session", F.col("user_id") % 10)
-    ahead = Window.partitionBy("session").orderBy("event_id")
-    changes = F.when(F.lead("user_id").over(ahead) != F.col("user_id"), F.lead("event_id").over(ahead))
-    later = Window.partitionBy("session").orderBy("event_id").rowsBetween(0, Window.unboundedFollowing)
-    return e.withColumn("__change", changes).select("event_id", F.first("__change", ignorenulls=True).over(later).alias("next"))
+    return matching.next_other(e, "session", "event_id", "user_id", "next").select("event_id", "next")
 
 
 # --- profiles ----------------------------------------------------------------------------------------
