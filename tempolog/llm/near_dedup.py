@@ -5,9 +5,10 @@ Consistent weighted samples, whose agreement has the weighted Jaccard similarity
 cut into bands; texts that share a band are candidates.  Links are made in two steps, without all pairs of
 a bucket.  First every member of a bucket is compared, by exact weighted Jaccard similarity, with the
 bucket's hub, the member that meets most others over all its buckets, and connected components are formed.
-Then, in blocks of bounded size, members of a bucket that are still in different components are compared
-likewise, the best agreeing first, if their samples agree often enough.  So each pair of a bucket ends in
-one component, or its texts have been compared, or its samples rule it out.
+Then, in blocks of bounded size, the samples of members of a bucket that are still in different components are
+laid side by side.  Only those that agree with another in at least LEAST_AGREEMENT of them go on with their
+texts, which are compared likewise, the best agreeing first.  So each pair of a bucket ends in one component,
+or its texts have been compared, or its samples agree so seldom that texts of similarity 0.8 do so once in 10^9.
 """
 
 from __future__ import annotations
@@ -26,17 +27,17 @@ from .common import BROADCAST_ROWS, attach, bound_batches, staged, whole_text
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares a band with a probability of 0.9987, at 0.85 of 0.99999; at 0.5 of 0.13.
 BANDS, BAND_ROWS = 36, 8
-#: Pairs of different components are compared if this share of their samples agrees: 3.4 standard deviations
-#: below the similarity that counts.
-LEAST_AGREEMENT = 0.72
-#: Shingles in fewer than this share of all documents weigh the same.
-RARE_SHARE = 0.002
+#: Pairs of different components are compared if this share of their samples agrees: 6.4 standard deviations
+#: below the similarity that counts, so what this rules out is a millionth of what the bands miss.
+LEAST_AGREEMENT = 0.65
+#: Shingles in fewer than this share of all documents weigh the same: log(1 / share) stops growing here.
+RARE_SHARE = 0.0005
 #: A rare shingle weighs at most this many times what the most frequent weighs.  Shared shingles of a large group
 #: are frequent and edits are rare, so copies in it link from a plain similarity of 0.815 at the latest.
 MOST_RATIO = 1.1
 CELLS, BLOCKS = 1 << 20, 16
 #: Members of one leader that one task compares; members of a bucket in one block of the second step.
-SALT_MEMBERS, BLOCK_MEMBERS = 256, 512
+SALT_MEMBERS, BLOCK_MEMBERS = 256, 1024
 FAN_IN = 64
 
 _TABLE = 1 << 18
@@ -141,9 +142,9 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of texts, and cells of the sketch with the document frequencies of frequent shingles.
 
-    Every row counts, so ``texts`` should be distinct.  A sketch of :data:`CELLS` counters, summed in a tree, gives each shingle its cell's
-    count less the mean of its block; cells below RARE_SHARE are left out, so what comes back has at most as
-    many entries as the sketch has cells.
+    Every row counts, so ``texts`` should be distinct.  A sketch of :data:`CELLS` counters, summed in a tree, gives
+    each shingle its cell's count less the median of its block, which is what rare shingles put into a cell; cells
+    below RARE_SHARE are left out, so what comes back has at most as many entries as the sketch has cells.
     """
     width = CELLS // BLOCKS
 
@@ -179,26 +180,24 @@ _SKETCH = pa.schema([("task", pa.int32()), ("block", pa.int32()), ("n", pa.int64
 
 
 def _packed(task: int, block: int, counts: np.ndarray, n: int) -> dict:
-    """Counters of a block, only those in use if they are few."""
+    """Counters of a block, only those in use if they are few, in 64 bits if 32 do not hold them."""
     used = np.flatnonzero(counts)
     sparse = 2 * len(used) < len(counts)
-    return {"task": task, "block": block, "n": n, "cells": used.astype(np.int32).tobytes() if sparse else None, "counts": (counts[used] if sparse else counts).astype(np.int32).tobytes()}
+    kind = np.int32 if not len(counts) or counts.max() < 2**31 else np.int64
+    return {"task": task, "block": block, "n": n, "cells": used.astype(np.int32).tobytes() if sparse else None, "counts": (counts[used] if sparse else counts).astype(kind).tobytes()}
 
 
 def _summed(table: pa.Table, width: int) -> np.ndarray:
     total = np.zeros(width, np.int64)
     for cells, counts in zip(table["cells"].to_pylist(), table["counts"].to_pylist(), strict=True):
-        if cells is None:
-            total += np.frombuffer(counts, np.int32)
-        else:
-            total[np.frombuffer(cells, np.int32)] += np.frombuffer(counts, np.int32)
+        used = np.arange(width) if cells is None else np.frombuffer(cells, np.int32)
+        total[used] += np.frombuffer(counts, np.int32 if len(counts) == 4 * len(used) else np.int64)
     return total
 
 
 def _merged(width: int):
     def run(table: pa.Table) -> pa.Table:
-        total = np.minimum(_summed(table, width), 2**31 - 1)
-        return pa.Table.from_pylist([_packed(table["task"][0].as_py(), table["block"][0].as_py(), total, sum(table["n"].to_pylist()))], schema=_SKETCH)
+        return pa.Table.from_pylist([_packed(table["task"][0].as_py(), table["block"][0].as_py(), _summed(table, width), sum(table["n"].to_pylist()))], schema=_SKETCH)
 
     return run
 
@@ -206,8 +205,8 @@ def _merged(width: int):
 def _frequent(width: int):
     def run(table: pa.Table) -> pa.Table:
         counts, n = _summed(table, width), sum(table["n"].to_pylist())
-        counts = counts - int(counts.mean())
-        cells = np.flatnonzero(counts > RARE_SHARE * n)
+        counts = counts - int(np.median(counts))
+        cells = np.flatnonzero(counts > max(RARE_SHARE * n, 0))
         found = {"n": [n], "cells": [(cells + table["block"][0].as_py() * width).astype(np.int64).tobytes()], "counts": [counts[cells].tobytes()]}
         return pa.table(found, schema=pa.schema([("n", pa.int64()), ("cells", pa.binary()), ("counts", pa.binary())]))
 
@@ -295,8 +294,8 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, weights) -> Da
     Each member's text goes to its leaders and each leader's text to its members' tasks, at most
     SALT_MEMBERS members at a time; the leader comes first, so a task holds two texts.
     """
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT_MEMBERS).cast("int").alias("salts"))
-    salted = pairs.join(sizes, "b")
+    sizes = staged(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", "n", F.ceil(F.col("n") / SALT_MEMBERS).cast("int").alias("salts")), "leaders")
+    salted = attach(pairs, sizes.drop("n"), ["b"], _hot(sizes))
     members = salted.select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"))
     leaders = sizes.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
     routes = staged(members.unionByName(leaders).join(nodes.select("node", "one_id"), "node"), "routes")
@@ -321,6 +320,12 @@ def _node():
     return F.substring(F.unhex(F.sha2(whole_text(), 256)), 1, 16)
 
 
+def _hot(sizes: DataFrame) -> DataFrame:
+    """The rows of ``sizes`` (with n) that hold over 1/1024 of all that is counted, so at most 1024."""
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return sizes.filter(F.col("n") * 1024 > total)
+
+
 def link_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, component of all nodes with a link."""
     spark: SparkSession = docs.sparkSession
@@ -343,68 +348,83 @@ def link_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     signed = docs.select(_node().alias("node"), whole_text().cast("binary").alias("text")).mapInArrow(sign, "node binary, bands array<bigint>, bytes binary")
     signed = staged(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "samples")
     members = signed.select("node", F.explode("bands").alias("band"))
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = staged(members.join(sizes, "band"), "buckets")
+    sizes = staged(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    hot = _hot(sizes)  # what is joined by band is salted for these
+    shared = staged(attach(members, sizes, ["band"], hot).filter("n is not null"), "buckets")
     met = shared.groupBy("node").agg(F.sum("n").alias("met"))
-    hubs = shared.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
-    pairs = staged(shared.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    hubs = staged(shared.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("hub")), "hubs")
+    pairs = staged(attach(shared, hubs, ["band"], hot).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     links = verified(docs, nodes, pairs, weights).select("a", "b")
 
     linked = components(links)
     labelled = shared.join(linked, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    rest = staged(labelled.join(mixed, "band"), "mixed")
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", F.lit(True).alias("__mixed"))
+    rest = staged(attach(labelled, staged(mixed, "mixed-bands"), ["band"], hot).filter("__mixed").drop("__mixed"), "mixed")
     if rest.isEmpty():
         return linked
     more = staged(_linked_in_blocks(docs, nodes, rest, signed, weights), "links")
     return linked if more.isEmpty() else components(links.unionByName(more))
 
 
+def _agreeing(table: pa.Table) -> np.ndarray:
+    """Rows k, j of a group whose components differ and whose samples agree often enough, best agreement first.
+
+    If the group is of two blocks, k and j are of different ones.  A pair counts in the first band that both share.
+    """
+    own, count = table["own"].to_numpy(), len(table)
+    parent = np.unique(np.array(table["component"].to_pylist(), object), return_inverse=True)[1]
+    if count < 2 or parent.max() == 0:
+        return np.empty((2, 0), np.int64)
+    bits = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(count, -1)
+    keys = np.array(table["bands"].to_pylist(), np.int64)
+    here = (keys == table["band"][0].as_py()).argmax(axis=1)
+    across = table["low"][0].as_py() != table["high"][0].as_py()
+    pairs = [np.empty((3, 0), np.int64)]
+    for k in range(1, count):
+        others = np.flatnonzero((parent[:k] != parent[k]) & ((own[:k] != own[k]) if across else True))
+        agree = (bits[others] == bits[k]).sum(axis=1)
+        fine = agree >= LEAST_AGREEMENT * bits.shape[1]
+        others, agree = others[fine], agree[fine]
+        if len(others):
+            first = (keys[others] == keys[k]).argmax(axis=1) == here[k]
+            pairs.append(np.stack([-agree[first], np.full(first.sum(), k), others[first]]))
+    found = np.concatenate(pairs, axis=1)
+    return found[1:, np.lexsort(found[::-1])]
+
+
+def _promising(table: pa.Table) -> pa.Table:
+    """The rows of a group that agree with another one."""
+    table = table.sort_by("node")
+    return table.take(pa.array(np.unique(_agreeing(table))))
+
+
 def _linked_in_blocks(docs: DataFrame, nodes: DataFrame, rest: DataFrame, signed: DataFrame, weights) -> DataFrame:
     """Links a, b between different components of a bucket, enough to join all that belong together.
 
     A bucket's members are cut into blocks of bounded size, and each two blocks meet in a group of their own,
-    so a group holds at most two blocks whatever the bucket's size.  A pair is looked at in the first band
-    that its texts share.  Pairs whose components have been joined in the group need no comparison, so no
-    more links come out of a group than it has members.
+    so a group holds at most two blocks whatever the bucket's size.  At first only their samples meet; texts are
+    sent to a group for members that agree with another one there.  Pairs whose components have been joined in
+    the group need no comparison, so no more links come out of a group than it has members.
     """
-    wanted = rest.select("node").distinct().join(nodes.select("node", "one_id"), "node")
-    texts = staged(_texts_of(docs, staged(wanted, "wanted")), "texts")
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = rest.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     placed = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component")
-    full = placed.join(signed, "node").join(texts, "node")
+    columns = "band long, low int, high int, own int, node binary, component binary, bands array<bigint>, bytes binary"
+    group = placed.join(signed, "node").select("band", "low", "high", "own", "node", "component", "bands", "bytes").groupBy("band", "low", "high")
+    near = staged(group.applyInArrow(_promising, columns), "promising")
+    wanted = near.select("node").distinct().join(nodes.select("node", "one_id"), "node")
+    texts = staged(_texts_of(docs, staged(wanted, "wanted")), "texts")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def link(table: pa.Table) -> pa.Table:
         w = weights.value
         table = table.sort_by("node")
-        names, own, count = table["node"].to_pylist(), table["own"].to_numpy(), len(table)
-        parent = np.unique(np.array(table["component"].to_pylist(), object), return_inverse=True)[1]
-        if count < 2 or parent.max() == 0:
-            return schema.empty_table()
-        bits = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(count, -1)
-        keys = np.array(table["bands"].to_pylist(), np.int64)
-        here = keys == table["band"][0].as_py()
-        across = table["low"][0].as_py() != table["high"][0].as_py()
-        pairs: list[np.ndarray] = []
-        for k in range(1, count):
-            others = np.flatnonzero((parent[:k] != parent[k]) & ((own[:k] != own[k]) if across else True))
-            agree = (bits[others] == bits[k]).sum(axis=1)
-            fine = agree >= LEAST_AGREEMENT * bits.shape[1]
-            others, agree = others[fine], agree[fine]
-            if len(others):
-                first = (keys[others] == keys[k]).argmax(axis=1) == here[k].argmax()
-                pairs.append(np.stack([-agree[first], np.full(first.sum(), k), others[first]]))
-        if not pairs:
-            return schema.empty_table()
-        order = np.concatenate(pairs, axis=1)
-        order = order[:, np.lexsort(order[::-1])]
-        root = list(range(parent.max() + 1))
+        names, parent = table["node"].to_pylist(), table["component"].to_pylist()
+        root = {c: c for c in parent}
         sets: dict[int, tuple] = {}
 
-        def find(x: int) -> int:
+        def find(x: bytes) -> bytes:
             while root[x] != x:
                 root[x] = root[root[x]]
                 x = root[x]
@@ -416,22 +436,22 @@ def _linked_in_blocks(docs: DataFrame, nodes: DataFrame, rest: DataFrame, signed
             return sets[k]
 
         found: dict[str, list] = {"a": [], "b": []}
-        for k, j in zip(order[1].tolist(), order[2].tolist(), strict=True):
-            x, y = find(int(parent[k])), find(int(parent[j]))
+        for k, j in _agreeing(table).T.tolist():
+            x, y = find(parent[k]), find(parent[j])
             if x != y and weighted_jaccard(weighted(k), weighted(j)) >= SIMILARITY:
                 root[x] = y
                 found["a"].append(names[k])
                 found["b"].append(names[j])
         return pa.table(found, schema=schema)
 
-    return full.groupBy("band", "low", "high").applyInArrow(link, "a binary, b binary")
+    return near.join(texts, "node").groupBy("band", "low", "high").applyInArrow(link, "a binary, b binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, kept of every row of ``docs``.
 
     A class holds all texts that links of a similarity of at least 0.8 join, and all rows of an equal text;
-    class_id is its least doc_id (null if it has none), whose row stays.  A null text counts as empty; all
+    class_id is its least doc_id (null if it has none), whose row stays.  Texts of any length are compared whole.  A null text counts as empty; all
     empty texts form one class, which nothing else joins.  Repeated rows of one doc_id and text are judged
     alike; an empty table gives an empty result; other columns are not read.
     """

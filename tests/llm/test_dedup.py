@@ -1,4 +1,5 @@
 import hashlib
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -89,6 +90,47 @@ def brute_classes(rows, weights):
     return sorted(((r["doc_id"], least[find(texts.index(r["text"] or ""))], len(ids[find(texts.index(r["text"] or ""))])) for r in rows), key=repr)
 
 
+class Counted:
+    """Weights of shingles from their words, with document frequencies counted over the distinct texts."""
+
+    def __init__(self, texts):
+        self.texts = set(texts)
+        self.n = Counter(s for t in self.texts for s in set(self.words(t)))
+
+    def words(self, text):
+        words = text.encode().lower().split()
+        width = min(5, len(words))
+        return [tuple(words[k : k + width]) for k in range(len(words) - width + 1)] if words else []
+
+    def of(self, text):
+        """Numbers of the shingles, ascending, and their weights: 1 / 1.1 of the greatest at most for what all texts have."""
+        most = math.log(1 / near_dedup.RARE_SHARE)
+        occurs = Counter(self.words(text.decode()))
+        idf = {s: most / 1.1 + (most - most / 1.1) * min(1, max(0, math.log(len(self.texts) / self.n[s]) / most)) for s in occurs}
+        found = sorted((int.from_bytes(hashlib.sha256(repr(s).encode()).digest()[:8], "big"), idf[s] * c) for s, c in occurs.items())
+        return np.array([h for h, _ in found], np.uint64), np.array([w for _, w in found])
+
+
+def test_weights_are_those_of_counted_frequencies(spark, small):
+    """Shingles' weights against frequencies counted word by word; cells that two shingles share may differ."""
+    texts = sorted({r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()})[::4]
+    docs = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
+    weights, counted = near_dedup.Weights(*near_dedup.document_frequencies(docs)), Counted(texts)
+    same = total = 0
+    for t in texts:
+        mine, other = (np.sort(w.of(t.encode())[1]) for w in (weights, counted))
+        assert len(mine) == len(other)
+        same += (np.abs(mine - other) < 1e-4).sum()
+        total += len(mine)
+    assert same > 0.97 * total
+
+
+def test_counters_beyond_32_bits():
+    row = near_dedup._packed(0, 0, np.array([0, 2**33, 0, 5, 0]), 3)
+    table = near_dedup.pa.Table.from_pylist([row, near_dedup._packed(0, 0, np.array([1, 1, 1, 1, 1]), 2)], schema=near_dedup._SKETCH)
+    assert near_dedup._summed(table, 5).tolist() == [1, 2**33 + 1, 1, 6, 1]
+
+
 def near_copies(spark):
     """A base with copies that each change some words, a chain of them, and texts that share half."""
     rows, n = [], 0
@@ -105,9 +147,9 @@ def near_copies(spark):
 
 def test_classes_are_those_of_all_pairs(spark, odd_docs):
     for docs in (near_copies(spark), odd_docs.select("doc_id", "text", "kept", "node")):
-        weights = near_dedup.Weights(*near_dedup.document_frequencies(docs.select(whole_text().cast("binary").alias("text"))))
+        rows = docs.collect()
         found = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in near_dedup.classes(docs).collect()), key=repr)
-        assert found == brute_classes(docs.collect(), weights)
+        assert found == brute_classes(rows, Counted(r["text"] or "" for r in rows))
 
 
 def test_large_groups_keep_their_links(spark):
@@ -168,6 +210,7 @@ def test_blocks_join_what_hubs_do_not(spark, monkeypatch):
     docs = near_copies(spark)
     expected = sorted(map(repr, near_dedup.classes(docs).select("doc_id", "class_id").collect()))
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 2)
+    monkeypatch.setattr("tempolog.llm.common.BROADCAST_ROWS", 3)  # hot bands are salted
     monkeypatch.setattr(near_dedup, "verified", lambda docs, nodes, pairs, weights: pairs.withColumn("similarity", F.lit(0.0)).limit(0))
     assert sorted(map(repr, near_dedup.classes(docs).select("doc_id", "class_id").collect())) == expected
 

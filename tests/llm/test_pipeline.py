@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from tempolog.llm import bpe, quality
-from test_dedup import brute_classes
+from test_dedup import Counted, brute_classes
 from test_search_and_mix import mix_by_hand
 
 
@@ -40,11 +40,8 @@ def test_one_of_each_text(stages):
 
 
 def test_one_of_each_class(stages):
-    from tempolog.llm import near_dedup
-    from tempolog.llm.common import whole_text
-
-    weights = near_dedup.Weights(*near_dedup.document_frequencies(stages[2].select(whole_text().cast("binary").alias("text"))))
-    assert {r["doc_id"] for r in stages[3].collect()} == {c for _, c, _ in brute_classes(stages[2].collect(), weights)}
+    rows = stages[2].collect()
+    assert {r["doc_id"] for r in stages[3].collect()} == {c for _, c, _ in brute_classes(rows, Counted(r["text"] or "" for r in rows))}
 
 
 def test_the_mix(stages):
