@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, key: str, volatile: tuple[str, ...] = ()) -> DataFrame:
@@ -18,6 +19,24 @@ def keyed_diff(old: DataFrame, new: DataFrame, key: str, volatile: tuple[str, ..
     return joined.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), change.alias("change"), shown.alias("fields")).filter(F.col("change").isNotNull())
 
 
+def without_fields(value: Column, kind: DataType, names: tuple[str, ...]) -> Column:
+    """A nested value without the fields of these names, at any depth of structs, arrays and map values."""
+    if isinstance(kind, StructType):
+        kept = [without_fields(value[f.name], f.dataType, names).alias(f.name) for f in kind.fields if f.name not in names]
+        return F.when(value.isNotNull(), F.struct(*kept)) if kept else F.lit(None).cast("string")
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda item: without_fields(item, kind.elementType, names))
+    if isinstance(kind, MapType):
+        own = F.map_filter(value, lambda key, _: ~key.cast("string").isin(*names))
+        return F.transform_values(own, lambda _, item: without_fields(item, kind.valueType, names))
+    return value
+
+
+def stable(rows: DataFrame, volatile: tuple[str, ...]) -> DataFrame:
+    """``rows`` without the volatile fields, nested ones included: what two runs are compared by."""
+    return rows.select(*[without_fields(F.col(f"`{f.name}`"), f.dataType, volatile).alias(f.name) for f in rows.schema.fields if f.name not in volatile])
+
+
 def changed_fields(diff: DataFrame) -> DataFrame:
     """field, n: how often each column changed."""
     return diff.filter("change = 'changed'").select(F.explode(F.split("fields", ",")).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import merges, projection
+from ..operators import merges, operations, projection
 from .tables import DECISIONS, ORIGINS, RECORDS, decisions, events, origins, query, records, table
 
 
@@ -93,6 +93,21 @@ def p9(spark: SparkSession, d: str) -> DataFrame:
     return merges.promotable(rows).select("o_orderkey")
 
 
+@query("c9_import_history", """WITH h AS (SELECT event_id, user_id, ts, event_id % 4 <> 0 AS known, CASE WHEN user_id % 5 = 0 THEN '' ELSE 'usr_' || user_id % 5 END AS requester FROM events),
+n AS (SELECT *, CASE WHEN requester = 'usr_1' THEN 'self' WHEN requester <> '' THEN 'other' ELSE 'random' END AS kind FROM h WHERE known)
+SELECT user_id::VARCHAR AS external_id, epoch_us(ts) AS played_us, kind AS request_type, 'accepted' AS default_status, nullif(requester, '') AS requester_user_id, CASE WHEN event_id % 3 = 0 THEN 'unchanged' ELSE 'inserted' END AS action FROM n""")
+def c9(spark: SparkSession, d: str) -> DataFrame:
+    """A history with unsupported rows imported over what an earlier import of every third row left."""
+    e = events(spark, d)
+    url = F.when(F.col("event_id") % 4 == 0, F.lit("https://example.org/x")).otherwise(F.concat(F.lit("http://api.udon.dance/Api/Songs/play?id="), F.col("user_id").cast("string")))
+    user = F.when(F.col("user_id") % 5 == 0, "").otherwise(F.concat(F.lit("usr_"), (F.col("user_id") % 5).cast("string")))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    history = e.select(F.col("event_id").alias("id"), stamp.alias("created_at"), url.alias("video_url"), F.lit("n").alias("video_name"), F.lit("").alias("display_name"), user.alias("user_id"))
+    first = operations.import_history(history.filter("id % 3 = 0"), None, None, "usr_1")
+    done = operations.import_history(history, first.staging, first.evidence, "usr_1")
+    return done.evidence.select("external_id", F.unix_micros("played_at").alias("played_us"), "request_type", "default_status", "requester_user_id", "action")
+
+
 STAGE_RANKS = {"view": 1, "click": 2, "purchase": 3}
 
 

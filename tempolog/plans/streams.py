@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import urls
+from ..operators import evidence, merges
 from ..sources import parse
 from ..streaming import sessions, settle
 from .tables import events, query
@@ -24,15 +26,27 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     return settle.settle(rows).select(F.col("row_id").alias("event_id"), "status", "settled_us", "reason")
 
 
+LIFECYCLE_LINES = (" Log - [Behaviour] OnLeftRoom", " Log - [Behaviour] Entering Room: The Hall ", " Log - VRCApplication: HandleApplicationQuit at 1", " Log - [AVProVideo] Shutdown")
+IDENTITY_LINES = (" Log - [Behaviour] OnPlayerJoined ", " Log - [Behaviour] OnPlayerLeft ", " Log - User Authenticated: ")
+
+
+def _nth(values: tuple[str, ...]) -> Column:
+    """One of the values, by the event's number."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(values) + 1).cast("int"))
+
+
 def made_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Log lines of playback sessions, one per event: requests, starts, people and rooms."""
-    e = events(spark, d)
+    """Log lines of playback sessions, one per event: requests, starts, people and rooms.
+
+    The stand-in is one small file, so its rows are dealt out before patterns are tried on them.
+    """
+    e = events(spark, d).repartition("event_id")
     stamp = F.date_format("ts", "yyyy.MM.dd HH:mm:ss.SSS")
     song, user = F.concat(F.lit("http://api.udon.dance/Api/Songs/play?id="), (F.col("user_id") + 1).cast("string")), F.concat(F.lit("P"), (F.col("user_id") % 7).cast("string"))
     said = (
         F.when(F.col("event_type") == "click", F.concat(F.lit(" Log - User "), user, F.lit(" added URL "), song)).when(F.col("event_type") == "purchase", F.concat(F.lit(" Log - [USharpVideo] OnVideoStart: Started video: "), song))
         .when(F.col("event_type") == "view", F.concat(F.lit(' Log - [VRCX] VideoPlay(W) "'), song, F.lit('",0,'), F.round(F.col("value") * 10, 1).cast("string"), F.lit(',"'), (F.col("user_id") + 1).cast("string"), F.lit(" : Song ("), user, F.lit(')"')))
-        .when(F.col("event_type") == "signup", F.concat(F.lit(" Log - [Behaviour] OnPlayerJoined "), user, F.lit(" (usr_"), user, F.lit(")"))).otherwise(F.lit(" Log - [Behaviour] OnLeftRoom"))
+        .when(F.col("event_type") == "signup", F.concat(_nth(IDENTITY_LINES), user, F.lit(" (usr_"), user, F.lit(")"))).otherwise(_nth(LIFECYCLE_LINES))
     )
     return e.select(F.date_format("ts", "'log-'yyyy-MM-dd").alias("source_file"), F.col("event_id").alias("line_number"), F.lit(0).cast("long").alias("byte_offset"), F.concat(stamp, said).alias("value"))
 
@@ -43,12 +57,13 @@ def r_signals(spark: SparkSession, d: str) -> DataFrame:
     return parse.parse_signals(made_lines(spark, d)).select("line_number", "parser_name", "event_type", "canonical_key", "display_name")
 
 
-@query("r20_lifecycle", "SELECT event_id AS line_number, 'room-left' AS event_type FROM events WHERE event_type = 'error'")
+@query("r20_lifecycle", """SELECT event_id AS line_number, ['room-left', 'room-entering', 'application-quit', 'video-shutdown'][event_id % 4 + 1] AS event_type,
+  CASE WHEN event_id % 4 = 1 THEN 'The Hall' END AS room_name FROM events WHERE event_type = 'error'""")
 def r20(spark: SparkSession, d: str) -> DataFrame:
-    return parse.parse_lifecycle(made_lines(spark, d)).select("line_number", "event_type")
+    return parse.parse_lifecycle(made_lines(spark, d)).select("line_number", "event_type", "room_name")
 
 
-@query("r21_identity", "SELECT event_id AS line_number, 'player-joined' AS event_type, 'P' || (user_id % 7) AS display_name, 'usr_P' || (user_id % 7) AS user_id FROM events WHERE event_type = 'signup'")
+@query("r21_identity", "SELECT event_id AS line_number, ['player-joined', 'player-left', 'user-authenticated'][event_id % 3 + 1] AS event_type, 'P' || (user_id % 7) AS display_name, 'usr_P' || (user_id % 7) AS user_id FROM events WHERE event_type = 'signup'")
 def r21(spark: SparkSession, d: str) -> DataFrame:
     return parse.parse_identity(made_lines(spark, d)).select("line_number", "event_type", "display_name", "user_id")
 
@@ -59,8 +74,101 @@ def p7(spark: SparkSession, d: str) -> DataFrame:
     return made_lines(spark, d).agg(*[F.count_if(parse.holds_any(v, t)).alias(n) for n, t in (("video", parse.VIDEO_TOKENS), ("lifecycle", parse.LIFECYCLE_TOKENS), ("identity", parse.IDENTITY_TOKENS))])
 
 
+#: A line of each form that reads a signal, '#' being the song's number: what is said, and what is to be read:
+#: parser, kind, URL, other URL, name, load and wait, duration, title.  A form may give two signals.
+FORM_LINES = (
+    (f"[VideoListManager] PreviewVideo: # {urls.WANNA_URL}#", [("wannadance_preview", "preview", urls.WANNA_URL + "#", None, None, None, None, None)]),
+    ("[VideoQueueHandler.OnVideoPlay] VizVid callback: video playback started", [("dudu_on_video_play", "actual-play", None, None, None, None, None, None)]),
+    ("[Video Playback] Attempting to resolve URL 'https://youtu.be/#'", [("video_playback_resolve", "resolve-attempt", "https://youtu.be/#", None, None, None, None, None)]),
+    ("[Video Playback] URL 'https://youtu.be/#' resolved to 'https://cdn/x#.mp4'", [("video_playback_resolved", "resolve-complete", "https://youtu.be/#", "https://cdn/x#.mp4", None, None, None, None)]),
+    (f"[USharpVideo (1)] PlayVideoInternal: Playing video {urls.WANNA_URL}#", [("usharp_play_internal", "request", urls.WANNA_URL + "#", None, None, None, None, None)]),
+    (f"<color=#fff>[USharpVideo]</color> Started video load for URL: {urls.WANNA_URL}#, requested by Ann B", [("usharp_video_load", "load-start", urls.WANNA_URL + "#", None, "Ann B", None, None, None)]),
+    (f"[USharpVideo] LoadRoutedURL: {urls.WANNA_URL}# routed to https://r/#", [("usharp_load_routed_url", "route", urls.WANNA_URL + "#", "https://r/#", None, None, None, None)]),
+    ("[USharpVideo] Video loaded (2.5 seconds), but let's wait for 6 seconds before playing it", [("usharp_video_loaded", "video-loaded", None, None, None, 2.5, None, None)]),
+    ("[USharpVideo] DelayedVideoReady: Time's up, let's play", [("usharp_delayed_video_ready", "actual-play", None, None, None, None, None, None)]),
+    (f"[USharpVideo] Playing synced {urls.WANNA_URL}#", [("usharp_playing_synced", "playback-sync", urls.WANNA_URL + "#", None, None, None, None, None)]),
+    ('[VideoQueueManager] q: OnPreSerialization: queue info serialized: [{"songId":#,"title":"1. A","playerNames":["Ann","Bob"]},{"songId":7,"isRandom":true,"playerNames":["R"]}]',
+     [("wannadance_queue_info", "metadata", urls.WANNA_URL + "#", None, "Ann / Bob", None, None, "A"), ("wannadance_queue_info", "metadata", urls.WANNA_URL + "7", None, None, None, None, None)]),
+    ('[VideoQueueManager] q: DeserializeVideoUserData: userData = {"songId":#,"title":"#. Song","playerName":"Ann","duration":90}', [("wannadance_user_data", "metadata", urls.WANNA_URL + "#", None, "Ann", None, 90.0, "Song")]),
+    ('[VideoQueueManager] q: PlayQueueVideo: a userData = {"songId":#}, videoDuration = 180.5', [("wannadance_play_video", "metadata", urls.WANNA_URL + "#", None, None, None, 180.5, None)]),
+    ('[VideoQueueHandler.OnDeserialization] Queue data = [{"id":#,"title":"T","playerName":"C"}]', [("dudu_queue_info", "metadata", urls.DUDU_URL + "#", None, "C", None, None, "T")]),
+    ('[VideoQueueHandler.DeserializeVideoSongData] deserialize video data: {"id":#,"title":"T","artist":"Q","duration":9}', [("dudu_song_data", "metadata", urls.DUDU_URL + "#", None, None, None, 9.0, "T - Q")]),
+    ('[VRCX] LSMedia {"url": "https://a/#b.", "Display-Name": "Zed", "deep": {"userId": "usr_z"}}', [("vrcx_lsmedia", "request", "https://a/#b", None, "Zed", None, None, None)]),
+    ("[Video] playing synced nothing of note", []),
+)
+_FIELDS = ("parser_name", "event_type", "video_url", "other_url", "display_name", "load_seconds", "duration_seconds", "video_name")
+
+
+def _literal(value: str | float | None) -> str:
+    return "NULL" if value is None else str(value) if isinstance(value, float) else f"replace('{value}', '#', (event_id + 1)::VARCHAR)"
+
+
+FORMS_SQL = "\nUNION ALL ".join(
+    f"SELECT event_id AS line_number, {', '.join(f'{_literal(v)} AS {n}' for n, v in zip(_FIELDS, row, strict=True))} FROM events WHERE event_id % {len(FORM_LINES)} = {k}" for k, (_, rows) in enumerate(FORM_LINES) for row in rows
+)
+
+
+@query("r_line_forms", FORMS_SQL)
+def r_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every form of line, read field by field."""
+    said = F.replace(_nth(tuple(line for line, _ in FORM_LINES)), F.lit("#"), (F.col("event_id") + 1).cast("string"))
+    said = F.when(said.startswith("<color="), F.concat(F.lit("<color=#fff>"), F.substring_index(said, ">", -2))).otherwise(said)
+    value = F.concat(F.date_format("ts", "yyyy.MM.dd HH:mm:ss"), F.lit(" Log        -  "), said)
+    lines = events(spark, d).select(F.lit("a").alias("source_file"), F.col("event_id").alias("line_number"), F.lit(0).cast("long").alias("byte_offset"), value.alias("value"))
+    return parse.parse_signals(lines).withColumn("other_url", F.coalesce("routed_url", "resolved_url")).select("line_number", *_FIELDS)
+
+
 @query("t1_fold")
 def t1(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of a session per day, folded and settled with state."""
     rows = parse.session_rows(made_lines(spark, d), F.col("source_file"))
     return sessions.fold_table(rows)
+
+
+def folded(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences of sessions that SQL can fold too: each purchase requests and starts a song of its own, errors leave
+    the room, and all other events are lines that only tell the time."""
+    e = events(spark, d)
+    song, number = F.concat(F.lit(urls.WANNA_URL), (F.col("event_id") + 1).cast("string")), (F.col("event_id") + 1).cast("string")
+    asked = F.concat(F.lit('[VRCX] VideoPlay(W) "'), song, F.lit('",0,'), F.round(F.col("value") * 60, 1).cast("string"), F.lit(',"'), number, F.lit(" : Song (P"), (F.col("user_id") % 7).cast("string"), F.lit(')"'))
+    said = F.when(F.col("event_type") == "purchase", F.array(asked, F.concat(F.lit("[USharpVideo] OnVideoStart: Started video: "), song))).when(F.col("event_type") == "error", F.array(F.lit("[Behaviour] OnLeftRoom"))).otherwise(F.array(F.lit("tick")))
+    day, stamp = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy.MM.dd HH:mm:ss.SSS")
+    lines = e.select(day.alias("source_file"), "event_id", stamp.alias("stamp"), F.posexplode(said).alias("k", "said"))
+    lines = lines.select("source_file", (F.col("event_id") * 2 + F.col("k")).alias("line_number"), F.lit(0).cast("long").alias("byte_offset"), F.concat("stamp", F.lit(" Log        -  "), "said").alias("value"))
+    return sessions.fold_table(parse.session_rows(lines, F.col("source_file")))
+
+
+FOLDED = """e AS (SELECT ts::DATE AS day, epoch_us(ts) // 1000 AS at_ms, event_id, user_id, event_type, round(value * 60, 1) AS len FROM events), s AS (SELECT * FROM e WHERE event_type = 'purchase'),
+f AS (SELECT s.*, (SELECT min(at_ms) FROM e x WHERE x.day = s.day AND x.event_type IN ('purchase', 'error') AND x.event_id > s.event_id) AS force_at,
+  (SELECT arg_min(event_type, event_id) FROM e x WHERE x.day = s.day AND x.event_type IN ('purchase', 'error') AND x.event_id > s.event_id) AS force_by,
+  (SELECT min(at_ms) FROM e x WHERE x.day = s.day AND x.event_id > s.event_id AND x.at_ms >= s.at_ms + ceil((s.len * 0.8 - 0.001) * 1000)) AS done_at, (SELECT max(at_ms) FROM e x WHERE x.day = s.day) AS last_at FROM s),
+g AS (SELECT *, done_at IS NOT NULL AND (force_at IS NULL OR done_at <= force_at) AS complete FROM f),
+folded AS (SELECT event_id, user_id, day, at_ms, len, CASE WHEN complete THEN 'completed' ELSE 'interrupted' END AS status, CASE WHEN complete THEN done_at ELSE coalesce(force_at, last_at) END AS settled_ms,
+  CASE WHEN complete THEN 'observed_completion_threshold' ELSE CASE force_by WHEN 'purchase' THEN 'superseded_before_completion' WHEN 'error' THEN 'room_left' ELSE 'watcher_stopped' END END AS reason FROM g)"""
+
+
+@query("t1_settled_fold", f"""WITH {FOLDED} SELECT 'wannadance:' || (event_id + 1) || '#1' AS event_key, 2::BIGINT AS signal_count, len AS duration_seconds, status, reason, settled_ms, round((settled_ms - at_ms) / 1000.0, 3)::DOUBLE AS played_seconds, 0.0::DOUBLE AS delay FROM folded""")
+def t1_settled(spark: SparkSession, d: str) -> DataFrame:
+    o = folded(spark, d)
+    return o.select("event_key", "signal_count", "duration_seconds", F.col("completion_status").alias("status"), F.col("completion_reason").alias("reason"), F.unix_millis(F.col("settled_at").cast("timestamp")).alias("settled_ms"), "played_seconds", F.col("delay_to_actual_seconds").alias("delay"))
+
+
+KEYS = "sha256('watcher-playback-event' || chr(31) || day || chr(31) || 'wannadance:' || (event_id + 1) || '#1')"
+EVIDENCE_SQL = "sha256('legacy-playback-cleanup' || chr(31) || 'project' || chr(31) || '{table}' || chr(31) || '0' || chr(31) || " + KEYS + ")"
+
+
+@query("t16_records", f"""WITH {FOLDED} SELECT {EVIDENCE_SQL.format(table=evidence.WATCHER_TABLE)} AS evidence_key, (event_id + 1)::VARCHAR AS external_id, CASE WHEN (event_id + 1) % 5 <> 0 THEN event_id + 1 END AS track_id, at_ms AS played_ms, 'player' AS request_type,
+  CASE status WHEN 'completed' THEN 'accepted' ELSE 'needs_attention' END AS default_status, reason AS status_reason, settled_ms AS end_ms, 'P' || (user_id % 7) AS requester_display_name, 'Song' AS video_name FROM folded""")
+def t16(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence records of folded occurrences; the catalog lacks every fifth song."""
+    songs = events(spark, d).filter("(event_id + 1) % 5 <> 0").select((F.col("event_id") + 1).alias("track_id"), F.lit("wannadance").alias("system_key"), (F.col("event_id") + 1).cast("string").alias("external_id"))
+    r = evidence.evidence_records(folded(spark, d), songs)
+    return r.select("evidence_key", "external_id", "track_id", F.unix_millis(F.col("played_at").cast("timestamp")).alias("played_ms"), "request_type", "default_status", "status_reason", F.unix_millis(F.col("observed_end_at").cast("timestamp")).alias("end_ms"), "requester_display_name", "video_name")
+
+
+@query("k11_promotion", f"WITH {FOLDED} SELECT {EVIDENCE_SQL.format(table=evidence.LIVE_TABLE)} AS evidence_key, 'accepted' AS default_status, CASE WHEN event_id % 2 = 0 THEN 'unchanged' ELSE 'inserted' END AS action FROM folded WHERE status = 'completed'")
+def k11(spark: SparkSession, d: str) -> DataFrame:
+    """Completed plays promoted into evidence that has every other one already."""
+    o = folded(spark, d)
+    before = evidence.evidence_records(merges.promotable(o.filter("external_id % 2 = 1")), None, evidence.LIVE_TABLE)
+    return evidence.promote(before, o).select("evidence_key", "default_status", "action")

@@ -21,20 +21,34 @@ def counted(df: DataFrame, **columns) -> tuple[DataFrame, Observation]:
 
 
 def write_catalog(df: DataFrame, folder: str) -> None:
-    """The catalog as CSV with a header, and as JSON."""
-    df.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
+    """The catalog as CSV with a header, and as JSON.  Each CSV file begins with a byte-order mark, on its header's first name."""
+    marked = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    marked.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
     df.write.mode("overwrite").json(f"{folder}/json")
 
 
 def newest(stream: DataFrame, order: str, keep: int, publish: Callable[[list[dict]], None], checkpoint: str) -> DataStreamWriter:
-    """Hands the newest ``keep`` rows seen so far to ``publish`` after each batch; readers that lag see only the last state."""
-    held: list[dict] = []
-
-    def take(batch: DataFrame, _: int) -> None:
-        rows = [r.asDict(recursive=True) for r in batch.orderBy(F.desc(order)).limit(keep).collect()]
-        merged = {str(r): r for r in held + rows}
-        held[:] = sorted(merged.values(), key=lambda r: r[order], reverse=True)[:keep]
-        publish(list(held))
+    """Hands the newest ``keep`` rows seen so far to ``publish`` after each batch; readers that lag see only the last state.
+
+    What has been published is kept in a folder beside the checkpoint, one small table per batch, of which the last
+    two stay: a stream that starts again goes on from it, and a batch that is repeated gives the same rows.
+    """
+    folder = f"{checkpoint}-newest"
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(conf)
+        listed = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+        written = sorted(int(name) for name in listed if name.isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")))
+        past = [n for n in written if n < batch_id]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/{past[-1]}")) if past else batch
+        rows.distinct().orderBy(F.desc(order)).limit(keep).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{batch_id}")
+        newest_rows = spark.read.schema(batch.schema).parquet(f"{folder}/{batch_id}").orderBy(F.desc(order)).collect()
+        for old in past[:-1]:
+            files.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}"), True)
+        publish([r.asDict(recursive=True) for r in newest_rows])
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
 

@@ -60,8 +60,28 @@ class History(DataSource):
         return HistoryReader(o["path"], o.get("table", TABLE), [f.name for f in schema.fields], int(o.get("step", 100_000)))
 
 
+def has_tables(path: str, *names: str) -> bool:
+    """Whether an SQLite file is there and has all of these tables; a file that is no database has none."""
+    try:
+        base = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    except sqlite3.Error:
+        return False
+    try:
+        found = {name for (name,) in base.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+    except sqlite3.Error:
+        return False
+    finally:
+        base.close()
+    return set(names) <= found
+
+
 def read_history(spark: SparkSession, path: str, limit: int | None = None, table: str = TABLE) -> DataFrame:
-    """Rows with a URL in order of time; a limit counts rows before anything tells whether they are supported."""
+    """Rows with a URL in order of time; a limit counts rows before anything tells whether they are supported.
+
+    A file without the table is an error that says so.
+    """
+    if not has_tables(path, table):
+        raise ValueError(f"{path} has no table {table}")
     spark.dataSource.register(History)
     rows = spark.read.format("sqlite_history").option("path", path).option("table", table).load().filter("video_url <> ''").orderBy("created_at", "id")
     return rows if limit is None else rows.limit(limit)

@@ -6,12 +6,14 @@ import datetime as dt
 import json
 import os
 import random
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import timestamps
 
@@ -22,24 +24,35 @@ PATTERN = "output_log_*.txt"
 
 
 def replay(spark: SparkSession, paths: str | list[str], pattern: str = PATTERN) -> DataFrame:
-    """Lines of finished log files; files are read in parallel, each by one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                numbers, offsets, values = [], [], []
-                raw, start = content.as_py(), 0
-                for number, line in enumerate(_by_newline(raw), 1):
-                    numbers.append(number)
-                    offsets.append(start)
-                    values.append(line.rstrip(b"\r\n").decode("utf-8", errors="replace"))
-                    start += len(line)
-                for at in range(0, len(numbers), 50_000):
-                    part = slice(at, at + 50_000)
-                    yield pa.RecordBatch.from_pydict({"source_file": [name] * len(numbers[part]), "line_number": pa.array(numbers[part], pa.int64()), "byte_offset": pa.array(offsets[part], pa.int64()), "value": pa.array(values[part], pa.string())})
-
-    return files.select("path", "content").mapInArrow(run, LINES)
+    """Lines of finished log files, with their numbers and byte offsets; files are read in ranges, of any size, in parallel.
+
+    Spark cuts files into byte ranges.  Each range numbers its own lines and adds up their bytes as it is read; what
+    comes before a range in its file is the sum of the ranges before it, one small row each.
+    """
+    text = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).text(paths)
+    ranges = text.select("value", F.octet_length("value").cast("long").alias("size"), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__block"))
+    totals = ranges.groupBy("source_file", "__block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") + 1).alias("bytes"))
+    earlier = Window.partitionBy("source_file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("source_file", "__block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}") for c in ("n", "bytes")])
+    placed = ranges.mapInArrow(_placed, "source_file string, __block long, line_number long, byte_offset long, value string").join(before, ["source_file", "__block"])
+    clean = F.make_valid_utf8(F.regexp_replace("value", "\r+$", ""))
+    return placed.select("source_file", (F.col("line_number") + F.col("__n")).alias("line_number"), (F.col("byte_offset") + F.col("__bytes")).alias("byte_offset"), clean.alias("value"))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers and offsets of lines within the range of a file that they stand in; a range's lines come in order."""
+    here, number, offset = None, 0, 0
+    for batch in batches:
+        names, starts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        numbers, offsets = [], []
+        for size, name, start in zip(batch.column(1).to_pylist(), names, starts, strict=True):
+            if (name, start) != here:
+                here, number, offset = (name, start), 0, 0
+            number += 1
+            numbers.append(number)
+            offsets.append(offset)
+            offset += size + 1
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64()), batch.column(0)], names=["source_file", "__block", "line_number", "byte_offset", "value"])
 
 
 def _by_newline(raw: bytes) -> list[bytes]:
@@ -48,6 +61,11 @@ def _by_newline(raw: bytes) -> list[bytes]:
     return lines + [parts[-1]] if parts[-1] else lines
 
 
+def read_json_lines(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """Rows of JSON-lines files; a line that is no JSON object is an error, not a row of nulls."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
+
+
 def in_time_order(lines: DataFrame) -> DataFrame:
     """Lines of all files by stamp, file and line; a line without stamp follows the one before it."""
     at = timestamps.wall_clock(timestamps.line_stamp(F.col("value")))
@@ -153,6 +171,45 @@ class LogTail(DataSource):
         return TailReader(o["path"], str(o.get("from_start", "false")).lower() == "true", o.get("prefix", "output_log_"), int(o.get("most_bytes", CONTEXT_BYTES)), unfinished=True)
 
 
+def run_until(query: StreamingQuery, idle_seconds: float | None = None, most_rows: int | None = None, poll_seconds: float = 0.2) -> dict:
+    """Lets a stream run until nothing has come for a while, or so many rows have, then stops it and tells its summary.
+
+    Rows are those that progress reports tell of; a batch that has begun is finished.  A failed stream raises.
+    """
+    rows, last_batch, changed = 0, -1, time.monotonic()
+    while query.isActive:
+        for p in query.recentProgress:
+            if p["batchId"] > last_batch:
+                last_batch = p["batchId"]
+                rows += p["numInputRows"]
+                if p["numInputRows"]:
+                    changed = time.monotonic()
+        if most_rows is not None and rows >= most_rows or idle_seconds is not None and time.monotonic() - changed >= idle_seconds:
+            query.stop()
+            break
+        time.sleep(poll_seconds)
+    if query.exception() is not None:
+        raise query.exception()
+    return session_summary(query)
+
+
+def session_summary(query: StreamingQuery) -> dict:
+    """What a stream has done so far: batches, rows, first and last time, where each source ends, and observed counts.
+
+    Counts of :func:`sinks.counted` are added up over the batches.
+    """
+    reports = [p for p in query.recentProgress]
+    observed: dict[str, int] = {}
+    for p in reports:
+        for row in p["observedMetrics"].values():
+            for name, value in row.asDict().items():
+                observed[name] = observed.get(name, 0) + (value or 0)
+    return {
+        "batches": len({p["batchId"] for p in reports if p["numInputRows"]}), "rows": sum(p["numInputRows"] for p in reports), "started": reports[0]["timestamp"] if reports else None,
+        "ended": reports[-1]["timestamp"] if reports else None, "offsets": [s["endOffset"] for s in reports[-1]["sources"]] if reports else [], "observed": observed,
+    }
+
+
 def summary(progress: dict) -> str:
-    """A session summary as JSON text, from a streaming query's last progress or observed counts."""
+    """A session summary as JSON text, from :func:`session_summary` or observed counts."""
     return json.dumps(progress, sort_keys=True, default=str)

@@ -1,7 +1,7 @@
 """Log lines to signals: every known form of line as a row of a table of patterns, in column expressions.
 
-A cheap token filter keeps the heavy patterns off most lines.  All patterns are tried on a line; signals
-that agree in URL, display name and parser are kept once.  Only the payload of two forms, whose JSON may
+A cheap token filter keeps most lines away, and a plain search for a form's hint keeps its pattern off other lines.
+A line gives a row per form that it has, and each row is read by its own form's pattern alone.  Only the payload of two forms, whose JSON may
 nest anywhere and whose fields vary in number, needs a small Arrow function.
 """
 
@@ -85,6 +85,7 @@ class JsonForm:
     duration_group: int = 0
 
 
+# Forms of lines with JSON, and the names of its fields.
 _QUEUE = r"\[VideoQueueManager\].*?:\s+"
 JSON_FORMS = (
     JsonForm("wannadance_queue_info", _QUEUE + r"(?:OnPreSerialization:\s+queue info serialized:\s*|OnDeserialization:\s+syncedQueuedInfoJson\s*=\s*)(\[.*\])", True, urls.WANNA, "wanna_queue_json",
@@ -98,7 +99,25 @@ JSON_FORMS = (
     JsonForm("dudu_song_data", r"\[VideoQueueHandler\.DeserializeVideoSongData\]\s+deserialize video data:\s*(\{.*\})", False, urls.DUDU, "dudu_song_json",
              ("id", "songId", "song_id"), ("url", "videoUrl", "video_url"), ("info", "title", "name"), ("user", "playerName", "displayName"), ("shuffle", "isRandom")),
 )
-PAYLOAD_FORMS = (("vrcx_video_play", r"\[VRCX\]\s+VideoPlay\(([^)]+)\)\s*(.*)"), ("vrcx_lsmedia", r"\[VRCX\]\s+LSMedia()\s*(.*)"))
+
+
+@dataclass(frozen=True)
+class PayloadForm:
+    """A form of line with a payload of free structure in its second group."""
+
+    parser: str
+    pattern: str
+
+
+# Forms of lines, and what a line must hold in lower case to be of a form.
+PAYLOAD_FORMS = (PayloadForm("vrcx_video_play", r"\[VRCX\]\s+VideoPlay\(([^)]+)\)\s*(.*)"), PayloadForm("vrcx_lsmedia", r"\[VRCX\]\s+LSMedia()\s*(.*)"))
+HINTS = {
+    "wannadance_preview": "previewvideo:", "dudu_on_video_play": "onvideoplay]", "video_playback_resolve": "resolv", "video_playback_resolved": "resolved to", "user_added_url": "added url",
+    "usharp_play_internal": "playvideointernal:", "usharp_video_load": "started video load for url:", "usharp_load_routed_url": "loadroutedurl:", "usharp_video_loaded": "but let's wait for",
+    "usharp_delayed_video_ready": "delayedvideoready:", "usharp_on_video_start": "onvideostart:", "usharp_playing_synced": "playing synced", "wannadance_queue_info": "[videoqueuemanager]",
+    "wannadance_user_data": "deserializevideouserdata:", "wannadance_play_video": "videoduration", "dudu_queue_info": "queue data", "dudu_song_data": "deserialize video data:", "vrcx_video_play": "videoplay(",
+    "vrcx_lsmedia": "lsmedia",
+}
 
 
 def holds_any(line: Column, tokens: tuple[str, ...]) -> Column:
@@ -110,23 +129,9 @@ def _signal(**fields: Column) -> Column:
     return F.struct(*[fields.get(n, null).cast("string").alias(n) for n in TEXTS], *[fields.get(n, null).cast("double").alias(n) for n in NUMBERS])
 
 
-def _by_pattern(line: Column, form: Form) -> Column:
-    pattern = "(?i)" + form.pattern
-
-    def group(at: int, manner: str) -> Column:
-        found = F.regexp_extract(line, pattern, at)
-        return {"url": text.clean_url, "name": text.clean_name, "text": blank_to_null, "number": lambda c: c.try_cast("double")}[manner](found)
-
-    fields = {name: group(at, manner) for name, (at, manner) in form.groups.items()} | {k: F.lit(v) for k, v in form.fixed.items()}
-    return F.when(line.rlike(pattern), F.array(_signal(event_type=F.lit(form.event), parser_name=F.lit(form.parser), **fields)))
-
-
 def _of_form(make) -> Column:
-    """A column that each JSON form makes in its own way."""
-    chain = None
-    for form in JSON_FORMS:
-        chain = (F if chain is None else chain).when(F.col("__parser") == form.parser, make(form))
-    return chain
+    """A constant of each JSON form, looked up by the row's parser."""
+    return F.try_element_at(F.create_map(*[c for form in JSON_FORMS for c in (F.lit(form.parser), make(form))]), F.col("__parser"))
 
 
 def _names(said: Column) -> Column:
@@ -213,30 +218,54 @@ def read_payload(payload: str) -> dict:
 
 @F.pandas_udf(PAYLOAD_SCHEMA)
 def payload_fields(payloads: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_payload(p or "") for p in payloads], columns=PAYLOAD_SCHEMA.names)
+    nothing = read_payload("")  # most rows have no such payload
+    return pd.DataFrame([read_payload(p) if p else nothing for p in payloads], columns=PAYLOAD_SCHEMA.names)
 
 
-_RAW = "struct<rank: int, direct: struct<" + ", ".join([f"{n}: string" for n in TEXTS] + [f"{n}: double" for n in NUMBERS]) + ">, parser: string, payload: string, world: string, seconds: double>"
+#: Forms by the rank that orders the signals of a line: the preview, then JSON, then other patterns, then payloads.
+RANKED = {
+    **{k if k == 0 else 10 + k: form for k, form in enumerate(FORMS)},
+    **dict(enumerate(JSON_FORMS, 1)),
+    **dict(enumerate(PAYLOAD_FORMS, 30)),
+}
+_DIRECT = [k for k, form in RANKED.items() if isinstance(form, Form)]
+_PLAYING = min(k for k, form in RANKED.items() if isinstance(form, PayloadForm))
 
 
-def _raw(rank: int, condition: Column, **fields: Column) -> Column:
-    null = F.lit(None)
-    return F.when(condition, F.struct(F.lit(rank).alias("rank"), *[fields.get(n, null).alias(n) for n in ("direct", "parser", "payload", "world", "seconds")]).cast(_RAW))
+def _constant(values: dict[int, str]) -> Column:
+    """A constant of the row's form; null for a form without one."""
+    return F.try_element_at(F.create_map(*[F.lit(c) for pair in values.items() for c in pair]), F.col("rank"))
 
 
-def _found_in(line: Column) -> Column:
-    """What the forms find in a line: whole signals, or payloads to be read."""
-    found = []
-    for k, form in enumerate(FORMS):
-        found.append(_raw(k if k == 0 else 10 + k, line.rlike("(?i)" + form.pattern), direct=_by_pattern(line, form)[0]))
-    for k, form in enumerate(JSON_FORMS, 1):
-        pattern = "(?i)" + form.pattern
-        seconds = F.regexp_extract(line, pattern, form.duration_group).try_cast("double") if form.duration_group else F.lit(None)
-        found.append(_raw(k, line.rlike(pattern), parser=F.lit(form.parser), payload=F.regexp_extract(line, pattern, 1), seconds=seconds))
-    for k, (parser, pattern) in enumerate(PAYLOAD_FORMS, 30):
-        world = blank_to_null(F.trim(F.regexp_extract(line, "(?i)" + pattern, 1))) if k == 30 else F.lit("LSMedia")
-        found.append(_raw(k, line.rlike("(?i)" + pattern), parser=F.lit(parser), payload=F.regexp_extract(line, "(?i)" + pattern, 2), world=world))
-    return F.array_compact(F.array(*found))
+def _by_rank(values: dict[int, Column]) -> Column:
+    """The value of the row's form; null for a form without one."""
+    chain = None
+    for rank, value in values.items():
+        chain = (F if chain is None else chain).when(F.col("rank") == rank, value)
+    return chain
+
+
+def _forms_in(line: Column, low: Column) -> Column:
+    """Ranks of the forms that a line has; a plain search for the form's hint comes before its pattern."""
+    return F.array_compact(F.array(*[F.when(low.contains(HINTS[form.parser]) & line.rlike("(?i)" + form.pattern), F.lit(rank)) for rank, form in RANKED.items()]))
+
+
+def _group(line: Column, number: int) -> Column:
+    """A group of the pattern of the row's own form."""
+    return _by_rank({rank: F.regexp_extract(line, "(?i)" + form.pattern, number) for rank, form in RANKED.items() if re.compile(form.pattern).groups >= number})
+
+
+def _direct_signal() -> Column:
+    """The signal of a form whose groups are its fields."""
+    forms = {rank: RANKED[rank] for rank in _DIRECT}
+    fields = {"event_type": _constant({k: f.event for k, f in forms.items()}), "parser_name": _constant({k: f.parser for k, f in forms.items()})}
+    for name in {n for f in forms.values() for n in f.groups}:
+        manner = next(f.groups[name][1] for f in forms.values() if name in f.groups)
+        found = _by_rank({k: F.col(f"__g{f.groups[name][0]}") for k, f in forms.items() if name in f.groups})
+        fields[name] = {"url": text.clean_url, "name": text.clean_name, "text": blank_to_null, "number": lambda c: c.try_cast("double")}[manner](found)
+    for name in {n for f in forms.values() for n in f.fixed}:
+        fields[name] = _constant({k: f.fixed[name] for k, f in forms.items() if name in f.fixed})
+    return F.when(F.col("rank").isin(_DIRECT), _signal(**fields))
 
 
 def parse_signals(lines: DataFrame) -> DataFrame:
@@ -244,12 +273,17 @@ def parse_signals(lines: DataFrame) -> DataFrame:
     at = timestamps.wall_clock(timestamps.line_stamp(F.col("value")))
     kept = lines.filter(holds_any(F.col("value"), VIDEO_TOKENS)).withColumns({"at": at, "__line": text.without_colour_tags(F.col("value"))})
     base = ("source_file", "line_number", "byte_offset", "at")
-    raw = kept.select(*base, F.col("value").alias("raw_line"), F.explode(_found_in(F.col("__line"))).alias("r")).select(*base, "raw_line", "r.rank", "r.direct", F.col("r.parser").alias("__parser"), "r.payload", "r.world", "r.seconds")
-
-    # Payloads of free structure are read first: an Arrow function also ends a stretch of generated code.
-    is_free = F.coalesce(F.col("__parser").isin(*[p for p, _ in PAYLOAD_FORMS]), F.lit(False))
-    raw = raw.withColumn("__p", payload_fields(F.when(is_free, F.col("payload")).otherwise("")))
+    held = kept.select(*base, F.col("value").alias("raw_line"), "__line", F.explode(_forms_in(F.col("__line"), F.lower("__line"))).alias("rank"))
+    held = held.select(*base, "raw_line", "rank", _group(F.col("__line"), 1).alias("__g1"), _group(F.col("__line"), 2).alias("__g2"))
+    others = {k: f for k, f in RANKED.items() if k not in _DIRECT}
+    raw = held.select(
+        *base, "raw_line", "rank", _direct_signal().alias("direct"), _constant({k: f.parser for k, f in others.items()}).alias("__parser"),
+        _by_rank({k: F.col("__g1" if isinstance(f, JsonForm) else "__g2") for k, f in others.items()}).alias("payload"),
+        F.when(F.col("rank") == _PLAYING, blank_to_null(F.trim("__g1"))).when(F.col("rank") > _PLAYING, "LSMedia").alias("world"),
+        _by_rank({k: F.col(f"__g{f.duration_group}").try_cast("double") for k, f in others.items() if isinstance(f, JsonForm) and f.duration_group}).alias("seconds"),
+    )
 
+    is_free = F.coalesce(F.col("__parser").isin(*[f.parser for f in PAYLOAD_FORMS]), F.lit(False))
     # JSON objects, of equal link and name in a line the first; other rows pass through with none.
     is_json = F.coalesce(F.col("__parser").isin(*[f.parser for f in JSON_FORMS]), F.lit(False))
     listed = F.when(is_json, F.from_json(F.when(F.col("payload").startswith("["), F.col("payload")).otherwise(F.concat(F.lit("["), "payload", F.lit("]"))), "array<map<string, string>>"))
@@ -261,7 +295,7 @@ def parse_signals(lines: DataFrame) -> DataFrame:
 
     keyed = with_entries.withColumn("__keys", F.transform("__entries", name_of))
     once = F.filter("__entries", lambda e, k: F.array_position(F.col("__keys"), F.element_at(F.col("__keys"), k + 1)) == k + 1)
-    spread = keyed.select(*base, "raw_line", "rank", "direct", "__parser", "payload", "world", "seconds", "__p", F.posexplode_outer(once).alias("__k", "__e"))
+    spread = keyed.select(*base, "raw_line", "rank", "direct", "__parser", "payload", "world", "seconds", F.posexplode_outer(once).alias("__k", "__e"))
     spread = spread.filter(~is_json | F.col("__e").isNotNull())
     e = F.col("__e")
     one = spread.withColumns({f"__{k}": v for k, v in _entry(e).items()})
@@ -272,7 +306,8 @@ def parse_signals(lines: DataFrame) -> DataFrame:
     info = blank_to_null(text.strip(F.try_element_at(e, F.lit("info"))))
     one = one.withColumn("__title", F.when(F.col("__parser") == "dudu_song_data", F.coalesce(info, both)).otherwise(title))
 
-    # Payloads of free structure, a row per URL.
+    # Payloads of free structure, a row per URL; the Arrow function also parts the generated code in two.
+    one = one.withColumn("__p", payload_fields(F.when(is_free, F.col("payload")).otherwise("")))
     links = F.when(is_free, F.array_distinct(F.filter(F.transform(F.col("__p")["urls"], text.clean_url), lambda u: u != "")))
     one = one.withColumn("__links", links).select("*", F.posexplode_outer("__links").alias("__j", "__u")).filter(~is_free | F.col("__u").isNotNull())
     one = one.withColumn("__parts", text.title_parts(F.coalesce(F.when(is_free, F.col("__p")["title"]).otherwise(F.col("__title")), F.lit(""))))
@@ -280,23 +315,29 @@ def parse_signals(lines: DataFrame) -> DataFrame:
 
     seconds = F.coalesce(F.col("seconds"), F.try_element_at(e, F.lit("duration")).try_cast("double"))
     stub = F.concat(_of_form(lambda f: F.lit(urls.WANNA_URL if f.system == urls.WANNA else urls.DUDU_URL)), number)
-    read = F.when((number != "") | F.col("__link").isNotNull(), _signal(
-        event_type=F.lit("metadata"), parser_name=F.col("__parser"), video_url=F.coalesce(text.clean_url(F.col("__link")), stub), display_name=F.col("__name"), video_name=parts["name"],
-        video_id=F.coalesce(blank_to_null(number), parts["id"]), requester_marker=parts["marker"], source_hint=F.when(F.col("__random"), "random"), duration_seconds=seconds,
-        duration_source=F.when(seconds.isNotNull(), _of_form(lambda f: F.lit(f.duration_source))),
-    ))
+    read = {
+        "event_type": F.lit("metadata"), "parser_name": F.col("__parser"), "video_url": F.coalesce(text.clean_url(F.col("__link")), stub), "display_name": F.col("__name"), "video_name": parts["name"],
+        "video_id": F.coalesce(blank_to_null(number), parts["id"]), "requester_marker": parts["marker"], "source_hint": F.when(F.col("__random"), "random"), "duration_seconds": seconds,
+        "duration_source": F.when(seconds.isNotNull(), _of_form(lambda f: F.lit(f.duration_source))),
+    }
     marker, running, length = parts["marker"], p["video_offset"] > 0, text.real_duration(p["duration"])
     is_random = F.lower(marker) == "random"
-    free = _signal(
-        event_type=F.when(running, "playback-progress").otherwise("request"), parser_name=F.col("__parser"), world_parser=F.col("world"), video_url=F.col("__u"),
-        display_name=F.when(marker.isNotNull() & ~is_random, marker).otherwise(text.clean_name(p["display_name"])), video_name=F.coalesce(parts["name"], text.clean_name(p["structured_name"])),
-        video_id=F.coalesce(parts["id"], p["structured_id"]), requester_marker=marker, requester_user_id=p["user_id"], requester_user_id_source=F.when(p["user_id"].isNotNull(), "payload"),
-        source_hint=F.when(is_random, "random").when(marker.isNotNull(), "requester_marker"), actual_play_method=F.when(running, "vrcx_progress_offset"),
-        video_offset_seconds=p["video_offset"], duration_seconds=length, duration_source=F.when(length.isNotNull(), "vrcx_payload"),
-    )
-    signal = F.when(is_json, read).when(is_free, free).otherwise(F.col("direct"))
+    free = {
+        "event_type": F.when(running, "playback-progress").otherwise("request"), "parser_name": F.col("__parser"), "world_parser": F.col("world"), "video_url": F.col("__u"),
+        "display_name": F.when(marker.isNotNull() & ~is_random, marker).otherwise(text.clean_name(p["display_name"])), "video_name": F.coalesce(parts["name"], text.clean_name(p["structured_name"])),
+        "video_id": F.coalesce(parts["id"], p["structured_id"]), "requester_marker": marker, "requester_user_id": p["user_id"], "requester_user_id_source": F.when(p["user_id"].isNotNull(), "payload"),
+        "source_hint": F.when(is_random, "random").when(marker.isNotNull(), "requester_marker"), "actual_play_method": F.when(running, "vrcx_progress_offset"),
+        "video_offset_seconds": p["video_offset"], "duration_seconds": length, "duration_source": F.when(length.isNotNull(), "vrcx_payload"),
+    }
+    fine = F.when(is_json, (number != "") | F.col("__link").isNotNull()).otherwise(is_free | F.col("direct").isNotNull())
     place = (F.col("rank") * 1_000_000 + F.coalesce("__k", F.lit(0)) * 1_000 + F.coalesce("__j", F.lit(0))).cast("int")
-    found = one.select(*base, place.alias("ordinal"), signal.alias("s"), "raw_line").filter("s is not null").select(*base, "ordinal", "s.*", "raw_line")
+
+    def field(name: str, kind: str) -> Column:
+        """A field of a signal, each kind of form in its own way; not a struct of all, which Spark would repeat for each."""
+        chosen = F.when(is_json, read[name]) if name in read else F.when(is_json, F.lit(None).cast(kind))
+        return chosen.when(is_free, free.get(name, F.lit(None)).cast(kind)).otherwise(F.col("direct")[name]).alias(name)
+
+    found = one.filter(fine).select(*base, place.alias("ordinal"), *[field(n, "string") for n in TEXTS], *[field(n, "double") for n in NUMBERS], "raw_line")
     named = found.withColumn("__known", urls.classify_url(F.coalesce("video_url", "routed_url")))
     progress, known = F.col("event_type") == "playback-progress", F.col("__known")
     return named.withColumns({
@@ -308,6 +349,7 @@ def parse_signals(lines: DataFrame) -> DataFrame:
 def parse_lifecycle(lines: DataFrame) -> DataFrame:
     """Room and application events: source_file, line_number, byte_offset, at, event_type, room_name."""
     plain = text.without_colour_tags(F.col("value"))
+    # Forms of lines.
     room = r"(?i)\[Behaviour\]\s+Entering Room:\s*(.+?)\s*$"
     kind = (
         F.when(plain.rlike(r"(?i)\[Behaviour\]\s+OnLeftRoom\b"), "room-left").when(plain.rlike(room), "room-entering")
@@ -322,6 +364,7 @@ def parse_lifecycle(lines: DataFrame) -> DataFrame:
 def parse_identity(lines: DataFrame) -> DataFrame:
     """Who is who: source_file, line_number, byte_offset, at, event_type, display_name, user_id."""
     plain = text.without_colour_tags(F.col("value"))
+    # Fixed value: forms of lines.
     who = r"(?i)(?:\[Behaviour\]\s+OnPlayer(Joined|Left)|User Authenticated:)\s+(.+?)\s+\((usr_[^)]+)\)"
     action = F.lower(F.regexp_extract(plain, who, 1))
     kind = F.when(action == "joined", "player-joined").when(action == "left", "player-left").otherwise("user-authenticated")

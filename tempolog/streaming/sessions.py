@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -55,7 +56,8 @@ def fold_table(rows: DataFrame, finish: bool = True, strict_boundary: bool = Fal
 class SessionProcessor(StatefulProcessor):
     """Feeds each micro-batch to the session's state and puts out all of its occurrences that are new or changed.
 
-    A row of kind ``stop`` ends a session as a normal stop of the source does.
+    What no later row can change leaves the state once it has been put out, so the state holds what plays and
+    waits, not the session's past.  A row of kind ``stop`` ends a session as a normal stop of the source does.
     """
 
     def init(self, handle) -> None:
@@ -73,10 +75,12 @@ class SessionProcessor(StatefulProcessor):
                 state.finish()
             else:
                 state.feed(row)
-        now = {o["event_key"]: repr(sorted(o.items())) for o in state.rows()}
+        now = {o["event_key"]: hashlib.blake2b(repr(sorted(o.items())).encode(), digest_size=8).digest() for o in state.rows()}
         changed = {k for k, v in now.items() if told.get(k) != v}
-        self.held.update((pickle.dumps((state, now)),))
         found = _table(key[0], state).to_pandas()
+        for name in state.release():
+            del now[name]
+        self.held.update((pickle.dumps((state, now)),))
         yield found[found["event_key"].isin(changed)]
 
     def close(self) -> None:

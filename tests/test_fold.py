@@ -211,3 +211,57 @@ def test_windows_settle_as_the_fold_does(spark):
             expected[int(o["external_id"])] = (o["completion_status"], settled and int(settled.replace(tzinfo=dt.UTC).timestamp() * 1e6))
     df = spark.createDataFrame(rows, "session long, at_us long, row_id long, kind string, item long, seconds double")
     assert {r["item"]: (r["status"], r["settled_us"]) for r in settle(df).collect()} == expected
+
+
+def test_the_state_lets_go_of_what_is_over():
+    """A long session's state holds what plays and waits; what has left it was complete as it was."""
+    state, whole = Session(), Session()
+    seen: dict[str, dict] = {}
+    for k in range(200):
+        at = BASE + dt.timedelta(seconds=20 * k)
+        place = {"source_file": "a", "line_number": k, "at": at}
+        fed = [{"event_type": "clock", **place}, {"event_type": "on-video-start", "parser_name": "p", "canonical_key": f"k:{k % 50}", "system_key": "k", "external_id": str(k % 50), "video_url": "u", "duration_seconds": 10.0, **place}]
+        if k % 10 == 9:
+            fed.append({"event_type": "room-left", **place})
+        for row in fed:
+            state.feed(row)
+            whole.feed(row)
+        seen |= {o["event_key"]: o for o in state.rows()}
+        state.release()
+    assert len(state.occurrences) < 12 and len(whole.occurrences) == 200
+    assert seen == {o["event_key"]: o for o in whole.rows()}
+
+
+def test_long_sessions_take_time_in_proportion():
+    def took(n):
+        state, began = Session(), time.perf_counter()
+        for k in range(n):
+            place = {"source_file": "a", "line_number": k, "at": BASE + dt.timedelta(seconds=20 * k)}
+            state.feed({"event_type": "clock", **place})
+            state.feed({"event_type": "on-video-start", "parser_name": "p", "canonical_key": f"k:{k}", "system_key": "k", "external_id": str(k), "video_url": "u", "duration_seconds": 10.0, **place})
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(8000) < 40 * took(1000)
+
+
+def test_occurrences_become_records(spark, signals, rows):
+    """Times come in their order, songs without key and occurrences without time give none, promotion is idempotent."""
+    from tempolog.operators import evidence
+
+    kinds = sessions.OCCURRENCES
+    base = dict.fromkeys(sessions.ARROW.names) | {"session": "s", "system_key": " Wanna ", "external_id": "7", "completion_status": "pending", "observed_mid_play": False}
+    at = {n: BASE + dt.timedelta(seconds=k) for k, n in enumerate(("actual_play_at", "first_seen_at", "last_seen_at"))}
+    made = [
+        base | at | {"event_key": "a", "completion_status": "completed", "completion_reason": "r", "duration_seconds": 9.0}, base | {"event_key": "b", "first_seen_at": at["first_seen_at"], "last_seen_at": at["last_seen_at"], "completion_status": "interrupted", "completion_reason": "q"},
+        base | {"event_key": "c", "last_seen_at": at["last_seen_at"], "display_name": "D"}, base | {"event_key": "d"}, base | at | {"event_key": "e", "external_id": " "},
+    ]
+    o = spark.createDataFrame([tuple(m[n] for n in sessions.ARROW.names) for m in made], kinds)
+    found = evidence.evidence_records(o)
+    assert sorted((r["default_status"], r["status_reason"], r["played_at"], r["system_key"]) for r in found.collect()) == [
+        ("accepted", "r", at["actual_play_at"], "wanna"), ("needs_attention", "q", at["first_seen_at"], "wanna"), ("pending", "live_observation_pending", at["last_seen_at"], "wanna"),
+    ]
+    once = evidence.promote(found.limit(0), o)
+    assert [r["action"] for r in once.collect()] == ["inserted"]
+    assert [r["action"] for r in evidence.promote(once.drop("action"), o).collect()] == ["unchanged"]
+    assert evidence.origins_of(found).select("origin_key").distinct().count() == 3
