@@ -95,6 +95,46 @@ def test_rare_words_get_exchange_classes(spark, monkeypatch):
         assert found[-1] == model.end_class and (found[:-1] < 6).all()  # shapes hold unknown words alone
 
 
+@pytest.mark.parametrize("carried", [8, 1000])
+def test_scores_are_those_of_the_definition(spark, monkeypatch, carried):
+    """Every score from counts made by hand; only which class a word has comes from the operator."""
+    monkeypatch.setattr(brown_lm, "CLUSTERED", 12)
+    monkeypatch.setattr(brown_lm, "CLASSES", 4)
+    monkeypatch.setattr(brown_lm, "BROADCAST_WORDS", carried)
+    random = np.random.default_rng(8)
+    pool = [f"w{k}" for k in range(30)] + ["end.", "pause,", "Ünd", "hm!"]
+    texts = {k: " ".join(random.choice(pool, random.integers(0, 15)).tolist() + ([f"only{k}"] if k % 3 == 0 else [])) for k in range(90)} | {90: None, 91: "  "}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model, _, sequences = brown_lm._learned(docs)
+    kinds = {r["doc_id"]: np.frombuffer(r["classes"], "u1").tolist() for r in sequences.collect()}
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
+    split = {k: (t or "").encode().lower().split() for k, t in texts.items()}
+    total = 4 + brown_lm.SHAPES + 1
+    pairs, n, class_of = np.full((total, total), 0.5), Counter(), {}
+    for k, words in split.items():
+        assert len(kinds[k]) == len(words) + 1 and kinds[k][-1] == total - 1
+        for w, c in zip(words, kinds[k], strict=False):
+            assert class_of.setdefault(w, c) == c  # a word has one class wherever it stands
+        if not held[k]:
+            n.update([*words, None])
+            for a, b in zip([total - 1, *kinds[k]], kinds[k], strict=False):
+                pairs[a, b] += 1
+    assert all(class_of[w] < 4 for w in n if w is not None) and all(class_of[w] == 4 + brown_lm.shape(w) for w in class_of if w not in n)
+    follow = pairs / pairs.sum(axis=1, keepdims=True)
+    size, room = sum(n.values()) + len(n) + 1, Counter()
+    for w in n:
+        if w is not None:
+            room[class_of[w]] += n[w] + 1
+    for r in brown_lm.score(docs).collect():
+        before, expected = total - 1, 0.0
+        for w in [*split[r["doc_id"]], None]:
+            c = total - 1 if w is None else class_of[w]
+            emitted = 1.0 if w is None else (n[w] + 1) / max(1, room[c])
+            expected += math.log10(brown_lm.MIX * follow[before, c] * emitted + (1 - brown_lm.MIX) * (n[w] + 1) / size)
+            before = c
+        assert r["score"] == pytest.approx(expected, abs=1e-6)
+
+
 def test_classes_grow_with_the_vocabulary():
     assert brown_lm.growth(10) == 1 and brown_lm.growth(brown_lm.VOCABULARY * 256) == pytest.approx(2)
 
