@@ -35,10 +35,10 @@ def _nth(values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(values) + 1).cast("int"))
 
 
-def made_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Log lines of playback sessions, one per event: requests, starts, people and rooms.
+def made_lines(spark: SparkSession, d: str, every_kind: bool = False) -> DataFrame:
+    """Log lines of playback sessions, one per event: requests, starts, people who join and rooms that are left.
 
-    The stand-in is one small file, so its rows are dealt out before patterns are tried on them.
+    With ``every_kind`` people and rooms have lines of all their kinds.  The stand-in is one small file, so its rows are dealt out before patterns are tried on them.
     """
     e = events(spark, d).repartition("event_id")
     stamp = F.date_format("ts", "yyyy.MM.dd HH:mm:ss.SSS")
@@ -46,7 +46,7 @@ def made_lines(spark: SparkSession, d: str) -> DataFrame:
     said = (
         F.when(F.col("event_type") == "click", F.concat(F.lit(" Log - User "), user, F.lit(" added URL "), song)).when(F.col("event_type") == "purchase", F.concat(F.lit(" Log - [USharpVideo] OnVideoStart: Started video: "), song))
         .when(F.col("event_type") == "view", F.concat(F.lit(' Log - [VRCX] VideoPlay(W) "'), song, F.lit('",0,'), F.round(F.col("value") * 10, 1).cast("string"), F.lit(',"'), (F.col("user_id") + 1).cast("string"), F.lit(" : Song ("), user, F.lit(')"')))
-        .when(F.col("event_type") == "signup", F.concat(_nth(IDENTITY_LINES), user, F.lit(" (usr_"), user, F.lit(")"))).otherwise(_nth(LIFECYCLE_LINES))
+        .when(F.col("event_type") == "signup", F.concat(_nth(IDENTITY_LINES) if every_kind else F.lit(IDENTITY_LINES[0]), user, F.lit(" (usr_"), user, F.lit(")"))).otherwise(_nth(LIFECYCLE_LINES) if every_kind else F.lit(LIFECYCLE_LINES[0]))
     )
     return e.select(F.date_format("ts", "'log-'yyyy-MM-dd").alias("source_file"), F.col("event_id").alias("line_number"), F.lit(0).cast("long").alias("byte_offset"), F.concat(stamp, said).alias("value"))
 
@@ -60,12 +60,12 @@ def r_signals(spark: SparkSession, d: str) -> DataFrame:
 @query("r20_lifecycle", """SELECT event_id AS line_number, ['room-left', 'room-entering', 'application-quit', 'video-shutdown'][event_id % 4 + 1] AS event_type,
   CASE WHEN event_id % 4 = 1 THEN 'The Hall' END AS room_name FROM events WHERE event_type = 'error'""")
 def r20(spark: SparkSession, d: str) -> DataFrame:
-    return parse.parse_lifecycle(made_lines(spark, d)).select("line_number", "event_type", "room_name")
+    return parse.parse_lifecycle(made_lines(spark, d, every_kind=True)).select("line_number", "event_type", "room_name")
 
 
 @query("r21_identity", "SELECT event_id AS line_number, ['player-joined', 'player-left', 'user-authenticated'][event_id % 3 + 1] AS event_type, 'P' || (user_id % 7) AS display_name, 'usr_P' || (user_id % 7) AS user_id FROM events WHERE event_type = 'signup'")
 def r21(spark: SparkSession, d: str) -> DataFrame:
-    return parse.parse_identity(made_lines(spark, d)).select("line_number", "event_type", "display_name", "user_id")
+    return parse.parse_identity(made_lines(spark, d, every_kind=True)).select("line_number", "event_type", "display_name", "user_id")
 
 
 @query("p7_candidates", "SELECT count(*) FILTER (event_type IN ('click', 'purchase', 'view')) AS video, count(*) FILTER (event_type = 'error') AS lifecycle, count(*) FILTER (event_type = 'signup') AS identity FROM events")
