@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from .order import numbered
+
 
 def keyed_diff(old: DataFrame, new: DataFrame, key: str, volatile: tuple[str, ...] = ()) -> DataFrame:
     """key, change (added, removed, changed) and the names of changed columns, in order; volatile ones do not count."""
@@ -45,7 +47,7 @@ def changed_fields(diff: DataFrame) -> DataFrame:
 def ordinal_diff(old: DataFrame, new: DataFrame, order: list[str], values: list[str]) -> DataFrame:
     """ordinal, change: rows compared by their place in the order."""
     def placed(frame: DataFrame, name: str) -> DataFrame:
-        return frame.select(F.row_number().over(Window.orderBy(*order)).alias("ordinal"), F.struct(*values).alias(name))
+        return numbered(frame, order, "ordinal").select("ordinal", F.struct(*values).alias(name))
 
     joined = placed(old, "o").join(placed(new, "n"), "ordinal", "full_outer")
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(~F.col("o").eqNullSafe(F.col("n")), "changed")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching
+from ..operators import matching, order
 from ..sources import documents, logs, parse
 from .streams import made_lines
 from .tables import events, query, table
@@ -13,14 +13,14 @@ from .tables import events, query, table
 
 @query("s10_flatten_catalog", """SELECT c_custkey % 400 AS id, arg_min(c_name, (c_nationkey, c_custkey)) AS name, arg_min(c_nationkey, (c_nationkey, c_custkey))::VARCHAR AS song_group FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1""")
 def s10(spark: SparkSession, d: str) -> DataFrame:
-    """One catalog document of a group per nation; ids repeat, hidden entries do not count."""
+    """A catalog in documents of at most a thousand entries of a nation, in order; ids repeat, hidden entries do not count."""
     c = table(spark, d, "customer")
     entry = F.struct((F.col("c_custkey") % 400).cast("string").alias("id"), F.col("c_name").alias("name"), (F.col("c_mktsegment") == "BUILDING").alias("disablePublic"))
-    groups = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("k"), entry.alias("e")))).alias("l"))
-    shaped = groups.select("c_nationkey", F.struct(F.col("c_nationkey").cast("string").alias("title"), F.lit("m").alias("major"), F.transform("l", lambda x: x["e"]).alias("entries")).alias("g"))
-    listed = shaped.agg(F.array_sort(F.collect_list(F.struct("c_nationkey", "g"))).alias("l"))
-    document = listed.select(F.to_json(F.struct(F.struct(F.transform("l", lambda x: x["g"]).alias("groups")).alias("data"))).alias("value"))
-    return documents.flatten_catalog(document).select("id", "name", "song_group")
+    place = F.struct("c_nationkey", F.floor(F.col("c_custkey") / 1000).alias("part"))
+    parts = c.groupBy(place.alias("place")).agg(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("k"), entry.alias("e")))).alias("l"))
+    group = F.struct(F.col("place.c_nationkey").cast("string").alias("title"), F.lit("m").alias("major"), F.transform("l", lambda x: x["e"]).alias("entries"))
+    catalog = parts.select("place", F.to_json(F.struct(F.struct(F.array(group).alias("groups")).alias("data"))).alias("value"))
+    return documents.flatten_catalog(catalog, "place").select("id", "name", "song_group")
 
 
 @query("s13_planned_entries", """WITH r AS (SELECT conv_id, turn, (DATE '2024-01-01' + (max(CASE WHEN turn % 3 = 0 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn))::INT)::VARCHAR AS played_date, turn % 3 AS k FROM conversations)
@@ -55,8 +55,7 @@ def s17(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s19_time_order", "SELECT event_id AS line_number, row_number() OVER (ORDER BY date_trunc('millisecond', ts), strftime(ts, 'log-%Y-%m-%d'), event_id) AS place FROM events")
 def s19(spark: SparkSession, d: str) -> DataFrame:
-    ordered = logs.in_time_order(made_lines(spark, d))
-    return ordered.select("line_number", F.row_number().over(Window.orderBy("at", "source_file", "line_number")).cast("long").alias("place"))
+    return order.numbered(logs.in_time_order(made_lines(spark, d)), ["at", "source_file", "line_number"]).select("line_number", "place")
 
 
 @query("s20_table_count", "SELECT count(*) AS n FROM orders")

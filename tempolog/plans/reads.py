@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text, timestamps
 from ..operators import projection
+from ..operators.order import numbered
 from ..operators.projection import accepted, source_label
 from .tables import CATALOG, DECISIONS, ORIGINS, PROJECTED, RECORDS, decisions, events, full, origins, projected, query, records, systems, table, tracks
 
@@ -388,12 +389,9 @@ def j24(spark: SparkSession, d: str) -> DataFrame:
 @query("o1_catalog_order", """SELECT p_partkey, row_number() OVER (ORDER BY p_brand, coalesce(try_cast(regexp_extract(x, '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0), x, p_partkey) AS place FROM (
   SELECT p_partkey, p_brand, CASE p_partkey % 3 WHEN 0 THEN p_size || 'abc' WHEN 1 THEN 'x' || p_size ELSE p_size::VARCHAR END AS x FROM part)""")
 def o1(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     size = F.col("p_size").cast("string")
     x = F.when(F.col("p_partkey") % 3 == 0, F.concat(size, F.lit("abc"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("x"), size)).otherwise(size)
-    order = Window.orderBy("p_brand", keys.number_prefix(F.col("x")), "x", "p_partkey")
-    return table(spark, d, "part").withColumn("x", x).select("p_partkey", F.row_number().over(order).cast("long").alias("place"))
+    return numbered(table(spark, d, "part").withColumn("x", x), ["p_brand", keys.number_prefix(F.col("x")), "x", "p_partkey"]).select("p_partkey", "place")
 
 
 @query("o2_recent", f"WITH {PROJECTED} SELECT record_id, {LABEL} AS source FROM projected WHERE effective_status = 'accepted' ORDER BY played_at DESC, record_id DESC LIMIT 8")
@@ -423,11 +421,9 @@ def o6(spark: SparkSession, d: str) -> DataFrame:
 @query("o7_numeric_first", """SELECT p_partkey, row_number() OVER (ORDER BY n IS NULL, n, x, p_partkey) AS place FROM (
   SELECT p_partkey, x, CASE WHEN regexp_full_match(x, '\\d+') THEN x::BIGINT END AS n FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name ELSE p_size::VARCHAR END AS x FROM part))""")
 def o7(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     x = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(F.col("p_size").cast("string"))
     n = F.when(x.rlike(r"^\d+$"), x.try_cast("bigint"))
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(Window.orderBy(n.isNull(), n, x, "p_partkey")).cast("long").alias("place"))
+    return numbered(table(spark, d, "part").select("p_partkey", x.alias("x"), n.alias("n")), [F.col("n").isNull(), "n", "x", "p_partkey"]).select("p_partkey", "place")
 
 
 @query("o8_occurrence_order", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")

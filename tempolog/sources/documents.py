@@ -14,17 +14,21 @@ CACHE = (
 FAVORITES = "WannaFavorite:"
 
 
-def flatten_catalog(documents: DataFrame) -> DataFrame:
-    """Songs of a catalog document (column value): public entries, of an id the first, by id."""
-    parsed = documents.select(F.from_json("value", API)["data"]["groups"].alias("groups"))
-    groups = parsed.select(F.posexplode("groups").alias("g", "grp"))
-    entries = groups.select("g", "grp.title", "grp.major", F.posexplode("grp.entries").alias("e", "entry"))
+def flatten_catalog(documents: DataFrame, place: str | None = None) -> DataFrame:
+    """Songs of catalog documents (column value): public entries, of an id the first, by id.
+
+    Several documents come in the order of their column ``place``, so a large catalog need not be one document.
+    """
+    order = F.lit(0) if place is None else F.col(place)
+    parsed = documents.select(order.alias("d"), F.from_json("value", API)["data"]["groups"].alias("groups"))
+    groups = parsed.select("d", F.posexplode("groups").alias("g", "grp"))
+    entries = groups.select("d", "g", "grp.title", "grp.major", F.posexplode("grp.entries").alias("e", "entry"))
     songs = entries.filter(~text.truthy(F.col("entry.disablePublic"))).select(
-        "g", "e", text.to_int(F.col("entry.id")).alias("id"), F.coalesce("entry.name", F.lit("")).alias("name"), F.coalesce("entry.artist", F.lit("")).alias("artist"), F.coalesce("entry.dancer", F.lit("")).alias("dancer"),
+        "d", "g", "e", text.to_int(F.col("entry.id")).alias("id"), F.coalesce("entry.name", F.lit("")).alias("name"), F.coalesce("entry.artist", F.lit("")).alias("artist"), F.coalesce("entry.dancer", F.lit("")).alias("dancer"),
         text.to_int(F.col("entry.playerCount"), 0).alias("player_count"), F.col("title").alias("song_group"), "major",
     )
-    first = F.row_number().over(Window.partitionBy("id").orderBy("g", "e"))
-    return songs.filter("id is not null").withColumn("__row", first).filter("__row = 1").drop("__row", "g", "e").orderBy("id")
+    first = F.row_number().over(Window.partitionBy("id").orderBy("d", "g", "e"))
+    return songs.filter("id is not null").withColumn("__row", first).filter("__row = 1").drop("__row", "d", "g", "e").orderBy("id")
 
 
 def read_cache(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempolog import sinks
-from tempolog.operators import diffs, operations
+from tempolog.operators import diffs, operations, order
 from tempolog.sources import foreign, logs
 
 
@@ -126,3 +126,26 @@ def test_rebuild_and_sync(spark, rows):
     assert rows(operations.rebuild([a, b])) == [(1, "y", "u"), (2, "x", None), (3, "y", None)]
     catalog, songs = (spark.createDataFrame(r, "song_key string, title string, players int") for r in ([("a", "A", 1), ("b", "B", 2)], [("a", "", 0), ("c", "C", None)]))
     assert rows(operations.sync_catalog(catalog, songs, ("players",)).drop("action")) == [("a", "A", 0), ("b", "B", 2), ("c", "C", None)]
+
+
+def test_places_in_parts_are_those_of_one_order(spark, rows):
+    """Nulls, ties, a key that a third of the rows hold, columns with clashing names, more parts than rows, and no rows."""
+    values = [(None if k % 10 == 0 else "hot" if k % 3 == 0 else f"v{k * 7 % 50}", k, k % 4) for k in range(3000)]
+    table = spark.createDataFrame(values, "name string, id long, `k0` long").repartition(5)
+    expected = sorted(values, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    for parts in (1, 7, 40):
+        found = order.numbered(table, ["name", F.col("id")], parts=parts)
+        assert found.columns == [*table.columns, "place"]
+        assert [tuple(r) for r in found.orderBy("place").collect()] == [(*r, k + 1) for k, r in enumerate(expected)]
+    few = order.numbered(table.filter("id < 3"), ["id"])
+    assert rows(few.select("id", "place")) == [(0, 1), (1, 2), (2, 3)]
+    assert rows(order.numbered(table.filter("id < 0"), ["id"])) == []
+    ties = order.numbered(table.select(F.lit("same").alias("name")), ["name"])
+    assert [r["place"] for r in ties.orderBy("place").collect()] == list(range(1, 3001))
+
+
+def test_numbering_uses_many_parts(spark):
+    table = spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("id"))
+    assert order.numbered(table, ["id"]).filter("place <> id + 1").isEmpty()
+    plan = order.numbered(table, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(__part" in plan
