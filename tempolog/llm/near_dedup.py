@@ -6,7 +6,7 @@ cut into bands; texts that share a band are candidates.  Links are made in two s
 a bucket.  First every member of a bucket is compared, by exact weighted Jaccard similarity, with the
 bucket's hub, the member that meets most others over all its buckets, and connected components are formed.
 Then, in blocks of bounded size, the samples of members of a bucket that are still in different components are
-laid side by side.  Only those that agree with another in at least LEAST_AGREEMENT of them go on with their
+laid side by side; a bucket's largest component meets the others only.  Only those that agree with another in at least LEAST_AGREEMENT of them go on with their
 texts, which are compared likewise, the best agreeing first.  So each pair of a bucket ends in one component,
 or its texts have been compared, or its samples agree so seldom that texts of similarity 0.8 do so once in 10^9.
 """
@@ -401,14 +401,21 @@ def _promising(table: pa.Table) -> pa.Table:
 def _linked_in_blocks(docs: DataFrame, nodes: DataFrame, rest: DataFrame, signed: DataFrame, weights) -> DataFrame:
     """Links a, b between different components of a bucket, enough to join all that belong together.
 
-    A bucket's members are cut into blocks of bounded size, and each two blocks meet in a group of their own,
-    so a group holds at most two blocks whatever the bucket's size.  At first only their samples meet; texts are
+    A bucket's members are cut into blocks of bounded size.  Those of the bucket's largest component have blocks of
+    their own, which do not meet each other, for their members are joined already; all other blocks meet each
+    block once, in a group of their own.  So a group holds at most two blocks whatever the bucket's size, and a member of
+    the largest component is copied once for each block of others.  At first only their samples meet; texts are
     sent to a group for members that agree with another one there.  Pairs whose components have been joined in
     the group need no comparison, so no more links come out of a group than it has members.
     """
-    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = rest.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    many = rest.filter(F.col("n") > BLOCK_MEMBERS).groupBy("band", "component").agg(F.count(F.lit(1)).alias("of"))
+    largest = many.groupBy("band").agg(F.max(F.struct("of", "component")).alias("largest")).select("band", F.col("largest.of").alias("joined"), F.col("largest.component").alias("largest"))
+    sized = attach(rest, staged(largest, "largest"), ["band"], _hot(rest.filter(F.col("n") > BLOCK_MEMBERS).select("band", "n").distinct()))
+    inside = F.coalesce(F.col("component") == F.col("largest"), F.lit(False))
+    first = F.coalesce(F.ceil(F.col("joined") / BLOCK_MEMBERS), F.lit(0)).cast("int")  # blocks of the largest component
+    blocks = first + F.ceil((F.col("n") - F.coalesce("joined", F.lit(0))) / BLOCK_MEMBERS).cast("int")
+    own = F.when(inside, F.pmod(F.xxhash64("node"), first)).otherwise(first + F.pmod(F.xxhash64("node"), blocks - first)).cast("int")
+    dealt = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.when(inside, first).otherwise(F.lit(0)), blocks - 1)))
     placed = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component")
     columns = "band long, low int, high int, own int, node binary, component binary, bands array<bigint>, bytes binary"
     group = placed.join(signed, "node").select("band", "low", "high", "own", "node", "component", "bands", "bytes").groupBy("band", "low", "high")

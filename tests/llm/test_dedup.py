@@ -215,6 +215,47 @@ def test_blocks_join_what_hubs_do_not(spark, monkeypatch):
     assert sorted(map(repr, near_dedup.classes(docs).select("doc_id", "class_id").collect())) == expected
 
 
+def test_largest_component_meets_the_others_only(spark, monkeypatch):
+    """Hubs link some of the pairs; blocks of two members then find the same classes, whatever component is largest."""
+    docs = near_copies(spark)
+    expected = sorted(map(repr, near_dedup.classes(docs).select("doc_id", "class_id").collect()))
+    verified = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 2)
+    for share in (2, 3, 1):  # one pair in so many is linked by its hub
+        monkeypatch.setattr(near_dedup, "verified", lambda *args, share=share: verified(*args).filter(F.pmod(F.xxhash64("a", "b"), F.lit(share)) == 0))
+        assert sorted(map(repr, near_dedup.classes(docs).select("doc_id", "class_id").collect())) == expected
+
+
+def test_blocks_of_a_large_component_are_few(spark, monkeypatch):
+    """Of 64 joined members and 4 others, each joined member meets one block, and each other one all blocks but its own once."""
+    dealt = {}
+
+    class Stop(Exception):
+        pass
+
+    def stop(docs, wanted):
+        raise Stop
+
+    staged = near_dedup.staged
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 4)
+    monkeypatch.setattr(near_dedup, "staged", lambda df, name: dealt.setdefault(name, staged(df, name)))
+    monkeypatch.setattr(near_dedup, "_promising", lambda table: table)
+    monkeypatch.setattr(near_dedup, "_texts_of", stop)
+    names = [k.to_bytes(2, "big") for k in range(68)]
+    rest = spark.createDataFrame([(7, n, names[0] if k < 64 else n, 68) for k, n in enumerate(names)], "band long, node binary, component binary, n long")
+    signed = spark.createDataFrame([(n, [7], b"x") for n in names], "node binary, bands array<bigint>, bytes binary")
+    nodes = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "node binary, one_id long")
+    try:
+        near_dedup._linked_in_blocks(None, nodes, rest, signed, None)
+    except Stop:
+        pass
+    groups = {}
+    for r in dealt["promising"].collect():
+        groups.setdefault((r["low"], r["high"]), set()).add(bytes(r["node"]))
+    assert len(groups) == 17 and sum(map(len, groups.values())) == 64 + 17 * 4
+    assert all(set(names[64:]) <= members for members in groups.values())
+
+
 def test_components_of_long_chains(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 99)]
     df = spark.createDataFrame([(a.to_bytes(4, "big"), b.to_bytes(4, "big")) for a, b in links], "a binary, b binary")
