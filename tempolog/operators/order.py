@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 PARTS, LOOKED_AT, STRIDE = 256, 64, 16
 
 
-def numbered(rows: DataFrame, order: list[str | Column], name: str = "place", parts: int = PARTS) -> DataFrame:
-    """``rows`` with their place (long, from 1) in the ascending ``order``, nulls first; ties have places in any order.
+def _in_parts(rows: DataFrame, order: list[str | Column], parts: int) -> DataFrame:
+    """``rows`` with their ``__key`` in the ascending ``order``, nulls first, and the ``__part`` of the order that it falls into.
 
     Limits of the parts are every so many of the keys whose hash falls into a small class; the class holds about
-    ``parts`` times LOOKED_AT keys whatever the number of rows.  Rows are numbered within their part, after as
-    many as the earlier parts hold.  Limits decide how even parts are, never a place.  An empty table gives an empty result.
+    ``parts`` times LOOKED_AT keys whatever the number of rows.  Limits decide how even parts are, nothing else.
     """
     key = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{n}") for n, c in enumerate(order)])
     keyed = rows.withColumn("__key", key)
@@ -26,10 +25,30 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str = "place", pa
     limits = limits.withColumn("__ends", F.filter("__limits", lambda _, at: (at + 1) % STRIDE == 0))
     passed = F.size(F.filter("__ends", lambda end: end < F.col("__key"))) * STRIDE
     own = F.col("__passed") + F.size(F.filter(F.slice("__limits", F.col("__passed") + 1, STRIDE), lambda limit: limit < F.col("__key")))
-    in_part = keyed.crossJoin(F.broadcast(limits)).withColumn("__passed", passed).withColumn("__part", own).drop("__limits", "__ends", "__passed")  # one row of limits
-    sizes = in_part.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__part", earlier.alias("__earlier"))  # a row per part
-    within = F.row_number().over(Window.partitionBy("__part").orderBy("__key"))
-    placed = in_part.withColumn("__within", within).join(F.broadcast(starts), "__part")
-    return placed.select(*[f"`{c}`" for c in rows.columns], (F.col("__earlier") + F.col("__within")).alias(name))
+    return keyed.crossJoin(F.broadcast(limits)).withColumn("__passed", passed).withColumn("__part", own).drop("__limits", "__ends", "__passed")  # one row of limits
+
+
+def running(rows: DataFrame, order: list[str | Column], sums: dict[str, Column], parts: int = PARTS) -> DataFrame:
+    """``rows`` with, for each name of ``sums``, the column's sum over all rows before it in the ascending ``order``, nulls first.
+
+    The order should tell all rows apart; rows that tie come one after the other, in any order.  The first row's
+    sums are 0 and nulls add nothing.  Sums are made within parts of the order, on top of those of the earlier
+    parts, so no task holds all rows.  An empty table gives an empty result.
+    """
+    in_part = _in_parts(rows, order, parts)
+    past = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = in_part.groupBy("__part").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"__all_{n}") for n, c in sums.items()])
+    starts = totals.select("__part", *[F.coalesce(F.sum(f"__all_{n}").over(past), F.lit(0)).alias(f"__earlier_{n}") for n in sums])  # a row per part
+    within = Window.partitionBy("__part").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    summed = in_part.withColumns({f"__within_{n}": F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
+    placed = summed.join(F.broadcast(starts), "__part")
+    return placed.select(*[f"`{c}`" for c in rows.columns], *[(F.col(f"__earlier_{n}") + F.col(f"__within_{n}")).alias(n) for n in sums])
+
+
+def numbered(rows: DataFrame, order: list[str | Column], name: str = "place", parts: int = PARTS) -> DataFrame:
+    """``rows`` with their place (long, from 1) in the ascending ``order``, nulls first; ties have places in any order.
+
+    Rows are numbered within their part of the order, after as many as the earlier parts hold.  An empty table
+    gives an empty result.
+    """
+    return running(rows, order, {name: F.lit(1)}, parts).withColumn(name, F.col(name) + 1)
