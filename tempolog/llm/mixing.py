@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered, running
 from .common import staged, whole_text, word_count
 
 WEIGHTS = (3, 1, 2)
@@ -27,22 +28,23 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
 
     Sources in code-point order, null last, take the weights in turn.  Targets are
     ``min(limit, weight * level)`` with the limit ``most_copies * source_size`` and the level at which they
-    share ``share_percent`` of all sizes; this is what resharing the excess by weight ends with.
+    share ``share_percent`` of all sizes; this is what resharing the excess by weight ends with.  Turns and sums are
+    taken in parts of the orders, so sources may be as many as hosts; sizes and the level alone reach the driver.
     """
-    turn = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    everything = Window.partitionBy()
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(turn) - 1) % len(weights) + 1).cast("int"))
-    weighted = sources.withColumn("__weight", weight.cast("long")).withColumn("__limit", F.lit(most_copies) * F.col("source_size"))
-    by_need = Window.orderBy(F.col("__limit") / F.col("__weight"), F.col("source").isNull(), F.col("source").cast("binary"))
-    before = by_need.rowsBetween(Window.unboundedPreceding, -1)
-    shared = F.lit(share_percent) * F.sum("source_size").over(everything) / F.lit(100)
-    # If all sources up to this one sit at their limits, the rest would share at this level.
-    level = (shared - F.coalesce(F.sum("__limit").over(before), F.lit(0))) / F.sum("__weight").over(by_need.rowsBetween(0, Window.unboundedFollowing))
-    levels = weighted.withColumn("__level", level)
+    name = [F.col("source").isNull(), F.col("source").cast("binary")]
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("__turn") - 1) % len(weights) + 1).cast("int"))
+    turned = numbered(staged(sources.select("source", "source_size"), "sources"), name, "__turn")
+    weighted = staged(turned.withColumn("__weight", weight.cast("long")).withColumn("__limit", F.lit(most_copies) * F.col("source_size")).drop("__turn"), "weights")
+    size, all_weights = weighted.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("__weight"), F.lit(0))).first()
+    shared = F.lit(share_percent) * F.lit(size).cast("long") / F.lit(100)
+    need = F.col("__limit") / F.col("__weight")
+    limited = running(weighted, [need, *name], {"__taken": F.col("__limit"), "__lighter": F.col("__weight")})
+    # If all sources before this one sit at their limits, the rest would share at this level.
+    level = (shared - F.col("__taken")) / (F.lit(all_weights) - F.col("__lighter"))
     # Levels rise until the first that fits, and fall after it.
-    final = F.max(F.when(F.col("__level") <= F.col("__limit") / F.col("__weight"), F.col("__level"))).over(everything)
-    target = F.least(F.col("__limit").cast("double"), F.col("__weight") * F.coalesce(final, F.lit(float("inf"))))
-    return levels.select("source", "source_size", target.alias("target"))
+    final = limited.select(level.alias("__level"), need.alias("__need")).filter("__level <= __need").agg(F.max("__level")).first()[0]
+    target = F.least(F.col("__limit").cast("double"), F.col("__weight") * F.lit(float("inf") if final is None else final))
+    return weighted.select("source", "source_size", target.alias("target"))
 
 
 def source_offset(source: Column, seed: int) -> Column:
@@ -66,10 +68,10 @@ def _placed(rows: DataFrame, sizes: DataFrame, seed: int, weights: tuple[int, ..
     width = F.col("__high").cast("double") - F.col("__low") + 1
     run = F.when(F.col("__runs").isNull(), F.lit(0)).when(F.col("doc_id").isNull(), F.col("__runs")).otherwise(F.floor(place / width * F.col("__runs")))
 
-    def numbered(frame: DataFrame) -> DataFrame:
+    def in_runs(frame: DataFrame) -> DataFrame:
         return frame.join(F.broadcast(large), ["__key", "__size"], "left").withColumn("__run", run.cast("long")).drop("__low", "__high", "__runs")
 
-    runs = numbered(sizes).groupBy("__key", "__size", "__run").agg(F.count(F.lit(1)).alias("n"))
+    runs = in_runs(sizes).groupBy("__key", "__size", "__run").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("__key").orderBy("__size", "__run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(targets, "__key")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -80,7 +82,7 @@ def _placed(rows: DataFrame, sizes: DataFrame, seed: int, weights: tuple[int, ..
     offset = source_offset(F.expr("if(__key = '', null, substring(__key, 2))"), seed)
     crossed = F.floor(offset + rank * F.col("__rate")) - F.floor(offset + (rank - 1) * F.col("__rate"))
     copies = F.least(crossed, F.ceil(F.col("__rate"))).cast("long")
-    placed = numbered(rows).withColumn("__row", row).join(runs, ["__key", "__size", "__run"])
+    placed = in_runs(rows).withColumn("__row", row).join(runs, ["__key", "__size", "__run"])
     return placed.withColumn("__copies", copies).drop("__row", "__run", "__before", "__rate")
 
 

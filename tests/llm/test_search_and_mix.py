@@ -59,6 +59,35 @@ def test_cut_runs_change_nothing(spark, monkeypatch):
     assert mixed(docs) == whole == mixed(docs.repartition(7))
 
 
+def targets_by_hand(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """Targets by resharing the excess over the limits until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    at_limit, target = set(), {}
+    while True:
+        left = share * sum(sizes.values()) - sum(most * sizes[s] for s in at_limit)
+        free = [s for s in order if s not in at_limit]
+        target = {s: most * sizes[s] if s in at_limit else weight[s] * left / sum(weight[f] for f in free) for s in order}
+        above = {s for s in free if target[s] > most * sizes[s]}
+        if not above:
+            return target
+        at_limit |= above
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    random = np.random.default_rng(11)
+    sizes = {f"host{k}": int(n) for k, n in enumerate(random.pareto(0.7, 700) * 10)} | {None: 400, "Ünü": 3, "": 0, "\U0001f600": 9, "\uffee": 50}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    expected = targets_by_hand(sizes)
+    for looked_at in (64, 2):  # parts of the order, cut evenly and unevenly
+        monkeypatch.setattr("tempolog.operators.order.LOOKED_AT", looked_at)
+        found = {r["source"]: r["target"] for r in mixing.source_targets(frame).collect()}
+        assert found.keys() == expected.keys()
+        assert all(math.isclose(found[s], expected[s], rel_tol=1e-9, abs_tol=1e-9) for s in expected)
+    assert mixing.source_targets(frame.limit(0)).count() == 0
+    assert {r["target"] for r in mixing.source_targets(frame.filter("source_size = 0")).collect()} == {0.0}
+
+
 def test_words_taken_are_near_the_target(spark):
     taken = mixing.mix(corpus(spark)).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n"), F.max("target").alias("t"), F.max("size").alias("z"), F.max("copies").alias("c")).collect()
     assert all(abs(r["n"] - r["t"]) <= r["z"] and r["c"] <= 2 for r in taken)
