@@ -21,11 +21,12 @@ def _in_parts(rows: DataFrame, order: list[str | Column], parts: int) -> DataFra
     looked_at = keyed.filter(F.pmod(F.xxhash64("__key"), F.lit(one_in)) == 0)
     listed = looked_at.agg(F.array_sort(F.collect_set("__key")).alias("keys"))
     step = F.greatest(F.lit(1), F.floor(F.size("keys") / parts).cast("int"))
-    limits = listed.select(F.filter("keys", lambda _, at: (at + 1) % step == 0).alias("__limits"))
-    limits = limits.withColumn("__ends", F.filter("__limits", lambda _, at: (at + 1) % STRIDE == 0))
+    limits = listed.select(F.filter("keys", lambda _, at: (at + 1) % step == 0)).scalar()  # one array, known before rows are read
+    ends = F.filter("__limits", lambda _, at: (at + 1) % STRIDE == 0)
     passed = F.size(F.filter("__ends", lambda end: end < F.col("__key"))) * STRIDE
     own = F.col("__passed") + F.size(F.filter(F.slice("__limits", F.col("__passed") + 1, STRIDE), lambda limit: limit < F.col("__key")))
-    return keyed.crossJoin(F.broadcast(limits)).withColumn("__passed", passed).withColumn("__part", own).drop("__limits", "__ends", "__passed")  # one row of limits
+    limited = keyed.withColumn("__limits", limits).withColumn("__ends", ends)
+    return limited.withColumn("__passed", passed).withColumn("__part", own).drop("__limits", "__ends", "__passed")
 
 
 def running(rows: DataFrame, order: list[str | Column], sums: dict[str, Column], parts: int = PARTS) -> DataFrame:
