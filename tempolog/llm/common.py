@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +96,17 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame |
     salted_table = table.join(flags, keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
     salted_table = salted_table.withColumn("__salt", F.col("__salt").cast("long"))
     return salted_rows.withColumn("__salt", F.col("__salt").cast("long")).join(salted_table, [*keys, "__salt"], "left").drop("__hot", "__salt")
+
+
+def tree_sum(vectors: DataFrame, length: int) -> np.ndarray:
+    """Sum of the binary column's vectors (int64, ``length`` numbers each), added up by a tree of tasks.
+
+    Each task and the driver hold a few vectors at a time, whatever the number of rows.
+    """
+
+    def add(a: bytes, b: bytes) -> bytes:
+        return (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes()
+
+    name, zero = vectors.columns[0], bytes(8 * length)
+    parts = vectors.rdd.mapPartitions(lambda rows: [reduce(add, (bytes(row[name]) for row in rows), zero)])
+    return np.frombuffer(parts.treeReduce(add, depth=3) if parts.getNumPartitions() else zero, np.int64)
