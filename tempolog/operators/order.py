@@ -29,12 +29,13 @@ def _in_parts(rows: DataFrame, order: list[str | Column], parts: int) -> DataFra
     return limited.withColumn("__passed", passed).withColumn("__part", own).drop("__limits", "__ends", "__passed")
 
 
-def running(rows: DataFrame, order: list[str | Column], sums: dict[str, Column], parts: int = PARTS) -> DataFrame:
+def running(rows: DataFrame, order: list[str | Column], sums: dict[str, Column], parts: int = PARTS, part: str | None = None) -> DataFrame:
     """``rows`` with, for each name of ``sums``, the column's sum over all rows before it in the ascending ``order``, nulls first.
 
     The order should tell all rows apart; rows that tie come one after the other, in any order.  The first row's
     sums are 0 and nulls add nothing.  Sums are made within parts of the order, on top of those of the earlier
     parts, so no task holds all rows.  An empty table gives an empty result.
+    ``part`` names a column for the number of the row's part.
     """
     in_part = _in_parts(rows, order, parts)
     past = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,13 +44,14 @@ def running(rows: DataFrame, order: list[str | Column], sums: dict[str, Column],
     within = Window.partitionBy("__part").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
     summed = in_part.withColumns({f"__within_{n}": F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
     placed = summed.join(F.broadcast(starts), "__part")
-    return placed.select(*[f"`{c}`" for c in rows.columns], *[(F.col(f"__earlier_{n}") + F.col(f"__within_{n}")).alias(n) for n in sums])
+    parted = [] if part is None else [F.col("__part").alias(part)]
+    return placed.select(*[f"`{c}`" for c in rows.columns], *parted, *[(F.col(f"__earlier_{n}") + F.col(f"__within_{n}")).alias(n) for n in sums])
 
 
-def numbered(rows: DataFrame, order: list[str | Column], name: str = "place", parts: int = PARTS) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str | Column], name: str = "place", parts: int = PARTS, part: str | None = None) -> DataFrame:
     """``rows`` with their place (long, from 1) in the ascending ``order``, nulls first; ties have places in any order.
 
     Rows are numbered within their part of the order, after as many as the earlier parts hold.  An empty table
-    gives an empty result.
+    gives an empty result.  ``part`` as in :func:`running`.
     """
-    return running(rows, order, {name: F.lit(1)}, parts).withColumn(name, F.col(name) + 1)
+    return running(rows, order, {name: F.lit(1)}, parts, part).withColumn(name, F.col(name) + 1)
