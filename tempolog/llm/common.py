@@ -9,6 +9,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 #: What ``[^\x20\x09-\x0D]+`` matches is a word; the same set as ``bytes.split()`` uses.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -68,6 +69,16 @@ def clear_staged(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is referred to, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(columns: list[str]) -> Column:
+    """All of these columns as one, so that no helper column can clash with any of them; ``row.*`` takes it apart again."""
+    return F.struct(*[F.col(quoted(c)) for c in columns]).alias("row")
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, a null being the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -82,7 +93,7 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame |
     """Left join of ``rows`` with the narrower ``table`` (unique in ``keys``, no nulls in them).
 
     The table is counted first.  Up to :data:`BROADCAST_ROWS` rows are broadcast; a larger one is
-    joined by shuffling, where the keys of ``hot`` are dealt over ``salts`` partitions.
+    joined by shuffling, where the keys of ``hot`` are dealt over ``salts`` partitions by the row's plain columns.
     """
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), keys, "left")
@@ -90,7 +101,7 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame |
         return rows.join(table, keys, "left")
     flags = F.broadcast(hot.select(*keys).distinct().withColumn("__hot", F.lit(True)))
     salted_rows = rows.join(flags, keys, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*[c for c in rows.columns]), F.lit(salts))).otherwise(F.lit(0))
+        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*[f.name for f in rows.schema if isinstance(f.dataType, AtomicType)]), F.lit(salts))).otherwise(F.lit(0))
     )
     every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_table = table.join(flags, keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import running
-from .common import bound_batches, staged, whole_text
+from .common import bound_batches, staged, whole_row, whole_text
 from .words import Words, pieces, words_of
 
 #: Fixed by the operator's contract.
@@ -196,8 +196,7 @@ def blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORD
     rows = staged(items.select(name.alias("name"), whole_text(column).cast("binary").alias("text")).distinct(), "items")
     most_words = F.ceil((F.length("text") + 1) / 2)
     placed = staged(running(rows, ["name", F.xxhash64("text")], {"before": most_words}).withColumn("block", F.floor(F.col("before") / block_words)), "item-blocks")
-    last = placed.agg(F.max("block")).first()[0]
-    for block in range(0 if last is None else last + 1):
+    for block in sorted(row["block"] for row in placed.select("block").distinct().collect()):
         yield Items.of([(r["name"], bytes(r["text"])) for r in placed.filter(F.col("block") == block).collect()], window)
 
 
@@ -277,7 +276,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` in which no window of ``items`` occurs, all columns unchanged whatever their names."""
-    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    row = whole_row(docs.columns)
     return _with_hits(docs, row, items, window, block_words).filter(F.size("found.spans") == 0).select("row.*")
 
 

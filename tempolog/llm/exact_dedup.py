@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from .common import staged, whole_text
+from .common import quoted, staged, whole_row, whole_text
 
 #: A digest is frequent when it covers at least this share of all rows.
 FREQUENT_SHARE = 1 / 512
@@ -99,15 +99,18 @@ def group_equal_texts(docs: DataFrame, share: float = FREQUENT_SHARE) -> DataFra
 def drop_equal_texts(docs: DataFrame, share: float = FREQUENT_SHARE) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged: one of each group of equal texts.
 
-    Rows of a frequent text that are not its winner go where they are read, by the broadcast winners; what is
-    left is shuffled once by digest, of which each task passes on one row per text.  Of rows that repeat a
+    Rows of a frequent text that are not its winner go where they are read, by the broadcast winners, and of its
+    winner's each task passes on one; all other rows are shuffled once by digest.  Of rows that repeat a
     winner's doc_id and text, one stays: that with the least hash of its other plain columns.  Columns of any
     name pass through; other cases as in :func:`group_equal_texts`.
     """
     digests = staged(docs.select("doc_id", _digest().alias("digest")), "digests")
     heavy = staged(frequent_digests(digests, share), "frequent")
-    winners = F.broadcast(heavy.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__frequent")))
-    left = docs.withColumn("__digest", _digest()).join(winners, "__digest", "left").filter(F.col("__frequent").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep")))
-    plain = [F.col(f.name) for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name not in ("doc_id", "text")]
-    first = Window.partitionBy("__digest").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64(*plain) if plain else F.lit(0))
-    return left.withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(*docs.columns)
+    plain = [F.col(quoted(f.name)) for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name not in ("doc_id", "text")]
+    rows = docs.select(whole_row(docs.columns), "doc_id", _digest().alias("digest"), (F.xxhash64(*plain) if plain else F.lit(0).cast("long")).alias("tie"))
+    few = F.broadcast(heavy.select("digest", "keep_id"))
+    # Copies of a frequent winner's own row may be as many as there are copies: each task passes on one of them.
+    winners = rows.join(few, "digest").filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min_by("row", "tie").alias("row"))
+    first = Window.partitionBy("digest").orderBy(F.col("doc_id").desc_nulls_last(), "tie")
+    rest = rows.join(few, "digest", "left_anti").withColumn("place", F.row_number().over(first)).filter("place = 1")
+    return winners.select("row.*").unionByName(rest.select("row.*"))

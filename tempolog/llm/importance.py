@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import numbered
-from .common import bound_batches, staged, tree_sum, whole_text
+from .common import bound_batches, staged, tree_sum, whole_row, whole_text
 from .words import Words, pieces
 
 #: Fixed by the operator's contract.
@@ -148,5 +148,5 @@ def resampling(docs: DataFrame, target: DataFrame, percent: int = PERCENT, seed:
 
 def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that are drawn, all columns unchanged whatever their names; cases as in :func:`resampling`."""
-    placed, quota = _drawn(_scored(docs, target, F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]), seed), percent)
+    placed, quota = _drawn(_scored(docs, target, whole_row(docs.columns), seed), percent)
     return placed.filter(F.col("place") <= quota).select("row.*")

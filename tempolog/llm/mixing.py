@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.order import numbered, running
-from .common import staged, whole_text, word_count
+from .common import staged, whole_row, whole_text, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -112,5 +112,6 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, shar
 def mixed_documents(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most_copies: int = MOST_COPIES) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, all columns unchanged; cases as in :func:`mix`."""
     sizes = staged(_keyed(docs.select("doc_id", "source", "text")).select("doc_id", "__key", "__size"), "sizes")
-    placed = _placed(_keyed(docs), sizes, seed, weights, share_percent, most_copies).filter("__copies > 0")
-    return placed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    rows = _keyed(docs.select(whole_row(docs.columns), "doc_id", "source", "text")).select("row", "doc_id", "__key", "__size")
+    placed = _placed(rows, sizes, seed, weights, share_percent, most_copies).filter("__copies > 0")
+    return placed.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("row.*")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, bound_batches, staged, whole_text
+from .common import BROADCAST_ROWS, attach, bound_batches, staged, whole_text, whole_row
 
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares a band with a probability of 0.9987, at 0.85 of 0.99999; at 0.5 of 0.13.
@@ -480,5 +480,5 @@ def classes(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each class, all columns unchanged."""
     stay = staged(classes(docs).filter("kept").select(F.col("doc_id").alias("__id"), "__node").distinct(), "stay")
-    marked = docs.withColumn("__text_node", _node())
-    return marked.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_node") == F.col("__node")), "left_semi").drop("__text_node")
+    marked = docs.select(whole_row(docs.columns), "doc_id", _node().alias("text_node"))
+    return marked.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_node") == F.col("__node")), "left_semi").select("row.*")

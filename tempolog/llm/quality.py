@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bound_batches, staged, whole_text
+from .common import attach, bound_batches, staged, whole_row, whole_text
 
 #: The classifier is fitted on at most this many labelled documents, those with the least hashes of doc_id.
 LABELLED = 20_000
@@ -28,6 +28,7 @@ UNIT = 1_000_000
 #: Bounds of the strength, in documents, with which a level pulls the one below it.
 STRENGTH = (2.0, 200.0)
 CLIP = 12.0
+RESULTS = ["__evidence", "__host_prior", "__prior", "__score", "__keep"]
 
 _UPPER, _DIGIT = slice(65, 91), slice(48, 58)
 _SYMBOLS = np.array([b for b in range(33, 127) if not chr(b).isalnum()])
@@ -170,20 +171,26 @@ def _judged(scored: DataFrame) -> DataFrame:
 
 
 def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most_labelled: int = LABELLED, columns: list[str] | None = None) -> DataFrame:
-    """``docs`` (or some of its ``columns``) with __evidence, __host_prior, __prior, __score (probability of good) and __keep.
+    """The ``columns`` of ``docs`` (all, if not given) with __evidence, __host_prior, __prior, __score (probability of good) and __keep.
 
     A null text counts as empty; null hosts or paths form a site of their own.  Repeated rows count and are
     judged alike; texts of any length are read whole, an empty table gives an empty result.  A document stays when
-    its posterior is at least one half, exactly one half included.  Other columns pass through.  Every text is
-    read once: the evidence is staged with the columns.
+    its posterior is at least one half, exactly one half included.  Columns that have a result's name
+    give way to it; :func:`keep_good` leaves columns of any name.  Every text is read once: the evidence is staged with the columns.
     """
+    own = [c for c in (docs.columns if columns is None else columns) if c.lower() not in RESULTS]
+    return _classified(docs, labels, host, path, most_labelled, own).select("row.*", *RESULTS)
+
+
+def _classified(docs: DataFrame, labels: DataFrame, host: str, path: str, most_labelled: int, columns: list[str]) -> DataFrame:
+    """The ``columns`` of every row of ``docs`` as row, with RESULTS."""
     bound_batches(docs.sparkSession)
     weights, base = train(docs, labels, most_labelled)
     site = {f"__{name}": F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("")) for name, column in (("host", host), ("path", path))}
-    scored = docs.withColumns(site).withColumn("__evidence", evidence(weights, base))
-    return _judged(staged(scored.select(*(docs.columns if columns is None else columns), *site, "__evidence"), "evidence"))
+    scored = docs.select(whole_row(columns), *[value.alias(name) for name, value in site.items()], evidence(weights, base).alias("__evidence"))
+    return _judged(staged(scored, "evidence"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, all columns unchanged; cases as in :func:`classified`."""
-    return classified(docs, labels, host, path).filter("__keep").select(*docs.columns)
+    return _classified(docs, labels, host, path, LABELLED, docs.columns).filter("__keep").select("row.*")

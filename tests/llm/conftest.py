@@ -35,3 +35,24 @@ def small():
     if not os.path.isdir(folder):
         pytest.skip("the test tables are not here")
     return folder
+
+
+#: Names that operators use for columns of their own, other spellings of them, and names that need quotes.
+HELPERS = (
+    "__digest", "__row", "__keep", "__frequent", "__key", "__size", "__copies", "__copy", "__run", "__RUN", "__score", "__host", "__path", "__evidence", "__prior", "__host_prior", "__id", "__node",
+    "__text_node", "__salt", "__hot", "__place", "__part", "__target", "__source_size", "row", "Row", "digest", "tie", "place", "keep_id", "id", "text_node", "node", "w", "found", "score", "n", "a.b", "`tick`", "a`b",
+)
+
+
+@pytest.fixture(scope="session")
+def clashing_docs(spark):
+    """Documents with a column of every helper's name, each holding doc_id and the name."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, passage(k % 5, 60 + k % 3), ("en", None)[k % 2], ("s1", "s2", None)[k % 3]) for k in range(1, 25)] + [(30, None, "en", "s1"), (31, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = {}
+    for name in HELPERS:
+        if name.lower() not in names:
+            names[name.lower()] = name
+    return docs.select("*", *[F.concat(F.col("doc_id").cast("string"), F.lit(":" + name)).alias(name) for name in names.values()], F.struct("doc_id", "lang").alias("__struct")).cache()
