@@ -2,7 +2,7 @@
 
 A logistic regression on features of the text gives each document's own evidence.  Its host and its path
 on the host add prior evidence: grouped sums of the classifier's probabilities are shrunk, paths toward
-their host and hosts toward the corpus, the more the fewer documents a site has and the less sites differ.
+their host and hosts toward the corpus, the more the fewer documents a site has and the less sites of one parent differ.
 The posterior of a document combines its likelihood ratio with its path's shrunk prior.
 
 Documents have no URL column, so source stands for the host and lang for the path: what is called the path
@@ -133,29 +133,46 @@ def _logit(p: Column) -> Column:
     return F.log(bounded / (F.lit(1.0) - bounded))
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
-    """Prior strength by the method of moments: how much less groups' means vary than single documents do."""
-    q = F.col("s") / F.col("n")
+def _strength(groups: DataFrame) -> float:
+    """How many documents of the parent's mean a group's own mean is pulled by: variance within groups over variance between them.
+
+    ``groups``: n, s, q (number, sum and sum of squares of the documents' probabilities), and parent_n, parent_s of the group's parent.
+    Both variances are moment estimates of a one-way layout nested in parents; what lies between parents is in neither.
+    """
+    mean, above = F.col("s") / F.col("n"), F.col("parent_s") / F.col("parent_n")
+
+    def whole(value: Column) -> Column:
+        return F.sum(F.round(value * UNIT).cast("long"))
+
     got = groups.agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(F.round(F.col("n") * (q - mean) * (q - mean) * UNIT).cast("long")).alias("between")
-    ).first()
-    if not got["n"] or got["g"] < 2:
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), whole(F.col("n") / F.col("parent_n")).alias("parents"), whole(F.col("q") - F.col("s") * mean).alias("within"),
+        whole(F.col("n") * (mean - above) * (mean - above)).alias("between"), whole(F.col("n") - F.col("n") * F.col("n") / F.col("parent_n")).alias("spread"),
+    ).first()
+    if not got["n"] or got["n"] <= got["groups"] or got["spread"] < 1:
         return STRENGTH[1]
-    inner = mean * (1 - mean)
-    spread = got["between"] / UNIT / got["n"] - inner * got["g"] / got["n"]
-    return float(min(max(inner / spread - 1 if spread > 0 else STRENGTH[1], STRENGTH[0]), STRENGTH[1]))
+    inner = max(got["within"], 0) / UNIT / (got["n"] - got["groups"])
+    outer = (got["between"] / UNIT - inner * (got["groups"] - round(got["parents"] / UNIT))) / (got["spread"] / UNIT)
+    return float(min(max(inner / outer if outer > 0 else STRENGTH[1], STRENGTH[0]), STRENGTH[1]))
 
 
 def site_priors(scored: DataFrame) -> DataFrame:
     """__host, __path, prior: shrunk probability that a document there is good.  scored has __host, __path, evidence."""
     p = F.round(F.lit(UNIT) / (F.lit(1.0) + F.exp(-F.col("evidence")))).cast("long")
-    paths = staged(scored.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"), (F.sum(p) / UNIT).alias("s")), "paths")
-    hosts = staged(paths.groupBy("__host").agg(F.sum("n").alias("n"), (F.sum(F.round(F.col("s") * UNIT).cast("long")) / UNIT).alias("s")), "hosts")
-    whole = hosts.agg(F.sum("n").alias("n"), (F.sum(F.round(F.col("s") * UNIT).cast("long")) / UNIT).alias("s")).first()
-    mean = whole["s"] / whole["n"] if whole["n"] else 0.5
-    pull_host, pull_path = _strength(hosts, mean), _strength(paths, mean)
-    shrunk = hosts.select("__host", ((F.col("s") + pull_host * mean) / (F.col("n") + pull_host)).alias("host_prior"))
-    joined = paths.join(shrunk, "__host")
+    sums = [F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")]
+    counted = scored.select("__host", "__path", F.lit(1).alias("n"), p.alias("s"), F.round(p * p / UNIT).cast("long").alias("q"))
+    paths = staged(counted.groupBy("__host", "__path").agg(*sums), "paths")
+    hosts = staged(paths.groupBy("__host").agg(*sums), "hosts")
+    whole = hosts.agg(*sums).first()
+
+    def scaled(groups: DataFrame, parent_n: Column, parent_s: Column) -> DataFrame:
+        return groups.select("*", (F.col("g.s") / UNIT).alias("s"), (F.col("g.q") / UNIT).alias("q"), F.col("g.n").alias("n"), parent_n.alias("parent_n"), (parent_s / UNIT).alias("parent_s"))
+
+    mean = whole["s"] / UNIT / whole["n"] if whole["n"] else 0.5
+    of_hosts = scaled(hosts.select("__host", F.struct("n", "s", "q").alias("g")), F.lit(whole["n"] or 1), F.lit(whole["s"] or 0))
+    pull_host = _strength(of_hosts)
+    shrunk = of_hosts.select("__host", F.col("g.n").alias("host_n"), F.col("g.s").alias("host_s"), ((F.col("s") + pull_host * mean) / (F.col("n") + pull_host)).alias("host_prior"))
+    joined = scaled(paths.select("__host", "__path", F.struct("n", "s", "q").alias("g")).join(shrunk, "__host"), F.col("host_n"), F.col("host_s"))
+    pull_path = _strength(joined)
     return joined.select("__host", "__path", "host_prior", ((F.col("s") + F.lit(pull_path) * F.col("host_prior")) / (F.col("n") + F.lit(pull_path))).alias("prior"))
 
 

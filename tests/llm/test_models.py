@@ -1,7 +1,7 @@
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -261,31 +261,58 @@ def test_quality_of_odd_tables(spark, odd_docs, no_docs):
     assert {r["__evidence"] for r in nothing.collect()} == {0.0}
 
 
+def pull_by_hand(values, parents):
+    """values: documents' values of each group; parents: the parent of each group."""
+    n = np.array([len(v) for v in values])
+    means = np.array([v.mean() for v in values])
+    sizes, centres = {}, {}
+    for parent in set(parents):
+        mine = [v for v, p in zip(values, parents, strict=True) if p == parent]
+        sizes[parent], centres[parent] = sum(map(len, mine)), np.concatenate(mine).mean()
+    spread = sum(k - k * k / sizes[p] for k, p in zip(n, parents, strict=True))
+    if n.sum() <= len(n) or spread < 1e-6:
+        return 200.0
+    inner = sum(((v - v.mean()) ** 2).sum() for v in values) / (n.sum() - len(n))
+    between = sum(k * (m - centres[p]) ** 2 for k, m, p in zip(n, means, parents, strict=True))
+    outer = (between - inner * (len(n) - len(sizes))) / spread
+    return min(max(inner / outer if outer > 0 else 200.0, 2.0), 200.0)
+
+
 def posteriors_by_hand(rows):
     """prior of host, of path and posterior of rows (host, path, evidence), from the definitions."""
-    p = np.array([round(1e6 / (1 + math.exp(-e))) for _, _, e in rows])
-    hosts, paths = [h for h, _, _ in rows], [(h, q) for h, q, _ in rows]
-    mean = p.sum() / 1e6 / len(rows)
-
-    def strength(keys):
-        n, s = Counter(keys), Counter()
-        for k, x in zip(keys, p, strict=True):
-            s[k] += int(x)
-        if len(n) < 2:
-            return 200.0, n, s
-        between = sum(round(n[k] * (s[k] / 1e6 / n[k] - mean) ** 2 * 1e6) for k in n) / 1e6
-        spread = between / len(rows) - mean * (1 - mean) * len(n) / len(rows)
-        return min(max(mean * (1 - mean) / spread - 1 if spread > 0 else 200.0, 2.0), 200.0), n, s
-
-    pull_host, n_host, s_host = strength(hosts)
-    pull_path, n_path, s_path = strength(paths)
+    p = np.array([round(1e6 / (1 + math.exp(-e))) for _, _, e in rows]) / 1e6
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for (h, q, _), x in zip(rows, p, strict=True):
+        hosts[h].append(x)
+        paths[h, q].append(x)
+    pull_host = pull_by_hand([np.array(v) for v in hosts.values()], [None] * len(hosts))
+    pull_path = pull_by_hand([np.array(v) for v in paths.values()], [h for h, _ in paths])
     found = []
     for h, q, e in rows:
-        host = (s_host[h] / 1e6 + pull_host * mean) / (n_host[h] + pull_host)
-        prior = (s_path[h, q] / 1e6 + pull_path * host) / (n_path[h, q] + pull_path)
+        host = (sum(hosts[h]) + pull_host * p.mean()) / (len(hosts[h]) + pull_host)
+        prior = (sum(paths[h, q]) + pull_path * host) / (len(paths[h, q]) + pull_path)
         bounded = min(max(prior, 1e-4), 1 - 1e-4)
         found.append((host, prior, 1 / (1 + math.exp(-(e + math.log(bounded / (1 - bounded)))))))
-    return [pytest.approx(f, abs=1e-6) for f in found]
+    return [pytest.approx(f, abs=1e-4) for f in found]
+
+
+def test_strength_is_that_of_planted_variances(spark):
+    """Values with known variances between hosts, between paths of a host and between documents: the pulls are their quotients."""
+    rng = np.random.default_rng(11)
+    rows, host_sd, path_sd, doc_sd = [], 0.15, 0.04, 0.12
+    for host in range(400):
+        at_host = 0.5 + rng.normal(0, host_sd)
+        for path in range(int(rng.integers(2, 6))):
+            at_path = at_host + rng.normal(0, path_sd)
+            rows += [(f"h{host}", f"p{path}", float(x)) for x in np.clip(at_path + rng.normal(0, doc_sd, int(rng.integers(5, 40))), 0.001, 0.999)]
+    table = spark.createDataFrame(rows, "h string, p string, x double").cache()
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")]
+    hosts = table.groupBy("h").agg(*sums)
+    whole = table.agg(*sums).first()
+    paths = table.groupBy("h", "p").agg(*sums).join(hosts.select("h", F.col("n").alias("parent_n"), F.col("s").alias("parent_s")), "h")
+    assert quality._strength(paths) == pytest.approx(doc_sd**2 / path_sd**2, rel=0.15)
+    of_hosts = hosts.withColumns({"parent_n": F.lit(whole["n"]), "parent_s": F.lit(whole["s"])})
+    assert quality._strength(of_hosts) == pytest.approx(2.0)  # documents of a host differ less than hosts: the least pull
 
 
 def judged_rows(spark, rows):
