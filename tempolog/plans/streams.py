@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import evidence, merges
 from ..sources import parse
-from ..streaming import sessions, settle
+from ..streaming import boundaries, identity, occurrences, settle, settlement, slices
 from .tables import events, query
 
 
@@ -122,7 +122,7 @@ def r_forms(spark: SparkSession, d: str) -> DataFrame:
 def t1(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of a session per day, folded and settled with state."""
     rows = parse.session_rows(made_lines(spark, d), F.col("source_file"))
-    return sessions.fold_table(rows)
+    return occurrences.fold(rows)
 
 
 def folded(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,7 @@ def folded(spark: SparkSession, d: str) -> DataFrame:
     day, stamp = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy.MM.dd HH:mm:ss.SSS")
     lines = e.select(day.alias("source_file"), "event_id", stamp.alias("stamp"), F.posexplode(said).alias("k", "said"))
     lines = lines.select("source_file", (F.col("event_id") * 2 + F.col("k")).alias("line_number"), F.lit(0).cast("long").alias("byte_offset"), F.concat("stamp", F.lit(" Log        -  "), "said").alias("value"))
-    return sessions.fold_table(parse.session_rows(lines, F.col("source_file")))
+    return occurrences.fold(parse.session_rows(lines, F.col("source_file")))
 
 
 FOLDED = """e AS (SELECT ts::DATE AS day, epoch_us(ts) // 1000 AS at_ms, event_id, user_id, event_type, round(value * 60, 1) AS len FROM events), s AS (SELECT * FROM e WHERE event_type = 'purchase'),

@@ -1,92 +1,74 @@
-"""Running the fold: once over a table, or over a stream that keeps each session's state."""
+"""The fold over a stream: each micro-batch adds its rows to those kept, and tells the occurrences that it changes.
+
+What is kept is a table of rows by micro-batch, and a table of what has been told; a micro-batch writes its own rows and the
+occurrences that it changes, so what it writes does not grow with the past.  It reads the rows of the sessions that it
+touches.  Sessions that have ended leave the table when it is compacted.
+"""
 
 from __future__ import annotations
 
-import hashlib
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor
-
-from .fold import STAMPS, Session
-
-_TEXTS = (
-    "event_key", "canonical_key", "system_key", "external_id", "url_kind", "world_parser", "video_url", "routed_url", "resolved_url", "video_id", "video_name", "display_name", "requester_marker",
-    "requester_user_id", "requester_user_id_source", "source_hint", "source_type", "source_display_name", "actual_play_method", "duration_source", "source_file", "completion_status", "completion_reason",
-)
-_NUMBERS = (
-    "actual_play_offset_seconds", "duration_seconds", "load_seconds", "wait_seconds", "elapsed_at_first_seen_seconds", "delay_to_actual_seconds", "load_to_actual_seconds",
-    "request_to_resolve_seconds", "played_seconds", "required_seconds",
-)
-_WHOLE = ("first_line_number", "last_line_number", "signal_count")
-_CONFLICT = pa.struct([("kept_seconds", pa.float64()), ("kept_source", pa.string()), ("other_seconds", pa.float64()), ("other_source", pa.string())])
-ARROW = pa.schema([
-    ("session", pa.string()), *((n, pa.string()) for n in _TEXTS), *((n, pa.timestamp("us")) for n in (*STAMPS, "settled_at")), *((n, pa.float64()) for n in _NUMBERS), *((n, pa.int64()) for n in _WHOLE),
-    ("observed_mid_play", pa.bool_()), ("parser_names", pa.list_(pa.string())), ("raw_event_types", pa.list_(pa.string())), ("duration_conflicts", pa.list_(_CONFLICT)),
-])
-OCCURRENCES = ", ".join(
-    ["session string", *(f"{n} string" for n in _TEXTS), *(f"{n} timestamp_ntz" for n in (*STAMPS, "settled_at")), *(f"{n} double" for n in _NUMBERS), *(f"{n} long" for n in _WHOLE)]
-    + ["observed_mid_play boolean", "parser_names array<string>", "raw_event_types array<string>", "duration_conflicts array<struct<kept_seconds: double, kept_source: string, other_seconds: double, other_source: string>>"]
-)
-ORDER = ("source_file", "line_number", "stage", "ordinal")
-
-
-def _table(session: str, state: Session) -> pa.Table:
-    return pa.Table.from_pylist([{n: o.get(n) for n in ARROW.names} | {"session": session} for o in state.rows()], schema=ARROW)
-
-
-def fold_table(rows: DataFrame, finish: bool = True, strict_boundary: bool = False) -> DataFrame:
-    """Occurrences of all sessions; each session is one group, so parallelism comes from their number."""
-
-    def fold(table: pa.Table) -> pa.Table:
-        state = Session(strict_boundary)
-        ordered = table.sort_by([(c, "ascending") for c in ORDER])
-        for row in ordered.to_pylist():
-            state.feed(row)
-        if finish:
-            state.finish()
-        return _table(table["session"][0].as_py(), state)
-
-    return rows.groupBy("session").applyInArrow(fold, OCCURRENCES)
-
-
-class SessionProcessor(StatefulProcessor):
-    """Feeds each micro-batch to the session's state and puts out all of its occurrences that are new or changed.
-
-    What no later row can change leaves the state once it has been put out, so the state holds what plays and
-    waits, not the session's past.  A row of kind ``stop`` ends a session as a normal stop of the source does.
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from ..operators.staging import staged
+from ..operators.versions import VersionedTable
+from .occurrences import OCCURRENCES, fold
+
+#: The kind of a row that ends a session as a normal stop of its source does.
+STOP = "stop"
+
+
+class Kept:
+    """Rows and told occurrences of a stream, in one versioned table: a micro-batch is committed with what it has told, or not at all."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType):
+        self.table, self.schema = VersionedTable(spark, folder), schema
+        self.told = StructType().add("session", "string").add("event_key", "string").add("digest", "long").add("batch", "long")
+
+    def add(self, batch: DataFrame, number: int, write: Callable[[DataFrame, int], None]) -> None:
+        """Tell the occurrences that the rows of a micro-batch change, as they are now; a batch that has been committed does nothing."""
+        version = self.table.version()
+        if version.writers.get("stream", -1) >= number:
+            return
+        new = staged(batch.select(*self.schema.names), "batch")
+        touched = new.select("session").distinct()
+        earlier = self.table.read("rows", self.schema, version)
+        rows = earlier.join(touched, "session", "left_semi").unionByName(new)
+        stops = rows.groupBy("session").agg(F.max((F.col("event_type") == STOP).cast("int")).alias("stopped"))
+        rows = staged(rows.join(stops, "session"), "touched")
+        running, over = (fold(rows.filter(c).drop("stopped").filter(F.col("event_type") != STOP), finish=finish) for c, finish in (("stopped = 0", False), ("stopped = 1", True)))
+        now = staged(running.unionByName(over), "now")
+        digest = F.xxhash64(*[c for c in now.columns if c != "duration_conflicts"], F.to_json("duration_conflicts"))
+        told = self.table.read("told", self.told, version).join(touched, "session", "left_semi")
+        last = told.groupBy("session", "event_key").agg(F.max_by("digest", "batch").alias("last"))
+        changed = staged(now.withColumn("digest", digest).join(last, ["session", "event_key"], "left").filter(~F.col("digest").eqNullSafe(F.col("last"))), "changed")
+        write(changed.drop("digest", "last"), number)
+        added = {"rows": self.table.write("rows", new), "told": self.table.write("told", changed.select("session", "event_key", "digest", F.lit(number).cast("long").alias("batch")))}
+        self.table.commit(lambda v: v.parts | {kind: [*v.parts.get(kind, []), part] for kind, part in added.items()}, "stream", number)
+
+    def compact(self) -> None:
+        """Put all rows into one folder, without sessions that have stopped; batches that are committed meanwhile stay beside it."""
+        version = self.table.version()
+        rows = self.table.read("rows", self.schema, version)
+        over = rows.filter(F.col("event_type") == STOP).select("session").distinct()
+        self.table.replace("rows", rows.join(over, "session", "left_anti"), version)
+        told = self.table.read("told", self.told, version)
+        last = told.join(over, "session", "left_anti").groupBy("session", "event_key").agg(F.max_by("digest", "batch").alias("digest"), F.max("batch").alias("batch"))
+        self.table.replace("told", last, version)
+
+
+def fold_stream(rows: DataFrame, folder: str, write: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """Start folding a stream of rows (``parse.session_rows``): ``write`` gets the occurrences that each micro-batch changes, and its number.
+
+    ``folder`` is shared by driver and executors and belongs to this stream alone.  A row of kind ``stop`` ends a session.
+    ``write`` comes before the commit, so it may be called again with the same rows when a micro-batch is repeated.
     """
+    kept = Kept(rows.sparkSession, folder, rows.schema)
+    return rows.writeStream.foreachBatch(lambda batch, number: kept.add(batch, number, write)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
 
-    def init(self, handle) -> None:
-        self.held = handle.getValueState("session", "data binary")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, told = pickle.loads(self.held.get()[0]) if self.held.exists() else (Session(), {})
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(list(ORDER), kind="stable")
-        clean = batch.astype(object).where(batch.notna(), None)
-        for row in clean.to_dict("records"):
-            row["at"] = row["at"].to_pydatetime() if row["at"] is not None else None
-            if row.get("actual_play_at") is not None:
-                row["actual_play_at"] = row["actual_play_at"].to_pydatetime()
-            if row["event_type"] == "stop":
-                state.finish()
-            else:
-                state.feed(row)
-        now = {o["event_key"]: hashlib.blake2b(repr(sorted(o.items())).encode(), digest_size=8).digest() for o in state.rows()}
-        changed = {k for k, v in now.items() if told.get(k) != v}
-        found = _table(key[0], state).to_pandas()
-        for name in state.release():
-            del now[name]
-        self.held.update((pickle.dumps((state, now)),))
-        yield found[found["event_key"].isin(changed)]
-
-    def close(self) -> None:
-        pass
-
-
-def fold_stream(rows: DataFrame) -> DataFrame:
-    """The same over a stream of rows: an update for each occurrence that a micro-batch changes."""
-    return rows.groupBy("session").transformWithStateInPandas(SessionProcessor(), OCCURRENCES, "Update", "None")
+__all__ = ["OCCURRENCES", "Kept", "fold", "fold_stream"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fold import COMPLETE_SHARE, TOLERANCE
+from .settlement import COMPLETE_SHARE, TOLERANCE
 
 
 def settle(rows: DataFrame) -> DataFrame:

@@ -10,12 +10,13 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType
 
 from ..operators.order import PARTS, numbered
 from ..operators.staging import staged
 
 #: Up to this many rows, the whole order is one slice.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 1 << 18
 
 
 class Run(NamedTuple):
@@ -27,10 +28,14 @@ class Run(NamedTuple):
 
 
 def sliced(rows: DataFrame, order: list[str | Column], slice_rows: int = SLICE_ROWS, name: str = "place") -> DataFrame:
-    """``rows`` as a staged table with their place in the ``order`` of all rows and the slice of it that they are in."""
+    """``rows`` as a staged table with their place in the ``order`` of all rows and the slice of it that they are in.
+
+    slice is an int; a single slice is the byte 0, by which :func:`scan` knows that nothing has to be put together.
+    """
     rows = staged(rows, "unsliced")
     parts = min(PARTS, rows.count() // slice_rows + 1)
-    return staged(numbered(rows, order, name, parts, part="slice"), "sliced")
+    placed = numbered(rows, order, name, parts, part="slice")
+    return staged(placed.withColumn("slice", F.lit(0).cast("byte")) if parts == 1 else placed, "sliced")
 
 
 def scan(rows: DataFrame, by: list[str], runs: dict[str, Run], backward: bool = False, place: str = "place") -> DataFrame:
@@ -50,11 +55,14 @@ def scan(rows: DataFrame, by: list[str], runs: dict[str, Run], backward: bool =
     def over(how: str, value: Column) -> Column:
         return getattr(F, how)(value) if how in ("sum", "max", "min") else getattr(F, how)(value, ignorenulls=True)
 
-    within = Window.partitionBy(*by, "slice").orderBy(along(place))
+    whole = isinstance(rows.schema["slice"].dataType, ByteType)
+    within = Window.partitionBy(*by, *([] if whole else ["slice"])).orderBy(along(place))
+    ran = rows.withColumns({f"__in_{n}": over(run.how, run.value).over(within.rowsBetween(Window.unboundedPreceding, 0 if run.own else -1)) for n, run in runs.items()})
+    if whole:
+        return ran.select(*rows.columns, *[(F.coalesce(F.col(f"__in_{n}"), F.lit(0)) if run.how == "sum" else F.col(f"__in_{n}")).alias(n) for n, run in runs.items()])
     before = Window.partitionBy(*by).orderBy(along("slice")).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*by, "slice").agg(*[total(run).alias(f"__all_{n}") for n, run in runs.items()])
     earlier = totals.select(*by, "slice", *[over(run.how, F.col(f"__all_{n}")).over(before).alias(f"__before_{n}") for n, run in runs.items()])
-    ran = rows.withColumns({f"__in_{n}": over(run.how, run.value).over(within.rowsBetween(Window.unboundedPreceding, 0 if run.own else -1)) for n, run in runs.items()})
     joined = ran.join(earlier, [*by, "slice"], "left")
 
     def both(name: str, how: str) -> Column:

@@ -1,12 +1,12 @@
 import datetime as dt
-import time
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tempolog.sources import logs, parse
-from tempolog.streaming import sessions
-from tempolog.streaming.fold import Session
+from fold_by_hand import Session
+from tempolog.streaming import boundaries, identity, occurrences, sessions, slices
 
 SONG = "http://api.udon.dance/Api/Songs/play?id="
 BASE = dt.datetime(2024, 1, 1, 15, 30)
@@ -69,7 +69,7 @@ def signals(spark, tmp_path_factory):
 def folded(signals):
     found: dict[str, list[dict]] = {name: [] for name in SESSIONS}
     for begins, finish in ((F.col("session").startswith("open"), False), (~F.col("session").startswith("open"), True)):
-        for r in sessions.fold_table(signals.filter(begins), finish=finish).collect():
+        for r in occurrences.fold(signals.filter(begins), finish=finish).collect():
             found[r["session"]].append(r.asDict())
     return {name: sorted(rows, key=lambda o: o["event_key"]) for name, rows in found.items()}
 
@@ -98,7 +98,7 @@ def test_a_played_song_requested_again_is_a_new_occurrence(folded):
 
 def test_an_unplayed_request_absorbs_a_later_one_unless_strict(folded, signals):
     assert len(folded["absorbed"]) == 1
-    assert sessions.fold_table(signals.filter("session = 'absorbed'"), strict_boundary=True).count() == 2
+    assert occurrences.fold(signals.filter("session = 'absorbed'"), strict_boundary=True).count() == 2
 
 
 def test_previews_mute_a_song(folded):
@@ -132,21 +132,36 @@ def test_better_sources_of_a_duration_win_and_conflicts_are_kept(folded):
 
 
 def test_a_stream_ends_as_the_table_does(spark, signals, folded, tmp_path):
+    """Each micro-batch tells what it changes; one that is run again changes nothing, and one after a restart goes on."""
     rows = signals.filter("session = 'open stream'")
+    last, told = {}, []
+
+    def write(changed, number):
+        for r in changed.collect():
+            told.append((number, r["event_key"]))
+            last[r["event_key"]] = r
+
     for k in range(3):
         rows.filter(F.col("line_number").isin(2 * k + 1, 2 * k + 2)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        time.sleep(1.1)  # files are taken in order of time
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = sessions.fold_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    query = stream.writeStream.format("memory").queryName("folded").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination(180)
-    last = {r["event_key"]: r["completion_status"] for r in spark.table("folded").collect()}
-    assert last == {o["event_key"]: o["completion_status"] for o in folded["open stream"]} == {"wannadance:7#1": "interrupted", "wannadance:8#1": "interrupted"}
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        assert sessions.fold_stream(stream, str(tmp_path / "kept"), write, str(tmp_path / "ck")).awaitTermination(180)
+    assert {k: r["completion_status"] for k, r in last.items()} == {o["event_key"]: o["completion_status"] for o in folded["open stream"]} == {"wannadance:7#1": "interrupted", "wannadance:8#1": "interrupted"}
+    assert {k: r.asDict() for k, r in last.items()} == {o["event_key"]: o for o in folded["open stream"]}
+    kept, before = sessions.Kept(spark, str(tmp_path / "kept"), rows.schema), len(told)
+    kept.add(rows.limit(1), 2, write)
+    assert len(told) == before == len(set(told))
+    kept.compact()
+    kept.add(rows.limit(0), 7, write)
+    assert len(told) == before and len(kept.table.version().parts["rows"]) == 2
+    stop = rows.limit(1).withColumns({"event_type": F.lit("stop"), "line_number": F.lit(99).cast("long")})
+    kept.add(stop, 8, write)
+    kept.compact()
+    assert kept.table.read("rows", rows.schema).count() == 0
 
 
 def test_partitioning_changes_nothing(signals):
     rows = signals.filter("session = 'open busy'")
-    one, many = (sorted(map(repr, sessions.fold_table(r).collect())) for r in (rows.coalesce(1), rows.repartition(13, "line_number")))
+    one, many = (sorted(map(repr, occurrences.fold(r).collect())) for r in (rows.coalesce(1), rows.repartition(13, "line_number")))
     assert one == many
 
 
@@ -186,8 +201,6 @@ def test_a_settled_occurrence_stays_settled():
 
 def test_windows_settle_as_the_fold_does(spark):
     """Sessions of starts with a song of their own, stamps in order: the two ways agree."""
-    import random
-
     from tempolog.streaming.settle import settle
 
     draw = random.Random(4)
@@ -213,50 +226,106 @@ def test_windows_settle_as_the_fold_does(spark):
     assert {r["item"]: (r["status"], r["settled_us"]) for r in settle(df).collect()} == expected
 
 
-def test_the_state_lets_go_of_what_is_over():
-    """A long session's state holds what plays and waits; what has left it was complete as it was."""
-    state, whole = Session(), Session()
-    seen: dict[str, dict] = {}
-    for k in range(200):
-        at = BASE + dt.timedelta(seconds=20 * k)
-        place = {"source_file": "a", "line_number": k, "at": at}
-        fed = [{"event_type": "clock", **place}, {"event_type": "on-video-start", "parser_name": "p", "canonical_key": f"k:{k % 50}", "system_key": "k", "external_id": str(k % 50), "video_url": "u", "duration_seconds": 10.0, **place}]
-        if k % 10 == 9:
-            fed.append({"event_type": "room-left", **place})
-        for row in fed:
-            state.feed(row)
-            whole.feed(row)
-        seen |= {o["event_key"]: o for o in state.rows()}
-        state.release()
-    assert len(state.occurrences) < 12 and len(whole.occurrences) == 200
-    assert seen == {o["event_key"]: o for o in whole.rows()}
-
-
-def test_long_sessions_take_time_in_proportion():
-    def took(n):
-        state, began = Session(), time.perf_counter()
-        for k in range(n):
-            place = {"source_file": "a", "line_number": k, "at": BASE + dt.timedelta(seconds=20 * k)}
-            state.feed({"event_type": "clock", **place})
-            state.feed({"event_type": "on-video-start", "parser_name": "p", "canonical_key": f"k:{k}", "system_key": "k", "external_id": str(k), "video_url": "u", "duration_seconds": 10.0, **place})
-        return time.perf_counter() - began
-
-    took(100)
-    assert took(8000) < 40 * took(1000)
+ROW = (
+    "session string, source_file string, line_number long, stage int, ordinal int, event_type string, parser_name string, at timestamp_ntz, actual_play_at timestamp_ntz, canonical_key string, system_key string, external_id string, "
+    "url_kind string, world_parser string, video_url string, routed_url string, resolved_url string, video_id string, video_name string, display_name string, requester_marker string, requester_user_id string, "
+    "requester_user_id_source string, source_hint string, actual_play_method string, duration_source string, duration_seconds double, load_seconds double, wait_seconds double, video_offset_seconds double"
+)
+NAMES = [c.split()[0] for c in ROW.split(", ")]
+SIGNALS = (
+    ("request", "user_added_url"), ("request", "usharp_play_internal"), ("load-start", "usharp_video_load"), ("resolve-attempt", "video_playback_resolve"), ("resolve-complete", "video_playback_resolved"),
+    ("route", "usharp_load_routed_url"), ("on-video-start", "usharp_on_video_start"), ("playback-sync", "usharp_playing_synced"), ("preview", "wannadance_preview"), ("metadata", "wannadance_queue_info"),
+    ("metadata", "wannadance_play_video"), ("playback-progress", "vrcx_video_play"), ("actual-play", "dudu_on_video_play"), ("actual-play", "usharp_delayed_video_ready"), ("video-loaded", "usharp_video_loaded"),
+)
+
+
+def random_session(seed, n, in_order):
+    """Rows of all kinds of three songs, of which one is of no known system, three people and their rooms."""
+    draw, t, rows = random.Random(seed), 0, []
+    for k in range(n):
+        t += draw.choice([0, 0, 1, 5, 20, 31, 60]) if in_order or draw.random() < 0.8 else -draw.choice([1, 10, 40])
+        place = {"source_file": "a", "line_number": k, "at": BASE + dt.timedelta(seconds=t), "session": str(seed), "ordinal": 0}
+        rows.append(place | {"event_type": "clock", "stage": 0})
+        kind = draw.random()
+        if kind < 0.2:
+            rows.append(place | {"stage": 1, "event_type": draw.choice(["room-left", "room-left", "application-quit", "video-shutdown"] if kind < 0.08 else ["room-entering"])})
+        elif kind < 0.35:
+            who = draw.choice("ABC")
+            rows.append(place | {"stage": 2, "event_type": draw.choice(["player-joined", "player-joined", "player-left", "user-authenticated"]), "display_name": who, "requester_user_id": "usr_" + who + draw.choice("12")})
+        else:
+            song, (event, parser) = draw.randrange(3), draw.choice(SIGNALS)
+            row = place | {"stage": 3, "event_type": event, "parser_name": parser}
+            if event == "video-loaded":
+                row |= {"load_seconds": 1.5, "wait_seconds": draw.choice([None, 2.0, 6.0])}
+            elif event != "actual-play":
+                row |= {"canonical_key": f"k:{song}", "video_url": f"u{song}{draw.choice('xyz')}"} | ({"system_key": "k", "external_id": str(song)} if song != 2 else {})
+            if event == "playback-progress":
+                offset = draw.choice([1.0, 30.0])
+                row |= {"actual_play_at": place["at"] - dt.timedelta(seconds=offset), "video_offset_seconds": offset, "actual_play_method": "vrcx_progress_offset"}
+            if event in ("request", "metadata", "load-start", "playback-progress") and draw.random() < 0.6:
+                row["display_name"] = draw.choice(["A", "B", "C", "random"])
+            if (event == "metadata" or parser == "vrcx_video_play") and draw.random() < 0.7:
+                row |= {"duration_seconds": draw.choice([0.0, 5.0, 20.0, 60.0]), "duration_source": draw.choice(["wanna_queue_json", "wanna_video_duration", "vrcx_payload"]), "video_name": draw.choice([None, "N1", "N2"])}
+                if draw.random() < 0.3:
+                    row |= {"requester_user_id": "usr_p", "requester_user_id_source": "payload"}
+            rows.append(row)
+    return rows
+
+
+@pytest.mark.parametrize(("in_order", "strict", "finish", "slice_rows"), [(True, False, True, 10**6), (False, True, False, 10**6), (False, False, True, 300)])
+def test_random_sessions_fold_as_told_row_by_row(spark, in_order, strict, finish, slice_rows):
+    """One long session and many short ones, whole and cut into slices, with stamps in order and not."""
+    rows, expected = [], {}
+    for seed in range(16):
+        own = random_session(seed, 120 if seed == 0 else 40, in_order)
+        rows += own
+        state = Session(strict)
+        for row in own:
+            state.feed(dict.fromkeys(NAMES) | row)
+        if finish:
+            state.finish()
+        expected |= {(str(seed), o["event_key"]): o for o in state.rows()}
+    table = spark.createDataFrame([tuple(r.get(c) for c in NAMES) for r in rows], ROW).repartition(4)
+    found = {(r["session"], r["event_key"]): r.asDict(recursive=True) for r in occurrences.fold(table, finish, strict, slice_rows).collect()}
+    assert found.keys() == expected.keys() and len(found) > 100
+    for key, o in found.items():
+        for name in occurrences.COLUMNS:
+            if name not in ("session", "duration_conflicts"):
+                assert o[name] == (pytest.approx(expected[key].get(name)) if isinstance(o[name], float) else expected[key].get(name)), (key, name)
+
+
+def test_a_session_is_not_one_task(spark):
+    """All rows of one session: the running values of its slices are made in as many tasks."""
+    rows = spark.createDataFrame([tuple(r.get(c) for c in NAMES) for r in random_session(1, 2000, True)], ROW)
+    placed = slices.sliced(rows, ["session", "source_file", "line_number", "stage", "ordinal"], slice_rows=200)
+    held = [r["count"] for r in placed.groupBy("slice").count().collect()]
+    assert len(held) > 10 and max(held) < placed.count() / 5
+    ran = slices.scan(placed, ["session"], {"n": slices.Run("sum", F.lit(1)), "last": slices.Run("last", F.col("canonical_key"), own=False), "next": slices.Run("first", F.col("place"))})
+    seen = None
+    for r in ran.orderBy("place").collect():
+        assert (r["n"], r["last"], r["next"]) == (r["place"], seen, 1)
+        seen = r["canonical_key"] or seen
+
+
+def test_steps_take_tables_without_rows(spark):
+    empty = spark.createDataFrame([], ROW)
+    assert occurrences.fold(empty).collect() == []
+    assert boundaries.occurrences_of(boundaries.attributed(boundaries.signals_of(boundaries.in_segments(slices.sliced(empty, ["session"]))))).collect() == []
+    assert identity.named(identity.in_rooms(slices.sliced(empty, ["session"]))).collect() == []
 
 
 def test_occurrences_become_records(spark, signals, rows):
     """Times come in their order, songs without key and occurrences without time give none, promotion is idempotent."""
     from tempolog.operators import evidence
 
-    kinds = sessions.OCCURRENCES
-    base = dict.fromkeys(sessions.ARROW.names) | {"session": "s", "system_key": " Wanna ", "external_id": "7", "completion_status": "pending", "observed_mid_play": False}
+    kinds = occurrences.OCCURRENCES
+    base = dict.fromkeys(list(occurrences.COLUMNS)) | {"session": "s", "system_key": " Wanna ", "external_id": "7", "completion_status": "pending", "observed_mid_play": False}
     at = {n: BASE + dt.timedelta(seconds=k) for k, n in enumerate(("actual_play_at", "first_seen_at", "last_seen_at"))}
     made = [
         base | at | {"event_key": "a", "completion_status": "completed", "completion_reason": "r", "duration_seconds": 9.0}, base | {"event_key": "b", "first_seen_at": at["first_seen_at"], "last_seen_at": at["last_seen_at"], "completion_status": "interrupted", "completion_reason": "q"},
         base | {"event_key": "c", "last_seen_at": at["last_seen_at"], "display_name": "D"}, base | {"event_key": "d"}, base | at | {"event_key": "e", "external_id": " "},
     ]
-    o = spark.createDataFrame([tuple(m[n] for n in sessions.ARROW.names) for m in made], kinds)
+    o = spark.createDataFrame([tuple(m[n] for n in list(occurrences.COLUMNS)) for m in made], kinds)
     found = evidence.evidence_records(o)
     assert sorted((r["default_status"], r["status_reason"], r["played_at"], r["system_key"]) for r in found.collect()) == [
         ("accepted", "r", at["actual_play_at"], "wanna"), ("needs_attention", "q", at["first_seen_at"], "wanna"), ("pending", "live_observation_pending", at["last_seen_at"], "wanna"),
