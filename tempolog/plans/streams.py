@@ -118,11 +118,96 @@ def r_forms(spark: SparkSession, d: str) -> DataFrame:
     return parse.parse_signals(lines).withColumn("other_url", F.coalesce("routed_url", "resolved_url")).select("line_number", *_FIELDS)
 
 
-@query("t1_fold")
+#: The lines' sessions told row by row: a request opens an occurrence unless an unplayed one is open, a start plays, leaving the room closes all.
+FOLD_SQL = """WITH RECURSIVE e AS (SELECT ts::DATE AS day, event_id, epoch_us(ts) // 1000 AS at_ms, event_type, user_id FROM events), s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY event_id) AS segment FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY day, user_id ORDER BY event_id) AS k FROM s WHERE event_type IN ('click', 'view', 'purchase')),
+told AS (SELECT day, user_id, k, event_id, at_ms, event_type, segment, 1 AS number, event_type = 'purchase' AS played FROM r WHERE k = 1
+  UNION ALL SELECT r.day, r.user_id, r.k, r.event_id, r.at_ms, r.event_type, r.segment, t.number + CASE WHEN r.segment <> t.segment OR (r.event_type <> 'purchase' AND t.played) THEN 1 ELSE 0 END,
+    r.event_type = 'purchase' OR (t.played AND r.segment = t.segment AND r.event_type = 'purchase') FROM told t JOIN r ON r.day = t.day AND r.user_id = t.user_id AND r.k = t.k + 1)
+SELECT 'log-' || day AS session, 'wannadance:' || (user_id + 1) || '#' || number AS event_key, count(*) AS signal_count, min(at_ms) AS first_seen_ms, max(at_ms) AS last_seen_ms, min(CASE WHEN event_type = 'purchase' THEN at_ms END) AS actual_play_ms,
+  string_agg(DISTINCT CASE event_type WHEN 'purchase' THEN 'on-video-start' ELSE 'request' END, ',' ORDER BY CASE event_type WHEN 'purchase' THEN 'on-video-start' ELSE 'request' END) AS kinds, arg_min('P' || (user_id % 7), event_id) FILTER (event_type <> 'purchase') AS display_name FROM told GROUP BY day, user_id, number"""
+
+
+@query("t1_fold", FOLD_SQL)
 def t1(spark: SparkSession, d: str) -> DataFrame:
-    """Occurrences of a session per day, folded and settled with state."""
-    rows = parse.session_rows(made_lines(spark, d), F.col("source_file"))
-    return occurrences.fold(rows)
+    """Occurrences of a session per day, folded out of log lines."""
+    o = occurrences.fold(parse.session_rows(made_lines(spark, d), F.col("source_file")))
+
+    def ms(name: str) -> Column:
+        return F.unix_millis(F.col(name).cast("timestamp"))
+
+    return o.select(
+        "session", "event_key", "signal_count", ms("first_seen_at").alias("first_seen_ms"), ms("last_seen_at").alias("last_seen_ms"), ms("actual_play_at").alias("actual_play_ms"),
+        F.array_join("raw_event_types", ",").alias("kinds"), "display_name",
+    )
+
+
+def session_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of ten sessions straight from events, in place and slices: each event is a stamp, and some are signals, rooms or people.
+
+    A song has the number of the user modulo 40; every sixteenth event is of its own kind.
+    """
+    e, n = events(spark, d), F.col("event_id") % 16
+    kind = F.when(n < 4, "request").when(n < 6, "on-video-start").when(n == 6, "route").when(n == 7, "playback-sync").when(n == 8, "room-left").when(n == 9, "room-entering").when(n < 12, "player-joined").when(n == 12, "player-left")
+    is_signal, people = n < 8, n.isin(10, 11, 12)
+    song, name = F.concat(F.lit("k:"), (F.col("user_id") % 40).cast("string")), F.concat(F.lit("N"), (F.col("user_id") % 25).cast("string"))
+    base = e.select((F.col("user_id") % 10).cast("string").alias("session"), F.lit("a").alias("source_file"), F.col("event_id").alias("line_number"), F.col("ts").cast("timestamp_ntz").alias("at"), "event_id", "user_id", "value")
+    clocks = base.withColumns({"stage": F.lit(0), "event_type": F.lit("clock")})
+    told = base.withColumns({
+        "stage": F.when(is_signal, 3).when(people, 2).otherwise(1), "event_type": kind, "parser_name": F.when(is_signal, "p"), "canonical_key": F.when(is_signal, song), "video_url": F.when(is_signal, song),
+        "display_name": F.when((n < 4) | people, name), "requester_user_id": F.when(people, F.concat(F.lit("usr"), (F.col("user_id") % 75).cast("string"))), "requester_user_id_source": F.lit(None).cast("string"), "actual_play_at": F.lit(None).cast("timestamp_ntz"),
+    }).filter("event_type is not null")
+    return slices.sliced(clocks.unionByName(told, allowMissingColumns=True), ["session", "line_number", "stage"])
+
+
+SESSION_ROWS = """e AS (SELECT user_id % 10 AS session, event_id, ts, event_id % 16 AS n, 'k:' || (user_id % 40) AS song, 'N' || (user_id % 25) AS name, 'usr' || (user_id % 75) AS usr FROM events)"""
+
+
+@query("t2_boundaries", f"""WITH RECURSIVE {SESSION_ROWS}, s AS (SELECT *, sum(CASE WHEN n = 8 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY event_id) AS segment FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY session, song ORDER BY event_id) AS k FROM s WHERE n < 8),
+told AS (SELECT session, song, k, event_id, ts, segment, 1 AS number, n IN (4, 5) AS played, ts AS seen FROM r WHERE k = 1
+  UNION ALL SELECT session, song, k, event_id, ts, segment, number + fresh, n IN (4, 5) OR (played AND fresh = 0), CASE WHEN fresh = 1 THEN ts ELSE greatest(ts, seen) END FROM (
+    SELECT r.*, t.number, t.played, t.seen, CASE WHEN r.segment <> t.segment OR (r.n < 4 AND t.played) OR (r.n = 6 AND t.played AND NOT (r.ts - t.seen BETWEEN INTERVAL 0 SECOND AND INTERVAL 30 SECOND)) THEN 1 ELSE 0 END AS fresh
+    FROM told t JOIN r ON r.session = t.session AND r.song = t.song AND r.k = t.k + 1))
+SELECT event_id, session::VARCHAR AS session, song || '#' || number AS event_key FROM told""")
+def t2(spark: SparkSession, d: str) -> DataFrame:
+    """The occurrence that each signal belongs to."""
+    signals = boundaries.attributed(boundaries.signals_of(boundaries.in_segments(session_signals(spark, d))))
+    return boundaries.occurrences_of(signals).select("event_id", "session", "event_key")
+
+
+@query("t5_identity", f"""WITH {SESSION_ROWS}, rooms AS (SELECT session, event_id, n, sum(CASE WHEN n IN (8, 9) THEN 1 ELSE 0 END) OVER w AS changes, last_value(CASE WHEN n = 8 THEN 'closing' WHEN n IN (9, 10, 11) THEN 'active' END IGNORE NULLS) OVER w AS state,
+  last_value(CASE WHEN n IN (8, 9) THEN {{'at': CASE WHEN n = 9 THEN ts END}} END IGNORE NULLS) OVER w AS entered FROM e WINDOW w AS (PARTITION BY session ORDER BY event_id)),
+tells AS (SELECT e.session, e.event_id, name, usr, e.n = 12 AS has_left, changes FROM e JOIN rooms USING (session, event_id) WHERE e.n IN (10, 11) OR (e.n = 12 AND state IS NOT NULL)),
+asked AS (SELECT e.session, e.event_id, e.ts, name, changes, state, entered.at AS entered,
+  (SELECT arg_max({{'usr': t.usr, 'has_left': t.has_left, 'changes': t.changes}}, t.event_id) FROM tells t WHERE t.session = e.session AND t.name = e.name AND t.event_id < e.event_id) AS t FROM e JOIN rooms USING (session, event_id) WHERE e.n < 4),
+judged AS (SELECT *, NOT t.has_left AND t.changes = changes AS here, coalesce(epoch_us(ts) - epoch_us(entered) >= 60000000, false) AS graced FROM asked)
+SELECT event_id, CASE WHEN state = 'active' AND t IS NOT NULL AND (here OR graced) THEN t.usr END AS user_id, CASE WHEN state = 'active' AND t IS NOT NULL AND (here OR graced) THEN CASE WHEN here THEN 'active' ELSE 'expired' END END AS source,
+  CASE WHEN state = 'active' AND t IS NOT NULL AND NOT here AND NOT graced THEN t.usr END AS candidate FROM judged""")
+def t5(spark: SparkSession, d: str) -> DataFrame:
+    """Who asked, as of each request: from this room, from an earlier one, or not yet to be told."""
+    asked = identity.named(identity.in_rooms(session_signals(spark, d))).filter("event_type = 'request'")
+    return asked.select("event_id", F.col("user").alias("user_id"), F.col("user_source").alias("source"), "candidate")
+
+
+@query("t7_supersession", """WITH e AS (SELECT user_id % 10 AS session, ts, event_id, event_type, round(value * 20, 1) AS len, event_id % 3 = 0 AS plays FROM events),
+o AS (SELECT * FROM e WHERE event_type IN ('click', 'purchase')),
+f AS (SELECT o.*, (SELECT arg_min({'ts': x.ts, 'id': x.event_id, 'kind': x.event_type}, x.event_id) FROM e x WHERE x.session = o.session AND x.event_id > o.event_id AND (x.event_type = 'error' OR (x.event_type IN ('click', 'purchase') AND (o.plays OR x.plays)))) AS f,
+  (SELECT arg_min({'ts': x.ts, 'id': x.event_id}, x.event_id) FROM e x WHERE x.session = o.session AND x.event_id > o.event_id AND o.plays AND o.len > 0 AND epoch_us(x.ts) >= epoch_us(o.ts) + ceil((o.len * 0.8 - 0.001) * 1e6)) AS c FROM o),
+g AS (SELECT *, c IS NOT NULL AND (f IS NULL OR c.id <= f.id) AS done FROM f)
+SELECT event_id, CASE WHEN done THEN 'completed' ELSE 'interrupted' END AS status, CASE WHEN done THEN 'observed_completion_threshold' WHEN f.kind = 'error' THEN 'room_left' WHEN plays AND len <= 0 THEN 'unknown_duration_before_superseded' ELSE 'superseded_before_completion' END AS reason,
+  epoch_us(CASE WHEN done THEN c.ts ELSE f.ts END) AS settled_us FROM g WHERE done OR f IS NOT NULL""")
+def t7(spark: SparkSession, d: str) -> DataFrame:
+    """How occurrences of one signal each end: those that play are interrupted by any other, the rest by plays only, all by leaving."""
+    e = events(spark, d).select((F.col("user_id") % 10).cast("string").alias("session"), F.col("ts").cast("timestamp_ntz").alias("at"), "event_id", "event_type", F.round(F.col("value") * 20, 1).alias("length"))
+    rows = e.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("stage")).filter("stage = 0 or event_type in ('click', 'purchase', 'error')")
+    kind = F.when(F.col("stage") == 0, "clock").when(F.col("event_type") == "error", "room-left").otherwise("signal")
+    placed = slices.sliced(rows.withColumn("event_type", kind), ["session", "event_id", "stage"])
+    whole = boundaries.in_segments(placed)
+    plays = F.when(F.col("event_id") % 3 == 0, F.col("at"))
+    updates = whole.filter("event_type = 'signal'").select("session", F.col("event_id").cast("string").alias("event_key"), "place", "slice", "clock", plays.alias("actual"), F.col("at").alias("first_seen"), F.col("at").alias("last_seen"), "length", F.lit(True).alias("has_song"))
+    ends = settlement.settled(whole, updates, finish=False)
+    return ends.select(F.col("event_key").cast("long").alias("event_id"), "status", "reason", F.unix_micros(F.col("settled_at").cast("timestamp")).alias("settled_us"))
 
 
 def folded(spark: SparkSession, d: str) -> DataFrame:
