@@ -72,9 +72,9 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{p}" for p in parts])
 
-    def write(self, kind: str, rows: DataFrame) -> str:
-        """Write rows to a new folder, which belongs to no version yet; returns its name."""
-        part = f"{kind}-{uuid.uuid4().hex}"
+    def write(self, kind: str, rows: DataFrame, tag: str = "") -> str:
+        """Write rows to a new folder, which belongs to no version yet; returns its name, which begins with the kind and the tag."""
+        part = f"{kind}-{tag}{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.folder}/{part}")
         return part
 
@@ -124,17 +124,23 @@ class VersionedTable:
         return self.commit(lambda v: v.parts | {kind: [*v.parts.get(kind, []), part]}, writer, number)
 
     def replace(self, kind: str, rows: DataFrame, of: Version) -> Version:
-        """Put ``rows``, made from the version ``of``, in place of its rows of that kind; parts added since stay beside them.
+        """Put ``rows``, made from the version ``of``, in place of its rows of that kind; see :meth:`swap`."""
+        return self.swap({kind: self.write(kind, rows)}, of)
 
-        If any of those rows has been replaced meanwhile this is a :class:`Conflict`.
+    def swap(self, parts: dict[str, str], of: Version) -> Version:
+        """Put a written part of each kind in place of all parts that ``of`` has of it; parts added since stay beside them.
+
+        If any of those has been replaced meanwhile this is a :class:`Conflict`.
         """
-        old, part = of.parts.get(kind, []), self.write(kind, rows)
 
         def change(latest: Version) -> dict[str, list[str]]:
-            have = latest.parts.get(kind, [])
-            if not set(old) <= set(have):
-                raise Conflict(kind)
-            return latest.parts | {kind: [part, *[p for p in have if p not in old]]}
+            changed = dict(latest.parts)
+            for kind, part in parts.items():
+                old, have = set(of.parts.get(kind, [])), latest.parts.get(kind, [])
+                if not old <= set(have):
+                    raise Conflict(kind)
+                changed[kind] = [part, *[p for p in have if p not in old]]
+            return changed
 
         return self.commit(change)
 

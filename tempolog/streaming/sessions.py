@@ -40,8 +40,9 @@ class Kept:
         rows = earlier.join(touched, "session", "left_semi").unionByName(new)
         stops = rows.groupBy("session").agg(F.max((F.col("event_type") == STOP).cast("int")).alias("stopped"))
         rows = staged(rows.join(stops, "session"), "touched")
-        running, over = (fold(rows.filter(c).drop("stopped").filter(F.col("event_type") != STOP), finish=finish) for c, finish in (("stopped = 0", False), ("stopped = 1", True)))
-        now = staged(running.unionByName(over), "now")
+        going, over = (rows.filter(c).drop("stopped").filter(F.col("event_type") != STOP) for c in ("stopped = 0", "stopped = 1"))
+        now = fold(going, finish=False)
+        now = staged(now if over.isEmpty() else now.unionByName(fold(over)), "now")
         digest = F.xxhash64(*[c for c in now.columns if c != "duration_conflicts"], F.to_json("duration_conflicts"))
         told = self.table.read("told", self.told, version).join(touched, "session", "left_semi")
         last = told.groupBy("session", "event_key").agg(F.max_by("digest", "batch").alias("last"))
@@ -55,10 +56,9 @@ class Kept:
         version = self.table.version()
         rows = self.table.read("rows", self.schema, version)
         over = rows.filter(F.col("event_type") == STOP).select("session").distinct()
-        self.table.replace("rows", rows.join(over, "session", "left_anti"), version)
         told = self.table.read("told", self.told, version)
         last = told.join(over, "session", "left_anti").groupBy("session", "event_key").agg(F.max_by("digest", "batch").alias("digest"), F.max("batch").alias("batch"))
-        self.table.replace("told", last, version)
+        self.table.swap({"rows": self.table.write("rows", rows.join(over, "session", "left_anti")), "told": self.table.write("told", last)}, version)
 
 
 def fold_stream(rows: DataFrame, folder: str, write: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
