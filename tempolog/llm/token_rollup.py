@@ -1,27 +1,31 @@
 """Token counts kept up by deltas: totals by source, language and tokenizer version.
 
 A batch of changes holds signed rows: an inserted document counts +1 and its tokens, a deleted one -1 and
-minus its tokens, a revised one both.  A commit adds up a batch by group, writes it beside the table and
-renames it into place under the batch's id, so that a batch is there whole or not at all, and one that is
-sent again changes nothing.  Totals are the sums of all committed batches; a compaction folds those so far
-into one base, which remembers their ids.
+minus its tokens, a revised one both.  A commit adds up a batch by group and puts it, with its id, into the next version of
+the table: there whole or not at all, and one that is sent again changes nothing.  Totals are the sums of a version's
+parts; a compaction puts one part in place of those of the version that it has read, or gives way to another that was first.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..operators.versions import Conflict, Version, VersionedTable
 from . import bpe
 from .common import bound_batches, staged, staged_path, whole_text, word_count
 from .token_store import slices, word_encoder
 
 GROUP = ("source", "lang", "tokenizer")
-_DELTAS = "source string, lang string, tokenizer string, docs long, tokens long"
+_DELTAS = StructType().add("source", "string").add("lang", "string").add("tokenizer", "string").add("docs", "long").add("tokens", "long")
+_IDS = StructType().add("id", "string")
+#: Versions that readers may still hold when a compaction deletes what earlier ones named.
+KEPT_VERSIONS = 8
 WORDS, BYTES = "whitespace-1", "utf8_bytes-1"
 VOCABULARIES = ("byte_bpe_50k-1", "word_bpe_49k-1")
 
@@ -61,78 +65,68 @@ def changes(rows: DataFrame, tokenizer: str, tokens: Column, sign: int) -> DataF
 
 
 class Rollup:
-    """The table of totals in a folder that all executors share."""
+    """The table of totals in a folder that all executors share: parts of deltas, and parts of ids of the batches in them."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def _path(self, *parts: str):
-        return self._jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
-
-    def _listed(self, kind: str) -> list[str]:
-        path = self._path(kind)
-        files = path.getFileSystem(self._conf)
-        return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
-
-    def _place(self, df: DataFrame, kind: str, name: str) -> bool:
-        """Write ``df`` aside and rename it to its name; False if the name is taken."""
-        aside, target = self._path("aside", uuid.uuid4().hex), self._path(kind, name)
-        files = target.getFileSystem(self._conf)
-        df.write.parquet(aside.toString())
-        files.mkdirs(target.getParent())
-        if files.exists(target) or not files.rename(aside, target):
-            files.delete(aside, True)
-            return False
-        return True
-
-    def committed(self) -> set[str]:
-        """Ids of all batches that count."""
-        batches = self._listed("batches")  # before the bases: what a compaction takes from one is in the other
-        return self._ids(self._listed("bases"), batches)
+        self.table = VersionedTable(spark, folder)
 
-    def _ids(self, bases: list[str], batches: list[str]) -> set[str]:
-        return set(batches) | self._folded(bases)
+    def committed(self) -> DataFrame:
+        """id of all batches that count."""
+        return self.table.read("ids", _IDS)
 
-    def _folded(self, bases: list[str]) -> set[str]:
-        """Ids of the batches that the last base holds."""
-        return {r["id"] for base in bases[-1:] for r in self.spark.read.parquet(f"{self.folder}/bases/{base}/ids").collect()}
+    def _known(self, batch_id: str, version: Version) -> bool:
+        """Whether a version holds a batch: parts of single ids are told by name, the others are looked up."""
+        parts = version.parts.get("ids", [])
+        if any(p.startswith(f"ids-{_tag(batch_id)}") for p in parts):
+            return True
+        many = Version(parts={"ids": [p for p in parts if p.startswith("ids-many-")]})
+        return not self.table.read("ids", _IDS, many).filter(F.col("id") == batch_id).isEmpty()
 
     def commit(self, batch_id: str, signed: DataFrame) -> bool:
         """Add a batch (columns as of :func:`changes`); False, and no change, if its id has been committed."""
-        if not batch_id or "/" in batch_id:
-            raise ValueError("a batch id is a name without slashes")
-        if batch_id in self.committed():
+        if not batch_id:
+            raise ValueError("a batch needs an id")
+        if self._known(batch_id, self.table.version()):
             return False
         summed = signed.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return self._place(summed.filter("docs <> 0 or tokens <> 0"), "batches", batch_id)
-
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens of all groups that have documents or tokens."""
-        batches = self._listed("batches")
-        return self._totals(self._listed("bases"), batches)
-
-    def _totals(self, bases: list[str], batches: list[str]) -> DataFrame:
-        done = self._folded(bases)
-        parts = [f"{self.folder}/bases/{base}/totals" for base in bases[-1:]]
-        parts += [f"{self.folder}/batches/{b}" for b in batches if b not in done]
-        rows = self.spark.read.schema(_DELTAS).parquet(*parts) if parts else self.spark.createDataFrame([], _DELTAS)
-        summed = rows.groupBy(*GROUP).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
+        one = self.table.spark.createDataFrame([(batch_id,)], _IDS).coalesce(1)
+        added = {"deltas": self.table.write("deltas", summed.filter("docs <> 0 or tokens <> 0")), "ids": self.table.write("ids", one, _tag(batch_id))}
+
+        def change(latest: Version) -> dict[str, list[str]]:
+            if self._known(batch_id, latest):
+                raise Conflict(batch_id)
+            return latest.parts | {kind: [*latest.parts.get(kind, []), part] for kind, part in added.items()}
+
+        try:
+            self.table.commit(change)
+        except Conflict:
+            return False
+        return True
+
+    def totals(self, version: Version | None = None) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens of all groups that have documents or tokens, by default in the latest version."""
+        summed = self.table.read("deltas", _DELTAS, version).groupBy(*GROUP).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return summed.filter("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self) -> None:
-        """Fold all batches into one base, then drop them; a batch sent again is still known."""
-        bases, batches = self._listed("bases"), self._listed("batches")  # what is committed from here on stays out of the base
-        ids = sorted(self._ids(bases, batches))
-        name = f"{len(bases):09d}-{uuid.uuid4().hex}"
-        aside = self._path("aside", uuid.uuid4().hex)
-        self._totals(bases, batches).select(*GROUP, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens")).write.parquet(f"{aside.toString()}/totals")
-        self.spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.parquet(f"{aside.toString()}/ids")
-        files = aside.getFileSystem(self._conf)
-        files.mkdirs(self._path("bases"))
-        files.rename(aside, self._path("bases", name))
-        for old in batches:
-            files.delete(self._path("batches", old), True)
+    def compact(self, version: Version | None = None) -> bool:
+        """Put one part in place of all of a version, by default the latest; False, and no change, if another compaction has done so.
+
+        A batch that is sent again is still known.  Parts that no kept version names are deleted.
+        """
+        version = version or self.table.version()
+        totals = self.totals(version).select(*GROUP, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens"))
+        ids = self.table.read("ids", _IDS, version).sort("id")  # so that a look-up reads few of their files
+        parts = {"deltas": self.table.write("deltas", totals), "ids": self.table.write("ids", ids, "many-")}
+        try:
+            self.table.swap(parts, version)
+        except Conflict:
+            return False
+        self.table.vacuum(KEPT_VERSIONS)
+        return True
+
+
+def _tag(batch_id: str) -> str:
+    return hashlib.sha256(batch_id.encode()).hexdigest()[:32] + "-"
 
 
 def maintained_totals(docs: DataFrame, labels: DataFrame, first: str = WORDS, second: str = BYTES, counts=token_counts) -> DataFrame:

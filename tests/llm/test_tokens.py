@@ -1,4 +1,5 @@
 import hashlib
+import threading
 import zlib
 from collections import Counter
 
@@ -129,26 +130,44 @@ def test_totals_follow_signed_batches(spark, odd_docs, no_docs):
     assert not rollup.commit("delete", token_rollup.changes(gone, words, F.col(words), -1))
     assert {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()} == {k: v for k, v in expected.items() if k[0] is not None}
     assert rollup.commit("nothing", token_rollup.changes(token_rollup.token_counts(no_docs), words, F.col(words), 1))
-    assert token_rollup.Rollup(spark, rollup.folder).committed() == {"load", "delete", "nothing"}
+    assert {r["id"] for r in token_rollup.Rollup(spark, rollup.table.folder).committed().collect()} == {"load", "delete", "nothing"}
 
 
-def test_a_batch_committed_during_a_compaction_counts_once(spark, odd_docs):
+def test_compactions_and_commits_in_any_order_lose_no_batch(spark, odd_docs):
+    """One compaction holds a version while another batch is committed and folded by another compaction; then the first goes on."""
     counts = token_rollup.token_counts(odd_docs).cache()
-    folder = staged_path(spark, "rollup")
+    folder, one = staged_path(spark, "rollup"), odd_docs.count()
     rollup, other = token_rollup.Rollup(spark, folder), token_rollup.Rollup(spark, folder)
     change = token_rollup.changes(counts, token_rollup.WORDS, F.col(f"`{token_rollup.WORDS}`"), 1)
-    rollup.commit("one", change)
-    listed = rollup._totals
 
-    def late(bases, batches):
-        other.commit("two", change)
-        return listed(bases, batches)
+    def docs(version=None):
+        return other.totals(version).agg(F.sum("n_docs")).first()[0]
 
-    rollup._totals = late
-    rollup.compact()
-    docs = other.totals().agg(F.sum("n_docs")).first()[0]
-    assert docs == 2 * odd_docs.count() and other.committed() == {"one", "two"}
-    assert not other.commit("two", change)
+    assert rollup.commit("one", change) and rollup.commit("a/b", change)
+    held = rollup.table.version()
+    reading = other.totals()
+    assert other.commit("two", change) and other.compact()
+    assert not rollup.compact(held)  # its parts have been replaced
+    assert docs() == 3 * one and not rollup.commit("two", change) and not other.commit("one", change)
+    held = rollup.table.version()
+    assert other.commit("three", change)
+    assert rollup.compact(held) and docs() == 4 * one
+    assert reading.agg(F.sum("n_docs")).first()[0] == 2 * one  # a reader keeps its version
+    assert sorted(r["id"] for r in other.committed().collect()) == ["a/b", "one", "three", "two"]
+
+
+def test_an_id_that_two_send_at_once_counts_once(spark, odd_docs):
+    counts = token_rollup.token_counts(odd_docs).cache()
+    folder = staged_path(spark, "rollup")
+    change = token_rollup.changes(counts, token_rollup.WORDS, F.col(f"`{token_rollup.WORDS}`"), 1)
+    done = []
+    threads = [threading.Thread(target=lambda: done.append(token_rollup.Rollup(spark, folder).commit("same", change))) for _ in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(done) == [False, False, True]
+    assert token_rollup.Rollup(spark, folder).totals().agg(F.sum("n_docs")).first()[0] == odd_docs.count()
 
 
 def totals_by_hand(docs, labels, first, second):
