@@ -132,17 +132,18 @@ class VersionedTable:
 
         If any of those has been replaced meanwhile this is a :class:`Conflict`.
         """
-
-        def change(latest: Version) -> dict[str, list[str]]:
-            changed = dict(latest.parts)
-            for kind, part in parts.items():
-                old, have = set(of.parts.get(kind, [])), latest.parts.get(kind, [])
-                if not old <= set(have):
-                    raise Conflict(kind)
-                changed[kind] = [part, *[p for p in have if p not in old]]
-            return changed
-
-        return self.commit(change)
+        return self.commit(lambda latest: self.swapped(parts, of, latest))
+
+    @staticmethod
+    def swapped(parts: dict[str, str], of: Version, latest: Version) -> dict[str, list[str]]:
+        """The parts of ``latest`` after a :meth:`swap`."""
+        changed = dict(latest.parts)
+        for kind, part in parts.items():
+            old, have = set(of.parts.get(kind, [])), latest.parts.get(kind, [])
+            if not old <= set(have):
+                raise Conflict(kind)
+            changed[kind] = [part, *[p for p in have if p not in old]]
+        return changed
 
     def restore(self, number: int) -> Version:
         """Make a version that is kept the latest one again, under a new number; the writers' numbers stay as they are."""

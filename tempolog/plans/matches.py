@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, timestamps, urls
-from ..operators import diffs, matching
+from ..operators import audits, diffs, matching
 from .tables import ORIGINS, PROJECTED, RECORDS, events, origins, projected, query, records, table
 
 E_SQL = "p AS (SELECT user_id, event_id AS p_id, ts AS p_ts FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, event_id AS c_id, ts AS c_ts FROM events WHERE event_type = 'click')"
@@ -357,13 +357,36 @@ def p15(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", found.alias("reasons"))
 
 
-@query("c12_merge_audit", f"""WITH {E_SQL}, m AS (SELECT DISTINCT p_id, c_id FROM p JOIN c USING (user_id) WHERE {GAP} BETWEEN 0 AND 7200)
-SELECT count(*) AS candidates, count(DISTINCT p_id) AS rows_matched, (SELECT count(*) FROM (SELECT 1 FROM m QUALIFY count(*) OVER (PARTITION BY p_id) = 1 AND count(*) OVER (PARTITION BY c_id) = 1)) AS unique_pairs FROM m""")
+@query("c12_merge_audit", f"""WITH {E_SQL}, v AS (SELECT user_id, event_id AS c_id, ts AS c_ts FROM events WHERE event_type = 'view'), truth AS (SELECT p_id, arg_max(c_id, (c_ts, c_id)) AS true_id FROM p JOIN c USING (user_id) WHERE c_id % 3 <> 0 AND c_ts <= p_ts GROUP BY 1),
+base AS (SELECT p_id, c_id, {GAP} AS gap, 'clicks' AS source FROM p JOIN c USING (user_id) WHERE {GAP} BETWEEN 0 AND 14400), g AS (SELECT * FROM base UNION ALL SELECT p_id, c_id, {GAP}, 'views' FROM p JOIN v USING (user_id) WHERE {GAP} BETWEEN 0 AND 14400),
+seen AS (SELECT stage, w AS "window", p_id, c_id, gap FROM g, (VALUES ('baseline'), ('extended')) s(stage), (VALUES (600), (3600), (14400)) x(w) WHERE gap <= w AND (stage = 'extended' OR source = 'clicks')),
+l AS (SELECT stage, "window", p_id, count(*) AS n, arg_min(c_id, (gap, c_id)) AS nearest, min(c_id) AS one, max((c_id = true_id)::INT) AS found, any_value(true_id) AS true_id FROM seen LEFT JOIN truth USING (p_id) GROUP BY 1, 2, 3),
+r AS (SELECT stage, "window", c_id, count(*) AS n FROM seen GROUP BY 1, 2, 3)
+SELECT l.stage, l."window", sum(l.n)::BIGINT AS candidates, count(*) AS left_matched, count(true_id) AS with_truth, count(*) FILTER (found = 1) AS truth_in_window, count(*) FILTER (true_id IS NOT NULL AND l.n = 1) AS single, count(*) FILTER (true_id IS NOT NULL AND l.n > 1) AS several,
+  count(*) FILTER (nearest = true_id) AS nearest_right, count(*) FILTER (nearest <> true_id) AS nearest_wrong, (SELECT count(*) FROM r WHERE r.stage = l.stage AND r."window" = l."window") AS right_matched,
+  count(*) FILTER (l.n = 1 AND EXISTS (SELECT 1 FROM r WHERE r.stage = l.stage AND r."window" = l."window" AND r.c_id = l.one AND r.n = 1)) AS unique_pairs FROM l GROUP BY 1, 2""")
 def c12(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases against clicks, then against views too: what each input explains, and how often the nearest candidate is the known one."""
     p, c = kinds(spark, d)
-    pairs = matching.near_pairs(p, c, ["user_id"], "p_ts", "c_ts", 7200, after_only=True)
-    counts = pairs.agg(F.count(F.lit(1)).alias("candidates"), F.countDistinct("p_id").alias("rows_matched"))
-    return counts.crossJoin(j17(spark, d).agg(F.count(F.lit(1)).alias("unique_pairs")))
+    left = p.select("user_id", F.col("p_id").alias("left_id"), F.col("p_ts").alias("left_time"))
+    clicks = c.select("user_id", F.col("c_id").alias("right_id"), F.col("c_ts").alias("right_time"))
+    views = events(spark, d).filter("event_type = 'view'").select("user_id", F.col("event_id").alias("right_id"), F.col("ts").alias("right_time"))
+    marks = clicks.filter("right_id % 3 <> 0").select("user_id", F.col("right_time").alias("left_time"), F.col("right_id").alias("true_id"))
+    truth = matching.last_before(left, marks, "user_id", "left_time", "true_id").select("left_id", F.col("true_id").cast("long").alias("true_id")).filter("true_id is not null")
+    graph = audits.candidate_graph(left, clicks, ["user_id"], max(WINDOWS), "clicks")
+    whole = audits.extended(graph, left, views, ["user_id"], max(WINDOWS), "views")
+    return audits.merge_audit(whole, truth, WINDOWS, {"baseline": ["clicks"], "extended": ["clicks", "views"]})
+
+
+@query("c13_duplicates", """WITH e AS (SELECT event_id AS record_id, user_id AS key, ts AS t, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS p FROM events),
+b AS (SELECT *, coalesce(epoch_us(t) - epoch_us(lag(t) OVER w) > 21600000000, true) AS begins FROM e WINDOW w AS (PARTITION BY key ORDER BY t, record_id)),
+n AS (SELECT *, sum(begins::INT) OVER (PARTITION BY key ORDER BY t, record_id) AS cluster FROM b), g AS (SELECT *, count(*) OVER k AS size, first_value(record_id) OVER (PARTITION BY key, cluster ORDER BY p, t, record_id) AS survivor_id FROM n WINDOW k AS (PARTITION BY key, cluster))
+SELECT record_id, cluster::BIGINT AS cluster, size, survivor_id, CASE WHEN record_id = survivor_id THEN 'keep' ELSE 'merge' END AS action FROM g""")
+def c13_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user that follow one another within six hours, and which of them stays."""
+    rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3)
+    records = events(spark, d).select(F.col("event_id").alias("record_id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp_ntz").alias("at"), rank.alias("p"))
+    return audits.interval_clusters(records, 6 * 3600, [F.col("p")])
 
 
 @query("c11_run_compare", f"WITH {RUNS} SELECT change, count(*) AS n FROM diff GROUP BY 1")
