@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from bisect import bisect_left
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,14 +81,19 @@ def boundary_minutes(text: str) -> int:
 
 
 def day_start(day: dt.date, minutes: int, zone: str) -> dt.datetime:
-    """UTC instant at which a day begins: its first valid wall minute from the boundary on, the first time it occurs."""
-    wall = dt.datetime.combine(day, dt.time()) + dt.timedelta(minutes=minutes)
-    for _ in range(24 * 60 + 1):
-        real = wall.replace(tzinfo=ZoneInfo(zone), fold=0).astimezone(dt.UTC)
-        if real.astimezone(ZoneInfo(zone)).replace(tzinfo=None) == wall:
-            return real
-        wall += dt.timedelta(minutes=1)
-    raise ValueError(f"no boundary on {day} in {zone}")
+    """UTC instant at which a day begins: its first valid wall minute from the boundary on, the first time it occurs.
+
+    A wall time that the zone skips reads earlier by the offset after the gap than by the one before it; the day then begins
+    where the offset changes between these two instants.
+    """
+    local = ZoneInfo(zone)
+    wall = dt.datetime.combine(day, dt.time(), local) + dt.timedelta(minutes=minutes)
+    by_later, by_earlier = wall.replace(fold=1), wall.replace(fold=0)
+    low, high = by_later.astimezone(dt.UTC), by_earlier.astimezone(dt.UTC)
+    if low >= high:  # there is such a time, once or twice
+        return high
+    minute, changed = dt.timedelta(minutes=1), by_later.utcoffset()
+    return low + minute * bisect_left(range((high - low) // minute), True, key=lambda m: (low + m * minute).astimezone(local).utcoffset() == changed)
 
 
 def calendar(spark: SparkSession, first: dt.date, last: dt.date, boundary: str, zone: str) -> DataFrame:

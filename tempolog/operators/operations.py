@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import timestamps, urls
 from ..functions.keys import REQUEST_RANKS, hash_key, request_source
 from . import merges
+from .staging import staged
 
 # What keys of imported rows begin with.
 IMPORT_KEY, IMPORT_SOURCE = "legacy-playback-cleanup", "import"
@@ -45,13 +46,13 @@ def staged_rows(history: DataFrame, own_id: str, zone: str = "UTC", root: str =
 def import_history(history: DataFrame, staging: DataFrame | None, evidence: DataFrame | None, own_id: str, zone: str = "UTC", dry_run: bool = False) -> Imported:
     """History to staging to evidence: rows are classified and keyed, staged by precedence, and merged as accepted evidence.
 
-    Importing again changes nothing.  With ``dry_run`` the counts are told and the tables stay as they are.
+    Importing again changes nothing.  What several results read is staged in the shared folder.  With ``dry_run`` the counts are told and the tables stay as they are.
     """
-    new = staged_rows(history, own_id, zone)
+    new = staged(staged_rows(history, own_id, zone), "new-rows")  # classified and hashed once, whatever reads them
     both = new if staging is None else merges.merge_staged(staging.select(*new.columns), new, "evidence_key", REQUEST_RANKS).select(*new.columns)
     records = both.select("evidence_key", F.lit(IMPORT_SOURCE).alias("evidence_source"), "played_at", "system_key", "external_id", "request_type", F.lit("accepted").alias("default_status"), "requester_user_id", "requester_display_name", "video_url", "video_name")
     old = records.limit(0) if evidence is None else evidence.select(*records.columns)
-    merged = merges.merge_evidence(old, records)
+    merged = staged(merges.merge_evidence(old, records), "merged")
     supported = F.coalesce(urls.classify_url(F.col("video_url"))["external_id"], F.lit("")) != ""
     scanned = history.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(~supported).alias("skipped_unsupported"))
     changed = merged.agg(F.count_if(F.col("action") == "inserted").alias("inserted"), F.count_if(F.col("action") == "updated").alias("updated"))

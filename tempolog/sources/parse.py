@@ -58,7 +58,7 @@ FORMS = (
     Form("video_playback_resolved", "resolve-complete", r"\[Video Playback\]\s+URL\s+'([^']+)'\s+resolved to\s+'([^']+)'", {"video_url": (1, "url"), "resolved_url": (2, "url")}),
     Form("user_added_url", "request", r"\bUser\s+(.+?)\s+added URL\s+" + _LINK, {"display_name": (1, "name"), "video_url": (2, "url")}),
     Form("usharp_play_internal", "request", _PLAYER + r"PlayVideoInternal:\s+Playing video\s+" + _LINK, {"video_url": (1, "url")}),
-    Form("usharp_video_load", "load-start", _PLAYER + r"Started video load for URL:\s*" + _LINK[:-1].replace(r"\S+", r"\S+?") + r")(?:,\s*requested by\s*(.*?))?\s*$", {"video_url": (1, "url"), "display_name": (2, "name")}),
+    Form("usharp_video_load", "load-start", _PLAYER + r"Started video load for URL:\s*(https?://\S+?)(?:,\s*requested by\s*(.*?))?\s*$", {"video_url": (1, "url"), "display_name": (2, "name")}),
     Form("usharp_load_routed_url", "route", _PLAYER + r"LoadRoutedURL:\s+" + _LINK + r"\s+routed to\s+" + _LINK, {"video_url": (1, "url"), "routed_url": (2, "url")}),
     Form("usharp_video_loaded", "video-loaded", _PLAYER + r"Video loaded\s+\(([\d.]+)\s+seconds\),\s+but let's wait for\s+([\d.]+)\s+seconds before playing it", {"load_seconds": (1, "number"), "wait_seconds": (2, "number")}),
     Form("usharp_delayed_video_ready", "actual-play", _PLAYER + r"DelayedVideoReady:\s+Time's up,\s+let's play()"),
