@@ -9,8 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from compare import both
-from tempolog.llm import codes, decontaminate, importance, queries
+from tempolog.llm import codes, decontaminate, importance
 from tempolog.llm.words import words_of
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -31,12 +30,6 @@ def random_texts(seed, n):
     return ["".join(rnd.choice(letters[: rnd.choice([2, 4, 8])]) + rnd.choice(gaps) for _ in range(rnd.choice([0, 1, 5, 20, 60]))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("name", ["op11_importance", "op12_decontaminate", "op13_codes"])
-def test_query_agrees_with_sql(spark, small, name):
-    mine, other = both(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], small)
-    assert mine == other and len(mine) > 0
-
-
 def test_features_are_runs_of_words():
     texts = [*random_texts(5, 200), "x" * 200 + " " + "y" * 64 + " " + "z" * 65 + " a"]
     bucket, text = importance.feature_buckets(words_of(pa.array([t.encode() for t in texts], pa.binary())))
