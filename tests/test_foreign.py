@@ -93,7 +93,7 @@ def test_the_plan_shows_pushed_filters_and_few_columns(spark, tmp_path):
     base.executemany(f"INSERT INTO {foreign.TABLE} (created_at, video_url, location) VALUES (?, ?, ?)", [(f"2024-01-{k:02}", "u" if k % 3 else "", "x") for k in range(1, 20)])
     base.commit()
     df = foreign.read_history(spark, path, columns=["video_url"])
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert "location" not in plan and not re.search(r"\bFilter\b", plan)
     assert "PushedFilters: [" in plan and "video_url" in plan.split("PushedFilters: [")[1]
     assert df.columns == ["video_url"] and df.count() == 13
