@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import changes, inputs, matches, reads, scalars, streams  # noqa: F401
+from . import changes, files, inputs, matches, reads, scalars, streams  # noqa: F401
 from .tables import ORACLE_SQL, QUERIES  # noqa: F401
