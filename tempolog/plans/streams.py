@@ -212,7 +212,7 @@ def t7(spark: SparkSession, d: str) -> DataFrame:
 
 def folded(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of sessions that SQL can fold too: each purchase requests and starts a song of its own, errors leave
-    the room, and all other events are lines that only tell the time."""
+    the room, and all other events are lines that only tell the time, in milliseconds.  A length of 0 is known, as in the SQL."""
     e = events(spark, d)
     song, number = F.concat(F.lit(urls.WANNA_URL), (F.col("event_id") + 1).cast("string")), (F.col("event_id") + 1).cast("string")
     asked = F.concat(F.lit('[VRCX] VideoPlay(W) "'), song, F.lit('",0,'), F.round(F.col("value") * 60, 1).cast("string"), F.lit(',"'), number, F.lit(" : Song (P"), (F.col("user_id") % 7).cast("string"), F.lit(')"'))
@@ -220,7 +220,7 @@ def folded(spark: SparkSession, d: str) -> DataFrame:
     day, stamp = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy.MM.dd HH:mm:ss.SSS")
     lines = e.select(day.alias("source_file"), "event_id", stamp.alias("stamp"), F.posexplode(said).alias("k", "said"))
     lines = lines.select("source_file", (F.col("event_id") * 2 + F.col("k")).alias("line_number"), F.lit(0).cast("long").alias("byte_offset"), F.concat("stamp", F.lit(" Log        -  "), "said").alias("value"))
-    return occurrences.fold(parse.session_rows(lines, F.col("source_file")))
+    return occurrences.fold(parse.session_rows(lines, F.col("source_file")), unit=1000, at_zero=True)
 
 
 FOLDED = """e AS (SELECT ts::DATE AS day, epoch_us(ts) // 1000 AS at_ms, event_id, user_id, event_type, round(value * 60, 1) AS len FROM events), s AS (SELECT * FROM e WHERE event_type = 'purchase'),

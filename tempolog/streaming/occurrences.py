@@ -179,8 +179,8 @@ def _conflicts(rows: DataFrame) -> DataFrame:
     return once.groupBy(*EVENT).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "pair"))), lambda x: x["pair"]).alias("duration_conflicts"))
 
 
-def fold(rows: DataFrame, finish: bool = True, strict_boundary: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Occurrences of all sessions out of their rows (``parse.session_rows``); with ``finish`` sessions end normally.
+def fold(rows: DataFrame, finish: bool = True, strict_boundary: bool = False, slice_rows: int = SLICE_ROWS, unit: int = 1, at_zero: bool = False) -> DataFrame:
+    """Occurrences of all sessions out of their rows (``parse.session_rows``); with ``finish`` sessions end normally, ``unit`` and ``at_zero`` as in :func:`settlement.settled`.
 
     Rows are cut into slices of the order of all rows, so sessions of any length, and any number of them, are spread alike.
     Nobody's name that is told later settles anything by itself.
@@ -197,7 +197,7 @@ def fold(rows: DataFrame, finish: bool = True, strict_boundary: bool = False, sl
         due = due_plays(own, orphans).withColumn("canonical_key", F.regexp_extract("event_key", "^(.*)#[0-9]+$", 1))
         more = own.drop("play", "heard", "method").unionByName(due, allowMissingColumns=True).withColumn("begins", F.coalesce("begins", F.lit(False)))
         own = staged(with_plays(more), "occurrence-rows")
-    ends = settlement.settled(whole, versions(own), finish)
+    ends = settlement.settled(whole, versions(own), finish, unit, at_zero)
     told = identity.released(whole, own, finish)
     later_who = told.groupBy(*EVENT).agg(F.min(F.struct("place", "turn", "user", "user_source")).alias("later_who"))
     one = own.groupBy(*EVENT).agg(*_fields()).join(later_who, EVENT, "left").join(_conflicts(own), EVENT, "left").join(ends, EVENT, "left")

@@ -39,3 +39,21 @@ def agrees(spark, name, folder):
 def test_room_of_number_0_is_none(spark, folder):
     made = folder([(k, START + dt.timedelta(seconds=k), 1, kind, 1.0) for k, kind in enumerate(("signup", "click", "signup", "click", "error", "click"))])
     assert agrees(spark, "s17_markers_in_rooms", made) == [(1, None), (3, 2), (5, None)]
+
+
+#: A song of length 0 with a line after it, one superseded, one left, one as the day's last; and lines at and about a threshold of whole milliseconds.
+LENGTHS = [0.0, 0.0, 0.0, 6.69, 0.5, 0.11, 0.335]
+
+
+@pytest.mark.parametrize("name", ["t1_settled_fold", "t16_records", "k11_promotion"])
+def test_lengths_of_0_and_thresholds_of_whole_milliseconds(spark, folder, name):
+    events, at = [], START
+    for day in range(2):
+        for n, value in enumerate(LENGTHS + [k / 10 for k in range(1, 40)]):
+            events.append((at, "purchase", value))
+            micros = round((round(value * 60, 1) * 800 - 1)) * 1000
+            events += [(at + dt.timedelta(microseconds=max(micros + d, 400)), kind, 1.0) for d, kind in ((-1000, "view"), (0, "view"), (1000, "view"), (2000, ("error", "view", "view")[n % 3]))]
+            at = events[-1][0] + dt.timedelta(seconds=1)
+        events.append((at, "purchase", 0.0))
+        at += dt.timedelta(days=1)
+    agrees(spark, name, folder([(k, at, k % 9, kind, value) for k, (at, kind, value) in enumerate(events)]))
