@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .boundaries import SESSION, seconds
+from .boundaries import SESSION
 from .slices import Run, scan
 
 #: Names of earlier rooms count some seconds after entering this one; what the sources of a name are called.
@@ -42,7 +42,7 @@ def in_rooms(rows: DataFrame) -> DataFrame:
 
 def _graced(at: Column) -> Column:
     """Whether names of earlier rooms count at a time in the row's room."""
-    return F.coalesce(seconds(F.col("room.entered"), at) >= GRACE_SECONDS, F.lit(False))
+    return F.coalesce(F.timestamp_diff("MICROSECOND", F.col("room.entered"), at) >= GRACE_SECONDS * 1_000_000, F.lit(False))
 
 
 def _tells() -> Column:

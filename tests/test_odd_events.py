@@ -57,3 +57,10 @@ def test_lengths_of_0_and_thresholds_of_whole_milliseconds(spark, folder, name):
         events.append((at, "purchase", 0.0))
         at += dt.timedelta(days=1)
     agrees(spark, name, folder([(k, at, k % 9, kind, value) for k, (at, kind, value) in enumerate(events)]))
+
+
+def test_names_of_earlier_rooms_count_after_60_whole_seconds(spark, folder):
+    """A request 59.9997 seconds after entering is too early, though that rounds to 60.0."""
+    at = {9: 0, 10: 1, 25: 10, 32: 69.9997, 33: 70.0, 34: 70.0001}
+    made = folder([(k, START + dt.timedelta(seconds=at[k]), 1000, "view", 1.0) for k in at])
+    assert [r[2] for r in agrees(spark, "t5_identity", made)] == [None, "expired", "expired"]
