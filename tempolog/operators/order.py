@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that the order is cut into, rows per part that are looked at to cut it evenly, and limits that are passed at a time.
-PARTS, LOOKED_AT, STRIDE = 256, 64, 16
+#: Parts that the order is cut into, and rows per part that are looked at to cut it evenly.
+PARTS, LOOKED_AT = 256, 64
 
 
 def _in_parts(rows: DataFrame, order: list[str | Column], parts: int) -> DataFrame:
@@ -22,11 +22,12 @@ def _in_parts(rows: DataFrame, order: list[str | Column], parts: int) -> DataFra
     listed = looked_at.agg(F.array_sort(F.collect_set("__key")).alias("keys"))
     step = F.greatest(F.lit(1), F.floor(F.size("keys") / parts).cast("int"))
     limits = listed.select(F.filter("keys", lambda _, at: (at + 1) % step == 0)).scalar()  # one array, known before rows are read
-    ends = F.filter("__limits", lambda _, at: (at + 1) % STRIDE == 0)
-    passed = F.size(F.filter("__ends", lambda end: end < F.col("__key"))) * STRIDE
-    own = F.col("__passed") + F.size(F.filter(F.slice("__limits", F.col("__passed") + 1, STRIDE), lambda limit: limit < F.col("__key")))
-    limited = keyed.withColumn("__limits", limits).withColumn("__ends", ends)
-    return limited.withColumn("__passed", passed).withColumn("__part", own).drop("__limits", "__ends", "__passed")
+    # Halving: a key's part is the number of limits below it, of which there are less than twice the parts.
+    found, step = keyed.withColumn("__part", F.lit(0)), 1 << (2 * parts).bit_length() - 1
+    while step:
+        found = found.withColumn("__part", F.col("__part") + F.when(F.get(limits, F.col("__part") + (step - 1)) < F.col("__key"), step).otherwise(0))
+        step //= 2
+    return found
 
 
 def running(rows: DataFrame, order: list[str | Column], sums: dict[str, Column], parts: int = PARTS, part: str | None = None) -> DataFrame:

@@ -149,3 +149,13 @@ def test_numbering_uses_many_parts(spark):
     assert order.numbered(table, ["id"]).filter("place <> id + 1").isEmpty()
     plan = order.numbered(table, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(__part" in plan
+
+
+def test_a_row_is_not_held_against_all_limits(spark):
+    """Only the limits themselves are cut out of a list by a lambda, once; rows find theirs by halving."""
+    table = spark.range(2000).withColumn("name", F.when(F.col("id") % 7 > 0, (F.col("id") * 31 % 1999).cast("string")))
+    wanted = {r["id"]: k + 1 for k, r in enumerate(sorted(table.collect(), key=lambda r: (r["name"] is not None, r["name"] or "", r["id"])))}
+    for parts in (1, 2, 3, 40, 256):
+        assert {r["id"]: r["place"] for r in order.numbered(table, ["name", "id"], parts=parts).collect()} == wanted
+    plan = order.numbered(table, ["name", "id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "lambda" in line and not line.startswith(":") and " : " not in line.split("lambda")[0]]
