@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .binding import once
 from .timestamps import blank_to_null
 
 COLOUR_TAG = r"(?i)</?color(?:=[^>]*)?>"
@@ -63,14 +64,19 @@ def real_duration(seconds: Column) -> Column:
 
 def title_parts(value: Column) -> Column:
     """struct(id, name, marker) of a title such as ``12. Name (requester)``: leading number, rest, trailing bracket."""
-    text = F.coalesce(clean_name(value), F.lit(""))
-    marked = text.rlike(r"\([^()]*\)\s*$")
-    marker = F.when(marked, clean_name(F.regexp_extract(text, r"\(([^()]*)\)\s*$", 1)))
-    rest = F.when(marked, strip(F.regexp_replace(text, r"\([^()]*\)\s*$", ""))).otherwise(text)
-    numbered = rest.rlike(r"^\$?\d+(?:\.\s*|\s*:\s*)")
-    number = F.when(numbered, F.regexp_extract(rest, r"^\$?(\d+)", 1))
-    name = F.when(numbered, strip(F.regexp_replace(rest, r"^\$?\d+(?:\.\s*|\s*:\s*)", ""))).otherwise(rest)
-    return F.struct(number.alias("id"), blank_to_null(name).alias("name"), marker.alias("marker"))
+    def of_rest(rest: Column, marker: Column) -> Column:
+        numbered = rest.rlike(r"^\$?\d+(?:\.\s*|\s*:\s*)")
+        number = F.when(numbered, F.regexp_extract(rest, r"^\$?(\d+)", 1))
+        name = F.when(numbered, strip(F.regexp_replace(rest, r"^\$?\d+(?:\.\s*|\s*:\s*)", ""))).otherwise(rest)
+        return F.struct(number.alias("id"), once(name, blank_to_null).alias("name"), marker.alias("marker"))
+
+    def of_text(text: Column) -> Column:
+        marked = text.rlike(r"\([^()]*\)\s*$")
+        marker = F.when(marked, clean_name(F.regexp_extract(text, r"\(([^()]*)\)\s*$", 1)))
+        rest = F.when(marked, strip(F.regexp_replace(text, r"\([^()]*\)\s*$", ""))).otherwise(text)
+        return once(rest, lambda r: of_rest(r, marker))
+
+    return once(F.coalesce(clean_name(value), F.lit("")), of_text)
 
 
 def marker_fields(value: Column) -> Column:

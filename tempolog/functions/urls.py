@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import once
 from .timestamps import blank_to_null
 
 # Hosts, paths and names of the catalog systems.
@@ -75,32 +76,41 @@ def classify_url(url: Column, rules: tuple[UrlRule, ...] = RULES) -> Column:
         return F.struct(system.alias("system"), found.alias("external_id"), kind.alias("url_kind"), method.alias("method"))
 
     none = F.lit(None).cast("string")
-    host, path = authority(url), path_of(url)
-    chain = F.when(F.coalesce(url, F.lit("")) == "", result(none, none, F.lit("empty"), F.lit("none")))
-    for rule in rules:
-        fits = host.isin(*rule.hosts) if rule.hosts else host.contains(rule.host_part)
-        if rule.path:
-            fits = fits & (F.lower(path) == rule.path)
-        method = F.lit(rule.method)
-        if rule.query_key:
-            first = F.try_element_at(query_values(url, rule.query_key), F.lit(1))
-            plain = F.when(first.rlike(r"^\d+$"), first)
-            found = plain
-            if rule.system == WANNA:
-                loose = blank_to_null(F.regexp_extract(url, rf"[?&]{rule.query_key}=(\d+)", 1))
-                found = F.coalesce(plain, loose)
-                method = F.when(plain.isNotNull(), rule.method).otherwise(rule.method + "_fallback")
-        else:
-            found = blank_to_null(F.regexp_extract(path, rule.pattern, 1))
-        good = result(F.lit(rule.system), found, F.lit(rule.kind), method)
-        bad = result(none, none, F.lit(rule.failed_kind or rule.kind), F.lit(rule.failure))
-        chain = chain.when(fits, F.when(found.isNotNull(), good).otherwise(bad))
-    return chain.otherwise(result(none, none, F.lit("other"), F.lit("unsupported")))
+
+    def chosen(host: Column, path: Column) -> Column:
+        chain = F.when(F.coalesce(url, F.lit("")) == "", result(none, none, F.lit("empty"), F.lit("none")))
+        for rule in rules:
+            fits = host.isin(*rule.hosts) if rule.hosts else host.contains(rule.host_part)
+            if rule.path:
+                fits = fits & (F.lower(path) == rule.path)
+            bad = result(none, none, F.lit(rule.failed_kind or rule.kind), F.lit(rule.failure))
+
+            def good(found: Column, method: Column, rule: UrlRule = rule, bad: Column = bad) -> Column:
+                return F.when(found.isNotNull(), result(F.lit(rule.system), found, F.lit(rule.kind), method)).otherwise(bad)
+
+            if rule.query_key:
+                first = F.try_element_at(query_values(url, rule.query_key), F.lit(1))
+                plain = once(first, lambda f: F.when(f.rlike(r"^\d+$"), f))
+                if rule.system == WANNA:
+                    loose = blank_to_null(F.regexp_extract(url, rf"[?&]{rule.query_key}=(\d+)", 1))
+                    told = once(plain, lambda p, rule=rule, loose=loose, good=good: F.when(p.isNotNull(), good(p, F.lit(rule.method))).otherwise(once(loose, lambda f: good(f, F.lit(rule.method + "_fallback")))))
+                else:
+                    told = once(plain, lambda p, rule=rule, good=good: good(p, F.lit(rule.method)))
+            else:
+                told = once(blank_to_null(F.regexp_extract(path, rule.pattern, 1)), lambda f, rule=rule, good=good: good(f, F.lit(rule.method)))
+            chain = chain.when(fits, told)
+        return chain.otherwise(result(none, none, F.lit("other"), F.lit("unsupported")))
+
+    return once(authority(url), lambda host: once(path_of(url), lambda path: chosen(host, path)))
 
 
 def canonical_key(url: Column) -> Column:
-    found = classify_url(url)
-    named = F.concat(found["system"], F.lit(":"), found["external_id"])
+    return once(classify_url(url), lambda found: key_of(url, found))
+
+
+def key_of(url: Column, known: Column) -> Column:
+    """``system:id`` of a URL that :func:`classify_url` knows, else ``url:`` and the URL."""
+    named = F.concat(known["system"], F.lit(":"), known["external_id"])
     return F.when(F.coalesce(url, F.lit("")) != "", F.coalesce(named, F.concat(F.lit("url:"), url)))
 
 

@@ -35,12 +35,17 @@ def _nth(values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(values) + 1).cast("int"))
 
 
+def _dealt(e: DataFrame) -> DataFrame:
+    """Events in some tasks for each core: a stand-in is a few row groups, and matching patterns on a row costs far more than its size tells."""
+    return e.repartition(4 * e.sparkSession.sparkContext.defaultParallelism, "event_id")
+
+
 def made_lines(spark: SparkSession, d: str, every_kind: bool = False) -> DataFrame:
     """Log lines of playback sessions, one per event: requests, starts, people who join and rooms that are left.
 
     With ``every_kind`` people and rooms have lines of all their kinds.  The stand-in is one small file, so its rows are dealt out before patterns are tried on them.
     """
-    e = events(spark, d).repartition("event_id")
+    e = _dealt(events(spark, d))
     stamp = F.date_format("ts", "yyyy.MM.dd HH:mm:ss.SSS")
     song, user = F.concat(F.lit("http://api.udon.dance/Api/Songs/play?id="), (F.col("user_id") + 1).cast("string")), F.concat(F.lit("P"), (F.col("user_id") % 7).cast("string"))
     said = (
@@ -114,7 +119,7 @@ def r_forms(spark: SparkSession, d: str) -> DataFrame:
     said = F.replace(_nth(tuple(line for line, _ in FORM_LINES)), F.lit("#"), (F.col("event_id") + 1).cast("string"))
     said = F.when(said.startswith("<color="), F.concat(F.lit("<color=#fff>"), F.substring_index(said, ">", -2))).otherwise(said)
     value = F.concat(F.date_format("ts", "yyyy.MM.dd HH:mm:ss"), F.lit(" Log        -  "), said)
-    lines = events(spark, d).select(F.lit("a").alias("source_file"), F.col("event_id").alias("line_number"), F.lit(0).cast("long").alias("byte_offset"), value.alias("value"))
+    lines = _dealt(events(spark, d)).select(F.lit("a").alias("source_file"), F.col("event_id").alias("line_number"), F.lit(0).cast("long").alias("byte_offset"), value.alias("value"))
     return parse.parse_signals(lines).withColumn("other_url", F.coalesce("routed_url", "resolved_url")).select("line_number", *_FIELDS)
 
 

@@ -11,6 +11,8 @@ import csv
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text, timestamps, urls
+from ..functions.binding import once
 from ..functions.timestamps import blank_to_null
 
 # What lines of interest contain.
@@ -121,7 +124,7 @@ HINTS = {
 
 
 def holds_any(line: Column, tokens: tuple[str, ...]) -> Column:
-    return F.lower(line).rlike("|".join(re.escape(t) for t in tokens))
+    return once(F.lower(line), lambda low: reduce(or_, [low.contains(t) for t in tokens]))
 
 
 def _signal(**fields: Column) -> Column:
@@ -273,11 +276,11 @@ def parse_signals(lines: DataFrame) -> DataFrame:
     at = timestamps.wall_clock(timestamps.line_stamp(F.col("value")))
     kept = lines.filter(holds_any(F.col("value"), VIDEO_TOKENS)).withColumns({"at": at, "__line": text.without_colour_tags(F.col("value"))})
     base = ("source_file", "line_number", "byte_offset", "at")
-    held = kept.select(*base, F.col("value").alias("raw_line"), "__line", F.explode(_forms_in(F.col("__line"), F.lower("__line"))).alias("rank"))
-    held = held.select(*base, "raw_line", "rank", _group(F.col("__line"), 1).alias("__g1"), _group(F.col("__line"), 2).alias("__g2"))
+    held = kept.select(*base, F.col("value").alias("raw_line"), "__line", F.explode(once(F.lower("__line"), lambda low: _forms_in(F.col("__line"), low))).alias("rank"))
+    held = held.select(*base, "raw_line", "rank", *[once(F.col("__line"), lambda line, n=n: _group(line, n)).alias(f"__g{n}") for n in (1, 2)])
     others = {k: f for k, f in RANKED.items() if k not in _DIRECT}
     raw = held.select(
-        *base, "raw_line", "rank", _direct_signal().alias("direct"), _constant({k: f.parser for k, f in others.items()}).alias("__parser"),
+        *base, "raw_line", "rank", once(F.col("rank"), lambda _: _direct_signal()).alias("direct"), _constant({k: f.parser for k, f in others.items()}).alias("__parser"),
         _by_rank({k: F.col("__g1" if isinstance(f, JsonForm) else "__g2") for k, f in others.items()}).alias("payload"),
         F.when(F.col("rank") == _PLAYING, blank_to_null(F.trim("__g1"))).when(F.col("rank") > _PLAYING, "LSMedia").alias("world"),
         _by_rank({k: F.col(f"__g{f.duration_group}").try_cast("double") for k, f in others.items() if isinstance(f, JsonForm) and f.duration_group}).alias("seconds"),
@@ -294,8 +297,8 @@ def parse_signals(lines: DataFrame) -> DataFrame:
         return F.concat_ws("\u001f", F.coalesce(one["link"], F.lit("")), one["number"], F.coalesce(one["name"], F.lit("\u0000")))
 
     keyed = with_entries.withColumn("__keys", F.transform("__entries", name_of))
-    once = F.filter("__entries", lambda e, k: F.array_position(F.col("__keys"), F.element_at(F.col("__keys"), k + 1)) == k + 1)
-    spread = keyed.select(*base, "raw_line", "rank", "direct", "__parser", "payload", "world", "seconds", F.posexplode_outer(once).alias("__k", "__e"))
+    distinct = F.filter("__entries", lambda e, k: F.array_position(F.col("__keys"), F.element_at(F.col("__keys"), k + 1)) == k + 1)
+    spread = keyed.select(*base, "raw_line", "rank", "direct", "__parser", "payload", "world", "seconds", F.posexplode_outer(distinct).alias("__k", "__e"))
     spread = spread.filter(~is_json | F.col("__e").isNotNull())
     e = F.col("__e")
     one = spread.withColumns({f"__{k}": v for k, v in _entry(e).items()})
@@ -332,16 +335,14 @@ def parse_signals(lines: DataFrame) -> DataFrame:
     fine = F.when(is_json, (number != "") | F.col("__link").isNotNull()).otherwise(is_free | F.col("direct").isNotNull())
     place = (F.col("rank") * 1_000_000 + F.coalesce("__k", F.lit(0)) * 1_000 + F.coalesce("__j", F.lit(0))).cast("int")
 
-    def field(name: str, kind: str) -> Column:
-        """A field of a signal, each kind of form in its own way; not a struct of all, which Spark would repeat for each."""
-        chosen = F.when(is_json, read[name]) if name in read else F.when(is_json, F.lit(None).cast(kind))
-        return chosen.when(is_free, free.get(name, F.lit(None)).cast(kind)).otherwise(F.col("direct")[name]).alias(name)
-
-    found = one.filter(fine).select(*base, place.alias("ordinal"), *[field(n, "string") for n in TEXTS], *[field(n, "double") for n in NUMBERS], "raw_line")
-    named = found.withColumn("__known", urls.classify_url(F.coalesce("video_url", "routed_url")))
+    # Each kind of form in its own way; the struct is a lambda's, so Spark does not repeat it for each of its fields.
+    told = once(is_free, lambda is_payload: F.when(is_json, _signal(**read)).when(is_payload, _signal(**free)).otherwise(F.col("direct")))
+    found = one.filter(fine).select(*base, place.alias("ordinal"), told.alias("__told"), "raw_line").select(*base, "ordinal", "__told.*", "raw_line")
+    link = F.coalesce(blank_to_null(F.col("video_url")), F.col("routed_url"))
+    named = found.withColumn("__known", urls.classify_url(link))
     progress, known = F.col("event_type") == "playback-progress", F.col("__known")
     return named.withColumns({
-        "canonical_key": urls.canonical_key(F.coalesce(blank_to_null(F.col("video_url")), F.col("routed_url"))), "system_key": known["system"], "external_id": known["external_id"], "url_kind": known["url_kind"],
+        "canonical_key": urls.key_of(link, known), "system_key": known["system"], "external_id": known["external_id"], "url_kind": known["url_kind"],
         "actual_play_at": F.when(progress, timestamps.back_dated(F.col("at"), F.col("video_offset_seconds"))),
     }).drop("__known")
 
