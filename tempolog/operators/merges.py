@@ -70,11 +70,12 @@ def keep_requester(origins: DataFrame, existing: DataFrame) -> DataFrame:
     ``existing``: record_id, origin_key, origin_id, requester_user_id, requester_source.  The same origin's
     source comes first, then that of the record's lowest origin id.
     """
-    known = existing.filter(F.nullif(F.col("requester_source"), F.lit("")).isNotNull())
-    by_key = known.select("origin_key", F.col("requester_source").alias("own_source"))
-    by_record = known.groupBy("record_id").agg(F.min_by("requester_source", "origin_id").alias("first_source"))
-    ids = existing.groupBy("record_id").agg(F.max(F.nullif(F.col("requester_user_id"), F.lit(""))).alias("known_id"))
-    joined = origins.join(by_key, "origin_key", "left").join(by_record, "record_id", "left").join(ids, "record_id", "left")
+    has_source = F.nullif(F.col("requester_source"), F.lit("")).isNotNull()
+    by_key = existing.filter(has_source).select("origin_key", F.col("requester_source").alias("own_source"))
+    by_record = existing.groupBy("record_id").agg(
+        F.max(F.nullif(F.col("requester_user_id"), F.lit(""))).alias("known_id"), F.min_by("requester_source", F.when(has_source, F.col("origin_id"))).alias("first_source")
+    ).filter("known_id is not null")  # a source is kept with an id only
+    joined = origins.join(by_key, "origin_key", "left").join(by_record, "record_id", "left")
     has = F.col("known_id").isNotNull()
     return joined.withColumns({
         "requester_user_id": F.when(has, F.col("known_id")).otherwise(F.col("requester_user_id")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import merges, operations, projection
+from ..operators.staging import staged
 from .tables import DECISIONS, ORIGINS, RECORDS, decisions, events, origins, query, records, table
 
 
@@ -45,6 +46,7 @@ ids AS (SELECT record_id, max(nullif(u, '')) AS known_id, arg_min(s, origin_key)
 SELECT e.origin_key, CASE WHEN known_id IS NOT NULL THEN known_id ELSE 'usr_new' END AS requester_user_id, CASE WHEN known_id IS NOT NULL THEN coalesce(nullif(e.s, ''), first_source) ELSE 'new' END AS requester_source FROM e JOIN ids USING (record_id)""")
 def k6(spark: SparkSession, d: str) -> DataFrame:
     o = origins(spark, d).groupBy("record_id", "origin_key").agg(F.min("origin_table").alias("origin_table"), F.min("requester_user_id").alias("requester_user_id"))
+    o = staged(o, "origins")  # read three times below, grouped once
     user, source = F.when(F.col("requester_user_id") % 3 != 0, F.concat(F.lit("usr_"), F.col("requester_user_id").cast("string"))).otherwise(""), F.when(F.col("requester_user_id") % 2 == 0, F.col("origin_table")).otherwise("")
     existing = o.select("record_id", "origin_key", F.col("origin_key").alias("origin_id"), user.alias("requester_user_id"), source.alias("requester_source"))
     new = o.select("record_id", "origin_key", F.lit("usr_new").alias("requester_user_id"), F.lit("new").alias("requester_source"))

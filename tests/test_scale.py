@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempolog.functions import binding
+from tempolog.operators import merges
 from tempolog.plans import streams
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,3 +23,12 @@ def test_once_gives_the_value(spark):
     df = spark.createDataFrame([("a",), (None,)], "t string")
     found = df.select(binding.once(F.upper("t"), lambda u: F.coalesce(F.concat(u, u), F.lit("none"))).alias("f")).collect()
     assert [r["f"] for r in found] == ["AA", "none"]
+
+
+def test_records_are_grouped_once_for_id_and_source(spark, rows):
+    """What a record has is found in one grouping, and the same origin's source still comes first."""
+    new = spark.createDataFrame([(1, "a", "new", "n"), (1, "b", "new", "n"), (2, "c", "new", "n")], "record_id long, origin_key string, requester_user_id string, requester_source string")
+    existing = spark.createDataFrame([(1, "a", "2", "usr_a", ""), (1, "b", "3", "", "own"), (1, "x", "1", "", "first"), (2, "c", "4", "", "lost")], "record_id long, origin_key string, origin_id string, requester_user_id string, requester_source string")
+    kept = merges.keep_requester(new, existing).select("origin_key", "requester_user_id", "requester_source")
+    assert rows(kept) == [("a", "usr_a", "first"), ("b", "usr_a", "own"), ("c", "new", "n")]
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Aggregate(key") == 2  # within tasks, then across
