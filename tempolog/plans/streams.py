@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import evidence, merges
+from ..operators.staging import staged
 from ..sources import parse
 from ..streaming import boundaries, identity, occurrences, settle, settlement, slices
 from .tables import events, query
@@ -147,8 +148,8 @@ def t1(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def session_signals(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of ten sessions straight from events, in place and slices: each event is a stamp, and some are signals, rooms or people.
+def session_signals(spark: SparkSession, d: str, clocks: bool = True) -> DataFrame:
+    """Rows of ten sessions straight from events, in place and slices: each event is a stamp (with ``clocks``), and some are signals, rooms or people.
 
     A song has the number of the user modulo 40; every sixteenth event is of its own kind.
     """
@@ -157,12 +158,12 @@ def session_signals(spark: SparkSession, d: str) -> DataFrame:
     is_signal, people = n < 8, n.isin(10, 11, 12)
     song, name = F.concat(F.lit("k:"), (F.col("user_id") % 40).cast("string")), F.concat(F.lit("N"), (F.col("user_id") % 25).cast("string"))
     base = e.select((F.col("user_id") % 10).cast("string").alias("session"), F.lit("a").alias("source_file"), F.col("event_id").alias("line_number"), F.col("ts").cast("timestamp_ntz").alias("at"), "event_id", "user_id", "value")
-    clocks = base.withColumns({"stage": F.lit(0), "event_type": F.lit("clock")})
+    stamps = base.withColumns({"stage": F.lit(0), "event_type": F.lit("clock")})
     told = base.withColumns({
         "stage": F.when(is_signal, 3).when(people, 2).otherwise(1), "event_type": kind, "parser_name": F.when(is_signal, "p"), "canonical_key": F.when(is_signal, song), "video_url": F.when(is_signal, song),
         "display_name": F.when((n < 4) | people, name), "requester_user_id": F.when(people, F.concat(F.lit("usr"), (F.col("user_id") % 75).cast("string"))), "requester_user_id_source": F.lit(None).cast("string"), "actual_play_at": F.lit(None).cast("timestamp_ntz"),
     }).filter("event_type is not null")
-    return slices.sliced(clocks.unionByName(told, allowMissingColumns=True), ["session", "line_number", "stage"])
+    return slices.sliced(stamps.unionByName(told, allowMissingColumns=True) if clocks else told, ["session", "line_number", "stage"])
 
 
 SESSION_ROWS = """e AS (SELECT user_id % 10 AS session, event_id, ts, event_id % 16 AS n, 'k:' || (user_id % 40) AS song, 'N' || (user_id % 25) AS name, 'usr' || (user_id % 75) AS usr FROM events)"""
@@ -176,9 +177,10 @@ told AS (SELECT session, song, k, event_id, ts, segment, 1 AS number, n IN (4, 5
     FROM told t JOIN r ON r.session = t.session AND r.song = t.song AND r.k = t.k + 1))
 SELECT event_id, session::VARCHAR AS session, song || '#' || number AS event_key FROM told""")
 def t2(spark: SparkSession, d: str) -> DataFrame:
-    """The occurrence that each signal belongs to."""
-    signals = boundaries.attributed(boundaries.signals_of(boundaries.in_segments(session_signals(spark, d))))
-    return boundaries.occurrences_of(signals).select("event_id", "session", "event_key")
+    """The occurrence that each signal belongs to; boundaries do not ask for the stamps of other lines."""
+    rows = session_signals(spark, d, clocks=False).select("session", "place", "slice", "event_id", "at", "event_type", "parser_name", "canonical_key", "video_url", "actual_play_at")
+    whole = staged(boundaries.in_segments(rows), "segments")
+    return boundaries.occurrences_of(staged(boundaries.attributed(boundaries.signals_of(whole)), "attributed")).select("event_id", "session", "event_key")
 
 
 @query("t5_identity", f"""WITH {SESSION_ROWS}, rooms AS (SELECT session, event_id, n, sum(CASE WHEN n IN (8, 9) THEN 1 ELSE 0 END) OVER w AS changes, last_value(CASE WHEN n = 8 THEN 'closing' WHEN n IN (9, 10, 11) THEN 'active' END IGNORE NULLS) OVER w AS state,

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.staging import staged
-from .slices import Run, scan
+from .slices import Run, scan, small
 
 #: Kinds of signals, and parsers of lines that lift a mute.
 OPENING, REOPENING, PLAYING = ("request", "load-start"), ("route", "resolve-attempt", "resolve-complete"), ("actual-play", "playback-progress", "on-video-start")
@@ -29,7 +29,7 @@ ENDINGS = {"room-left": "room_left", "application-quit": "application_quit", "vi
 #: Kinds of rows that are no signals.
 OTHER = ("clock", "room-entering", *ENDINGS, "player-joined", "player-left", "user-authenticated")
 PREVIEW_SECONDS, RETRY_SECONDS, READY_SECONDS = 90, 30, 3
-SESSION, SONG = ["session"], ["session", "canonical_key"]
+SESSION, SONG, HERE = ["session"], ["session", "canonical_key"], ["session", "canonical_key", "segment"]
 
 
 def seconds(a: Column, b: Column) -> Column:
@@ -41,10 +41,13 @@ def later(at: Column, by: Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.round(by * 1_000_000).cast("int") if isinstance(by, Column) else F.lit(by * 1_000_000), at)
 
 
-def in_segments(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``segment``, the number of endings so far, and ``clock``, the latest stamp of a line so far."""
+def in_segments(rows: DataFrame, whole: bool = False) -> DataFrame:
+    """``rows`` with ``segment``, the number of endings so far, and ``clock``, the latest stamp of a line so far.
+
+    ``whole`` as in :func:`slices.scan`.
+    """
     kind = F.col("event_type")
-    return scan(rows, SESSION, {"segment": Run("sum", kind.isin(*ENDINGS).cast("long")), "clock": Run("max", F.when(kind == "clock", F.col("at")))})
+    return scan(rows, SESSION, {"segment": Run("sum", kind.isin(*ENDINGS).cast("long")), "clock": Run("max", F.when(kind == "clock", F.col("at")))}, whole=whole)
 
 
 def signals_of(rows: DataFrame) -> DataFrame:
@@ -55,13 +58,14 @@ def signals_of(rows: DataFrame) -> DataFrame:
     """
     kind = F.col("event_type")
     songs = rows.filter(F.col("canonical_key").isNotNull() & ~kind.isin(*OTHER))
+    (whole,) = small(songs, SONG)
     preview, lifts = kind == "preview", ~kind.isin("metadata", "preview") & F.col("parser_name").isin(*LIFTING)
     until = F.when(preview, later(F.col("at"), PREVIEW_SECONDS))
     marked = scan(songs, SONG, {
         "mark": Run("sum", (preview | lifts).cast("long")),
         "mute": Run("last", F.when(preview | lifts, F.struct(preview.alias("on"), until.alias("until")))),
-    })
-    heard = scan(marked, [*SONG, "mark"], {"latest": Run("max", F.when(~kind.isin("metadata", "preview"), F.col("at")))})
+    }, whole=whole)
+    heard = scan(marked, [*SONG, "mark"], {"latest": Run("max", F.when(~kind.isin("metadata", "preview"), F.col("at")))}, whole=whole)
     over = F.coalesce(F.col("latest") > F.col("mute.until"), F.lit(False))
     muted = F.coalesce(F.col("mute.on"), F.lit(False)) & ~over & (kind != "metadata")
     kept = heard.filter(~muted & ~preview).drop("mark", "mute", "latest")
@@ -74,26 +78,31 @@ def attributed(signals: DataFrame) -> DataFrame:
     What has no link and nothing before it is left out here; see :func:`due_plays`.
     """
     own, linked = F.col("canonical_key").isNotNull(), F.coalesce(F.col("video_url"), F.lit("")) != ""
-    last = scan(signals, ["session", "segment"], {"active": Run("last", F.when(own & linked & (F.col("event_type") != "metadata"), F.col("canonical_key")))})
-    return last.withColumns({"has_link": own, "canonical_key": F.coalesce("canonical_key", F.when(~own, F.col("active")))}).drop("active")
+    # Segments only grow along a session, so what is last in a segment is last in the session.
+    last = scan(signals, SESSION, {"active": Run("last", F.when(own & linked & (F.col("event_type") != "metadata"), F.struct("segment", "canonical_key")))})
+    active = F.when(F.col("active.segment") == F.col("segment"), F.col("active.canonical_key"))
+    return last.withColumns({"has_link": own, "canonical_key": F.coalesce("canonical_key", F.when(~own, active))}).drop("active")
 
 
 def _plays() -> Column:
     return F.col("event_type").isin(*PLAYING) & F.coalesce("at", "actual_play_at").isNotNull()
 
 
-def _begins(signals: DataFrame, seen: Column, strict: bool) -> DataFrame:
-    """``signals`` with ``begins``: whether one begins an occurrence, ``seen`` being the latest stamp of the occurrence before it."""
-    here, kind = [*SONG, "segment"], F.col("event_type")
-    since = seconds(seen, F.col("at"))
+def _begins(signals: DataFrame, strict: bool, whole: bool) -> DataFrame:
+    """``signals`` with ``begins``: whether one begins an occurrence, ``seen`` being the latest stamp of the occurrence before it.
+
+    In a stretch, the places after a play up to the next one, the first signal that decides is the one with no other since the play.
+    """
+    kind, place = F.col("event_type"), F.col("place")
+    since = seconds(F.col("seen"), F.col("at"))
     recent = F.coalesce((since >= 0) & (since <= RETRY_SECONDS), F.lit(False))
     decides = F.col("has_link") & (kind.isin(*OPENING) | kind.isin(*REOPENING) & ~recent)
-    stretches = scan(signals.withColumn("__decides", decides), here, {"stretch": Run("sum", _plays().cast("long"), own=False), "__earlier": Run("sum", F.lit(1), own=False)})
-    first = scan(stretches, [*here, "stretch"], {"__decided": Run("sum", F.col("__decides").cast("long"), own=False)})
-    begins = (F.col("__earlier") == 0) | (F.col("stretch") > 0) & F.col("__decides") & (F.col("__decided") == 0)
+    runs = {"__earlier": Run("max", place, own=False), "__played": Run("max", F.when(_plays(), place), own=False), "__decided": Run("max", F.when(F.col("__decides"), place), own=False)}
+    before = scan(signals.withColumn("__decides", decides), HERE, runs, whole=whole)
+    begins = F.col("__earlier").isNull() | F.col("__decides") & F.coalesce(F.col("__played") > F.coalesce("__decided", F.lit(0)), F.lit(False))
     if strict:
         begins = begins | F.col("has_link") & kind.isin(*OPENING) & ~recent
-    return first.withColumn("begins", begins).drop("__decides", "__decided", "__earlier", "stretch")
+    return before.withColumn("begins", begins).drop("__decides", *runs)
 
 
 def occurrences_of(signals: DataFrame, strict_boundary: bool = False) -> DataFrame:
@@ -104,17 +113,19 @@ def occurrences_of(signals: DataFrame, strict_boundary: bool = False) -> DataFra
     With ``strict_boundary`` a request more than 30 seconds after the last signal begins one even if none was played.
     Numbers count the occurrences of a song in the session from 1.
     """
-    here = [*SONG, "segment"]
-    seen = staged(scan(signals.filter(F.col("canonical_key").isNotNull()), here, {"latest": Run("max", F.col("at"), own=False), "seen": Run("last", F.col("at"), own=False)}), "seen")
-    turns_back = not seen.filter(F.col("at").isNull() | (F.col("at") < F.col("latest"))).isEmpty()
-    seen = seen.drop("latest")
-    while True:
-        counted = staged(scan(_begins(seen, F.col("seen"), strict_boundary), SONG, {"number": Run("sum", F.col("begins").cast("long"))}), "numbered")
-        if not turns_back:
-            break
-        upto = scan(counted, [*SONG, "number"], {"__upto": Run("max", F.col("at"))})
-        again = staged(scan(upto, here, {"__before": Run("last", F.struct(F.col("__upto").alias("at")), own=False)}), "seen-again")
-        if again.filter(~F.col("__before.at").eqNullSafe(F.col("seen"))).isEmpty():
-            break
-        seen = again.withColumn("seen", F.col("__before.at")).drop("begins", "number", "__upto", "__before")
+    songs = signals.filter(F.col("canonical_key").isNotNull())
+    by_song, by_here = small(songs, SONG, HERE)
+
+    def counted_of(seen: DataFrame) -> DataFrame:
+        return staged(scan(_begins(seen, strict_boundary, by_here), SONG, {"number": Run("sum", F.col("begins").cast("long"))}, whole=by_song), "numbered")
+
+    counted = counted_of(scan(songs, HERE, {"__latest": Run("max", F.col("at"), own=False), "seen": Run("last", F.col("at"), own=False)}, whole=by_here))
+    turns_back = not counted.filter(F.col("at").isNull() | (F.col("at") < F.col("__latest"))).isEmpty()
+    counted = counted.drop("__latest")
+    while turns_back:
+        upto = scan(counted, [*SONG, "number"], {"__upto": Run("max", F.col("at"))}, whole=by_here)
+        again = scan(upto, HERE, {"__before": Run("last", F.struct(F.col("__upto").alias("at")), own=False)}, whole=by_here).withColumn("__changed", ~F.col("__before.at").eqNullSafe(F.col("seen")))
+        counted = counted_of(again.withColumn("seen", F.col("__before.at")).drop("begins", "number", "__upto", "__before"))
+        turns_back = not counted.filter("__changed").isEmpty()
+        counted = counted.drop("__changed")
     return counted.drop("seen").withColumn("event_key", F.concat("canonical_key", F.lit("#"), F.col("number").cast("string")))

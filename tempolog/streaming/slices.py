@@ -15,8 +15,8 @@ from pyspark.sql.types import ByteType
 from ..operators.order import PARTS, numbered
 from ..operators.staging import staged
 
-#: Up to this many rows, the whole order is one slice.
-SLICE_ROWS = 1 << 18
+#: Up to this many rows, the whole order is one slice; and a key's rows are run through in one task.
+SLICE_ROWS, KEY_ROWS = 1 << 18, 1 << 20
 
 
 class Run(NamedTuple):
@@ -38,10 +38,26 @@ def sliced(rows: DataFrame, order: list[str | Column], slice_rows: int = SLICE_R
     return staged(placed.withColumn("slice", F.lit(0).cast("byte")) if parts == 1 else placed, "sliced")
 
 
-def scan(rows: DataFrame, by: list[str], runs: dict[str, Run], backward: bool = False, place: str = "place") -> DataFrame:
+def small(rows: DataFrame, *keys: list[str], most: int | None = None) -> list[bool]:
+    """For each of ``keys``, each finer than the one before, whether no key of it has more than ``most`` (KEY_ROWS) ``rows``.
+
+    Finer keys are counted only if coarser ones are too large.  ``rows`` are read for that, so they should be staged.
+    """
+    found = [_single(rows)]
+    for by in keys:
+        found.append(found[-1] or rows.groupBy(*by).count().filter(F.col("count") > (KEY_ROWS if most is None else most)).isEmpty())
+    return found[1:]
+
+
+def _single(rows: DataFrame) -> bool:
+    return isinstance(rows.schema["slice"].dataType, ByteType)
+
+
+def scan(rows: DataFrame, by: list[str], runs: dict[str, Run], backward: bool = False, place: str = "place", whole: bool = False) -> DataFrame:
     """``rows`` (with place and slice) with the running values of their key ``by``, in order of place or backward.
 
-    Keys are not null.  A sum is 0 before the first row, other values are null.
+    Keys are not null.  A sum is 0 before the first row, other values are null.  With ``whole`` (:func:`small`) a key's rows are
+    sorted in one task: nothing has to be put together, and scans by finer keys need no other shuffle.  Slices read ``rows`` twice.
     """
     def along(name: str) -> Column:
         return F.desc(name) if backward else F.col(name)
@@ -55,7 +71,7 @@ def scan(rows: DataFrame, by: list[str], runs: dict[str, Run], backward: bool =
     def over(how: str, value: Column) -> Column:
         return getattr(F, how)(value) if how in ("sum", "max", "min") else getattr(F, how)(value, ignorenulls=True)
 
-    whole = isinstance(rows.schema["slice"].dataType, ByteType)
+    whole = whole or _single(rows)
     within = Window.partitionBy(*by, *([] if whole else ["slice"])).orderBy(along(place))
     ran = rows.withColumns({f"__in_{n}": over(run.how, run.value).over(within.rowsBetween(Window.unboundedPreceding, 0 if run.own else -1)) for n, run in runs.items()})
     if whole:

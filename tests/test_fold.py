@@ -307,6 +307,30 @@ def test_a_session_is_not_one_task(spark):
         seen = r["canonical_key"] or seen
 
 
+def test_finer_keys_need_no_other_shuffle(spark, rows, monkeypatch):
+    """Where no key is large, running values by song and by parts of it are one shuffle and no join, and the same as in slices."""
+    told = spark.createDataFrame([tuple(r.get(c) for c in NAMES) for r in random_session(1, 2000, True)], ROW).filter("canonical_key is not null")
+    placed = slices.sliced(told, ["session", "source_file", "line_number", "stage", "ordinal"], slice_rows=200)
+
+    def ran(whole):
+        first = slices.scan(placed, boundaries.SONG, {"part": slices.Run("sum", (F.col("event_type") == "request").cast("long"))}, whole=whole)
+        return slices.scan(first, [*boundaries.SONG, "part"], {"before": slices.Run("last", F.col("at"), own=False), "latest": slices.Run("max", F.col("at"))}, whole=whole)
+
+    assert rows(ran(True)) == rows(ran(False))
+    plan = ran(True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert slices.small(placed, boundaries.SONG, ["session", "line_number"]) == [True, True]
+    monkeypatch.setattr(slices, "KEY_ROWS", 100)
+    assert slices.small(placed, boundaries.SONG, ["session", "line_number"]) == [False, True]
+
+
+@pytest.mark.parametrize("in_order", [True, False])
+def test_large_keys_fold_in_slices(spark, monkeypatch, in_order):
+    """With every key taken for a large one, nothing is run through whole and the fold is the same."""
+    monkeypatch.setattr(slices, "KEY_ROWS", 0)
+    test_random_sessions_fold_as_told_row_by_row(spark, in_order, False, True, 300)
+
+
 def test_steps_take_tables_without_rows(spark):
     empty = spark.createDataFrame([], ROW)
     assert occurrences.fold(empty).collect() == []
