@@ -210,10 +210,10 @@ def t7(spark: SparkSession, d: str) -> DataFrame:
     rows = e.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("stage")).filter("stage = 0 or event_type in ('click', 'purchase', 'error')")
     kind = F.when(F.col("stage") == 0, "clock").when(F.col("event_type") == "error", "room-left").otherwise("signal")
     placed = slices.sliced(rows.withColumn("event_type", kind), ["session", "event_id", "stage"])
-    whole = boundaries.in_segments(placed)
+    whole = staged(boundaries.in_segments(placed), "segments")
     plays = F.when(F.col("event_id") % 3 == 0, F.col("at"))
     updates = whole.filter("event_type = 'signal'").select("session", F.col("event_id").cast("string").alias("event_key"), "place", "slice", "clock", plays.alias("actual"), F.col("at").alias("first_seen"), F.col("at").alias("last_seen"), "length", F.lit(True).alias("has_song"))
-    ends = settlement.settled(whole, updates, finish=False)
+    ends = settlement.settled(whole, updates, finish=False, whole=slices.small(updates, occurrences.EVENT)[0])
     return ends.select(F.col("event_key").cast("long").alias("event_id"), "status", "reason", F.unix_micros(F.col("settled_at").cast("timestamp")).alias("settled_us"))
 
 

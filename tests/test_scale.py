@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempolog.functions import binding
-from tempolog.operators import merges
+from tempolog.operators import merges, staging
 from tempolog.plans import streams
 
 FOLDER = "/root/testdata/sf0.001"
@@ -32,3 +32,11 @@ def test_records_are_grouped_once_for_id_and_source(spark, rows):
     kept = merges.keep_requester(new, existing).select("origin_key", "requester_user_id", "requester_source")
     assert kept._jdf.queryExecution().executedPlan().toString().count("Aggregate(key") == 2  # within tasks, then across
     assert rows(kept) == [("a", "usr_a", "first"), ("b", "usr_a", "own"), ("c", "new", "n")]
+
+
+@needs_tables
+def test_plain_lines_stay_out_of_the_interruptions(spark):
+    """What only tells the time is not run through when the next interruption of another item is looked for."""
+    assert streams.t7(spark, FOLDER).count() > 100
+    forcing = spark.read.parquet([path for path in staging._STAGED if "/forcing-" in path][-1])
+    assert forcing.count() > 100 and forcing.filter("force = 0 or reason is null").isEmpty()
