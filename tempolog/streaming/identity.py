@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import staged
 from .boundaries import SESSION
-from .slices import Run, scan
+from .slices import Run, scan, small
 
 #: Names of earlier rooms count some seconds after entering this one; what the sources of a name are called.
 GRACE_SECONDS = 60
@@ -22,11 +23,12 @@ CLEARING = ("application-quit", "video-shutdown")
 NAME = ["session", "display_name"]
 
 
-def in_rooms(rows: DataFrame) -> DataFrame:
+def in_rooms(rows: DataFrame, whole: bool = False) -> DataFrame:
     """``rows`` with ``room``: state (active, closing or cleared), changes, entered, number and era, as they are after the row.
 
     Entering a room and somebody's joining make it active, leaving it closing, quitting clears it.  ``changes`` counts
     enterings and leavings, ``number`` enterings only, ``era`` what clears; ``entered`` is when this room was entered.
+    ``whole`` as in :func:`slices.scan`.
     """
     kind = F.col("event_type")
     enters, leaves, clears, joins = kind == "room-entering", kind == "room-left", kind.isin(*CLEARING), kind == "player-joined"
@@ -35,7 +37,7 @@ def in_rooms(rows: DataFrame) -> DataFrame:
         "__state": Run("last", state), "__changes": Run("sum", (enters | leaves).cast("long")), "__number": Run("sum", enters.cast("long")), "__era": Run("sum", clears.cast("long")),
         "__entered": Run("last", F.when(enters | leaves | clears, F.struct(F.when(enters, F.col("at")).alias("at")))),
     }
-    found = scan(rows, SESSION, runs)
+    found = scan(rows, SESSION, runs, whole=whole)
     room = F.struct(F.coalesce("__state", F.lit("cleared")).alias("state"), F.col("__changes").alias("changes"), F.col("__number").alias("number"), F.col("__era").alias("era"), F.col("__entered.at").alias("entered"))
     return found.withColumn("room", room).drop(*runs)
 
@@ -51,15 +53,16 @@ def _tells() -> Column:
     return (kind == "player-joined") | (kind == "user-authenticated") & (state == "active") | (kind == "player-left") & (state != "cleared")
 
 
-def named(rows: DataFrame) -> DataFrame:
+def named(rows: DataFrame, whole: bool = False) -> DataFrame:
     """``rows`` (:func:`in_rooms`) with ``user``, ``user_source`` of what has a name, and ``candidate``, an expired user that may not be given yet.
 
     A user that the row holds itself goes first; else, in an active room, the user that the name last had: at once if that was told in
     this room, 60 seconds after entering it if it was told in an earlier one.
+    ``whole``, of names, as in :func:`slices.scan`.
     """
     told = F.when(_tells(), F.struct(F.col("requester_user_id").alias("user"), (F.col("event_type") == "player-left").alias("left"), F.col("room.changes").alias("changes"), F.col("room.era").alias("era")))
     blank = F.coalesce(F.col("display_name"), F.lit("")) == ""
-    known = scan(rows.filter(~blank), NAME, {"told": Run("last", told, own=False)})
+    known = scan(rows.filter(~blank), NAME, {"told": Run("last", told, own=False)}, whole=whole)
     both = known.unionByName(rows.filter(blank), allowMissingColumns=True)
     valid = (F.col("told.era") == F.col("room.era")) & (F.col("told.user") != "")
     here = valid & ~F.col("told.left") & (F.col("told.changes") == F.col("room.changes"))
@@ -84,13 +87,14 @@ def released(rows: DataFrame, seen: DataFrame, finish: bool = True) -> DataFrame
     waits = waiting.groupBy("session", "display_name", "event_key", F.col("room.number").alias("number"), F.col("room.era").alias("era")).agg(
         F.min("place").alias("since"), F.min_by(F.struct("candidate", "slice"), "place").alias("first")
     )
-    marks = waits.select("session", "display_name", F.col("since").alias("place"), F.col("first.slice").alias("slice"), F.struct("event_key", "number", "era", "since", F.col("first.candidate").alias("candidate")).alias("wait"))
+    marks = staged(waits.select("session", "display_name", F.col("since").alias("place"), F.col("first.slice").alias("slice"), F.struct("event_key", "number", "era", "since", F.col("first.candidate").alias("candidate")).alias("wait")), "waits")
 
     tells = rows.filter(_tells() & (F.coalesce(F.col("requester_user_id"), F.lit("")) != ""))
     told = F.struct("place", F.col("requester_user_id").alias("user"), F.when(F.col("event_type") == "player-left", EXPIRED).otherwise(ACTIVE).alias("source"), F.col("room.number").alias("number"), F.col("room.era").alias("era"))
     nothing = F.lit(None).cast(marks.schema["wait"].dataType)
     told_rows = tells.select("session", "display_name", "place", "slice", nothing.alias("wait"), told.alias("told"))
-    known = scan(marks.withColumn("told", F.lit(None).cast(told_rows.schema["told"].dataType)).unionByName(told_rows), NAME, {"next": Run("last", F.col("told"), own=False)}, backward=True).filter("wait is not null")
+    both = marks.withColumn("told", F.lit(None).cast(told_rows.schema["told"].dataType)).unionByName(told_rows)
+    known = scan(both, NAME, {"next": Run("last", F.col("told"), own=False)}, backward=True, whole=small(both, NAME)[0]).filter("wait is not null")
     in_time = (F.col("next.number") == F.col("wait.number")) & (F.col("next.era") == F.col("wait.era"))
     by_name = known.filter(in_time).select("session", F.col("wait.event_key").alias("event_key"), F.col("next.place").alias("place"), F.lit(0).cast("long").alias("turn"), F.col("next.user").alias("user"), F.col("next.source").alias("user_source"))
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import DURATION_RANKS, rank_of
 from ..operators.staging import staged
-from . import boundaries, identity, settlement
+from . import boundaries, identity, settlement, slices
 from .boundaries import SESSION, SONG, later, seconds
-from .slices import SLICE_ROWS, Run, scan, sliced
+from .slices import SLICE_ROWS, Run, scan, sliced, small
 
 ORDER = ["source_file", "line_number", "stage", "ordinal"]
 #: A field takes the first value that is not blank; links take the last that a signal has, else the first of metadata.
@@ -25,6 +25,8 @@ FIRST_STAMPS = {
 }
 REPLACED_METHOD, TOLERANCE = "usharp_delayed_video_ready", 0.001
 EVENT = ["session", "event_key"]
+#: Occurrences, so that rows which lie together by song need no shuffle.
+SONG_EVENT = [*SONG, "event_key"]
 STAMPS = (
     "first_seen_at", "last_seen_at", "request_at", "load_started_at", "resolve_attempt_at", "resolved_at", "video_loaded_at", "expected_ready_at", "synced_play_at", "on_video_start_at",
     "actual_play_at", "actual_play_signal_at", "settled_at",
@@ -61,22 +63,24 @@ def with_metadata(signals: DataFrame, metadata: DataFrame) -> DataFrame:
 
     Metadata alone make no occurrence; what they tell is remembered for all later occurrences of the song in the session.
     """
-    both = signals.unionByName(metadata, allowMissingColumns=True)
-    meta = F.col("event_type") == "metadata"
-    runs = {f"known_{n}": Run("first", F.when(meta, _kept(n)), own=False) for n in (*FIRST, "video_url", "parser_name")}
-    runs |= {"known_who": Run("first", F.when(meta & F.col("user").isNotNull(), F.struct("place", F.lit(0).cast("long").alias("turn"), "user", "user_source")), own=False), "known_length": Run("max", F.when(meta, _length()), own=False)}
-    known = scan(both, SONG, runs)
-    placed = scan(known, [*SONG, "segment"], {"__open": Run("last", F.col("event_key"))})
-    kept = placed.withColumn("event_key", F.coalesce("event_key", F.when(meta, F.col("__open")))).filter("event_key is not null")
+    runs = {f"known_{n}": Run("first", _kept(n)) for n in (*FIRST, "video_url", "parser_name")}
+    runs |= {"known_who": Run("first", F.when(F.col("user").isNotNull(), F.struct("place", F.lit(0).cast("long").alias("turn"), "user", "user_source"))), "known_length": Run("max", _length())}
+    by_song, by_here = small(signals.select(*boundaries.HERE, "slice").unionByName(metadata.select(*boundaries.HERE, "slice")), SONG, boundaries.HERE)
+    # What metadata tell is brought together among themselves; other rows look up the last of them only.
+    told = scan(metadata, SONG, runs, whole=by_song).select(*metadata.columns, F.struct(*runs).alias("__told"))
+    both = signals.unionByName(told, allowMissingColumns=True)
+    known = scan(both, SONG, {"__known": Run("last", F.col("__told"), own=False)}, whole=by_song)
+    placed = scan(known, boundaries.HERE, {"__open": Run("last", F.col("event_key"))}, whole=by_here)
+    kept = placed.withColumn("event_key", F.coalesce("event_key", F.when(F.col("event_type") == "metadata", F.col("__open")))).filter("event_key is not null")
     begins = F.coalesce("begins", F.lit(False))
-    return kept.withColumns({n: F.when(begins, F.col(n)) for n in runs}).withColumn("begins", begins).drop("__open")
+    return kept.withColumns({n: F.when(begins, F.col(f"__known.{n}")) for n in runs}).withColumn("begins", begins).drop("__open", "__told", "__known")
 
 
-def with_plays(rows: DataFrame) -> DataFrame:
+def with_plays(rows: DataFrame, whole: bool = False) -> DataFrame:
     """Rows of occurrences with ``play``, the time that they make the actual play's, ``heard``, that they make its signal's, and ``method``.
 
     An actual play counts; a start of the video counts if nothing was played before or the last play was only a delayed one;
-    progress counts if nothing was played before.
+    progress counts if nothing was played before.  ``whole``, of occurrences, as in :func:`slices.scan`.
     """
     kind = F.col("event_type")
     actual, starts, progress = kind == "actual-play", kind == "on-video-start", kind == "playback-progress"
@@ -86,7 +90,7 @@ def with_plays(rows: DataFrame) -> DataFrame:
         "__played": Run("sum", value.isNotNull().cast("long"), own=False), "__heard": Run("sum", ((actual | starts | progress) & F.col("at").isNotNull()).cast("long"), own=False),
         "__before": Run("last", F.when(actual | starts, F.struct(actual.alias("actual"), own_method.alias("method"))), own=False),
     }
-    found = scan(rows, EVENT, runs)
+    found = scan(rows, SONG_EVENT, runs, whole=whole)
     replaces = F.coalesce(F.col("__before.actual") & (F.col("__before.method") == REPLACED_METHOD), F.lit(False))
     first = F.col("__played") == 0
     sets = actual | starts & (first | replaces)
@@ -96,7 +100,7 @@ def with_plays(rows: DataFrame) -> DataFrame:
     }).drop(*runs)
 
 
-def versions(rows: DataFrame) -> DataFrame:
+def versions(rows: DataFrame, whole: bool = False) -> DataFrame:
     """Updates for :func:`settlement.settled`: what is known of an occurrence after each of its rows."""
     signal = F.col("event_type") != "metadata"
     runs = {
@@ -105,7 +109,7 @@ def versions(rows: DataFrame) -> DataFrame:
         "__song": Run("sum", F.coalesce(_kept("external_id"), "known_external_id").isNotNull().cast("long")),
     }
     plain = rows.select("session", "event_key", "place", "slice", "clock", "event_type", "at", "play", "known_length", "duration_seconds", "duration_source", "system_key", "external_id", "known_system_key", "known_external_id")
-    found = scan(plain, EVENT, runs)
+    found = scan(plain, EVENT, runs, whole=whole)
     return found.select("session", "event_key", "place", "slice", "clock", "actual", "first_seen", "last_seen", F.col("__length.seconds").alias("length"), ((F.col("__system") > 0) & (F.col("__song") > 0)).alias("has_song"))
 
 
@@ -168,10 +172,10 @@ def _fields() -> list[Column]:
     return [value.alias(name) for name, value in found.items()]
 
 
-def _conflicts(rows: DataFrame) -> DataFrame:
+def _conflicts(rows: DataFrame, whole: bool = False) -> DataFrame:
     """event_key, duration_conflicts: durations that a row told and the occurrence held another one, each once, in order."""
     told = rows.filter(F.col("duration_seconds").isNotNull() | F.col("known_length").isNotNull()).select(*EVENT, "place", "slice", "duration_seconds", "duration_source", "known_length")
-    before = scan(told, EVENT, {"held": Run("max", F.greatest(_length(), F.col("known_length")), own=False)})
+    before = scan(told, EVENT, {"held": Run("max", F.greatest(_length(), F.col("known_length")), own=False)}, whole=whole)
     held = F.greatest("held", "known_length")
     differs = F.abs(held["seconds"] - F.col("duration_seconds")) > TOLERANCE
     pair = F.struct(held["seconds"].alias("kept_seconds"), held["source"].alias("kept_source"), F.col("duration_seconds").alias("other_seconds"), F.col("duration_source").alias("other_source"))
@@ -186,21 +190,25 @@ def fold(rows: DataFrame, finish: bool = True, strict_boundary: bool = False, sl
     Nobody's name that is told later settles anything by itself.
     """
     placed = sliced(rows.withColumn("session", F.coalesce("session", F.lit(""))), ["session", *ORDER], slice_rows)
-    whole = staged(identity.named(identity.in_rooms(boundaries.in_segments(placed))), "named-rows")
+    (by_session,), (by_name,) = small(placed, SESSION, most=min(slice_rows, slices.KEY_ROWS)), small(placed.filter("display_name <> ''"), identity.NAME)
+    whole = staged(identity.named(identity.in_rooms(boundaries.in_segments(placed, by_session), by_session), by_name), "named-rows")
     heard = staged(boundaries.signals_of(whole), "heard")
     attributed = staged(boundaries.attributed(heard.filter("event_type <> 'metadata'")), "attributed")
     signals = boundaries.occurrences_of(attributed, strict_boundary)
     metadata = heard.filter("event_type = 'metadata'")
-    own = staged(with_plays(with_metadata(signals, metadata)), "occurrence-rows")
+    # No occurrence has more rows than its song has in a segment.
+    (by_event,) = small(signals.select(*boundaries.HERE, "slice").unionByName(metadata.select(*boundaries.HERE, "slice")), boundaries.HERE)
+    own = staged(with_plays(with_metadata(signals, metadata), by_event), "occurrence-rows")
     orphans = attributed.filter("canonical_key is null and event_type = 'actual-play' and at is not null")
     if not orphans.isEmpty():
         due = due_plays(own, orphans).withColumn("canonical_key", F.regexp_extract("event_key", "^(.*)#[0-9]+$", 1))
         more = own.drop("play", "heard", "method").unionByName(due, allowMissingColumns=True).withColumn("begins", F.coalesce("begins", F.lit(False)))
-        own = staged(with_plays(more), "occurrence-rows")
-    ends = settlement.settled(whole, versions(own), finish, unit, at_zero)
+        (by_event,) = small(more, EVENT)
+        own = staged(with_plays(more, by_event), "occurrence-rows")
+    ends = settlement.settled(whole, versions(own, by_event), finish, unit, at_zero, whole=by_event)
     told = identity.released(whole, own, finish)
     later_who = told.groupBy(*EVENT).agg(F.min(F.struct("place", "turn", "user", "user_source")).alias("later_who"))
-    one = own.groupBy(*EVENT).agg(*_fields()).join(later_who, EVENT, "left").join(_conflicts(own), EVENT, "left").join(ends, EVENT, "left")
+    one = own.groupBy(*EVENT).agg(*_fields()).join(later_who, EVENT, "left").join(_conflicts(own, by_event), EVENT, "left").join(ends, EVENT, "left")
     return _shown(one)
 
 
