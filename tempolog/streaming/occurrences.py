@@ -1,7 +1,7 @@
 """The fold of sessions as a composition of DataFrame operations: signals to occurrences, with requesters, settled.
 
 Boundaries, names and settlement are modules of their own (:mod:`boundaries`, :mod:`identity`, :mod:`settlement`); here their rows are brought
-together and each occurrence's fields are aggregated.  No step holds a session, or a song of one, in one task.
+together and each occurrence's fields are aggregated.  No task holds a session of more rows than a slice, or more than KEY_ROWS rows of a song or a name.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
-"""Running values along the order of a session, in slices of it, so that no task holds a session.
+"""Running values along the order of a session, in slices of it, so that no task holds a large session.
 
 A running sum, extreme, first or last value is associative: each slice is summed up to one row per key, these few
-rows are run through in order, and what came before is added to the running value within the slice.
+rows are run through in order, and what came before is added to the running value within the slice.  Keys of which none is large (:func:`small`) need no slices.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tempolog.operators import staging
 from tempolog.sources import logs, parse
 from fold_by_hand import Session
 from tempolog.streaming import boundaries, identity, occurrences, sessions, slices
@@ -324,6 +325,18 @@ def test_finer_keys_need_no_other_shuffle(spark, rows, monkeypatch):
     assert slices.small(placed, boundaries.SONG, ["session", "line_number"]) == [False, True]
 
 
+def test_rows_of_occurrences_need_no_join(spark):
+    """From signals and metadata to plays, rows of songs that are not large meet their earlier ones in one shuffle, without slices to put together."""
+    told = spark.createDataFrame([tuple(r.get(c) for c in NAMES) for r in random_session(1, 2000, True)], ROW)
+    placed = slices.sliced(told, ["session", "source_file", "line_number", "stage", "ordinal"], slice_rows=200)
+    heard = boundaries.signals_of(identity.named(identity.in_rooms(boundaries.in_segments(placed))))
+    signals = boundaries.occurrences_of(boundaries.attributed(heard.filter("event_type <> 'metadata'")))
+    metadata = staging.staged(heard.filter("event_type = 'metadata'"), "metadata")
+    own = occurrences.with_plays(occurrences.with_metadata(signals, metadata), True)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert own.count() > 100 and "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
 @pytest.mark.parametrize("in_order", [True, False])
 def test_large_keys_fold_in_slices(spark, monkeypatch, in_order):
     """With every key taken for a large one, nothing is run through whole and the fold is the same."""
